@@ -25,6 +25,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """Mark a saved frame for broadcast if its rows, measured, fit `most_bytes`; a larger one joins by shuffle."""
+    width = F.sum(F.length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
+    return F.broadcast(df) if (df.agg(width).first()[0] or 0) <= most_bytes else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
