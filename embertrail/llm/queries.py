@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_report
+from .multiset import document_fingerprints
+from .pii import personal_data
 from .simhash import simhash_groups
 from .vectors import embedding_groups
 
@@ -18,10 +20,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_mixing, op9_embedding_near_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_mixing, op7_document_fingerprints, op9_embedding_near_dedup, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
