@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .licenses import license_scan
+from .lines import line_report
 from .mixing import mix_report
 from .multiset import document_fingerprints
 from .pieces import piece_report
@@ -28,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
         op1_simhash_near_dedup,
         op2_sentencepiece,
         op3_quality,
+        op4_line_dedup,
         op5_license_scan,
         op6_mixing,
         op7_document_fingerprints,
@@ -67,4 +73,13 @@ QUERIES = {
     )
 }
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+#: No operator here is one that SQL alone expresses in full; each is tested against a brute-force version instead.
 ORACLE_SQL: dict[str, str] = {}
