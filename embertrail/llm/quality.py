@@ -77,7 +77,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, ridge: float = 1.0, least: float = 5.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, ridge: float = 1.0, least: float = 1.0) -> Trees:
     """Gradient boosting on the logistic loss; each level's splits come from histograms over quantile bins.
 
     One class only, or no rows, gives no trees and the share of label 1 (0.5 without rows) as every score.
