@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words, and pairs of pieces, that a worker remembers at most.
-KNOWN_WORDS, KNOWN_PAIRS = 500_000, 1_000_000
+KNOWN_WORDS, KNOWN_PAIRS = 1_000_000, 500_000
 
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -74,10 +75,11 @@ class Pieces:
                 self.prefix = bool(spec.get(3, 1))
                 if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
                     raise ValueError("only models with identity normalisation that keep all white space are supported")
+        self.worst = min(self.score, default=0.0) - 10  # of a character without a piece
         self.longest = max(map(len, self.ids), default=1)
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)  # then no piece crosses the start of a word
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     def _add(self, piece: dict) -> None:
@@ -110,41 +112,41 @@ class Pieces:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def _joins(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
-        return known
+    def _joins(self, a: str, b: str, key: int) -> bool:
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        joins = self.pairs[key] = self._merged(a + b) == ([a, b] if a else [b])
+        return joins
 
     def paths(self, s: str) -> Iterator[str]:
         """Pieces of the best path, yielded as soon as all paths that may still win share them."""
-        longest, ids, tails = self.longest, self.ids, self.tails
+        longest, ids, tails, pairs, bpe = self.longest, self.ids, self.tails, self.pairs, self.bpe
         base, back, best = 0, [0], [0.0]  # back[i], best[i]: of position base + i
-        last = [""]  # last[i]: the piece that ends there
-        worst = min(self.score, default=0.0) - 10
+        last, number = [""], [-1]  # last[i]: the piece that ends there, and its id; -1: none, so nothing before it can merge
+        get, size = ids.get, len(self.score)
         check = 2 * longest
         for end in range(1, len(s) + 1):
             ways = []
             for start in range(end - 1, max(base, end - longest) - 1, -1):
                 piece = s[start:end]
-                if piece not in tails:
+                if (i := get(piece)) is not None:
+                    ways.append((start, piece, i))
+                elif piece not in tails:
                     break
-                if piece in ids:
-                    ways.append((start, piece))
-            if s[end - 1] not in ids:
-                ways.append((end - 1, s[end - 1]))
-            if self.bpe:
-                for start, piece in reversed(ways):
-                    if self._joins(last[start - base], piece):
+            if not ways or ways[0][0] != end - 1:
+                ways.insert(0, (end - 1, s[end - 1], -1))
+            if bpe:
+                for start, piece, i in reversed(ways):
+                    before = number[start - base]
+                    joins = pairs.get(key := before * size + i)
+                    if joins or i < 0 or joins is None and self._joins(last[start - base] if before >= 0 else "", piece, key):
                         break
-                value = 0.0
             else:
-                value, start, piece = max((best[a - base] + (self.score[ids[p]] if p in ids else worst), a, p) for a, p in ways)
+                value, start, piece, i = max((best[a - base] + (self.score[i] if i >= 0 else self.worst), a, p, i) for a, p, i in ways)
+                best.append(value)
             back.append(start)
             last.append(piece)
-            best.append(value)
+            number.append(i)
             if end - base >= check:
                 live = set(range(end - longest + 1, end + 1))
                 while len(live) > 1 and (top := max(live)) > base:
@@ -154,7 +156,7 @@ class Pieces:
                 if shared > base:
                     yield from self._walk(back, last, base, shared)
                     cut = shared - base
-                    back, last, best, base = back[cut:], last[cut:], best[cut:], shared
+                    back, last, number, best, base = back[cut:], last[cut:], number[cut:], best[cut:], shared
                 check = end - base + longest
         yield from self._walk(back, last, base, len(s))
 
@@ -176,7 +178,7 @@ class Pieces:
                 out += (self.byte[b] for b in piece.encode("utf-8", "replace"))
             else:
                 out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; none for a null or empty one."""
