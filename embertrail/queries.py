@@ -15,6 +15,7 @@ from .operators import impact as I
 from .operators import ranking as K
 from .operators import runs as R
 from .operators import stages as A
+from .sources import eventlog as E
 from .sources.testdata import facts, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,6 +551,21 @@ def _(r: Run) -> DataFrame:
     return X.volume_diff(X.metric_deltas(X.run_metrics(r.stages, r.timing), r.pairs))
 
 
+_RECORD = ("stage_id", "task_id", "host", "executor_id", "locality", "launch_ms", "finish_ms", "duration_ms", "failed", "speculative", "shuffle_read", "shuffle_write", "input_bytes", "records_read", "output_bytes", "output_records", "mem_spilled", "disk_spilled", "gc_ms", "run_ms", "cpu_ns", "fetch_wait_ms", "peak_mem")
+
+
+@query("s5_task_records", f"SELECT app_id AS log, {', '.join(_RECORD)} FROM tasks")
+def _(r: Run) -> DataFrame:
+    return E.task_records(E.parse_events(E.as_lines(r.tasks))).select("log", *_RECORD)
+
+
+@query("s4_skipped_lines", "SELECT app_id AS log, count(*) FILTER (failed) AS skipped, 0 AS unread_sql FROM tasks GROUP BY app_id")
+def _(r: Run) -> DataFrame:
+    """Event lines of which those of failed tasks are cut in half."""
+    lines = E.as_lines(r.tasks.select("*", F.lit(0).alias("x"))).withColumn("raw", F.when(F.col("raw").contains('"Failed":true'), F.substring("raw", 1, 200)).otherwise(F.col("raw")))
+    return E.skipped_lines(E.parse_events(lines))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage skew table: stages by the ratio of their 95th percentile task to the median one."""
     q = A.stage_quantiles(facts(spark, sf_dir)["tasks"], ("duration_ms",))

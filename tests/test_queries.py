@@ -7,7 +7,10 @@ import os
 import duckdb
 import pytest
 
-from embertrail.queries import ORACLE_SQL, QUERIES
+from embertrail import queries as runs
+from embertrail.plans import queries as plans
+
+QUERIES, ORACLE_SQL = runs.QUERIES | plans.QUERIES, runs.ORACLE_SQL | plans.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
