@@ -99,46 +99,36 @@ def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, vocabulary: np.ndarra
     return Ordinal(vocabulary[keep], w[keep], cut)
 
 
-def _count(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_counts=True)
-
-
-def _lean(words: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """How many times as common each word is in toxic documents as in others."""
-    share = []
-    for kind in (toxic, ~toxic):
-        seen, count = _count([r for r, t in zip(rows, kind) if t])
-        n = np.zeros(len(words))
-        if len(seen):
-            at = np.minimum(np.searchsorted(seen, words), len(seen) - 1)
-            n = np.where(seen[at] == words, count[at], 0)
-        share.append((n + 0.5) / max(1, kind.sum()))
-    return share[0] / share[1]
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, grades: int = GRADES) -> Ordinal:
     """Fit on a bounded sample of labelled documents, each different set of features once per label.
 
     Labels say toxic or not; severity grades 1 to `grades` are made from them: a toxic document's grade rises with how
-    many different telling features it has, cut at quantiles of the toxic documents. Features come to the driver for the
-    toxic rows of the sample first, then for all its rows, cut to those frequent in toxic ones.
+    many different telling features it has, cut at quantiles of the toxic documents. Spark counts the documents of each
+    feature; to the driver come the counts of features that a share of the toxic ones have, and then each document's
+    features among those that lean to toxic ones.
     """
-    sample = saved(training_rows(docs, labels, "toxic", features_of(F.col("text")), most))
-    words, count = _count([np.asarray(r.x, np.int64) for r in sample.filter("y > 0").select("x").toPandas().itertuples()])
-    n_toxic = sample.filter("y > 0").count()
-    words = words[count >= max(FEW, SHARE * n_toxic)]
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def frequent(x: pd.Series) -> pd.Series:
-        return pd.Series([np.intersect1d(np.asarray(r, np.int64), words, assume_unique=True) for r in x])
-
-    rows = sample.select("y", frequent("x").alias("x"), F.xxhash64("x").alias("h")).dropDuplicates(["h", "y"]).orderBy("h", "y").toPandas()
-    toxic, rows = rows["y"].to_numpy() > 0, [np.asarray(x, np.int64) for x in rows["x"]]
-    lean = _lean(words, rows, toxic)
+    sample = training_rows(docs, labels, "toxic", features_of(F.col("text")), most)
+    sample = saved(sample.select((F.col("y") > 0).alias("toxic"), "x", F.xxhash64("x").alias("h")).dropDuplicates(["h", "toxic"]))
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+    def among(words: np.ndarray) -> DataFrame:
+        @F.pandas_udf(ArrayType(LongType()))
+        def cut(x: pd.Series) -> pd.Series:
+            return pd.Series([np.intersect1d(np.asarray(r, np.int64), words, assume_unique=True) for r in x])
+
+        return sample.select("toxic", "h", cut("x").alias("x"))
+
+    often = sample.filter("toxic").select(F.explode("x").alias("w")).groupBy("w").count().filter(F.col("count") >= max(FEW, SHARE * n.get(True, 0)))
+    words = np.sort(often.select("w").toPandas()["w"].to_numpy(np.int64))
+    counts = among(words).select("toxic", F.explode("x").alias("w")).groupBy("w").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).orderBy("w").toPandas()
+    lean = ((counts["t"] + 0.5) / max(1, n.get(True, 0)) / ((counts["c"] + 0.5) / max(1, n.get(False, 0)))).to_numpy(np.float64)
+    words, lean = counts["w"].to_numpy(np.int64)[lean >= LEANING], lean[lean >= LEANING]
+    table = among(words).orderBy("h", "toxic").toPandas()
+    toxic, rows = table["toxic"].to_numpy(bool), [np.asarray(x, np.int64) for x in table["x"]]
     strength = np.array([np.isin(r, words[lean >= TELLING]).sum() for r in rows], np.int64)
     cuts = np.quantile(strength[toxic], np.arange(1, grades) / grades, method="higher") if toxic.any() else np.zeros(0)
     grade = np.where(toxic, 1 + (strength[:, None] > np.unique(cuts)).sum(axis=1), 0).astype(np.int64)
-    return fit_ordinal(rows, np.searchsorted(np.unique(grade), grade), words[lean >= LEANING])
+    return fit_ordinal(rows, np.searchsorted(np.unique(grade), grade), words)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
