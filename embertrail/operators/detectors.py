@@ -197,3 +197,33 @@ def job_failure_rate(outcome: DataFrame, t: dict) -> DataFrame:
     share = F.col("failed") / F.col("total")
     band = F.when(share >= t["critical"], "critical").when(share >= t["high"], "warning").otherwise("info")
     return _found(outcome.filter(share >= t["warn"]), "jobFailureRate", "share", "failed job share", share, None, band, stage=False)
+
+
+def slow_host_multidim(executors: DataFrame, t: dict, error: float = 0.005, ratio: float = 1.33, floors: tuple[float, float] = (1000.0, 64.0 * MIB)) -> DataFrame:
+    """Executors whose tasks took longer, or read or shuffled more, than chance allows among a stage's executors.
+
+    On log scale an executor's mean is compared with the median executor's in standard errors of the pooled variance; the
+    limit grows with the number of executors, sqrt(2 ln(N / (2 error))). Its figure per task must also be `ratio` times
+    the median one and above a floor. executors: from `executor_stats`.
+    """
+    bytes_ = F.col("shuffle_read") + F.col("shuffle_write")
+    figures = {"taskTime": ("duration", F.col("total_ms"), floors[0]), "inputBytes": ("input", F.col("input_bytes"), floors[1]), "shuffleBytes": ("shuffle", bytes_, floors[1])}
+    dims = F.array(*[F.struct(F.lit(k).alias("dim"), F.col(f"log_{c}_sum").alias("s"), F.col(f"log_{c}_m2").alias("m2"), (v / F.col("tasks")).alias("per_task"), F.lit(f).alias("floor")) for k, (c, v, f) in figures.items()])
+    x = executors.select(*STAGE, "executor_id", "tasks", F.explode(dims).alias("d")).select(*STAGE, "executor_id", "tasks", "d.*").withColumn("mean", F.col("s") / F.col("tasks"))
+    mid = x.groupBy(*STAGE, "dim").agg(F.count("*").alias("n"), F.sum("tasks").alias("all_tasks"), F.sum("m2").alias("m2_all"), median("mean").alias("mid"), median("per_task").alias("mid_per_task"))
+    x = x.drop("m2").join(mid, [*STAGE, "dim"]).filter((F.col("n") >= t["hosts"]) & (F.col("all_tasks") > F.col("n")) & (F.col("m2_all") > 0))
+    z = (F.col("mean") - F.col("mid")) / F.sqrt(F.col("m2_all") / (F.col("all_tasks") - F.col("n")) / F.col("tasks"))
+    hit = x.withColumn("z", z).filter((F.col("z") > F.sqrt(2 * F.log(F.col("n") / (2 * error)))) & (F.col("mid_per_task") > 0) & (F.col("per_task") >= ratio * F.col("mid_per_task")) & (F.col("per_task") >= F.col("floor")))
+    worst = hit.groupBy(*STAGE, "dim").agg(F.max(F.col("per_task") / F.col("mid_per_task")).alias("times"))
+    return _found(worst, "slowHost", "multiDim", "executor over median", F.col("times"))
+
+
+def stage_failed(attempts: DataFrame) -> DataFrame:
+    """Stages whose latest attempt states a failure, and how often others of their run state the same first line.
+
+    attempts: (app_id, stage_id, attempt, failure, latest).
+    """
+    line = F.element_at(F.split("failure", "\n"), 1)
+    failed = attempts.filter("latest AND failure IS NOT NULL").withColumn("line", line)
+    alike = failed.groupBy("app_id", "line").agg(F.count("*").alias("same"))
+    return _found(failed.join(alike, ["app_id", "line"]), "stageFailed", "failure", "stages with this failure", F.col("same"), None, "critical")

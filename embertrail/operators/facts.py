@@ -28,3 +28,23 @@ def wasted_attempts(attempts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(retry, F.col("duration_ms"))), zero).alias("retry_ms"), F.count_if(retry).alias("retry_n"),
         F.coalesce(F.sum(F.when(spec, F.col("duration_ms"))), zero).alias("spec_ms"), F.count_if(spec).alias("spec_n"),
     )
+
+
+def late_work(tasks: DataFrame, stages: DataFrame) -> DataFrame:
+    """(log, stage_id, kind, n, task_ms) of task ends that came after their stage was complete: speculation, or late work of failed or older attempts.
+
+    tasks: task records with seq and attempt; stages: stage attempts with completed_seq.
+    """
+    last = stages.filter("latest AND completed_seq IS NOT NULL").select("log", "stage_id", F.col("attempt").alias("_latest"), "completed_seq")
+    x = tasks.join(last, ["log", "stage_id"]).filter("seq > completed_seq")
+    kind = F.when(F.col("speculative"), "speculation").when(F.col("failed") | (F.col("attempt") < F.col("_latest")), "late")
+    return x.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("log", "stage_id", "kind").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("task_ms"))
+
+
+def earlier_attempts(tasks: DataFrame, stages: DataFrame) -> DataFrame:
+    """(log, stage_id, attempts, n, task_ms, ...): what the attempts before the latest did; output_records null if none states them."""
+    old = stages.filter("NOT latest").select("log", "stage_id", "attempt")
+    x = tasks.join(old, ["log", "stage_id", "attempt"])
+    sums = ("run_ms", "cpu_ns", "gc_ms", "shuffle_read", "shuffle_write", "fetch_wait_ms", "mem_spilled", "disk_spilled", "input_bytes", "output_bytes")
+    work = x.groupBy("log", "stage_id").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("task_ms"), *[F.sum(c).alias(c) for c in sums], F.sum("output_records").alias("output_records"), F.max("peak_mem").alias("peak_mem"))
+    return old.groupBy("log", "stage_id").agg(F.count("*").alias("attempts")).join(work, ["log", "stage_id"], "left")

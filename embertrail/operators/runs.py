@@ -187,3 +187,22 @@ def overlapping_job_groups(jobs: DataFrame) -> DataFrame:
     g = jobs.filter("start_ms IS NOT NULL AND end_ms IS NOT NULL").groupBy("app_id", "execution_id").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
     a, b = g.select("app_id", F.col("execution_id").alias("group_a"), F.col("s").alias("a_s"), F.col("e").alias("a_e")), g.select("app_id", F.col("execution_id").alias("group_b"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
     return overlaps(a, b, APP, "a_s", "a_e", "b_s", "b_e").filter("group_a < group_b").select("app_id", "group_a", "group_b")
+
+
+def locality_by_time(stages: DataFrame, locality: DataFrame, timing: DataFrame, apps: DataFrame, least_ms: int = 60_000, buckets: int = 60) -> DataFrame:
+    """(app, bucket, tier, cores): mean cores busy at each locality over even buckets from the run's start.
+
+    A bucket is a 60th of the run, a minute at least. A stage's mean concurrency is spread over its window and split by
+    the localities of its tasks; the last bucket is averaged over the part the run fills.
+    """
+    run = timing.join(apps.select("app_id", "start_ms"), APP).filter("duration_ms > 0").select("app_id", "start_ms", "duration_ms", F.greatest(F.lit(least_ms), F.ceil(F.col("duration_ms") / buckets)).alias("width"))
+    own = ["app_id", "stage_id"]
+    share = locality.join(locality.groupBy(own).agg(F.sum("tasks").alias("_all")), own).select(*own, F.col("locality").alias("tier"), (F.col("tasks") / F.col("_all")).alias("share"))
+    s = stages.filter("completed_ms > submitted_ms").select(*own, "submitted_ms", "completed_ms", (F.col("run_ms") / (F.col("completed_ms") - F.col("submitted_ms"))).alias("busy")).join(run, APP)
+    at = lambda c: F.floor((F.col(c) - F.col("start_ms")) / F.col("width"))
+    s = s.withColumn("bucket", F.explode(F.sequence(at("submitted_ms"), F.floor((F.col("completed_ms") - 1 - F.col("start_ms")) / F.col("width")))))
+    begin = F.col("start_ms") + F.col("bucket") * F.col("width")
+    end = F.least(begin + F.col("width"), F.col("start_ms") + F.col("duration_ms"))
+    part = F.greatest(F.lit(0), F.least("completed_ms", end) - F.greatest("submitted_ms", begin))
+    s = s.withColumn("mean", part * F.col("busy") / F.greatest(F.lit(1), end - begin))
+    return s.join(share, own).groupBy("app_id", "bucket", "tier").agg(F.sum(F.col("mean") * F.col("share")).alias("cores"))

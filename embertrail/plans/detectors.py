@@ -71,3 +71,22 @@ def unpruned_scans(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
 def python_udfs(nodes: DataFrame, metrics: DataFrame, least: int = 64 * MIB) -> DataFrame:
     x = with_metrics(nodes.filter(F.col("name") == "BatchEvalPython"), metrics, "data sent to Python workers").filter(F.col("data_sent_to_Python_workers") >= least)
     return _found(x, "pythonUdf", "bytes sent to Python", F.col("data_sent_to_Python_workers"))
+
+
+def merge_rewrites(nodes: DataFrame, metrics: DataFrame, copied: int = 100_000, files: int = 8) -> DataFrame:
+    """Merges that rewrite far more rows than they change, or keep nearly all rows of many files in half of the partitions or fewer."""
+    names = ("number of copied rows", "number of updated rows", "number of deleted rows", "number of inserted rows", "number of files removed", "number of partitions touched", "number of partitions")
+    x = with_metrics(nodes, metrics, *names)
+    n = {k: F.coalesce(F.col(k.replace(" ", "_")), F.lit(0.0)) for k in names}
+    changed = n[names[1]] + n[names[2]] + n[names[3]]
+    rows = x.filter((n[names[0]] >= copied) & (n[names[0]] >= 2 * changed))
+    kept = x.filter((n[names[4]] >= files) & (n[names[0]] >= 0.9 * (n[names[0]] + n[names[1]] + n[names[2]])) & (n[names[6]] > 0) & (n[names[5]] <= 0.5 * n[names[6]]))
+    return _found(rows, "mergeRewrite", "rows copied", n[names[0]]).unionByName(_found(kept, "mergeRewrite", "files rewritten", n[names[4]]))
+
+
+def join_key_casts(nodes: DataFrame) -> DataFrame:
+    """Shuffled joins on a cast key whose plain column a later exchange, added by Spark, hashes again."""
+    joins = nodes.filter(F.col("name").isin("SortMergeJoin", "ShuffledHashJoin")).withColumn("cast", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("detail", r"#[0-9]+L?", ""), F.lit(r"cast\((\w+) as"), F.lit(1)))))
+    later = nodes.filter((F.col("name") == "Exchange") & F.col("detail").contains("ENSURE_REQUIREMENTS")).select(*EXEC, F.col("path").alias("_p"), F.split(F.regexp_replace(F.regexp_extract("detail", r"hashpartitioning\((.*), [0-9]+\)", 1), r"#[0-9]+L?", ""), ", ").alias("_keys"))
+    hit = joins.join(later, EXEC).filter(F.col("path").startswith(F.concat("_p", F.lit("."))) & F.array_contains("_keys", F.col("cast")))
+    return _found(hit.groupBy(NODE).agg(F.count_distinct("cast").alias("n")), "joinKeyCast", "cast keys hashed again", F.col("n"))

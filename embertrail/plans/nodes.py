@@ -181,3 +181,67 @@ def plan_edges(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     """(app, execution, parent, child, shuffle_bytes): the plan as edges, with the data size of a child that is an exchange."""
     x = with_metrics(nodes, metrics, "data size").filter(F.col("path").contains("."))
     return x.select(*EXEC, parent(F.col("path")).alias("parent"), F.col("path").alias("child"), F.col("data_size").alias("shuffle_bytes"))
+
+
+def plan_node_stages(tasks: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(log, execution_id, path, stage_id): stages whose tasks reported one of a node's accumulators, among the execution's own.
+
+    tasks: (log, stage_id, acc_id); nodes: from `plan_nodes`; links: (log, stage_id, execution_id).
+    """
+    owns = nodes.select("log", "execution_id", "path", F.explode("metrics.id").alias("acc_id"))
+    seen = tasks.select("log", "stage_id", "acc_id").distinct()
+    return owns.join(seen, ["log", "acc_id"]).join(links, ["log", "stage_id", "execution_id"], "left_semi").select("log", "execution_id", "path", "stage_id").distinct()
+
+
+def segments(split: DataFrame) -> DataFrame:
+    """(node, segment, depth, parent): parts of a plan between exchanges. A segment is named by the write half at its top, or the root.
+
+    split: nodes with halves, from `split_exchanges`.
+    """
+    tops = split.filter("half = 'write'").select(*EXEC, F.col("path").alias("_top"))
+    x = split.select(NODE).join(tops, EXEC, "left")
+    under = (F.col("path") == F.col("_top")) | F.col("path").startswith(F.concat("_top", F.lit(".")))
+    found = x.groupBy(NODE).agg(F.max_by(F.when(under, F.col("_top")), F.when(under, F.length("_top"))).alias("s"), F.count_if(under).alias("depth"))
+    named = found.select(*NODE, F.coalesce("s", F.lit("0")).alias("segment"), "depth")
+    above = named.select(*EXEC, F.col("path").alias("_p"), F.col("segment").alias("parent"))
+    top = named.withColumn("_p", F.when(F.col("depth") > 0, parent(F.col("segment"))))
+    return top.join(above, [*EXEC, "_p"], "left").select(*NODE, "segment", "depth", "parent")
+
+
+def segment_stages(parts: DataFrame, stages: DataFrame) -> DataFrame:
+    """(app, execution, segment, stage_id, inherited): segments, deepest first, with the execution's stages in order of submission.
+
+    Segments beyond the stages take the last stage. stages: (app_id, execution_id, stage_id, submitted_ms).
+    """
+    s = parts.select(*EXEC, "segment", "depth").distinct().withColumn("i", F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("depth"), "segment")))
+    t = stages.withColumn("i", F.row_number().over(Window.partitionBy(*EXEC).orderBy("submitted_ms", "stage_id"))).select(*EXEC, "i", "stage_id")
+    last = t.groupBy(EXEC).agg(F.max_by("stage_id", "i").alias("_last"))
+    return s.join(t, [*EXEC, "i"], "left").join(last, EXEC, "left").select(*EXEC, "segment", F.coalesce("stage_id", "_last").alias("stage_id"), F.col("stage_id").isNull().alias("inherited"))
+
+
+def node_durations(parts: DataFrame, times: DataFrame, links: DataFrame, stages: DataFrame) -> DataFrame:
+    """(node, ms): a segment's stage time split by the nodes' own timing metrics, evenly where none has any.
+
+    times: (node, own_ms); links: from `segment_stages`; stages: (app_id, stage_id, stage_ms).
+    """
+    x = parts.join(times, NODE, "left").join(links.select(*EXEC, "segment", "stage_id"), [*EXEC, "segment"]).join(stages.select("app_id", "stage_id", "stage_ms"), ["app_id", "stage_id"])
+    own = Window.partitionBy(*EXEC, "segment")
+    all_, n = F.sum(F.coalesce("own_ms", F.lit(0))).over(own), F.count("*").over(own)
+    return x.select(*NODE, F.when(all_ > 0, F.col("stage_ms") * F.coalesce("own_ms", F.lit(0)) / all_).otherwise(F.col("stage_ms") / n).alias("ms"))
+
+
+def exchange_width(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(exchange node, columns, bytes_per_row): columns of the nearest node below that lists any, and data size over records written."""
+    x = with_metrics(nodes.filter(F.col("name") == "Exchange"), metrics, "data size", "shuffle records written").select(*NODE, "data_size", "shuffle_records_written")
+    listing = nodes.withColumn("cols", F.regexp_extract("detail", r"^[A-Za-z]+ (?:\w+ )?(?:[\w.]+)?\[([^\]]*)\]", 1)).filter("cols <> ''").select(*EXEC, F.col("path").alias("_p"), F.size(F.split("cols", ",")).alias("columns"))
+    near = x.select(NODE).join(listing, EXEC).filter(F.col("_p").startswith(F.concat("path", F.lit(".")))).groupBy(NODE).agg(F.min_by("columns", F.struct(depth(F.col("_p")), F.col("_p"))).alias("columns"))
+    return x.join(near, NODE, "left").select(*NODE, "columns", F.when(F.col("shuffle_records_written") > 0, F.col("data_size") / F.col("shuffle_records_written")).alias("bytes_per_row"))
+
+
+def spill_operators(nodes: DataFrame, metrics: DataFrame, top: int = 5) -> DataFrame:
+    """(app, execution, rank, path, name, bytes, feeds): the `top` sorts, aggregates and windows by spill, with the nearest join above each."""
+    x = with_metrics(nodes.filter(F.col("name").isin("Sort", "HashAggregate", "ObjectHashAggregate", "Window")), metrics, "spill size").filter("spill_size > 0")
+    joins = nodes.filter(F.col("name").rlike("Join$")).select(*EXEC, F.col("path").alias("_j"))
+    above = x.select(NODE).join(joins, EXEC).filter(F.col("path").startswith(F.concat("_j", F.lit(".")))).groupBy(NODE).agg(F.max_by("_j", F.length("_j")).alias("feeds"))
+    rank = F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("spill_size"), "path"))
+    return x.withColumn("rank", rank).filter(F.col("rank") <= top).join(above, NODE, "left").select(*EXEC, "rank", "path", "name", F.col("spill_size").alias("bytes"), "feeds")

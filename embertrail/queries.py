@@ -14,6 +14,7 @@ from .operators import facts as T
 from .operators import impact as I
 from .operators import ranking as K
 from .operators import runs as R
+from .operators import report as P
 from .operators import stages as A
 from .sources import eventlog as E
 from .sources.testdata import facts, with_tables
@@ -566,6 +567,48 @@ def _(r: Run) -> DataFrame:
     return E.skipped_lines(E.parse_events(lines))
 
 
+@query("k10_run_summary", "SELECT a.app_id, t.complete, t.duration_ms, s.n AS stages, j.n AS jobs, j.x AS executions, j.f AS failed_jobs FROM apps AS a JOIN timing AS t USING (app_id) JOIN (SELECT app_id, count(*) AS n FROM windows GROUP BY app_id) AS s USING (app_id) JOIN (SELECT app_id, count(*) AS n, count(DISTINCT execution_id) AS x, count(*) FILTER (NOT succeeded) AS f FROM jobs GROUP BY app_id) AS j USING (app_id)")
+def _(r: Run) -> DataFrame:
+    return P.run_summary(r.apps, r.timing, r.windows, r.jobs)
+
+
+def _ledger(r: Run) -> DataFrame:
+    return P.evidence(r.apps, tasks=r.tasks, executors=r.executors, jobs=r.jobs)
+
+
+@query("r19_evidence", " UNION ALL ".join(f"SELECT app_id, '{t}' AS key, count(*) AS n, 'present' AS state FROM {t} GROUP BY app_id" for t in ("tasks", "executors", "jobs")))
+def _(r: Run) -> DataFrame:
+    return _ledger(r)
+
+
+@query("r20_check_coverage")
+def _(r: Run) -> DataFrame:
+    return P.check_coverage(P.detector_catalog(r.spark), r.short_findings, _ledger(r))
+
+
+@query("k8_run_verdict")
+def _(r: Run) -> DataFrame:
+    steps = K.next_steps(K.rank_findings(K.rank_cost(r.short_findings, r.stages)))
+    return P.run_verdict(P.run_summary(r.apps, r.timing, r.windows, r.jobs), steps, P.check_coverage(P.detector_catalog(r.spark), r.short_findings, _ledger(r)))
+
+
+@query("i14_confidence", "SELECT f.app_id, f.type, f.stage_id, CASE WHEN f.stage_id IS NULL OR s.tasks >= 100 THEN 'high' WHEN s.tasks >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM found AS f LEFT JOIN st AS s USING (app_id, stage_id)")
+def _(r: Run) -> DataFrame:
+    return P.confidence(r.short_findings, r.stages).select("app_id", "type", "stage_id", "confidence")
+
+
+@query("r11_locality_by_time", """SELECT app_id, bucket, tier, round(sum(greatest(0, least(completed_ms, en) - greatest(submitted_ms, be)) * busy / greatest(1, en - be) * share), 6) AS cores FROM (SELECT *, start_ms + bucket * width AS be, least(start_ms + (bucket + 1) * width, start_ms + duration_ms) AS en FROM
+ (SELECT *, unnest(range((submitted_ms - start_ms) // width, (completed_ms - 1 - start_ms) // width + 1)) AS bucket FROM (SELECT s.app_id, s.stage_id, submitted_ms, completed_ms, CAST(run_ms AS DOUBLE) / stage_ms AS busy, start_ms, duration_ms, CAST(greatest(60000, ceil(duration_ms / 60.0)) AS BIGINT) AS width FROM st AS s JOIN timing USING (app_id) JOIN (SELECT app_id, start_ms FROM apps) AS a USING (app_id) WHERE stage_ms > 0)))
+ JOIN (SELECT app_id, stage_id, locality AS tier, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY app_id, stage_id) AS share FROM (SELECT app_id, stage_id, locality, count(*) AS n FROM tasks GROUP BY app_id, stage_id, locality)) USING (app_id, stage_id) GROUP BY app_id, bucket, tier""")
+def _(r: Run) -> DataFrame:
+    return R.locality_by_time(r.stages.drop("duration_ms"), A.locality_stats(r.tasks), r.timing, r.apps).withColumn("cores", F.round("cores", 6))
+
+
+@query("f13_slow_host_multidim")
+def _(r: Run) -> DataFrame:
+    return D.slow_host_multidim(A.executor_stats(r.tasks), D.THRESHOLDS["slowHost"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage skew table: stages by the ratio of their 95th percentile task to the median one."""
     q = A.stage_quantiles(facts(spark, sf_dir)["tasks"], ("duration_ms",))
