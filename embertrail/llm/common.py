@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a task holds at once; a larger group is dealt out as pairs of blocks of this size.
 GROUP_ROWS = 4096
+#: Documents that go to a Python worker at once; Spark's own default of 10,000 rows is too much for long texts.
+BATCH_DOCS = 1000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -35,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """Let the session of `df` send whole texts to Python workers in smaller batches; returns `df`.
+
+    Batches are cut when a job runs, so the setting stays for the session. A smaller one that is set already is kept.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    conf.set(key, str(min(BATCH_DOCS, int(conf.get(key, "10000")))))
+    return df
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u long, v long): component is the smallest node reachable.
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .license_texts import TEMPLATES
 
 #: Dice coefficient from which a passage is a licence.
@@ -115,6 +116,6 @@ def license_scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES
                 "matches": [",".join(f"{n}:{s}:{e}" for n, _, s, e in m) for m in rows],
             })
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     out = rows.mapInPandas(scan, "doc_id string, license string, dice double, n_matches long, matches string")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

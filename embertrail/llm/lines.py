@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved, small, spans
+from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved, small, spans, text_batches
 
 #: Edits up to which lines are near-equal, and characters that both lines then have at least; shorter lines only match as a whole.
 MAX_EDITS, MIN_CHARS = 2, 24
@@ -106,8 +106,23 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(line[keep] & -2), pa.array((line[keep] & 1).astype(bool))], ["key", "id", "probe"])
 
 
-def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Whether a[i] and b[i] are at most `edits` apart (insertions, deletions, substitutions), for all i at once.
+def within(a: list[str], b: list[str], edits: int, cells: int = 4_000_000) -> np.ndarray:
+    """Whether a[i] and b[i] are at most `edits` apart (insertions, deletions, substitutions): pairs in order of length, so
+    that what is padded to the longest of a batch stays within `cells` characters, or is one pair."""
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    out, order, at = np.zeros(len(a), bool), np.argsort(size, kind="stable"), 0
+    while at < len(a):
+        end = at + 1
+        while end < len(a) and (end + 1 - at) * int(size[order[end]]) <= cells:
+            end += 1
+        rows = order[at:end]
+        out[rows] = _banded([a[i] for i in rows], [b[i] for i in rows], edits)
+        at = end
+    return out
+
+
+def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
+    """The distance test for pairs at once.
 
     A band of 2 * edits + 1 diagonals is held as bits: of vertical steps up (vp) and down (vn), in a frame that moves
     down a row with each column. The distance is followed along the band's last diagonal to the last row, then along it.
@@ -119,7 +134,7 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     out[short] = True  # so short that replacing all of the longer one is near enough
     out[short[np.maximum(n[short], m[short]) > edits]] = False
     for i in short[np.maximum(n[short], m[short]) > edits].tolist():  # the shorter one has room for the band
-        out[i] = n[i] < m[i] and bool(within([b[i]], [a[i]], edits)[0])
+        out[i] = n[i] < m[i] and bool(_banded([b[i]], [a[i]], edits)[0])
     if not len(rows):
         return out
     n, m, width = n[rows], m[rows], 2 * edits + 1
@@ -183,7 +198,7 @@ def near_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     """(id, class) of the lines that are near another: id from xxhash64, class the smallest id reachable over links."""
     if least <= edits:
         raise ValueError("lines must be longer than the edits allowed")
-    keys = docs.select("text").mapInArrow(_key_rows(edits, least), "key long, line long")
+    keys = text_batches(docs).select("text").mapInArrow(_key_rows(edits, least), "key long, line long")
     met = saved(by_key(keys, "key", _meeting, "key long, id long, probe boolean"))
     wanted = small(saved(met.select("id").distinct()))
     line = F.explode(F.split("text", "\n", -1))

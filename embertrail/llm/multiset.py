@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: The vector: LEVELS x BLOCKS cells of LANES 16-bit lanes. Level i receives 2**-(i + 1) of the parts, so some level is sparse.
 LEVELS, BLOCKS, LANES = 12, 32, 8
 #: Words of a part at most, and rows that one range of doc_id holds about, with the most ranges.
@@ -119,7 +121,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     Documents are dealt out by ranges of doc_id (about RANGE_ROWS rows each) and sorted there; each range also gets the
     first row of the range after it, so texts move once and no task sees more than its ranges.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import saved
+from .common import saved, text_batches
 
 #: Labelled rows that a fit takes at most, those with the smallest hashes. Documented bound: the fit runs on the driver.
 SAMPLE_ROWS, SEED = 20_000, 42
@@ -133,7 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, feature: Colum
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most"))
     known = known.filter("y = _most").select("doc_id", "y").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", feature.alias("x"))
+    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", feature.alias("x"))
     return saved(rows).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 

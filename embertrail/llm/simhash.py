@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved
+from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved, text_batches
 
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -166,7 +166,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if width != 3:
         raise ValueError("fingerprints are defined on three-word shingles")
-    fps = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    fps = saved(text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
     names = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = saved(by_key(names.select("fp").mapInArrow(_key_rows, "key long, fp long, probe boolean"), "key", _links, "u long, v long, key long, probe boolean"))
     hot = found.filter("key IS NOT NULL").select("key", F.col("u").alias("fp"), "probe")
