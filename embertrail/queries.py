@@ -23,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Sums of doubles depend on their order; rounded ones are moved a little off the halves, where the order would show.
+
+
 class Run:
     """The derived tables of one folder, and what most operators read, as lazy frames."""
 
@@ -197,7 +200,7 @@ def _(r: Run) -> DataFrame:
     return A.stragglers(r.tasks)
 
 
-_A9 = """SELECT app_id, stage_id, count(*) AS tail_tasks, sum(ex) AS excess_ms, round(sum(data), 3) AS data_ms, round(sum(gc), 3) AS gc_ms, round(sum(fw), 3) AS fetch_ms, round(median(ratio), 4) AS data_ratio FROM
+_A9 = """SELECT app_id, stage_id, count(*) AS tail_tasks, sum(ex) AS excess_ms, round(sum(data) + 1e-6, 3) AS data_ms, round(sum(gc) + 1e-6, 3) AS gc_ms, round(sum(fw) + 1e-6, 3) AS fetch_ms, round(median(ratio) + 1e-7, 4) AS data_ratio FROM
 (SELECT *, least(ex - data1 - gc, greatest(0.0, fetch_wait_ms - mf)) AS fw, data1 + CASE WHEN NOT compared AND (bytes >= 1048576 OR records_read >= 1000) THEN ex - data1 - gc - least(ex - data1 - gc, greatest(0.0, fetch_wait_ms - mf)) ELSE 0.0 END AS data FROM
 (SELECT *, least(ex - data1, greatest(0.0, gc_ms - mg)) AS gc FROM (SELECT *, CASE WHEN compared THEN least(ex, greatest(0.0, p50 * (ratio - 1))) ELSE 0.0 END AS data1 FROM
 (SELECT *, duration_ms - p50 AS ex, (mb >= 1048576 OR mr >= 1000) AS compared, CASE WHEN mb >= 1048576 OR mr >= 1000 THEN greatest(CASE WHEN mb >= 1048576 THEN bytes / mb ELSE 0.0 END, CASE WHEN mr >= 1000 THEN records_read / mr ELSE 0.0 END) END AS ratio FROM
@@ -206,7 +209,7 @@ _A9 = """SELECT app_id, stage_id, count(*) AS tail_tasks, sum(ex) AS excess_ms,
 
 @query("a9_tail_attribution", _A9, meds="SELECT app_id, stage_id, median(input_bytes + shuffle_read) AS mb, median(records_read) AS mr, median(gc_ms) AS mg, median(fetch_wait_ms) AS mf FROM tasks WHERE NOT failed GROUP BY app_id, stage_id")
 def _(r: Run) -> DataFrame:
-    return A.tail_attribution(r.tasks).select("app_id", "stage_id", "tail_tasks", "excess_ms", *[F.round(c, 3).alias(c) for c in ("data_ms", "gc_ms", "fetch_ms")], F.round("data_ratio", 4).alias("data_ratio"))
+    return A.tail_attribution(r.tasks).select("app_id", "stage_id", "tail_tasks", "excess_ms", *[F.round(F.col(c) + 1e-6, 3).alias(c) for c in ("data_ms", "gc_ms", "fetch_ms")], F.round(F.col("data_ratio") + 1e-7, 4).alias("data_ratio"))
 
 
 @query("a10_active_ms", "SELECT app_id, stage_id, CAST(sum(nx - ts) AS BIGINT) AS active_ms FROM stage_seg WHERE busy > 0 GROUP BY app_id, stage_id")
@@ -366,9 +369,9 @@ def _estimates(r: Run) -> DataFrame:
     return I.estimate_stage(claims, s, I.gate(s), I.ceiling(s.drop("total_cores"), r.cores)).select("app_id", "stage_id", "waste_ms", "basis", "low_ms", "high_ms")
 
 
-@query("i4_estimate_stage", "SELECT app_id, stage_id, round(waste_ms, 2) AS waste_ms, basis, round(low_ms, 2) AS low_ms, round(high_ms, 2) AS high_ms FROM est", tailc=_TAIL, est=_EST)
+@query("i4_estimate_stage", "SELECT app_id, stage_id, round(waste_ms + 1e-5, 2) AS waste_ms, basis, round(low_ms + 1e-5, 2) AS low_ms, round(high_ms + 1e-5, 2) AS high_ms FROM est", tailc=_TAIL, est=_EST)
 def _(r: Run) -> DataFrame:
-    return _estimates(r).select("app_id", "stage_id", F.round("waste_ms", 2).alias("waste_ms"), "basis", F.round("low_ms", 2).alias("low_ms"), F.round("high_ms", 2).alias("high_ms"))
+    return _estimates(r).select("app_id", "stage_id", F.round(F.col("waste_ms") + 1e-5, 2).alias("waste_ms"), "basis", F.round(F.col("low_ms") + 1e-5, 2).alias("low_ms"), F.round(F.col("high_ms") + 1e-5, 2).alias("high_ms"))
 
 
 @query("i5_estimate_stages")
