@@ -37,8 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of the whole text."""
-    return encoded(docs)
+    """doc_id and the ids of the whole text. Workers remember few words: they also hold what earlier stages left in memory."""
+    return encoded(docs, remember=150_000)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from .common import text_batches
+
 #: Where the public vocabulary lies by default; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -81,6 +83,7 @@ class Pieces:
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)  # then no piece crosses the start of a word
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.known_words = KNOWN_WORDS
 
     def _add(self, piece: dict) -> None:
         i, text, kind = len(self.score), piece[1].decode(), piece.get(3, 1)
@@ -193,7 +196,7 @@ class Pieces:
             if code is None:
                 code = self._coded(part)
                 if len(part) <= 64:
-                    if len(words) >= KNOWN_WORDS:
+                    if len(words) >= self.known_words:
                         words.clear()
                     words[part] = code
             out.append(code)
@@ -218,18 +221,22 @@ def loaded(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-def encoded(docs: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of `docs`: the columns `keep`, ids array<int>. The model file, read on the driver, goes out with the job."""
+def encoded(docs: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ("doc_id",), remember: int = KNOWN_WORDS) -> DataFrame:
+    """One row per row of `docs`: the columns `keep`, ids array<int>. The model file, read on the driver, goes out with the job.
+
+    A worker remembers the ids of `remember` words at most, which takes some 250 bytes each.
+    """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = loaded(model.value)
+        pieces.known_words = remember
         for s in texts:
             yield pd.Series([pieces.encode(t).astype(np.int32) for t in s])
 
-    return docs.select(*keep, encode(F.col("text")).alias("ids"))
+    return text_batches(docs).select(*keep, encode(F.col("text")).alias("ids"))
 
 
 def decoded(rows: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -259,6 +266,7 @@ def piece_report(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     @F.pandas_udf("n_ids long, ids_sha256 string, n_bytes long, round_trip boolean")
     def report(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = loaded(model.value)
+        pieces.known_words = KNOWN_WORDS
         for s in texts:
             ids = [pieces.encode(t) for t in s]
             back = [pieces.decode(i) for i in ids]
@@ -267,4 +275,4 @@ def piece_report(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 "n_bytes": [len(b.encode()) for b in back], "round_trip": [b == (t or "") for b, t in zip(back, s)],
             })
 
-    return docs.select("doc_id", report(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return text_batches(docs).select("doc_id", report(F.col("text")).alias("r")).select("doc_id", "r.*")
