@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved, text_batches
+from .shingles import LOWER, shingle_links
 
-#: Lower-cases A-Z and nothing else.
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Generator polynomial of the perfect binary Golay code [23, 12, 7].
 GOLAY = 0b101011100011
 #: Segments of a fingerprint as (shift, bits): two whole Golay words and a shortened one.
@@ -155,18 +154,19 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int = 4 * GROUP_ROWS) -> It
     yield flush()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, also: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id, the smallest id reachable over links.
 
     Texts link when their fingerprints differ in three bits or fewer. Only distinct fingerprints are compared, so a
     group of copies is one row; a key that very many distinct fingerprints share is dealt out in blocks, and each task
     emits a spanning forest of the links it has verified. A null or empty text has fingerprint zero and links like any
     other. Rows without an id keep their fingerprint and have the component of their group, null if no row of it has
-    an id. Repeated rows stay. An empty table gives no rows; other columns are not read.
+    an id. Repeated rows stay. An empty table gives no rows; other columns are not read, but for those of `also`, which
+    stay with their rows, beside _part, a fingerprint that stands for the group.
     """
     if width != 3:
         raise ValueError("fingerprints are defined on three-word shingles")
-    fps = saved(text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    fps = saved(text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *also))
     names = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = saved(by_key(names.select("fp").mapInArrow(_key_rows, "key long, fp long, probe boolean"), "key", _links, "u long, v long, key long, probe boolean"))
     hot = found.filter("key IS NOT NULL").select("key", F.col("u").alias("fp"), "probe")
@@ -177,13 +177,29 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = connected_components(edges).withColumnRenamed("node", "fp")
     named = names.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(lowest, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = named.join(lowest, "component").select("fp", "component_id", F.col("component").alias("_part"))
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["_part", *also] if also else []))
+
+
+def near_copy_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) per document: groups over SimHash links as in `simhash_groups`, and over similarity of 0.8 or more of
+    the sets of five-word shingles as in `shingle_links`. component_id is the smallest id reachable."""
+    coded = saved(simhash_groups(docs.withColumn("_h", F.xxhash64("text")), also=["_h"]).select("doc_id", "component_id", "_part", F.col("_h").alias("h")))
+    named, links = shingle_links(docs)
+    sets = saved(coded.select("h", "_part").distinct().join(named.distinct(), "h").select("id", F.col("_part").alias("part")).distinct())
+    first = saved(sets.groupBy("id").agg(F.min("part").alias("first")))
+    equal = sets.join(first, "id").select(F.col("part").alias("u"), F.col("first").alias("v"))
+    ends = [first.select(F.col("id").alias(c), F.col("first").alias(f"_{c}")) for c in ("u", "v")]
+    near = links.join(ends[0], "u").join(ends[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    parts = connected_components(equal.unionByName(near)).withColumnRenamed("node", "_part")
+    names = coded.groupBy("_part").agg(F.min("component_id").alias("component_id")).join(parts, "_part", "left").withColumn("component", F.coalesce("component", "_part"))
+    lowest = names.groupBy("component").agg(F.min("component_id").alias("component_id"))
+    return coded.select("doc_id", "_part").join(names.select("_part", "component").join(lowest, "component"), "_part").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Keep one document of each group, the one with the smallest doc_id (one row, if that id repeats); rows without an id stay."""
-    keep = saved(simhash_groups(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
+    keep = saved(near_copy_groups(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
     once = docs.join(keep.filter("_n = 1").select("doc_id"), "doc_id", "left_semi")
     often = docs.join(keep.filter("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(often).unionByName(docs.filter("doc_id IS NULL"))
