@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,12 @@ def evidence(apps: DataFrame, **tables: DataFrame) -> DataFrame:
     return out
 
 
-def check_coverage(catalog: DataFrame, findings: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(app_id, type, state, reason): checks without a finding, clean where their evidence is there, else not run."""
+def check_coverage(catalog: DataFrame, findings: DataFrame, ledger: DataFrame, ran: Sequence[str]) -> DataFrame:
+    """(app_id, type, state, reason): checks without a finding, clean where they are among `ran` and their evidence is there, else not run."""
     every = ledger.join(F.broadcast(catalog.select("type", F.col("needs").alias("key"))), ["key"])  # a row for each check
     none = every.join(findings.select("app_id", "type").distinct(), ["app_id", "type"], "left_anti")
-    there = F.col("state") == "present"
-    return none.select("app_id", "type", F.when(there, "clean").otherwise("notRun").alias("state"), F.when(~there, F.concat(F.lit("no "), "key")).alias("reason"))
+    there, run = F.col("state") == "present", F.col("type").isin(*ran)
+    return none.select("app_id", "type", F.when(there & run, "clean").otherwise("notRun").alias("state"), F.when(~there, F.concat(F.lit("no "), "key")).when(~run, "no detector").alias("reason"))
 
 
 def run_summary(apps: DataFrame, timing: DataFrame, windows: DataFrame, jobs: DataFrame) -> DataFrame:

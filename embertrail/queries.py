@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from .operators import ranking as K
 from .operators import runs as R
 from .operators import report as P
 from .operators import stages as A
+from .functions.lineage import cut
 from .sources import eventlog as E
 from .sources.testdata import facts, with_tables
 
@@ -83,9 +85,17 @@ class Run:
         ]
         return B.evaluate(*every)
 
+    #: Types of the detectors that `findings` runs.
+    RAN = ("skew", "straggler", "spill", "shuffle", "partitionSizing", "stageShape", "failures", "retryWaste", "speculationWaste", "gc", "slowHost", "stageSlowness", "tinyTask", "incompleteRun", "coldStart", "coreLocality", "autoscalingChurn", "jobFailureRate")
+
+    @cached_property
+    def reported(self) -> DataFrame:
+        """All findings that a reader gets: those of `findings`, explained ones left out, each once; computed once."""
+        return cut(K.finding_ids(K.suppress(self.findings)).drop("id"))
+
     @property
     def short_findings(self) -> DataFrame:
-        """Findings of the detectors whose SQL is short: failures, gc and spill. The ranking queries use them."""
+        """Findings of four detectors: failures, gc, spill and jobFailureRate. Only queries that are held against SQL use them."""
         t, s = D.THRESHOLDS, self.stages
         return B.evaluate(D.failures(s, t["failures"]), D.gc(s, t["gc"]), D.spill(s, t["spill"]), D.job_failure_rate(R.job_outcome(self.jobs), t["jobFailureRate"]))
 
@@ -586,13 +596,13 @@ def _(r: Run) -> DataFrame:
 
 @query("r20_check_coverage")
 def _(r: Run) -> DataFrame:
-    return P.check_coverage(P.detector_catalog(r.spark), r.short_findings, _ledger(r))
+    return P.check_coverage(P.detector_catalog(r.spark), r.reported, _ledger(r), r.RAN)
 
 
 @query("k8_run_verdict")
 def _(r: Run) -> DataFrame:
-    steps = K.next_steps(K.rank_findings(K.rank_cost(r.short_findings, r.stages)))
-    return P.run_verdict(P.run_summary(r.apps, r.timing, r.windows, r.jobs), steps, P.check_coverage(P.detector_catalog(r.spark), r.short_findings, _ledger(r)))
+    steps = K.next_steps(K.rank_findings(K.rank_cost(r.reported, r.stages)))
+    return P.run_verdict(P.run_summary(r.apps, r.timing, r.windows, r.jobs), steps, P.check_coverage(P.detector_catalog(r.spark), r.reported, _ledger(r), r.RAN))
 
 
 @query("i14_confidence", "SELECT f.app_id, f.type, f.stage_id, CASE WHEN f.stage_id IS NULL OR s.tasks >= 100 THEN 'high' WHEN s.tasks >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM found AS f LEFT JOIN st AS s USING (app_id, stage_id)")
