@@ -468,12 +468,12 @@ def _(r: Run) -> DataFrame:
 
 @query("k2_rollup")
 def _(r: Run) -> DataFrame:
-    return K.rollup(r.short_findings, r.stages)
+    return K.rollup(r.reported, r.stages)
 
 
 @query("k4_next_steps")
 def _(r: Run) -> DataFrame:
-    return K.next_steps(K.rank_findings(K.rank_cost(r.short_findings, r.stages)))
+    return K.next_steps(K.rank_findings(K.rank_cost(r.reported, r.stages)))
 
 
 @query("k5_cost_lane", "SELECT app_id, rank, type, stage_id, waste_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY waste_ms DESC, type, stage_id) AS rank FROM found WHERE waste_ms IS NOT NULL AND stage_id IS NOT NULL) WHERE rank <= 3")
@@ -557,7 +557,7 @@ def _(r: Run) -> DataFrame:
 
 @query("x10_findings_delta")
 def _(r: Run) -> DataFrame:
-    return X.findings_delta(r.short_findings, X.match_stages(r.identity, r.pairs), r.pairs)
+    return X.findings_delta(r.reported, X.match_stages(r.identity, r.pairs), r.pairs)
 
 
 @query("x13_volume_diff", "SELECT base_app, cand_app, metric AS figure, relative, abs(relative) <= 0.1 AS equal FROM md WHERE metric IN ('input_bytes', 'output_bytes')")

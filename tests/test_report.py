@@ -23,3 +23,10 @@ def test_coverage_and_verdict_know_all_findings(spark, small, monkeypatch):
     assert ("app-0", "skew") not in cover and cover["app-0", "straggler"] == "clean" and cover["app-0", "utilization"] == cover["app-0", "rightSizing"] == "notRun"
     verdict = {r.app_id: r for r in Q.QUERIES["k8_run_verdict"](spark, small).collect()}
     assert "First: skew. 17 checks clean, 2 not run." in verdict["app-0"].summary
+
+
+def test_queries_without_sql_know_all_findings(spark, small, monkeypatch):
+    found(spark, monkeypatch)
+    assert [(r.app_id, r.type, r.n) for r in Q.QUERIES["k2_rollup"](spark, small).collect()] == [("app-0", "skew", 1)]
+    assert [(r.app_id, r.step, r.stage_id, r.lead) for r in Q.QUERIES["k4_next_steps"](spark, small).collect()] == [("app-0", 1, 1, "skew")]
+    assert [(r.base_app, r.status, r.type) for r in Q.QUERIES["x10_findings_delta"](spark, small).collect()] == [("app-0", "resolved", "skew")]
