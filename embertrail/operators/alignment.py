@@ -59,18 +59,17 @@ def execution_similarity(tokens: DataFrame, pairs: DataFrame, least: float = LEA
     return x.groupBy(ids).agg((F.sum(w * F.col("j")) / F.sum(w)).alias("score")).filter(F.col("score") >= least)
 
 
-def mutual_best(scores: DataFrame, keys: Sequence[str], left: str, right: str, rounds: int = 3) -> DataFrame:
-    """One partner at most on each side: rounds in which each best pair of both its members is taken, ties to the lower ids.
-
-    A chain of ever better partners can outlast the rounds; what it leaves stays unpaired.
-    """
+def mutual_best(scores: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+    """One partner at most on each side: rounds in which each best pair of both its members is taken, ties to the lower ids,
+    until a round takes none."""
     out, rest = None, cut(scores)
-    for _ in range(rounds):
+    while True:
         by = lambda side, other: F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("score"), side, other))
         took = cut(rest.withColumn("_l", by(left, right)).withColumn("_r", by(right, left)).filter("_l = 1 AND _r = 1").drop("_l", "_r"))
         out = took if out is None else out.unionByName(took)
+        if not took.limit(1).count():
+            return out
         rest = cut(rest.join(took.select(*keys, left), [*keys, left], "left_anti").join(took.select(*keys, right), [*keys, right], "left_anti"))
-    return out
 
 
 def align_executions(similarity: DataFrame, executions: DataFrame, pairs: DataFrame) -> DataFrame:
