@@ -19,18 +19,31 @@ BATCH_DOCS = 1000
 def saved(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) is one made here.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, one is made on a local master and nowhere else.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
 def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """Mark a saved frame for broadcast if its rows, measured, fit `most_bytes`; a larger one joins by shuffle."""
-    width = F.sum(F.length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
-    return F.broadcast(df) if (df.agg(width).first()[0] or 0) <= most_bytes else df
+    """Mark a saved frame for broadcast if its rows, measured, fit `most_bytes`; a larger one joins by shuffle.
+
+    Numbers and the like count as 16 bytes, texts by their length; only other columns are written out to be measured.
+    """
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.length(name), F.lit(0))
+        elif kind == "array<float>" or kind == "array<double>":
+            width = width + 8 * F.greatest(F.size(name), F.lit(0))
+        elif "<" in kind:
+            width = width + F.coalesce(F.length(F.to_json(F.struct(name))), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +60,23 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Parts that the neighbours of one node are dealt out to.
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): m is the smallest neighbour of u. The neighbours of a node are dealt out by hash, and the node's minimum
+    goes to each part that has any, so that no task meets all of them."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(part.select("u", "s").join(least, "u"), ["u", "s"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u long, v long): component is the smallest node reachable.
 
-    Alternates large-star and small-star steps, which halve path lengths, until the edge set stays as it is. A node
-    with very many neighbours only meets a partial minimum and a join that adaptive execution can split. Nulls and
+    Alternates large-star and small-star steps, which halve path lengths, until the edge set stays as it is. Nulls and
     self-loops are ignored; no edges give no rows.
     """
     cur = saved(
@@ -66,11 +91,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = state(cur)
     while now[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        cur = saved(small.select("e.u", "e.v").filter("u <> v").distinct())
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        pairs = _with_least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        cur = saved(pairs.select("e.u", "e.v").filter("u <> v").distinct())
         before, now = now, state(cur)
         if before == now:
             break

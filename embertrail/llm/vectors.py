@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved, spans
+from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, groups, in_blocks, saved, small, spans
 
 #: Tables, neighbouring cells probed in each, and the lattice's scale on projections of unit vectors. At a cosine of
 #: 0.98 one table finds about 0.82 of the pairs in one direction, six tables over 0.9999.
 TABLES, PROBES, SCALE, SEED = 6, 8, 1.0, 42
 
-_ROW = "key long, probe boolean, k long, label string, x array<double>, n long"
-_OUT = f"u long, v long, more long, {_ROW}"
+_KEYS = "key long, probe boolean, k long, sketch long"
+_OUT = "u long, v long, more long, key long, probe boolean, k long"
 
 
 @lru_cache(1)
@@ -73,53 +73,91 @@ def cells(x: np.ndarray, label: str, tables: int, probes: int, scale: float, see
     return out
 
 
+@lru_cache(64)
+def _planes(dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, 64]).normal(size=(dim, 64))
+
+
+def sketches(x: np.ndarray, seed: int) -> np.ndarray:
+    """On which sides of 64 random planes vectors lie, a bit each."""
+    return np.packbits(x @ _planes(x.shape[1], seed) > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def most_bits(least: float) -> int:
+    """Bits in which the sketches of two vectors at a cosine of `least` differ at most: eight deviations over the mean, which
+    less than one pair in 10**8 at 0.98 exceeds."""
+    p = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
+    return int(np.ceil(64 * p + 8 * np.sqrt(64 * p * (1 - p))))
+
+
 def _by_shape(table: pa.Table) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, row numbers, matrix) for the rows of each label and dimension."""
-    column = table.column("x").combine_chunks()
+    """(label, row numbers, matrix of unit vectors) for the rows of each label and dimension."""
+    column = table.column("e").combine_chunks()
     flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    dims = np.diff(ends)
-    label = table.column("label").to_numpy().astype(str)
-    for name, dim in sorted(set(zip(label.tolist(), dims.tolist()))):
-        rows = np.flatnonzero((label == name) & (dims == dim))
-        yield name, rows, flat[ends[rows][:, None] + np.arange(dim)]
+    label = table.column("label").combine_chunks().dictionary_encode()
+    kind = label.indices.to_numpy().astype(np.int64) << 32 | np.diff(ends)
+    order = np.argsort(kind, kind="stable")
+    for start, end in zip(*spans(kind[order])):
+        rows = order[start:end]
+        x = flat[ends[rows][:, None] + np.arange(kind[rows[0]] & 0xFFFFFFFF)].astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # no square over- or underflows
+        yield label.dictionary[int(kind[rows[0]] >> 32)].as_py(), rows, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _key_rows(tables: int, probes: int, scale: float, seed: int):
+    """(key, probe, k, sketch) for the own cell and the probed ones of each class; the vectors stay behind."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = pa.Table.from_batches([batch.slice(i, 1024)]).combine_chunks()
+                k_all = part.column("k").to_numpy()
                 for label, rows, x in _by_shape(part):
-                    own = part.take(rows)
-                    c = cells(x, label, tables, probes, scale, seed)
-                    for t in range(tables):
-                        for p in range(-1, 1 + probes):  # -1: the index row
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(c[:, t, max(p, 0)]), pa.array(np.full(len(rows), p >= 0)), *(own.column(n).combine_chunks() for n in ("k", "label", "x", "n"))],
-                                ["key", "probe", "k", "label", "x", "n"],
-                            )
+                    c, k, sketch = cells(x, label, tables, probes, scale, seed), k_all[rows], sketches(x, seed)
+                    wide = np.concatenate([c[:, :, :1], c], axis=2).reshape(len(rows), -1)  # the index row, then the probes
+                    probe = np.tile(np.arange(2 + probes) > 0, tables * len(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(wide.ravel()), pa.array(probe), *(pa.array(np.repeat(v, wide.shape[1])) for v in (k, sketch))], ["key", "probe", "k", "sketch"])
+
+    return task
+
+
+def _meeting(bits: int):
+    """Rows (key, probe, k) that meet a row of the other role and another class with a sketch at most `bits` away; an
+    oversized group passes whole."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, big in groups(batches, "key", 4 * GROUP_ROWS):
+            key, probe, k, sketch = (rows.column(c).to_numpy() for c in ("key", "probe", "k", "sketch"))
+            keep = np.full(len(key), big)
+            for a, b in () if big else crossed(key, probe):
+                hit = (k[a] != k[b]) & (np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)) <= bits)
+                keep[a[hit]] = keep[b[hit]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(probe[keep]), pa.array(k[keep])], ["key", "probe", "k"])
 
     return task
 
 
 def _links(least: float, tables: int, probes: int, scale: float, seed: int, limit: int = 4 * GROUP_ROWS):
+    """Spanning forest of the verified links (u, v), copies linked to each class (u, more), rows of oversized groups.
+
+    `cell` is the key of the lattice cell also where `key` is that of a pair of blocks.
+    """
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spanning forest of the verified links (u, v), copies linked to each class (u, more), rows of oversized groups."""
         forest, more = Forest(), {}
-        empty = pa.table({f.name: pa.nulls(0, f.type) for f in _schema()})
+        names = ["u", "v", "more", "key", "probe", "k"]
 
         def out(u, v, n):
-            m = len(u)
-            head = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())]
-            return pa.RecordBatch.from_arrays(head + [pa.nulls(m, f.type) for f in _schema()], ["u", "v", "more", *empty.column_names])
+            nothing = [pa.nulls(len(u), t) for t in (pa.int64(), pa.bool_(), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)] + nothing, names)
 
         for rows, big in groups(batches, "key", limit):
-            rows = rows.combine_chunks()
             if big:
                 for b in rows.to_batches():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64())] * 3 + b.columns, ["u", "v", "more", *b.schema.names])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64())] * 3 + [b.column(c) for c in ("key", "probe", "k")], names)
                 continue
-            key, probe, k, n = (rows.column(c).to_numpy() for c in ("key", "probe", "k", "n"))
+            rows = rows.combine_chunks()
+            key, cell, probe, k, n = (rows.column(c).to_numpy() for c in ("key", "cell", "probe", "k", "n"))
             for label, own, x in _by_shape(rows):
                 for a, b in _close(key[own], probe[own], x, least):
                     a, b = a[k[own[a]] != k[own[b]]], b[k[own[a]] != k[own[b]]]
@@ -130,7 +168,7 @@ def _links(least: float, tables: int, probes: int, scale: float, seed: int, limi
                     ia, ib = place[: len(a)], place[len(a) :]
                     meets = (c[ia, :, :1] == c[ib]).any(axis=2)  # the first row's own cell is among the other's probes
                     back = (c[ib, :, :1] == c[ia]).any(axis=2)
-                    here = (c[ia, :, 0] == key[own[a], None]).argmax(axis=1)
+                    here = (c[ia, :, 0] == cell[own[a], None]).argmax(axis=1)
                     before = np.arange(tables) < here[:, None]
                     first = ~((meets | back) & before).any(axis=1) & ((k[own[a]] < k[own[b]]) | ~back[np.arange(len(a)), here])
                     a, b = own[a[first]], own[b[first]]
@@ -149,10 +187,6 @@ def _links(least: float, tables: int, probes: int, scale: float, seed: int, limi
     return task
 
 
-def _schema() -> pa.Schema:
-    return pa.schema([("key", pa.int64()), ("probe", pa.bool_()), ("k", pa.int64()), ("label", pa.string()), ("x", pa.list_(pa.float64())), ("n", pa.int64())])
-
-
 def _close(key: np.ndarray, probe: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (index row, probe row) within a key whose unit vectors have at least this cosine."""
     start, end = spans(key)
@@ -179,33 +213,35 @@ def embedding_groups(df: DataFrame, least: float = 0.98, tables: int = TABLES, p
     Two vectors link if their labels are equal and not null and their cosine, in double precision, is `least` or more.
     Equal vectors are one class with a count, so a group of copies is one row; a pair of classes is counted in the
     first table and direction in which it meets, and each task emits counts and a spanning forest, never all pairs of
-    a group. A cell that very many vectors share is dealt out in blocks. A vector that is null, empty, zero or holds a
+    a group. Cell keys travel with a 64-bit sketch; only rows that meet one near theirs fetch their vector, to be
+    verified. A cell that very many vectors share is dealt out in blocks. A vector that is null, empty, zero or holds a
     null or non-finite component, or has no label, links with nothing, nor do vectors of different lengths. A row
     without vec_id links like any other; its kept is null, as is the component_id of a group in which no row has an id.
     Rows that repeat a vec_id are vectors of their own. For far larger tables take a smaller `scale` and more tables.
     """
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
+    kind = df.schema["embedding"].dataType.simpleString()
+    e = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), F.col("label").cast("string").alias("label"))
     odd = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = rows.withColumn("top", F.when(F.col("label").isNotNull() & ~odd, F.array_max(F.transform("e", F.abs))))
-    rows = rows.withColumn("e", F.when(F.col("top") > 0, F.transform("e", lambda v: v / F.col("top"))))  # no square over- or underflows
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v)))
-    rows = rows.select("vec_id", "label", F.transform("e", lambda v: v / F.col("norm")).alias("x"))
-    rows = saved(rows.withColumn("h", F.when(F.col("x").isNotNull(), F.sha2(F.concat_ws(",", "label", F.col("x").cast("array<string>")), 256))))
-    good = rows.filter("h IS NOT NULL")
-    classes = good.groupBy("h").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.first("label").alias("label"), F.first("x").alias("x"))
+    good = F.col("label").isNotNull() & ~odd & (F.array_max(F.transform("e", F.abs)) > 0)
+    rows = rows.withColumn("h", F.when(good, F.struct(F.xxhash64("label", "e").alias("a"), F.xxhash64(F.lit(seed), "e", "label").alias("b"))))
+    classes = rows.filter("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.first("label").alias("label"), F.first("e").alias("e"))
     classes = saved(classes.withColumn("k", F.monotonically_increasing_id()))
     deal = (tables, probes, scale, seed)
-    keyed = classes.select("k", "label", "x", "n").mapInArrow(_key_rows(*deal), _ROW)
-    found = saved(by_key(keyed, "key", _links(least, *deal), _OUT))
-    hot = found.filter("key IS NOT NULL").select("key", "probe", "k", "label", "x", "n")
+    keyed = classes.select("k", "label", "e").mapInArrow(_key_rows(*deal), _KEYS)
+    met = saved(by_key(keyed, "key", _meeting(most_bits(least)), "key long, probe boolean, k long"))
+    held = classes.select("k", "label", "e", "n").join(small(saved(met.select("k").distinct())), "k")
+    whole = small(saved(held))
+    found = saved(by_key(met.withColumn("cell", F.col("key")).join(whole, "k"), "key", _links(least, *deal), _OUT))
+    hot = found.filter("key IS NOT NULL").select("key", "probe", "k", F.col("key").alias("cell"))
     edges = found.filter("key IS NULL").select("u", "v", "more")
     if hot.limit(1).count():
-        edges = saved(edges.unionByName(by_key(in_blocks(hot), "key", _links(least, *deal, 1 << 60), _OUT).select("u", "v", "more")))
+        edges = saved(edges.unionByName(by_key(in_blocks(hot).join(whole, "k"), "key", _links(least, *deal, 1 << 60), _OUT).select("u", "v", "more")))
     parts = connected_components(edges.select("u", "v")).withColumnRenamed("node", "k")
     links = edges.filter("u = v").groupBy("u").agg(F.sum("more").alias("more")).withColumnRenamed("u", "k")
     named = classes.select("h", "k", "n", "first_id").join(parts, "k", "left").join(links, "k", "left").withColumn("component", F.coalesce("component", "k"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(lowest, "component").select("h", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     lonely = rows.filter("h IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = good.select("vec_id", "h").join(named, "h").select("vec_id", "n_links", "component_id").unionByName(lonely)
+    out = rows.filter("h IS NOT NULL").select("vec_id", "h").join(named, "h").select("vec_id", "n_links", "component_id").unionByName(lonely)
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

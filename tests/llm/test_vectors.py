@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from embertrail.llm import vectors as V
 from embertrail.llm.queries import QUERIES
@@ -81,3 +82,28 @@ def test_query_recall(spark, small):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = QUERIES["op9_embedding_near_dedup"](spark, small).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("batch", ["50", "1000", "10000"])
+def test_oversized_cells_at_any_batch_size(spark, monkeypatch, batch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        test_oversized_cells_lose_no_link(spark, monkeypatch)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_sketches_keep_what_links():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(20_000, 64))
+    b = a / np.linalg.norm(a, axis=1, keepdims=True) + rng.normal(size=a.shape) * 0.025
+    cos = (a * b).sum(axis=1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
+    bits = np.bitwise_count((V.sketches(a, 42) ^ V.sketches(b, 42)).view(np.uint64))
+    assert bits[cos >= 0.98].max() <= V.most_bits(0.98) and (cos >= 0.98).sum() > 1000
+
+
+def test_many_labels(spark):
+    rows = [(i, e, i % 40) for i, (_, e, _) in enumerate(clustered(5, 4, 40))]
+    assert run(spark, rows) == brute(rows)
