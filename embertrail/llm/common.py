@@ -202,6 +202,8 @@ def in_blocks(hot: DataFrame, key: str = "key") -> DataFrame:
     return x.withColumn(key, F.xxhash64(key, i, j)).drop("_b", "_own", "_other")
 
 
-def by_key(df: DataFrame, key: str, task: Callable, schema: str) -> DataFrame:
-    """Shuffle by `key`, sort each partition by it and run `task` over its Arrow batches."""
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(task, schema)
+def by_key(df: DataFrame, key: str, task: Callable, schema: str, spread: bool = False) -> DataFrame:
+    """Shuffle by `key`, sort each partition by it and run `task` over its Arrow batches. `spread` keeps as many partitions as
+    the session has for shuffles, where few bytes are much work."""
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key)) if spread else df.repartition(F.col(key))
+    return dealt.sortWithinPartitions(key).mapInArrow(task, schema)

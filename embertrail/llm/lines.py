@@ -14,6 +14,8 @@ from .common import GROUP_ROWS, Forest, by_key, connected_components, crossed, g
 
 #: Edits up to which lines are near-equal, and characters that both lines then have at least; shorter lines only match as a whole.
 MAX_EDITS, MIN_CHARS = 2, 24
+#: Columns of the edit distance after which pairs are looked at for giving up.
+LOOK = 8
 
 #: White space that is taken off both ends before lines are compared.
 _EDGE = " \t\r"
@@ -44,66 +46,79 @@ def places(length: int, edits: int, least: int) -> Iterator[tuple[int, int, int,
 
 
 def _line_id(line: Column) -> Column:
-    return F.xxhash64(line).bitwiseAND(F.lit(-2))
+    return F.xxhash64(line).bitwiseAND(F.lit(-4))
 
 
-def _key_rows(edits: int, least: int, remember: int = 300_000):
-    """(key, line): line is the line's even id for an index key, that plus one for a probe key. Repeats of a line within a task are mostly left out."""
+#: Roles of a key in the two low bits of a line's id: an index key, a probe key, or both.
+INDEX, PROBE, BOTH = 0, 1, 2
+
+
+def roles(length: int, edits: int, least: int) -> list[tuple[int, int, int, int]]:
+    """(first byte, byte behind, seed, role) of the keys of a line in UTF-32: a segment at its own place is index and probe key in one."""
+    own = {(length, s, a, k) for s, (a, k) in enumerate(segments(length, edits))}
+    looked = set(places(length, edits, least))
+    return [(4 * a, 4 * (a + k), m * 64 + s, BOTH if (m, s, a, k) in own & looked else PROBE if (m, s, a, k) in looked else INDEX) for m, s, a, k in sorted(own | looked)]
+
+
+def _key_rows(edits: int, least: int, remember: int = 200_000):
+    """(key, line): line is the line's id with the key's role. Repeats of a line within a task are mostly left out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, where, seen = xxhash.xxh3_64_intdigest, {}, set()
-        keys, ids = [], []
+        keys, ids, kinds = [], [], []
+
+        def out() -> pa.RecordBatch:
+            line = np.repeat(np.array(ids, np.uint64), [len(k) for k in kinds]) | (np.concatenate(kinds) if kinds else np.zeros(0, np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.array(keys, np.uint64), line)], ["key", "line"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for line in text.split("\n") if text else ():
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
                     line = line.strip(_EDGE)
                     n = len(line)
                     if n < least:
                         continue
-                    i = xxhash.xxh64_intdigest(line.encode(), 42) & ~1
+                    i = xxhash.xxh64_intdigest(line.encode(), 42) & ~3
                     if i in seen:
                         continue
                     if len(seen) >= remember:
                         seen.clear()
                     seen.add(i)
                     if n not in where:
-                        own = [(4 * a, 4 * (a + k), n * 64 + s) for s, (a, k) in enumerate(segments(n, edits))]
-                        where[n] = own, [(4 * a, 4 * (a + k), m * 64 + s) for m, s, a, k in places(n, edits, least)]
-                    own, probes = where[n]
+                        places_of = roles(n, edits, least)
+                        where[n] = [p[:3] for p in places_of], np.array([p[3] for p in places_of], np.uint64)
+                    spec, kind = where[n]
                     wide = line.encode("utf-32-le")
-                    keys += [digest(wide[a:b], s) for a, b, s in own]
-                    keys += [digest(wide[a:b], s) for a, b, s in probes]
-                    ids += [i] * len(own) + [i + 1] * len(probes)
-                if len(keys) > 200_000:
-                    yield _pairs(keys, ids)
-                    keys, ids = [], []
-        yield _pairs(keys, ids)
+                    keys += [digest(wide[a:b], s) for a, b, s in spec]
+                    ids.append(i)
+                    kinds.append(kind)
+                if len(keys) > 100_000:
+                    yield out()
+                    keys, ids, kinds = [], [], []
+        yield out()
 
     return task
 
 
-def _pairs(keys: list[int], ids: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, ids)], ["key", "line"])
-
-
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, id, probe), each once, of keys that an index row and a probe row of different lines share."""
     for rows, big in groups(batches, "key", 4 * GROUP_ROWS):
-        rows = np.unique(np.stack([rows.column(c).to_numpy() for c in ("key", "line")], axis=1), axis=0)
-        key, line = rows[:, 0], rows[:, 1]
-        keep = np.ones(len(key), bool)
+        key, line = (rows.column(c).to_numpy() for c in ("key", "line"))
         if not big:
             start, end = spans(key)
-            lone = np.flatnonzero(end - start == 1)
-            keep[start[lone]] = False
-            pair = np.flatnonzero(end - start == 2)
-            keep[start[pair]] = keep[start[pair] + 1] = ((line[start[pair]] ^ line[start[pair] + 1]) & 1 == 1) & ((line[start[pair]] ^ line[start[pair] + 1]) != 1)
-            probe = line & 1
-            n_probe = np.add.reduceat(probe, start) if len(start) else probe
-            one_role = np.flatnonzero((n_probe == 0) | (n_probe == end - start))
-            for s in one_role.tolist():
-                keep[start[s] : end[s]] = False
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(line[keep] & -2), pa.array((line[keep] & 1).astype(bool))], ["key", "id", "probe"])
+            many = np.repeat(end - start > 1, end - start)  # most keys stand alone
+            key, line = key[many], line[many]
+        key, line = np.unique(np.stack([key, line], axis=1), axis=0).T
+        keep = np.ones(len(key), bool)
+        if not big and len(key):
+            start, end = spans(key)
+            ids = line & -4
+            lines = np.add.reduceat(np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])].astype(np.int64), start)
+            index, probe = (np.add.reduceat((line & 3 != no).astype(np.int64), start) for no in (PROBE, INDEX))
+            keep = np.repeat((lines > 1) & (index > 0) & (probe > 0), end - start)
+        key, line = key[keep], line[keep]
+        index, probe = line & 3 != PROBE, line & 3 != INDEX
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[key[index], key[probe]]), pa.array(np.r_[line[index], line[probe]] & -4), pa.array(np.arange(index.sum() + probe.sum()) >= index.sum())], ["key", "id", "probe"])
 
 
 def within(a: list[str], b: list[str], edits: int, cells: int = 4_000_000) -> np.ndarray:
@@ -126,6 +141,7 @@ def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
 
     A band of 2 * edits + 1 diagonals is held as bits: of vertical steps up (vp) and down (vn), in a frame that moves
     down a row with each column. The distance is followed along the band's last diagonal to the last row, then along it.
+    Every few columns, pairs that are beyond `edits` in the whole band are given up.
     """
     n, m = (np.array([len(s) for s in x], np.int64) for x in (a, b))
     out = np.zeros(len(a), bool)
@@ -156,6 +172,17 @@ def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
         far += np.where(j <= m, step, 0)
         vp = (hn | ~((d0 >> 1) | hp)) & mask
         vn = (d0 >> 1) & hp
+        if j % LOOK == 0:
+            here, least = far.copy(), far.copy()  # up the column from the band's last row
+            for i in range(width - 2, -1, -1):
+                here += (vn >> i & 1) - (vp >> i & 1)
+                np.minimum(least, here, out=least)
+            go = np.flatnonzero((j < m) & ((least <= edits) | ~slope))
+            if len(go) < 0.7 * len(rows):
+                out[rows[(j >= m) & (far <= edits)]] = True
+                rows, n, m, p, t, vp, vn, far = rows[go], n[go], m[go], p[go], t[go], vp[go], vn[go], far[go]
+                if not len(rows):
+                    return out
     out[rows] = far <= edits
     return out
 
@@ -204,9 +231,9 @@ def near_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     line = F.explode(F.split("text", "\n", -1))
     texts = docs.select(line.alias("text")).select(F.btrim("text", F.lit(_EDGE)).alias("text")).filter(F.length("text") >= least).withColumn("id", _line_id(F.col("text")))
     texts = texts.join(wanted, "id").groupBy("id", "text").agg(F.count("*").alias("_n")).select("id", "text")
-    rows = met.join(texts, "id").select("key", "id", "probe", "text")
+    rows = met.join(small(saved(texts)), "id").select("key", "id", "probe", "text")
     schema = "u long, v long, key long, probe boolean, text string"
-    found = saved(by_key(rows, "key", _links(edits), schema))
+    found = saved(by_key(rows, "key", _links(edits), schema, spread=True))
     hot = found.filter("key IS NOT NULL").select("key", F.col("u").alias("id"), "probe", "text")
     edges = found.filter("key IS NULL").select("u", "v")
     if hot.limit(1).count():
