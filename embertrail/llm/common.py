@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of one key that a task holds at once; a larger group is dealt out as pairs of blocks of this size.
 GROUP_ROWS = 4096
 #: Documents that go to a Python worker at once; Spark's own default of 10,000 rows is too much for long texts.
-BATCH_DOCS = 1000
+BATCH_DOCS = 500
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -53,7 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_batches(df: DataFrame) -> DataFrame:
     """Let the session of `df` send whole texts to Python workers in smaller batches; returns `df`.
 
-    Batches are cut when a job runs, so the setting stays for the session. A smaller one that is set already is kept.
+    Batches are cut when a job runs, so the setting stays for the session. A smaller one that is set already is kept; no
+    result depends on it.
     """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     conf.set(key, str(min(BATCH_DOCS, int(conf.get(key, "10000")))))
@@ -205,5 +206,10 @@ def in_blocks(hot: DataFrame, key: str = "key") -> DataFrame:
 def by_key(df: DataFrame, key: str, task: Callable, schema: str, spread: bool = False) -> DataFrame:
     """Shuffle by `key`, sort each partition by it and run `task` over its Arrow batches. `spread` keeps as many partitions as
     the session has for shuffles, where few bytes are much work."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()  # workers live on, with what they hold
+
     dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key)) if spread else df.repartition(F.col(key))
-    return dealt.sortWithinPartitions(key).mapInArrow(task, schema)
+    return dealt.sortWithinPartitions(key).mapInArrow(tidy, schema)

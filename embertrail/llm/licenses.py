@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,12 +52,17 @@ class Templates:
             ranked = sorted(g.elements(), key=lambda b: (spread[b], -len(b[0]) - len(b[1]), b))
             for b in ranked[: g.total() - self.bounds[i][0] + 1]:
                 self.signs.setdefault(b, set()).add(i)
+        self.counts: dict[tuple[str, str], list[tuple[int, int]]] = {}  # of each bigram, the templates that have it and how often
+        for i, g in enumerate(self.grams):
+            for b, n in g.items():
+                self.counts.setdefault(b, []).append((i, n))
 
     def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, start, end) of the passages that match, best for each, in order, in code points of `text`.
 
-        A passage is a run of whole sentences or lines. Only those around a template's sign are compared, and only
-        with templates whose size bounds hold.
+        A passage is a run of whole sentences or lines. Only those that hold a template's sign are compared, and only
+        with templates whose size bounds hold. A run grows by a sentence at a time, and with it the number of bigrams
+        that it has in common with each template, so a run costs its last sentence only.
         """
         text = text or ""
         words = _WORD.findall(text.lower())
@@ -70,33 +76,33 @@ class Templates:
                 if w := _WORD.findall(s.lower()):
                     units.append((start, at, w))
         found: list[tuple[str, float, int, int]] = []
-        tried: set[tuple[int, int, int]] = set()
         longest = max(hi for _, hi in self.bounds)
-        for u, (_, _, w) in enumerate(units):
-            after = units[u + 1][2][:1] if u + 1 < len(units) else []
-            own = {i for b in zip(w, w[1:] + after) for i in self.signs.get(b, ())}
-            for first in range(u, -1, -1) if own else ():
-                size = sum(len(units[k][2]) for k in range(first, u + 1))
-                if size - 1 > longest and first < u:
+        for first in range(len(units)):
+            size, before = 0, None
+            common, seen = [0] * len(self.names), {}  # bigrams shared with each template; how often the run has a bigram
+            signed: set[int] = set()
+            for last in range(first, len(units)):
+                own = units[last][2]
+                size += len(own)
+                if size - 1 > longest:
                     break
-                for last in range(u, len(units)):
-                    size += len(units[last][2]) if last > u else 0
-                    if size - 1 > longest:
-                        break
-                    fit = [i for i in own if self.bounds[i][0] <= size - 1 <= self.bounds[i][1] and (i, first, last) not in tried]
-                    if not fit:
-                        continue
-                    tried.update((i, first, last) for i in fit)
-                    grams = Counter(zip(run := [x for k in range(first, last + 1) for x in units[k][2]], run[1:]))
-                    for i in fit:
-                        d = dice(grams, self.grams[i])
-                        if d >= self.least:
-                            found.append((self.names[i], d, units[first][0], units[last][1]))
-        out: list[tuple[str, float, int, int]] = []
+                for b in zip(own if before is None else [before, *own], own[1:] if before is None else own):
+                    if b in self.counts:
+                        seen[b] = k = seen.get(b, 0) + 1
+                        for i, n in self.counts[b]:
+                            common[i] += k <= n
+                        signed |= self.signs.get(b, frozenset())
+                before = own[-1]
+                for i in signed:
+                    lo, hi = self.bounds[i]
+                    if lo <= size - 1 <= hi and (d := 2 * common[i] / (size - 1 + self.grams[i].total())) >= self.least:
+                        found.append((self.names[i], d, units[first][0], units[last][1]))
+        out: list[tuple[int, int, str, float]] = []  # apart from each other, in order
         for m in sorted(found, key=lambda m: (-m[1], m[2] - m[3], m[2], m[0])):
-            if all(m[3] <= o[2] or o[3] <= m[2] for o in out):
-                out.append(m)
-        return sorted(out, key=lambda m: m[2])
+            at = bisect(out, (m[2],))
+            if (at == 0 or out[at - 1][1] <= m[2]) and (at == len(out) or m[3] <= out[at][0]):
+                out.insert(at, (m[2], m[3], m[0], m[1]))
+        return [(name, d, start, end) for start, end, name, d in out]
 
 
 def license_scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:

@@ -274,11 +274,13 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated lines cut from `text`, and `n_chars`, if there, counted anew; documents left with blank lines only by that go."""
-    drops = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("dropped").alias("_dropped"))
-    rows = docs.join(small(saved(drops)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains("_dropped", i))
-    rows = rows.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    rows = rows.filter(F.col("_dropped").isNull() | (F.btrim("text", F.lit(_EDGE + "\n")) != ""))
+    drops = small(saved(repeated_lines(docs).select("doc_id", "h", "dropped")))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("h")).alias("l")
+    rows = rows.join(drops.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains("dropped", i))
+    rows = rows.select("row", "dropped", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    rows = rows.filter(F.col("dropped").isNull() | (F.btrim("text", F.lit(_EDGE + "\n")) != ""))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("dropped").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -81,6 +81,7 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)  # then no piece crosses the start of a word
+        self.commits = 0  # times that a window's paths have converged
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.known_words = KNOWN_WORDS
@@ -157,6 +158,7 @@ class Pieces:
                     live.add(back[top - base])
                 shared = live.pop()
                 if shared > base:
+                    self.commits += 1
                     yield from self._walk(back, last, base, shared)
                     cut = shared - base
                     back, last, number, best, base = back[cut:], last[cut:], number[cut:], best[cut:], shared
@@ -184,7 +186,11 @@ class Pieces:
         return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; none for a null or empty one."""
+        """Ids of a whole text; none for a null or empty one.
+
+        Where no piece crosses the start of a word, all paths converge there, so the window commits at each such boundary;
+        what the search gave for the stretch between two of them is remembered. Other models take `paths` from end to end.
+        """
         if not text:
             return np.zeros(0, np.uint32)
         s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small
@@ -10,8 +10,10 @@ from .common import saved, small
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, the score from which a context counts as one of a kind, and the different seeds it needs at least.
 ROUNDS, TRUST, SEEDS = 3, 0.75, 3
-#: Characters before a span from which its context, the last two words, is taken.
+#: Characters on either side of a span from which its contexts are taken.
 CONTEXT_CHARS = 48
+#: Matches of a text whose places are summed up together; see `_spans`.
+RUN = 256
 
 #: Stands for a separator between two characters of one match, so that no pattern has to repeat a group over a long text.
 _MARK, _SPARE = "\ue000", "\ue001"
@@ -36,7 +38,11 @@ _SPANS = "array<struct<start:long,stop:long,txt:string>>"
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """All matches with their places: each starts after the gaps and matches before it."""
+    """All matches with their places: each starts after the gaps and matches before it.
+
+    Places are first summed within runs of RUN matches, then each run moves behind the runs before it, so that a text of
+    very many matches doesn't copy all earlier ones for each.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def add(acc: Column, m: Column) -> Column:
@@ -44,9 +50,14 @@ def _spans(text: Column, pattern: str) -> Column:
         stop = start + F.length(m["txt"])
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), m["txt"].alias("txt")))).alias("out"))
 
+    def behind(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["stop"] + acc["at"]).alias("stop"), m["txt"].alias("txt")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
     steps = F.zip_with(found, F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g).cast("long")), lambda t, g: F.struct(t.alias("txt"), g.alias("gap")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(steps, zero, add, lambda acc: acc["out"])
+    none = F.lit(0).cast("long").alias("at")
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / RUN).cast("int")), lambda i: F.aggregate(F.slice(steps, i * RUN + 1, F.lit(RUN)), F.struct(none, F.array().cast(_SPANS).alias("out")), add))
+    return F.aggregate(runs, F.struct(none, F.array().cast(f"array<{_SPANS}>").alias("out")), behind, lambda acc: F.flatten(acc["out"]))
 
 
 def _digits(txt: Column) -> Column:
@@ -80,15 +91,20 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(text.rlike(needed), F.filter(_spans(seen, pattern), lambda s: _holds(kind, s["txt"]))).otherwise(F.array().cast(_SPANS))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a span, lower-cased, digits as 0; null without two words in the same line."""
+def _contexts(text: Column, start: Column, stop: Column) -> Column:
+    """What a span stands in, within its line, lower-cased, digits as 0: the two words before it, the two behind it, and the one on
+    either side. The first character tells which; those without all of their words are left out."""
     left = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    two = F.regexp_extract(left, r"(?:^|\s)(\S+[^\S\n]+\S+)[^\S\n]+$", 1)
-    return F.when(two != "", F.regexp_replace(F.lower(two), "[0-9]+|\\s+", "0"))
+    right = F.substring(text, stop + 1, F.lit(CONTEXT_CHARS))
+    before, behind = F.regexp_extract(left, r"(?:^|\s)(\S+[^\S\n]+\S+)[^\S\n]+$", 1), F.regexp_extract(right, r"^[^\S\n]+(\S+[^\S\n]+\S+)(?:\s|$)", 1)
+    last, first = F.regexp_extract(left, r"(?:^|\s)(\S+)[^\S\n]+$", 1), F.regexp_extract(right, r"^[^\S\n]+(\S+)(?:\s|$)", 1)
+    both = F.when((last != "") & (first != ""), F.concat(F.lit("="), last, F.lit(" "), first))
+    every = F.array(F.when(before != "", F.concat(F.lit("<"), before)), F.when(behind != "", F.concat(F.lit(">"), behind)), both)
+    return F.transform(F.array_compact(every), lambda c: F.regexp_replace(F.lower(c), "[0-9]+|\\s+", "0"))
 
 
 def _listed(text: Column, spans: Column, rank: int, seed: bool) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lower(s["txt"]).alias("txt"), _context(text, s["start"].cast("int")).alias("context"), F.lit(seed).alias("seed")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lower(s["txt"]).alias("txt"), _contexts(text, s["start"].cast("int"), s["stop"].cast("int")).alias("contexts"), F.lit(seed).alias("seed")))
 
 
 def scored_contexts(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -108,23 +124,33 @@ def scored_contexts(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return trust
 
 
+def _apart(mentions: DataFrame) -> DataFrame:
+    """The mentions without those that overlap a seed in their row: one that starts no later and ends behind their start, or
+    starts no earlier and before their end."""
+    ahead = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("row").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = mentions.withColumn("_until", F.max(F.when(F.col("seed"), F.col("stop"))).over(ahead)).withColumn("_from", F.min(F.when(F.col("seed"), F.col("start"))).over(back))
+    free = (F.coalesce("_until", F.lit(0)) <= F.col("start")) & (F.coalesce("_from", F.col("stop")) >= F.col("stop"))
+    return rows.filter(F.col("seed") | free).drop("_until", "_from")
+
+
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:
     """One row per document: counts of base spans by kind, base_sha256, spans (all, as kind:start:end), n_added.
 
-    Base patterns find the seeds. Their contexts (two words before, in the line) are scored against all instances that
-    stand in them, over the whole table; in a context of high trust with enough different seeds, strings that may be of
-    its kind become spans too, unless they overlap a base span of any kind. A null text is empty: no spans. Repeated
+    Base patterns find the seeds. Their contexts (words before, behind and around them, in the line) are scored against
+    all instances that stand in them, over the whole table; in a context of high trust with enough different seeds,
+    strings that may be of its kind become spans too, unless they overlap a base span of any kind. A null text is empty: no spans. Repeated
     rows are handled each; rows without an id keep theirs null; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id"), text.alias("text"), *[_base(text, k).alias(f"base_{k}") for k in KINDS])
     every = F.flatten(F.array(*[_listed(F.col("text"), F.col(f"base_{k}"), i, True) for i, k in enumerate(KINDS)]))
     maybe = F.flatten(F.array(*[F.when(F.col("text").rlike(need), _listed(F.col("text"), _spans(F.col("text"), pattern), i, False)).otherwise(F.slice(F.col("known"), 1, 0)) for i, (need, pattern) in enumerate(_MAYBE.values())]))
-    apart = F.filter("maybe", lambda m: ~F.exists("known", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     rows = base.withColumn("known", every).withColumn("maybe", maybe)
-    rows = saved(rows.select("doc_id", F.array_sort("known").alias("known"), apart.alias("maybe")).withColumn("row", F.monotonically_increasing_id()))
+    rows = saved(rows.select("doc_id", F.array_sort("known").alias("known"), "maybe").withColumn("row", F.monotonically_increasing_id()))
 
     mentions = rows.filter("size(known) + size(maybe) > 0").select("row", F.explode(F.concat("known", "maybe")).alias("m")).select("row", "m.*")
+    mentions = _apart(mentions).select("row", "rank", "start", "stop", "txt", "seed", F.explode("contexts").alias("context"))
     good = scored_contexts(mentions, rounds).filter((F.col("trust") >= trust) & (F.col("seeds") >= seeds)).select("rank", "context")
     added = mentions.filter("NOT seed").join(small(saved(good)), ["rank", "context"])
     added = small(saved(added.groupBy("row").agg(F.collect_set(F.struct("start", "rank", "stop")).alias("added"))))

@@ -128,17 +128,17 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, feature: Column, most: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """(doc_id, y, x) for at most `most` labelled documents that aren't held out, by hash of the id.
 
-    A document without one clear label (null, or rows that differ) is no training row. Text isn't moved: the labels of
-    the sample, bounded, are broadcast.
+    A document without one clear label (null, or rows that differ) is no training row; of rows that repeat an id, the one
+    whose text has the smallest hash is. Text isn't moved: the labels of the sample, bounded, are broadcast.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most"))
     known = known.filter("y = _most").select("doc_id", "y").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
-    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", feature.alias("x"))
-    return saved(rows).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), feature.alias("x"))
+    return saved(rows).groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("x", "h").alias("x"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Trees:
-    rows = training_rows(docs, labels, "quality", statistics_of(F.col("text")), most).toPandas()
+    rows = training_rows(docs, labels, "quality", statistics_of(F.col("text")), most).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(STATISTICS))
     return fit_trees(x, rows["y"].to_numpy(np.float64))
 

@@ -102,8 +102,9 @@ def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, vocabulary: np.ndarra
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, grades: int = GRADES) -> Ordinal:
     """Fit on a bounded sample of labelled documents, each different set of features once per label.
 
-    Labels say toxic or not; severity grades 1 to `grades` are made from them: a toxic document's grade rises with how
-    many different telling features it has, cut at quantiles of the toxic documents. Spark counts the documents of each
+    Labels say toxic or not. Severity grades 1 to `grades` are made from them: a toxic document's grade rises with how
+    many different telling features it has, cut at quantiles of the toxic documents. So severity only ranks documents by
+    the amount of evidence; P(toxic), the first threshold, is fitted on the given label. Spark counts the documents of each
     feature; to the driver come the counts of features that a share of the toxic ones have, and then each document's
     features among those that lean to toxic ones.
     """

@@ -63,3 +63,15 @@ def test_query_and_odd_rows(spark, small):
             assert got[i].n_matches > 0 and got[i].license
         else:
             assert got[i].n_matches == 0
+
+
+def test_a_long_text_of_licence_sentences():
+    r = random.Random(5)
+    text = " ".join(r.choice(TEMPLATES)[1] + " And so on." for _ in range(250))
+    got = L.Templates().matches(text)
+    assert len(got) >= 250 and all(a[3] <= b[2] for a, b in zip(got, got[1:]))
+
+
+def test_ties_go_to_the_earlier_name_and_longer_passage():
+    same = (("b", "one two three four five six."), ("a", "one two three four five six."))
+    assert [m[0] for m in L.Templates(same).matches("One two three four five six.")] == ["a"]

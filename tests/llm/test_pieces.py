@@ -96,3 +96,14 @@ def test_query(spark, small):
     for r in got:
         want = lib.encode(docs[r.doc_id])
         assert (r.n_ids, r.ids_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()) and r.round_trip
+
+
+def test_window_from_end_to_end_gives_what_the_query_gives(small, spark):
+    fast, slow = P.Pieces(RAW), P.Pieces(RAW)
+    slow.by_word = False  # no boundary is known beforehand: paths must converge
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()] + ["x" * 5000, "ab" * 3000, "é😀 " * 500]
+    for t in texts:
+        before = slow.commits
+        assert slow.encode(t).tolist() == fast.encode(t).tolist()
+        assert not t or len(t) < 200 or slow.commits > before
+    assert slow.commits > 100

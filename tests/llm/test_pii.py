@@ -92,3 +92,67 @@ def test_query(spark, small):
     got = QUERIES["op10_pii"](spark, small)
     assert all(x not in got._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
     held(got.collect(), docs)
+
+
+def brute_added(docs):
+    """doc_id -> spans that trusted contexts add, by dictionaries over all texts."""
+    maybe = [(i, re.compile(p)) for i, (_, p) in enumerate((n, p.replace("++", "+")) for n, p in P._MAYBE.values())]
+
+    def contexts(t, s, e):
+        left, right = t[max(0, s - P.CONTEXT_CHARS) : s], t[e : e + P.CONTEXT_CHARS]
+        found = [re.search(p, x) for p, x in ((r"(?:^|\s)(\S+[^\S\n]+\S+)[^\S\n]+$", left), (r"^[^\S\n]+(\S+[^\S\n]+\S+)(?:\s|$)", right), (r"(?:^|\s)(\S+)[^\S\n]+$", left), (r"^[^\S\n]+(\S+)(?:\s|$)", right))]
+        b, h, last, first = (m and m.group(1) for m in found)
+        out = [b and "<" + b, h and ">" + h, last and first and f"={last} {first}"]
+        return [re.sub(r"[0-9]+|\s+", "0", c.lower()) for c in out if c]
+
+    graph, spans = {}, {}
+    for d, t in docs:
+        known = base(t)
+        rows = [(s, i, e, True) for s, i, e, _ in known]
+        rows += [(m.start(), i, m.end(), False) for i, p in maybe for m in p.finditer(t or "") if not any(s < m.end() and m.start() < e for s, _, e, _ in known)]
+        for s, i, e, seed in rows:
+            for c in contexts(t, s, e):
+                edge = graph.setdefault((i, c), {})
+                edge[t[s:e].lower()] = edge.get(t[s:e].lower(), False) or seed
+                if not seed:
+                    spans.setdefault((i, c), set()).add((d, s, i, e))
+    score = {}
+    for (i, _), members in graph.items():
+        for x, seed in members.items():
+            score[i, x] = max(score.get((i, x), 0.0), float(seed))
+    for turn in range(P.ROUNDS):
+        trust = {k: (sum(score[k[0], x] for x in m) / len(m), sum(m.values())) for k, m in graph.items()}
+        if turn + 1 < P.ROUNDS:
+            distrust, seeds = {}, set()
+            for (i, c), m in graph.items():
+                t, n = trust[i, c]
+                for x, seed in m.items():
+                    distrust[i, x] = distrust.get((i, x), 1.0) * (1 - min(t * n / (n + 1), 0.999))
+                    seeds |= {(i, x)} if seed else set()
+            score = {k: 1.0 if k in seeds else 1 - v for k, v in distrust.items()}
+    good = {k for k, (t, n) in trust.items() if t >= P.TRUST and n >= P.SEEDS}
+    out = {}
+    for k in good & spans.keys():
+        for d, *span in spans[k]:
+            out.setdefault(d, set()).add(tuple(span))
+    return out
+
+
+def test_added_spans_against_brute_force(spark, small):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    docs += [(10_000 + i, f"ring 555-010-{1000 + i} any time\nmail to bob{i}@localhost for it\nring +1 (555) 010-{1000 + i} any time\nmail to ann{i}@host.org for it") for i in range(9)]
+    docs += [(20_000 + i, f"my number is +49 30 123456{i} I said. The host 10.0.0.{i} is up. Or 030/1234/99 is yours") for i in range(5)]
+    docs += [(30_000, "030/1234/567 is mine. A number is 040-123-456 I said"), (30_001, "number 040-123-456 I"), (30_002, "")]
+    got = {r.doc_id: r for r in P.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    held(got.values(), docs)
+    want = brute_added(docs)
+    assert len(want) > 9
+    for d, t in docs:
+        spans = sorted({(s, i, e, k) for s, i, e, k in base(t)} | {(s, i, e, P.KINDS[i]) for s, i, e in want.get(d, ())})
+        assert got[d].spans == listed(spans) and got[d].n_added == len(want.get(d, ()))
+
+
+def test_a_text_of_very_many_matches(spark):
+    text = "a@b.cd " * 4_000
+    got = P.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    held([got], [(1, text)])

@@ -53,3 +53,22 @@ def test_run_is_the_stages_in_turn(spark, small):
     assert [n for n, _ in C.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "encoding"]
     out = C.run(spark, small)
     assert out.columns == ["doc_id", "ids"] and out.count() > 0
+
+
+def test_odd_rows_go_through_every_stage(spark, small):
+    extra = ["_id", "_h", "_dropped", "h", "row", "id", "class", "dropped", "_copies", "_row", "key"]
+    line = "A line that is long enough to be compared with others, number "
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "x " * 40_000), (5, f"{line}ten\nShort"), (5, f"{line}ten\nShort"), (6, f"{line}tin\nShort\nMore words here"), (None, "no id\nShort"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(d, t, "en", "a" if i % 2 else None, len(t or ""), *extra) for i, (d, t) in enumerate(rows)], schema)
+    for name, stage in C.STAGES:
+        out, none = stage(spark, docs, small), stage(spark, docs.limit(0), small)
+        assert none.count() == 0 and out.columns == none.columns, name
+        if name == "encoding":
+            assert sorted((r.doc_id or 0, len(r.ids) > 0) for r in out.collect()) == sorted((d or 0, bool(t)) for d, t in rows)
+        else:
+            got = out.collect()
+            assert out.columns == docs.columns and all(r[c] == c for r in got for c in extra), name
+    kept = {(r.doc_id or 0, r.text) for r in C.line_dedup(spark, docs, small).collect()}
+    assert kept == {(1, None), (2, ""), (3, "\n\n"), (4, "x " * 40_000), (5, f"{line}ten\nShort"), (6, "More words here"), (0, "no id"), (0, None)}
+    assert sorted(r.doc_id or 0 for r in C.near_dedup(spark, docs, small).collect())[:2] == [0, 0]

@@ -83,3 +83,47 @@ def test_odd_rows(spark):
         assert f(docs, none).count() == 5
         assert f(docs.limit(0), labels).count() == 0
     assert Q.keep_good(docs, none).count() == 5 and Q.keep_good(docs, none).columns == docs.columns
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, size=(300, 4)).astype(np.float32)
+    y = (rng.random(300) < 0.2 + 0.6 * (x[:, 2] > 5)).astype(float)
+    m = Q.fit_trees(x, y, trees=1, depth=1)
+    p = 1 / (1 + np.exp(-m.start))
+    g, h = y - p, np.full(300, p * (1 - p))
+
+    def gain(j, c):
+        right = x[:, j] > c
+        part = [(g[s].sum(), h[s].sum()) for s in (right, ~right)]
+        return sum(a**2 / (b + 1) for a, b in part) - g.sum() ** 2 / (h.sum() + 1) if min(b for _, b in part) >= 1 else 0
+
+    best = max(gain(j, c) for j in range(4) for c in np.unique(x[:, j]))
+    assert gain(m.feature[0, 0], m.cut[0, 0]) == pytest.approx(best)
+    right = x[:, m.feature[0, 0]] > m.cut[0, 0]
+    assert m.leaf[0] == pytest.approx([0.15 * g[s].sum() / (h[s].sum() + 1) for s in (~right, right)])
+
+
+def test_ordinal_fit_is_near_the_best_likelihood():
+    rng = np.random.default_rng(4)
+    words = np.arange(8, dtype=np.int64)
+    rows = [words[rng.random(8) < 0.4] for _ in range(800)]
+    z = np.array([len(np.intersect1d(r, [0, 1, 2])) for r in rows]) + rng.logistic(size=800)
+    grade = (z[:, None] > np.array([1.0, 2.5])).sum(axis=1)
+    m = T.fit_ordinal(rows, grade, words, sparse=0.0)
+
+    def loss(w, cut):
+        s = np.array([w[r].sum() for r in rows])
+        p = np.concatenate([np.ones((800, 1)), 1 / (1 + np.exp(-(s[:, None] - cut))), np.zeros((800, 1))], axis=1)
+        return -np.log(np.maximum(p[np.arange(800), grade] - p[np.arange(800), grade + 1], 1e-12)).mean()
+
+    w = np.zeros(8)
+    w[m.vocabulary] = m.weights
+    here = loss(w, m.thresholds)
+    for i in range(8):
+        for d in (-0.1, 0.1):
+            assert loss(w + d * (np.arange(8) == i), m.thresholds) > here - 1e-3
+    for i in range(2):
+        for d in (-0.1, 0.1):
+            assert loss(w, m.thresholds + d * (np.arange(2) == i)) > here - 1e-3
+    assert here < loss(np.zeros(8), m.thresholds)
