@@ -11,8 +11,8 @@ from .stages import STAGE, host_stats, median
 #: Default thresholds by detector.
 THRESHOLDS: dict[str, dict[str, float]] = {
     "skew": {"ratio": 3, "tasks_for_p95": 20, "floor_pct": 0.5, "data_share": 0.5},
-    "straggler": {"tasks": 10, "share_pct": 5},
-    "spill": {"floor_pct": 0.5, "single_task": GIB, "disk": GIB, "per_task": 512 * MIB, "memory": 4 * GIB},
+    "straggler": {"tasks": 10, "share_pct": 5, "share_at_floor_pct": 2.5, "copies_pct": 10, "copies_critical_pct": 20, "floor_pct": 0.5, "floor_critical_pct": 2},
+    "spill": {"floor_pct": 0.5, "disk": GIB, "memory": 4 * GIB, "task_disk": 512 * MIB, "some_disk": 256 * MIB, "some_memory": GIB, "ratio": 5, "ratio_disk": 128 * MIB, "ratio_memory": 256 * MIB, "ratio_tasks": 10},
     "shuffle": {"bytes": 50 * MIB, "floor_pct": 0.5},
     "partitionSizing": {"ratio": 5, "bytes": 256 * MIB, "single_key_share": 0.9, "total": GIB, "tasks": 7, "huge": 5 * GIB},
     "stageShape": {"tasks_per_core": 0.5, "growth": 10, "one_task_share": 0.5, "one_task_ratio": 3, "floor_pct": 0.5},
@@ -26,7 +26,7 @@ THRESHOLDS: dict[str, dict[str, float]] = {
     "coldStart": {"ms": 30_000},
     "utilization": {"share": 0.6, "critical": 0.3},
     "rightSizing": {"tolerance": 0.1, "share": 0.75, "cores": 8, "error_pct": 20},
-    "coreLocality": {"tasks": 50, "ratio": 0.15, "critical": 0.35},
+    "coreLocality": {"tasks": 50, "ratio": 0.15, "critical": 0.35, "fetch_ms": 20, "cost_pct": 0.5, "cost_critical_pct": 2},
     "autoscalingChurn": {"removed": 5, "life_ms": 120_000, "warn": 0.3, "critical": 0.6},
     "jobFailureRate": {"warn": 0.1, "high": 0.3, "critical": 0.5},
 }
@@ -47,9 +47,9 @@ def threshold_table(overrides: dict[str, dict[str, float]] | None = None) -> dic
     return out
 
 
-def _found(df: DataFrame, type_: str, rule: str, metric: str, value: Column, waste: Column | None = None, band: Column | str = "warning", stage: bool = True) -> DataFrame:
+def _found(df: DataFrame, type_: str, rule: Column | str, metric: str, value: Column, waste: Column | None = None, band: Column | str = "warning", stage: bool = True) -> DataFrame:
     return df.select(
-        "app_id", F.lit(type_).alias("type"), F.lit(rule).alias("rule"), (F.col("stage_id") if stage else F.lit(None).cast("long")).alias("stage_id"), F.lit(metric).alias("metric"),
+        "app_id", F.lit(type_).alias("type"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), (F.col("stage_id") if stage else F.lit(None).cast("long")).alias("stage_id"), F.lit(metric).alias("metric"),
         value.cast("double").alias("value"), (F.lit(None) if waste is None else waste).cast("double").alias("waste_ms"), (F.lit(band) if isinstance(band, str) else band).alias("band"),
     )
 
@@ -80,16 +80,36 @@ def skew(stages: DataFrame, tails: DataFrame, t: dict) -> DataFrame:
     return _found(x.filter((F.col("ratio") > t["ratio"]) & (F.col("cause") == "data") & worth), "skew", "data", "duration ratio", F.col("ratio"), F.col("recovery_ms"))
 
 
-def straggler(stages: DataFrame, t: dict) -> DataFrame:
-    share = F.col("stragglers") / F.col("tasks") * 100
-    hit = stages.filter((F.col("tasks") >= t["tasks"]) & (F.col("p50") > 0) & ((share > t["share_pct"]) | ((F.col("speculative_tasks") > 0) & (F.col("stragglers") > 0))))
-    return _found(hit, "straggler", "share", "straggler share", share, F.col("recovery_ms"))
+def straggler(stages: DataFrame, claims: DataFrame, t: dict) -> DataFrame:
+    """Stages with many tasks over four medians, or with speculative copies; the band goes by their share and by what removing the
+    tail would save of the run. claims: (stage, high_ms), from `estimate_stage`."""
+    x = stages.join(claims.select(*STAGE, F.col("high_ms").alias("_high")), STAGE, "left").withColumn("claim", F.coalesce("_high", "recovery_ms"))
+    share, copies = F.col("stragglers") / F.col("tasks") * 100, F.col("speculative_tasks") / F.col("tasks") * 100
+    unknown = F.col("duration_ms").isNull()
+    saves = lambda pct: unknown | (F.col("claim") * 100 >= F.col("duration_ms") * pct)
+    worth = saves(t["floor_pct"])
+    fires = (share > t["share_pct"]) | ((share > t["share_at_floor_pct"]) & ~unknown & worth)
+    by_copies = F.when(copies == 0, 4).when((copies >= t["copies_critical_pct"]) & saves(t["floor_critical_pct"]), 1).when((copies >= t["copies_pct"]) & worth, 2).otherwise(3)
+    by_share = F.when(fires & worth, 2).otherwise(3)
+    x = x.filter((F.col("tasks") >= t["tasks"]) & _long_enough(t["floor_pct"]) & ((copies > 0) | fires)).withColumn("_copies", by_copies).withColumn("_share", by_share)
+    told = F.col("_copies") <= F.col("_share")
+    band = F.element_at(F.array(F.lit("critical"), F.lit("warning"), F.lit("info")), F.least("_copies", "_share"))
+    some = _found(x.filter(told), "straggler", "speculation", "tasks that ended on a copy", F.col("speculative_tasks"), F.col("claim"), band)
+    return some.unionByName(_found(x.filter(~told), "straggler", "share", "straggler share", share, F.col("claim"), band))
 
 
 def spill(stages: DataFrame, t: dict) -> DataFrame:
-    per_task = F.col("mem_spilled") / F.col("tasks")
-    band = F.when((F.col("spill_max") >= t["single_task"]) | (F.col("disk_spilled") >= t["disk"]) | (per_task >= t["per_task"]) | (F.col("mem_spilled") >= t["memory"]), "critical").otherwise("warning")
-    return _found(stages.filter((F.col("mem_spilled") > 0) & _long_enough(t["floor_pct"])), "spill", "magnitude", "memory bytes spilled", F.col("mem_spilled"), None, band)
+    """Stages that spill; the rule tells how much the largest task does: severe (a lone task), high, medium, else some."""
+    disk, mem = F.col("disk_max"), F.col("spill_max")
+    much = (disk >= t["disk"]) | (mem >= t["memory"])
+    enough = F.col("tasks") >= t["ratio_tasks"]
+    uneven = lambda x, mid, floor: enough & (F.col(mid) > 0) & (x > t["ratio"] * F.col(mid)) & (x >= floor)
+    rule = (
+        F.when((F.col("tasks") == 1) & much, "severe").when((F.col("tasks") > 1) & (much | (disk / F.col("tasks") >= t["task_disk"])), "high")
+        .when((F.col("tasks") > 1) & ((disk >= t["some_disk"]) | (mem >= t["some_memory"])), "medium")
+        .when(uneven(disk, "disk_p50", t["ratio_disk"]), "high").when(uneven(mem, "spill_p50", t["ratio_memory"]), "medium").otherwise("some")
+    )
+    return _found(stages.filter((F.col("mem_spilled") > 0) & _long_enough(t["floor_pct"])), "spill", rule, "memory bytes spilled", F.col("mem_spilled"))
 
 
 def shuffle(stages: DataFrame, t: dict) -> DataFrame:
@@ -105,14 +125,14 @@ def partition_sizing(stages: DataFrame, t: dict) -> DataFrame:
 
 
 def stage_shape(stages: DataFrame, t: dict) -> DataFrame:
-    """Stages with fewer tasks than half the cores, that write far more than they read, or that wait for one task."""
+    """Stages with fewer tasks than half their executors' cores, that write far more than they read, or that wait for one task."""
     s = stages.filter(_long_enough(t["floor_pct"]))
-    few = s.filter((F.col("total_cores") > 0) & (F.col("tasks") / F.col("total_cores") < t["tasks_per_core"]))
-    grown = s.filter((F.col("input_bytes") > 0) & (F.col("output_bytes") / F.col("input_bytes") > t["growth"]))
-    one = s.filter((F.col("tasks") > 1) & (F.col("longest") > t["one_task_share"] * F.col("stage_ms")) & (F.col("longest") > t["one_task_ratio"] * F.col("p50")))
-    out = _found(few, "stageShape", "lowParallelism", "tasks per core", F.col("tasks") / F.col("total_cores"))
-    out = out.unionByName(_found(grown, "stageShape", "expansion", "output over input", F.col("output_bytes") / F.col("input_bytes")))
-    return out.unionByName(_found(one, "stageShape", "longTask", "longest task share", F.col("longest") / F.col("stage_ms")))
+    few = s.filter((F.col("stage_cores") > 0) & (F.col("tasks") / F.col("stage_cores") < t["tasks_per_core"]))
+    grown = stages.filter((F.col("input_bytes") > 0) & (F.col("output_bytes") / F.col("input_bytes") > t["growth"]))
+    one = s.filter((F.col("tasks") > 1) & (F.col("stage_ms") > 0) & (F.col("p50") > 0) & (F.col("longest") > t["one_task_share"] * F.col("stage_ms")) & (F.col("longest") > t["one_task_ratio"] * F.col("p50")))
+    out = _found(few, "stageShape", "lowParallelism", "tasks per core", F.col("tasks") / F.col("stage_cores"), band="info")
+    out = out.unionByName(_found(grown, "stageShape", "expansion", "output over input", F.col("output_bytes") / F.col("input_bytes"), band="info"))
+    return out.unionByName(_found(one, "stageShape", "longTask", "longest task share", F.col("longest") / F.col("stage_ms"), band="info"))
 
 
 def failures(stages: DataFrame, t: dict) -> DataFrame:
@@ -155,7 +175,7 @@ def stage_slowness(stages: DataFrame, slow_hosts: DataFrame, t: dict) -> DataFra
 
 def tiny_task(stages: DataFrame, t: dict) -> DataFrame:
     x = stages.filter((F.col("tasks") >= t["tasks"]) & (F.col("p50") <= t["p50_ms"]) & (F.col("p95") <= t["p95_ms"]) & _long_enough(t["floor_pct"]))
-    return _found(x, "tinyTask", "duration", "median task", F.col("p50"))
+    return _found(x, "tinyTask", "duration", "median task", F.col("p50"), band="info")
 
 
 def incomplete_run(timing: DataFrame) -> DataFrame:
@@ -163,10 +183,13 @@ def incomplete_run(timing: DataFrame) -> DataFrame:
 
 
 def cold_start(executors: DataFrame, windows: DataFrame, t: dict) -> DataFrame:
-    """Runs whose first executor comes well after the first stage."""
-    first = windows.groupBy("app_id").agg(F.min("submitted_ms").alias("s")).join(executors.groupBy("app_id").agg(F.min("added_ms").alias("e")), ["app_id"])
+    """Runs whose first stage waits for an executor: none added before it is still there, and the next one comes well after."""
+    first = windows.filter("submitted_ms > 0").groupBy("app_id").agg(F.min("submitted_ms").alias("s"))
+    early = F.col("added_ms") <= F.col("s")
+    there = early & (F.col("removed_ms").isNull() | (F.col("removed_ms") > F.col("s")))
+    x = executors.join(first, ["app_id"]).groupBy("app_id", "s").agg(F.bool_or(there).alias("there"), F.min(F.when(~early, F.col("added_ms"))).alias("e"))
     wait = F.col("e") - F.col("s")
-    return _found(first.filter(wait > t["ms"]), "coldStart", "wait", "wait for executors", wait, wait.cast("double"), stage=False)
+    return _found(x.filter(~F.col("there") & (wait > t["ms"])), "coldStart", "wait", "wait for executors", wait, wait.cast("double"), stage=False)
 
 
 def utilization(model: DataFrame, t: dict) -> DataFrame:
@@ -181,10 +204,14 @@ def right_sizing(smallest: DataFrame, what_if: DataFrame, t: dict) -> DataFrame:
     return _found(x, "rightSizing", "fewerCores", "sufficient cores", F.col("cores"), stage=False)
 
 
-def core_locality(locality: DataFrame, t: dict) -> DataFrame:
+def core_locality(locality: DataFrame, stages: DataFrame, t: dict) -> DataFrame:
+    """Runs with many tasks away from their data; the band goes by what that costs, at a fixed time a task, of all task time."""
     far = F.sum(F.when(F.col("locality").isin("RACK_LOCAL", "ANY"), F.col("tasks")).otherwise(0))
-    x = locality.groupBy("app_id").agg((far / F.sum("tasks")).alias("ratio"), F.sum("tasks").alias("n")).filter((F.col("n") >= t["tasks"]) & (F.col("ratio") >= t["ratio"]))
-    return _found(x, "coreLocality", "nonLocal", "non-local share", F.col("ratio"), None, F.when(F.col("ratio") >= t["critical"], "critical").otherwise("warning"), stage=False)
+    x = locality.groupBy("app_id").agg(far.alias("far"), (far / F.sum("tasks")).alias("ratio"), F.sum("tasks").alias("n")).filter((F.col("n") >= t["tasks"]) & (F.col("ratio") >= t["ratio"]))
+    x = x.join(stages.groupBy("app_id").agg(F.sum("task_ms").alias("task_ms")), ["app_id"], "left")
+    cost = F.when(F.col("task_ms") > 0, F.col("far") * t["fetch_ms"] * 100 / F.col("task_ms"))
+    band = F.when(cost.isNull(), "warning").when((F.col("ratio") >= t["critical"]) & (cost >= t["cost_critical_pct"]), "critical").when(cost >= t["cost_pct"], "warning").otherwise("info")
+    return _found(x, "coreLocality", "nonLocal", "non-local share", F.col("ratio"), None, band, stage=False)
 
 
 def autoscaling_churn(executors: DataFrame, t: dict) -> DataFrame:

@@ -167,6 +167,12 @@ def duration_histogram(tasks: DataFrame, bins: int = 20) -> DataFrame:
     return x.groupBy(*STAGE, i.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def stage_cores(tasks: DataFrame, executors: DataFrame) -> DataFrame:
+    """(stage, stage_cores): cores of the executors that ran the stage's tasks."""
+    own = executors.groupBy("app_id", "executor_id").agg(F.max("cores").alias("cores"))
+    return tasks.select(*STAGE, "executor_id").distinct().join(own, ["app_id", "executor_id"]).groupBy(STAGE).agg(F.sum("cores").alias("stage_cores"))
+
+
 def stage_table(tasks: DataFrame, windows: DataFrame) -> DataFrame:
     """One wide row a stage: what the detectors and estimates read. One pass over the tasks for the sums and quantiles, one for the stragglers, one for the sweep."""
     one = tasks.groupBy(STAGE).agg(
@@ -174,5 +180,6 @@ def stage_table(tasks: DataFrame, windows: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in SUMS], F.sum("output_records").alias("output_records"), F.sum("duration_ms").alias("task_ms"),
         median("duration_ms").alias("p50"), nearest_rank("duration_ms", 0.95).alias("p95"), F.max("duration_ms").alias("longest"),
         median("shuffle_read").alias("shuffle_p50"), F.max("shuffle_read").alias("shuffle_max"), F.max("mem_spilled").alias("spill_max"),
+        median("mem_spilled").alias("spill_p50"), F.max("disk_spilled").alias("disk_max"), median("disk_spilled").alias("disk_p50"),
     )
     return one.join(stragglers(tasks), STAGE).join(tail_recovery(tasks), STAGE).join(windows, STAGE).withColumn("stage_ms", F.col("completed_ms") - F.col("submitted_ms"))

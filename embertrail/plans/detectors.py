@@ -31,7 +31,7 @@ def nested_loop_joins(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     below = x.filter("number_of_output_rows IS NOT NULL").select(*EXEC, F.col("path").alias("_p"), F.col("number_of_output_rows").alias("_rows"))
     most = joins.join(below, EXEC).filter(F.col("_p").startswith(F.concat("path", F.lit(".")))).groupBy(NODE).agg(F.max("_rows").alias("input"))
     hit = joins.join(most, NODE, "left").filter((F.col("name") == "CartesianProduct") | (F.col("number_of_output_rows") >= GROWTH * F.col("input")))
-    return _found(hit, "nestedLoopJoin", "output rows", F.col("number_of_output_rows"))
+    return _found(hit, "nestedLoopJoin", "output rows", F.col("number_of_output_rows"), "info")
 
 
 def duplicate_plan_subtrees(nodes: DataFrame) -> DataFrame:
@@ -58,30 +58,40 @@ def under_broadcast(nodes: DataFrame, metrics: DataFrame, threshold: int = 10 *
     fits = F.lit(False)
     for most, least in BROADCAST_TIERS:
         fits = fits | ((F.col("lesser") <= most) & (F.col("greater") >= least))
-    return _found(x.filter((F.col("lesser") >= MIB) & fits & ((F.col("lesser") > threshold) | (F.col("lesser") <= 10 * MIB))), "underBroadcast", "smaller side bytes", F.col("lesser"))
+    return _found(x.filter((F.col("lesser") >= MIB) & fits & ((F.col("lesser") > threshold) | (F.col("lesser") <= 10 * MIB))), "underBroadcast", "smaller side bytes", F.col("lesser"), "info")
 
 
 def unpruned_scans(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     """Large scans of partitioned tables that filter data but no partition."""
     x = with_metrics(nodes, metrics, "number of partitions read", "size of files read").join(scan_filters(nodes), NODE)
     hit = x.filter((F.col("number_of_partitions_read") >= 2) & (F.col("size_of_files_read") >= SCAN_BYTES) & (F.col("data_filters") != "") & (F.col("partition_filters") == ""))
-    return _found(hit, "unprunedScan", "bytes read", F.col("size_of_files_read"))
+    return _found(hit, "unprunedScan", "bytes read", F.col("size_of_files_read"), "info")
 
 
 def python_udfs(nodes: DataFrame, metrics: DataFrame, least: int = 64 * MIB) -> DataFrame:
     x = with_metrics(nodes.filter(F.col("name") == "BatchEvalPython"), metrics, "data sent to Python workers").filter(F.col("data_sent_to_Python_workers") >= least)
-    return _found(x, "pythonUdf", "bytes sent to Python", F.col("data_sent_to_Python_workers"))
+    return _found(x, "pythonUdf", "bytes sent to Python", F.col("data_sent_to_Python_workers"), "info")
+
+
+#: Counters of a Delta merge as logs name them; of several names in a row, one release or another has one.
+MERGE_COUNTERS = {
+    "copied": ("number of target rows rewritten unmodified", "number of rows copied"), "updated": ("number of updated rows",), "deleted": ("number of deleted rows",),
+    "inserted": ("number of inserted rows",), "files_before": ("number of target files before skipping",), "files_after": ("number of target files after skipping",),
+    "partitions": ("number of target partitions after skipping",), "removed_from": ("number of target partitions from which files were removed",), "added_to": ("number of target partitions to which files were added",),
+}
 
 
 def merge_rewrites(nodes: DataFrame, metrics: DataFrame, copied: int = 100_000, files: int = 8) -> DataFrame:
-    """Merges that rewrite far more rows than they change, or keep nearly all rows of many files in half of the partitions or fewer."""
-    names = ("number of copied rows", "number of updated rows", "number of deleted rows", "number of inserted rows", "number of files removed", "number of partitions touched", "number of partitions")
-    x = with_metrics(nodes, metrics, *names)
-    n = {k: F.coalesce(F.col(k.replace(" ", "_")), F.lit(0.0)) for k in names}
-    changed = n[names[1]] + n[names[2]] + n[names[3]]
-    rows = x.filter((n[names[0]] >= copied) & (n[names[0]] >= 2 * changed))
-    kept = x.filter((n[names[4]] >= files) & (n[names[0]] >= 0.9 * (n[names[0]] + n[names[1]] + n[names[2]])) & (n[names[6]] > 0) & (n[names[5]] <= 0.5 * n[names[6]]))
-    return _found(rows, "mergeRewrite", "rows copied", n[names[0]]).unionByName(_found(kept, "mergeRewrite", "files rewritten", n[names[4]]))
+    """Merges that rewrite far more rows than they change, or that keep nearly all files although what they change lies in half of
+    the partitions or fewer."""
+    x = with_metrics(nodes, metrics, *[n for names in MERGE_COUNTERS.values() for n in names])
+    for key, names in MERGE_COUNTERS.items():
+        x = x.withColumn(key, F.coalesce(*[F.col(n.replace(" ", "_")) for n in names]))
+    x = x.filter("copied IS NOT NULL").withColumn("changed", sum((F.coalesce(c, F.lit(0.0)) for c in ("inserted", "updated", "deleted")), F.lit(0.0)))
+    rows = x.filter((F.col("copied") >= copied) & (F.col("copied") >= 2 * F.col("changed")))
+    touched = F.greatest("removed_from", "added_to")
+    kept = x.filter((F.col("files_before") >= files) & (F.col("files_after") >= 0.9 * F.col("files_before")) & (F.col("partitions") > 1) & (touched <= 0.5 * F.col("partitions")))
+    return _found(rows, "mergeRewrite", "rows copied", F.col("copied"), "info").unionByName(_found(kept, "mergeRewrite", "files kept", F.col("files_after"), "info"))
 
 
 def join_key_casts(nodes: DataFrame) -> DataFrame:

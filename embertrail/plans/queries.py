@@ -68,7 +68,8 @@ def _metric(name: str) -> str:
 
 
 def _finding(type_: str, metric: str, source: str, value: str = "value") -> str:
-    return f"SELECT {_KEY}, '{type_}' AS type, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, 'warning' AS band FROM {source}"
+    band = "warning" if type_ in ("smallFiles", "overBroadcast") else "info"
+    return f"SELECT {_KEY}, '{type_}' AS type, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, '{band}' AS band FROM {source}"
 
 
 _CLEAN = "regexp_replace({0}, '#[0-9]+L?', '', 'g')"

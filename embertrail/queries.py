@@ -29,17 +29,27 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Run:
-    """The derived tables of one folder, and what most operators read, as lazy frames."""
+    """The derived tables of one folder, and what most operators read, as lazy frames; the stage table is computed once.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.t = spark, facts(spark, sf_dir)
+    `keep` also writes the task rows once, for what reads them many times.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
+        self.spark, self.t = spark, facts(spark, sf_dir, cut if keep else None)
         self.tasks, self.windows, self.apps, self.executors, self.jobs, self.attempts = (self.t[k] for k in ("tasks", "windows", "apps", "executors", "jobs", "attempts"))
 
-    @property
+    @cached_property
     def stages(self) -> DataFrame:
-        """Stage table with the run's duration and cores on each row."""
+        """Stage table with the run's duration and cores on each row, and the cores of the stage's own executors."""
         run = self.timing.select("app_id", "duration_ms").join(self.executors.groupBy("app_id").agg(F.sum("cores").alias("total_cores")), ["app_id"])
-        return A.stage_table(self.tasks, self.windows).join(run, ["app_id"])
+        return cut(A.stage_table(self.tasks, self.windows).join(run, ["app_id"]).join(A.stage_cores(self.tasks, self.executors), A.STAGE, "left"))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """What removing the tail of each stage with stragglers would save."""
+        s = self.stages
+        claims = s.filter("stragglers > 0").select("app_id", "stage_id", F.col("recovery_ms").alias("waste_ms"), F.lit(True).alias("tail"), "removed_ms", "longest_after_ms")
+        return I.estimate_stage(claims, s, I.gate(s), I.ceiling(s.drop("total_cores"), self.cores)).select("app_id", "stage_id", "waste_ms", "basis", "low_ms", "high_ms")
 
     @property
     def timing(self) -> DataFrame:
@@ -78,10 +88,10 @@ class Run:
         waste = T.wasted_attempts(self.attempts)
         slow = D.slow_host_mean(self.tasks, s, t["slowHost"]).unionByName(D.slow_host_share(self.tasks, t["slowHost"]))
         every = [
-            D.skew(s, A.tail_attribution(self.tasks), t["skew"]), D.straggler(s, t["straggler"]), D.spill(s, t["spill"]), D.shuffle(s, t["shuffle"]), D.partition_sizing(s, t["partitionSizing"]),
+            D.skew(s, A.tail_attribution(self.tasks), t["skew"]), D.straggler(s, self.claims, t["straggler"]), D.spill(s, t["spill"]), D.shuffle(s, t["shuffle"]), D.partition_sizing(s, t["partitionSizing"]),
             D.stage_shape(s, t["stageShape"]), D.failures(s, t["failures"]), D.wasted(waste, t["retryWaste"], "retryWaste", "retry_ms", "retry_n"), D.wasted(waste, t["speculationWaste"], "speculationWaste", "spec_ms", "spec_n"),
             D.gc(s, t["gc"]), slow, D.stage_slowness(s, slow, t["stageSlowness"]), D.tiny_task(s, t["tinyTask"]), D.incomplete_run(self.timing), D.cold_start(self.executors, self.windows, t["coldStart"]),
-            D.core_locality(A.locality_stats(self.tasks), t["coreLocality"]), D.autoscaling_churn(self.executors, t["autoscalingChurn"]), D.job_failure_rate(R.job_outcome(self.jobs), t["jobFailureRate"]),
+            D.core_locality(A.locality_stats(self.tasks), s, t["coreLocality"]), D.autoscaling_churn(self.executors, t["autoscalingChurn"]), D.job_failure_rate(R.job_outcome(self.jobs), t["jobFailureRate"]),
         ]
         return B.evaluate(*every)
 
@@ -93,18 +103,12 @@ class Run:
         """All findings that a reader gets: those of `findings`, explained ones left out, each once; computed once."""
         return cut(K.finding_ids(K.suppress(self.findings)).drop("id"))
 
-    @property
-    def short_findings(self) -> DataFrame:
-        """Findings of four detectors: failures, gc, spill and jobFailureRate. Only queries that are held against SQL use them."""
-        t, s = D.THRESHOLDS, self.stages
-        return B.evaluate(D.failures(s, t["failures"]), D.gc(s, t["gc"]), D.spill(s, t["spill"]), D.job_failure_rate(R.job_outcome(self.jobs), t["jobFailureRate"]))
-
 
-def query(name: str, sql: str | None = None, **more: str) -> Callable:
-    """Register a function of a Run; `sql` may use the derived tables, ST, and `more` (name=SQL)."""
+def query(name: str, sql: str | None = None, keep: bool = False, **more: str) -> Callable:
+    """Register a function of a Run; `sql` may use the derived tables, ST, and `more` (name=SQL). keep: the run's task rows are written once."""
 
     def register(f: Callable[[Run], DataFrame]) -> Callable[[Run], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Run(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Run(spark, sf_dir, keep))
         if sql is not None:
             ORACLE_SQL[name] = with_tables(sql, *SHARED, *more.items())
         return f
@@ -122,7 +126,7 @@ _SUMS = _long("shuffle_read", "shuffle_write", "fetch_wait_ms", "mem_spilled", "
 SHARED = (
     ("st", f"""SELECT app_id, stage_id, count(*) AS tasks, count(*) FILTER (failed) AS failed_tasks, count(*) FILTER (speculative) AS speculative_tasks, {_SUMS},
  CAST(sum(duration_ms) AS BIGINT) AS task_ms, median(duration_ms) AS p50, quantile_disc(duration_ms, 0.95) AS p95, max(duration_ms) AS longest, median(shuffle_read) AS shuffle_p50, max(shuffle_read) AS shuffle_max,
- max(mem_spilled) AS spill_max, min(launch_ms) AS submitted_ms, max(finish_ms) AS completed_ms, max(finish_ms) - min(launch_ms) AS stage_ms FROM tasks GROUP BY app_id, stage_id"""),
+ max(mem_spilled) AS spill_max, median(mem_spilled) AS spill_p50, max(disk_spilled) AS disk_max, median(disk_spilled) AS disk_p50, min(launch_ms) AS submitted_ms, max(finish_ms) AS completed_ms, max(finish_ms) - min(launch_ms) AS stage_ms FROM tasks GROUP BY app_id, stage_id"""),
     ("strag", """SELECT app_id, stage_id, count(*) FILTER (p50 > 0 AND duration_ms > 4 * p50) AS stragglers, coalesce(sum(duration_ms - p50) FILTER (p50 > 0 AND duration_ms > 4 * p50), 0.0) AS excess_ms,
  coalesce(max(duration_ms) FILTER (p50 > 0 AND duration_ms <= 4 * p50), 0) AS longest_ok_ms FROM tasks JOIN st USING (app_id, stage_id) GROUP BY app_id, stage_id"""),
     ("stage_ev", "SELECT app_id, stage_id, ts, CAST(sum(d) AS BIGINT) AS d FROM (SELECT app_id, stage_id, launch_ms AS ts, 1 AS d FROM tasks WHERE finish_ms > launch_ms UNION ALL SELECT app_id, stage_id, finish_ms, -1 FROM tasks WHERE finish_ms > launch_ms) GROUP BY app_id, stage_id, ts"),
@@ -148,10 +152,6 @@ SHARED = (
     ("occ0", "SELECT app_id, ts, lead(ts) OVER (PARTITION BY app_id ORDER BY ts) AS nx FROM (SELECT app_id, submitted_ms AS ts FROM st UNION SELECT app_id, completed_ms FROM st)"),
     ("occ1", "SELECT o.app_id, o.ts, o.nx, s.stage_id, CAST(s.run_ms AS DOUBLE) / s.stage_ms AS w FROM occ0 AS o JOIN st AS s ON s.app_id = o.app_id AND s.submitted_ms <= o.ts AND s.completed_ms >= o.nx AND s.stage_ms > 0 WHERE o.nx IS NOT NULL"),
     ("occ", "SELECT app_id, stage_id, sum((nx - ts) * CASE WHEN wa > 0 THEN w / wa ELSE 1.0 / na END) AS occupancy_ms FROM (SELECT *, sum(w) OVER (PARTITION BY app_id, ts) AS wa, count(*) OVER (PARTITION BY app_id, ts) AS na FROM occ1) GROUP BY app_id, stage_id"),
-    ("found", """SELECT app_id, 'failures' AS type, 'share' AS rule, stage_id, 'failed task share' AS metric, CAST(failed_tasks AS DOUBLE) / tasks * 100 AS value, CAST(NULL AS DOUBLE) AS waste_ms, CASE WHEN CAST(failed_tasks AS DOUBLE) / tasks * 100 > 20 THEN 'critical' ELSE 'warning' END AS band FROM st WHERE tasks >= 10 AND CAST(failed_tasks AS DOUBLE) / tasks * 100 > 5
- UNION ALL SELECT app_id, 'gc', 'high', stage_id, 'GC share of run time', CAST(gc_ms AS DOUBLE) / run_ms * 100, CAST(gc_ms AS DOUBLE), 'warning' FROM st WHERE run_ms >= 10000 AND CAST(gc_ms AS DOUBLE) / run_ms * 100 > 10
- UNION ALL SELECT s.app_id, 'spill', 'magnitude', s.stage_id, 'memory bytes spilled', CAST(mem_spilled AS DOUBLE), NULL, CASE WHEN spill_max >= 1073741824 OR disk_spilled >= 1073741824 OR CAST(mem_spilled AS DOUBLE) / tasks >= 536870912 OR mem_spilled >= 4294967296 THEN 'critical' ELSE 'warning' END FROM st AS s JOIN timing AS t USING (app_id) WHERE mem_spilled > 0 AND s.stage_ms * 100 >= t.duration_ms * 0.5
- UNION ALL SELECT app_id, 'jobFailureRate', 'share', NULL, 'failed job share', CAST(failed AS DOUBLE) / total, NULL, CASE WHEN CAST(failed AS DOUBLE) / total >= 0.5 THEN 'critical' WHEN CAST(failed AS DOUBLE) / total >= 0.3 THEN 'warning' ELSE 'info' END FROM outcome WHERE CAST(failed AS DOUBLE) / total >= 0.1"""),
     ("rm", "SELECT app_id, count(*) AS stages, sum(tasks) AS tasks, sum(task_ms) AS task_ms, sum(gc_ms) AS gc_ms, sum(fetch_wait_ms) AS fetch_wait_ms, sum(mem_spilled) AS mem_spilled, sum(disk_spilled) AS disk_spilled, sum(shuffle_read) AS shuffle_read, sum(shuffle_write) AS shuffle_write, sum(failed_tasks) AS failed_tasks, sum(input_bytes) AS input_bytes, sum(output_bytes) AS output_bytes FROM st GROUP BY app_id"),
     ("rml", " UNION ALL ".join(f"SELECT app_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS v, {d} AS worse FROM rm JOIN timing USING (app_id)" for m, d in X.DIRECTIONS.items())),
     ("md0", "SELECT p.base_app, p.cand_app, b.metric, b.v AS base, c.v AS cand, c.v - b.v AS delta, CASE WHEN b.v <> 0 THEN (c.v - b.v) / b.v WHEN c.v = 0 THEN 0.0 END AS relative, b.worse FROM pairs AS p JOIN rml AS b ON b.app_id = p.base_app JOIN rml AS c ON c.app_id = p.cand_app AND c.metric = b.metric"),
@@ -210,6 +210,7 @@ def _(r: Run) -> DataFrame:
     return A.stragglers(r.tasks)
 
 
+_MEDIANS = "SELECT app_id, stage_id, median(input_bytes + shuffle_read) AS mb, median(records_read) AS mr, median(gc_ms) AS mg, median(fetch_wait_ms) AS mf FROM tasks WHERE NOT failed GROUP BY app_id, stage_id"
 _A9 = """SELECT app_id, stage_id, count(*) AS tail_tasks, sum(ex) AS excess_ms, round(sum(data) + 1e-6, 3) AS data_ms, round(sum(gc) + 1e-6, 3) AS gc_ms, round(sum(fw) + 1e-6, 3) AS fetch_ms, round(median(ratio) + 1e-7, 4) AS data_ratio FROM
 (SELECT *, least(ex - data1 - gc, greatest(0.0, fetch_wait_ms - mf)) AS fw, data1 + CASE WHEN NOT compared AND (bytes >= 1048576 OR records_read >= 1000) THEN ex - data1 - gc - least(ex - data1 - gc, greatest(0.0, fetch_wait_ms - mf)) ELSE 0.0 END AS data FROM
 (SELECT *, least(ex - data1, greatest(0.0, gc_ms - mg)) AS gc FROM (SELECT *, CASE WHEN compared THEN least(ex, greatest(0.0, p50 * (ratio - 1))) ELSE 0.0 END AS data1 FROM
@@ -217,7 +218,7 @@ _A9 = """SELECT app_id, stage_id, count(*) AS tail_tasks, sum(ex) AS excess_ms,
 (SELECT t.app_id, t.stage_id, t.duration_ms, t.gc_ms, t.fetch_wait_ms, t.records_read, t.input_bytes + t.shuffle_read AS bytes, s.p50, m.mb, m.mr, m.mg, m.mf FROM tasks AS t JOIN st AS s USING (app_id, stage_id) JOIN meds AS m USING (app_id, stage_id) WHERE NOT t.failed AND s.p50 > 0 AND t.duration_ms > 3 * s.p50))))) GROUP BY app_id, stage_id"""
 
 
-@query("a9_tail_attribution", _A9, meds="SELECT app_id, stage_id, median(input_bytes + shuffle_read) AS mb, median(records_read) AS mr, median(gc_ms) AS mg, median(fetch_wait_ms) AS mf FROM tasks WHERE NOT failed GROUP BY app_id, stage_id")
+@query("a9_tail_attribution", _A9, meds=_MEDIANS)
 def _(r: Run) -> DataFrame:
     return A.tail_attribution(r.tasks).select("app_id", "stage_id", "tail_tasks", "excess_ms", *[F.round(F.col(c) + 1e-6, 3).alias(c) for c in ("data_ms", "gc_ms", "fetch_ms")], F.round(F.col("data_ratio") + 1e-7, 4).alias("data_ratio"))
 
@@ -232,8 +233,11 @@ def _(r: Run) -> DataFrame:
     return A.peak_concurrency(r.tasks)
 
 
-@query("a12_tail_recovery", """SELECT app_id, stage_id, CASE WHEN excess_ms > 0 AND peak_tasks > 0 THEN greatest(longest - p50, excess_ms / peak_tasks) ELSE greatest(0, longest - p50) END AS recovery_ms, greatest(longest - p50, excess_ms) AS removed_ms,
- CASE WHEN stragglers > 0 THEN greatest(p50, longest_ok_ms) ELSE p50 END AS longest_after_ms FROM st JOIN strag USING (app_id, stage_id) JOIN peak USING (app_id, stage_id)""")
+_A12 = """SELECT app_id, stage_id, CASE WHEN excess_ms > 0 AND peak_tasks > 0 THEN greatest(longest - p50, excess_ms / peak_tasks) ELSE greatest(0, longest - p50) END AS recovery_ms, greatest(longest - p50, excess_ms) AS removed_ms,
+ CASE WHEN stragglers > 0 THEN greatest(p50, longest_ok_ms) ELSE p50 END AS longest_after_ms FROM st JOIN strag USING (app_id, stage_id) JOIN peak USING (app_id, stage_id)"""
+
+
+@query("a12_tail_recovery", _A12)
 def _(r: Run) -> DataFrame:
     return A.tail_recovery(r.tasks)
 
@@ -373,26 +377,20 @@ _TAIL = """SELECT s.app_id, s.stage_id, CASE WHEN excess_ms > 0 AND peak_tasks >
 _EST = """SELECT app_id, stage_id, waste_ms, CASE WHEN gate >= 0.999 THEN 'serial' ELSE 'contended' END AS basis, high * CASE WHEN gate >= 0.999 THEN 1.0 ELSE gate END AS low_ms, high AS high_ms FROM (SELECT *, least(waste_ms, greatest(0.0, stage_ms - greatest(longest - waste_ms, after_ms, CASE WHEN removed_ms > 0 AND run_ms > 0 THEN fl * greatest(0.0, 1 - removed_ms / run_ms) ELSE fl END))) AS high FROM tailc)"""
 
 
-def _estimates(r: Run) -> DataFrame:
-    s = r.stages
-    claims = s.filter("stragglers > 0").select("app_id", "stage_id", F.col("recovery_ms").alias("waste_ms"), F.lit(True).alias("tail"), "removed_ms", "longest_after_ms")
-    return I.estimate_stage(claims, s, I.gate(s), I.ceiling(s.drop("total_cores"), r.cores)).select("app_id", "stage_id", "waste_ms", "basis", "low_ms", "high_ms")
-
-
 @query("i4_estimate_stage", "SELECT app_id, stage_id, round(waste_ms + 1e-5, 2) AS waste_ms, basis, round(low_ms + 1e-5, 2) AS low_ms, round(high_ms + 1e-5, 2) AS high_ms FROM est", tailc=_TAIL, est=_EST)
 def _(r: Run) -> DataFrame:
-    return _estimates(r).select("app_id", "stage_id", F.round(F.col("waste_ms") + 1e-5, 2).alias("waste_ms"), "basis", F.round(F.col("low_ms") + 1e-5, 2).alias("low_ms"), F.round(F.col("high_ms") + 1e-5, 2).alias("high_ms"))
+    return r.claims.select("app_id", "stage_id", F.round(F.col("waste_ms") + 1e-5, 2).alias("waste_ms"), "basis", F.round(F.col("low_ms") + 1e-5, 2).alias("low_ms"), F.round(F.col("high_ms") + 1e-5, 2).alias("high_ms"))
 
 
 @query("i5_estimate_stages")
 def _(r: Run) -> DataFrame:
-    return I.estimate_stages(_estimates(r), r.stages, ["app_id"])
+    return I.estimate_stages(r.claims, r.stages, ["app_id"])
 
 
 @query("i11_grade")
 def _(r: Run) -> DataFrame:
-    est = _estimates(r).select("app_id", "stage_id", "high_ms")
-    found = D.straggler(r.stages, D.THRESHOLDS["straggler"]).join(est, ["app_id", "stage_id"], "left")
+    est = r.claims.select("app_id", "stage_id", "high_ms")
+    found = D.straggler(r.stages, r.claims, D.THRESHOLDS["straggler"]).join(est, ["app_id", "stage_id"], "left")
     return I.grade(found, r.stages, r.timing)
 
 
@@ -403,42 +401,48 @@ def _sql(type_: str, rule: str, metric: str, value: str, table: str, waste: str
     return _FOUND.format(type_, rule, stage, metric, value, waste, band, table)
 
 
+_NO_WASTE = "app_id, type, rule, stage_id, metric, value, band"
+_SPILL = "CASE WHEN tasks = 1 AND much THEN 'severe' WHEN tasks > 1 AND (much OR disk_max / CAST(tasks AS DOUBLE) >= 536870912) THEN 'high' WHEN tasks > 1 AND (disk_max >= 268435456 OR spill_max >= 1073741824) THEN 'medium' WHEN tasks >= 10 AND disk_p50 > 0 AND disk_max > 5 * disk_p50 AND disk_max >= 134217728 THEN 'high' WHEN tasks >= 10 AND spill_p50 > 0 AND spill_max > 5 * spill_p50 AND spill_max >= 268435456 THEN 'medium' ELSE 'some' END".replace("much", "(disk_max >= 1073741824 OR spill_max >= 4294967296)")
+
 _DET = {
     "f4_shuffle": ("shuffle", lambda r, t: D.shuffle(r.stages, t), _sql("shuffle", "volume", "shuffle bytes read", "shuffle_read", "st JOIN timing USING (app_id) WHERE shuffle_read > 52428800 AND stage_ms * 100 >= duration_ms * 0.5", "fetch_wait_ms", "'info'")),
-    "f3_spill": ("spill", lambda r, t: D.spill(r.stages, t), "SELECT * FROM found WHERE type = 'spill'"),
-    "f7_failures": ("failures", lambda r, t: D.failures(r.stages, t), "SELECT * FROM found WHERE type = 'failures'"),
-    "f10_gc": ("gc", lambda r, t: D.gc(r.stages, t), "SELECT * FROM found WHERE type = 'gc'"),
-    "f27_job_failure_rate": ("jobFailureRate", lambda r, t: D.job_failure_rate(R.job_outcome(r.jobs), t), "SELECT * FROM found WHERE type = 'jobFailureRate'"),
+    "f3_spill": ("spill", lambda r, t: D.spill(r.stages, t), f"SELECT app_id, 'spill' AS type, {_SPILL} AS rule, stage_id, 'memory bytes spilled' AS metric, CAST(mem_spilled AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS waste_ms, 'warning' AS band FROM st JOIN timing USING (app_id) WHERE mem_spilled > 0 AND stage_ms * 100 >= duration_ms * 0.5"),
+    "f7_failures": ("failures", lambda r, t: D.failures(r.stages, t), _sql("failures", "share", "failed task share", "CAST(failed_tasks AS DOUBLE) / tasks * 100", "st WHERE tasks >= 10 AND CAST(failed_tasks AS DOUBLE) / tasks * 100 > 5", band="CASE WHEN CAST(failed_tasks AS DOUBLE) / tasks * 100 > 20 THEN 'critical' ELSE 'warning' END")),
+    "f10_gc": ("gc", lambda r, t: D.gc(r.stages, t), _sql("gc", "high", "GC share of run time", "CAST(gc_ms AS DOUBLE) / run_ms * 100", "st WHERE run_ms >= 10000 AND CAST(gc_ms AS DOUBLE) / run_ms * 100 > 10", "gc_ms")),
+    "f27_job_failure_rate": ("jobFailureRate", lambda r, t: D.job_failure_rate(R.job_outcome(r.jobs), t), _sql("jobFailureRate", "share", "failed job share", "CAST(failed AS DOUBLE) / total", "outcome WHERE CAST(failed AS DOUBLE) / total >= 0.1", band="CASE WHEN CAST(failed AS DOUBLE) / total >= 0.5 THEN 'critical' WHEN CAST(failed AS DOUBLE) / total >= 0.3 THEN 'warning' ELSE 'info' END", stage="CAST(NULL AS BIGINT)")),
     "f5_partition_sizing": ("partitionSizing", lambda r, t: D.partition_sizing(r.stages, t), _sql("partitionSizing", "uneven", "largest partition", "shuffle_max", "st WHERE shuffle_max > 268435456 AND ((shuffle_p50 > 0 AND shuffle_max > 5 * shuffle_p50) OR (shuffle_p50 = 0 AND shuffle_max >= 0.9 * shuffle_read))") + " UNION ALL " + _sql("partitionSizing", "few", "tasks", "tasks", "st WHERE shuffle_read >= 1073741824 AND tasks <= 7") + " UNION ALL " + _sql("partitionSizing", "huge", "largest partition", "shuffle_max", "st WHERE shuffle_max >= 5368709120", band="'critical'")),
     "f6_stage_shape": ("stageShape", lambda r, t: D.stage_shape(r.stages, t), " UNION ALL ".join((
-        _sql("stageShape", "lowParallelism", "tasks per core", "CAST(tasks AS DOUBLE) / total_cores", "shaped WHERE CAST(tasks AS DOUBLE) / total_cores < 0.5"), _sql("stageShape", "expansion", "output over input", "CAST(output_bytes AS DOUBLE) / input_bytes", "shaped WHERE input_bytes > 0 AND CAST(output_bytes AS DOUBLE) / input_bytes > 10"),
-        _sql("stageShape", "longTask", "longest task share", "CAST(longest AS DOUBLE) / stage_ms", "shaped WHERE tasks > 1 AND longest > 0.5 * stage_ms AND longest > 3 * p50")))),
+        _sql("stageShape", "lowParallelism", "tasks per core", "CAST(tasks AS DOUBLE) / stage_cores", "shaped WHERE long_enough AND CAST(tasks AS DOUBLE) / stage_cores < 0.5", band="'info'"), _sql("stageShape", "expansion", "output over input", "CAST(output_bytes AS DOUBLE) / input_bytes", "shaped WHERE input_bytes > 0 AND CAST(output_bytes AS DOUBLE) / input_bytes > 10", band="'info'"),
+        _sql("stageShape", "longTask", "longest task share", "CAST(longest AS DOUBLE) / stage_ms", "shaped WHERE long_enough AND tasks > 1 AND stage_ms > 0 AND p50 > 0 AND longest > 0.5 * stage_ms AND longest > 3 * p50", band="'info'")))),
     "f9_retry_waste": ("retryWaste", lambda r, t: D.wasted(T.wasted_attempts(r.attempts), t, "retryWaste", "retry_ms", "retry_n"), _sql("retryWaste", "attempts", "discarded task time", "retry_ms", "waste WHERE retry_n >= 3 AND retry_ms >= 30000", "retry_ms")),
     "f15_speculation_waste": ("speculationWaste", lambda r, t: D.wasted(T.wasted_attempts(r.attempts), t, "speculationWaste", "spec_ms", "spec_n"), _sql("speculationWaste", "attempts", "discarded task time", "spec_ms", "waste WHERE spec_n >= 5 AND spec_ms >= 60000", "spec_ms")),
-    "f16_tiny_task": ("tinyTask", lambda r, t: D.tiny_task(r.stages, t), _sql("tinyTask", "duration", "median task", "p50", "st JOIN timing USING (app_id) WHERE tasks >= 100 AND p50 <= 500 AND p95 <= 1000 AND stage_ms * 100 >= duration_ms * 0.5")),
-    "f18_cold_start": ("coldStart", lambda r, t: D.cold_start(r.executors, r.windows, t), _sql("coldStart", "wait", "wait for executors", "e - s", "(SELECT app_id, min(submitted_ms) AS s FROM windows GROUP BY app_id) JOIN (SELECT app_id, min(added_ms) AS e FROM executors GROUP BY app_id) USING (app_id) WHERE e - s > 30000", "e - s", stage="CAST(NULL AS BIGINT)")),
-    "f23_core_locality": ("coreLocality", lambda r, t: D.core_locality(A.locality_stats(r.tasks), t), _sql("coreLocality", "nonLocal", "non-local share", "ra", "(SELECT app_id, count(*) FILTER (locality IN ('RACK_LOCAL', 'ANY')) / CAST(count(*) AS DOUBLE) AS ra, count(*) AS n FROM tasks GROUP BY app_id) WHERE n >= 50 AND ra >= 0.15", band="CASE WHEN ra >= 0.35 THEN 'critical' ELSE 'warning' END", stage="CAST(NULL AS BIGINT)")),
+    "f16_tiny_task": ("tinyTask", lambda r, t: D.tiny_task(r.stages, t), _sql("tinyTask", "duration", "median task", "p50", "st JOIN timing USING (app_id) WHERE tasks >= 100 AND p50 <= 500 AND p95 <= 1000 AND stage_ms * 100 >= duration_ms * 0.5", band="'info'")),
+    "f18_cold_start": ("coldStart", lambda r, t: D.cold_start(r.executors, r.windows, t), _sql("coldStart", "wait", "wait for executors", "e - s", "(SELECT app_id, s, bool_or(added_ms <= s AND (removed_ms IS NULL OR removed_ms > s)) AS there, min(added_ms) FILTER (added_ms > s) AS e FROM executors JOIN (SELECT app_id, min(submitted_ms) AS s FROM windows WHERE submitted_ms > 0 GROUP BY app_id) AS f USING (app_id) GROUP BY app_id, s) WHERE NOT there AND e - s > 30000", "e - s", stage="CAST(NULL AS BIGINT)")),
+    "f23_core_locality": ("coreLocality", lambda r, t: D.core_locality(A.locality_stats(r.tasks), r.stages, t), _sql("coreLocality", "nonLocal", "non-local share", "ra", "(SELECT app_id, count(*) FILTER (locality IN ('RACK_LOCAL', 'ANY')) / CAST(count(*) AS DOUBLE) AS ra, count(*) AS n, count(*) FILTER (locality IN ('RACK_LOCAL', 'ANY')) * 20 * 100 / CAST(sum(duration_ms) AS DOUBLE) AS cost FROM tasks GROUP BY app_id) WHERE n >= 50 AND ra >= 0.15", band="CASE WHEN ra >= 0.35 AND cost >= 2 THEN 'critical' WHEN cost >= 0.5 THEN 'warning' ELSE 'info' END", stage="CAST(NULL AS BIGINT)")),
     "f24_autoscaling_churn": ("autoscalingChurn", lambda r, t: D.autoscaling_churn(r.executors, t), _sql("autoscalingChurn", "shortLived", "short-lived share", "sh", "(SELECT app_id, count(*) AS n, avg(CASE WHEN removed_ms - added_ms < 120000 THEN 1 ELSE 0 END) AS sh FROM executors WHERE removed_ms IS NOT NULL GROUP BY app_id) WHERE n >= 5 AND sh > 0.3", band="CASE WHEN sh > 0.6 THEN 'critical' ELSE 'warning' END", stage="CAST(NULL AS BIGINT)")),
-    "f2_straggler": ("straggler", lambda r, t: D.straggler(r.stages, t).drop("waste_ms"), "SELECT app_id, 'straggler' AS type, 'share' AS rule, stage_id, 'straggler share' AS metric, CAST(stragglers AS DOUBLE) / tasks * 100 AS value, 'warning' AS band FROM st JOIN strag USING (app_id, stage_id) WHERE tasks >= 10 AND p50 > 0 AND (CAST(stragglers AS DOUBLE) / tasks * 100 > 5 OR (speculative_tasks > 0 AND stragglers > 0))"),
+    "f2_straggler": ("straggler", lambda r, t: D.straggler(r.stages, r.claims, t).drop("waste_ms"), f"SELECT {_NO_WASTE} FROM strags"),
+    "f1_skew": ("skew", lambda r, t: D.skew(r.stages, A.tail_attribution(r.tasks), t), _sql("skew", "data", "duration ratio", "ratio", "skewed WHERE ratio > 3 AND data_ms / excess_ms >= 0.5 AND recovery_ms * 100 >= duration_ms * 0.5", "recovery_ms")),
+    "f14_stage_slowness": ("stageSlowness", lambda r, t: D.stage_slowness(r.stages, D.slow_host_mean(r.tasks, r.stages, D.THRESHOLDS["slowHost"]).unionByName(D.slow_host_share(r.tasks, D.THRESHOLDS["slowHost"])), t), _sql("stageSlowness", "duration", "stage duration", "stage_ms", "st WHERE stage_ms >= 900000 AND NOT EXISTS (SELECT 1 FROM slow WHERE slow.app_id = st.app_id AND slow.stage_id = st.stage_id)")),
     "f12_slow_host_share": ("slowHost", lambda r, t: D.slow_host_share(r.tasks, t), _sql("slowHost", "durationShare", "host share of task time", "CAST(m AS DOUBLE) / am", "(SELECT *, sum(n) OVER w AS an, sum(m) OVER w AS am, count(*) OVER w AS hs FROM (SELECT app_id, stage_id, host, count(*) AS n, sum(duration_ms) AS m FROM tasks GROUP BY app_id, stage_id, host) WINDOW w AS (PARTITION BY app_id, stage_id)) WHERE hs > 1 AND m >= 0.75 * am AND n >= 0.5 * an")),
     "f11_slow_host_mean": ("slowHost", lambda r, t: D.slow_host_mean(r.tasks, r.stages, t), _sql("slowHost", "mean", "host mean over median", "ra", "(SELECT app_id, stage_id, max(mean / mid) AS ra FROM (SELECT *, median(mean) OVER w AS mid, count(*) OVER w AS hs, sum(n) OVER w AS an FROM (SELECT app_id, stage_id, host, count(*) AS n, CAST(sum(duration_ms) AS DOUBLE) / count(*) AS mean FROM tasks GROUP BY app_id, stage_id, host) WINDOW w AS (PARTITION BY app_id, stage_id)) WHERE hs >= 3 AND an >= 15 AND mid > 0 AND mean >= 2 * mid AND n >= 0.2 * an AND mean >= 1000 GROUP BY app_id, stage_id) JOIN st USING (app_id, stage_id) JOIN timing USING (app_id) WHERE stage_ms * 100 >= duration_ms * 0.5")),
     "f17_incomplete_run": ("incompleteRun", lambda r, t: D.incomplete_run(r.timing), _sql("incompleteRun", "noEnd", "ended", "0", "timing WHERE incomplete", stage="CAST(NULL AS BIGINT)")),
     "f19_utilization": ("utilization", lambda r, t: D.utilization(r.model, t), _sql("utilization", "busyShare", "busy over allocated", "utilization", "r7 WHERE utilization < 0.6", band="CASE WHEN utilization < 0.3 THEN 'critical' ELSE 'warning' END", stage="CAST(NULL AS BIGINT)")),
 }
 
-for _name, (_kind, _f, _text) in _DET.items():
-    query(_name, _text, shaped="SELECT st.*, total_cores FROM st JOIN cores USING (app_id) JOIN timing AS ti USING (app_id) WHERE stage_ms * 100 >= ti.duration_ms * 0.5", r7=_R7)(lambda r, f=_f, k=_kind: f(r, D.THRESHOLDS.get(k, {})))
+#: Tables that the SQL of findings uses, and all findings that `Run.reported` has.
+_MORE = {
+    "r7": _R7, "tailc": _TAIL, "est": _EST, "a12": _A12, "meds": _MEDIANS, "tails": _A9.replace("round(sum(data) + 1e-6, 3) AS data_ms", "sum(data) AS data_ms"),
+    "shaped": "SELECT st.*, stage_cores, stage_ms * 100 >= ti.duration_ms * 0.5 AS long_enough FROM st JOIN timing AS ti USING (app_id) LEFT JOIN (SELECT app_id, stage_id, sum(cores) AS stage_cores FROM (SELECT DISTINCT app_id, stage_id, executor_id FROM tasks) JOIN (SELECT app_id, executor_id, max(cores) AS cores FROM executors GROUP BY app_id, executor_id) USING (app_id, executor_id) GROUP BY app_id, stage_id) USING (app_id, stage_id)",
+    "skewed": "SELECT app_id, stage_id, CASE WHEN p50 > 0 THEN CASE WHEN tasks >= 20 THEN p95 ELSE longest END / p50 END AS ratio, recovery_ms, excess_ms, data_ms, duration_ms FROM st JOIN a12 USING (app_id, stage_id) JOIN tails USING (app_id, stage_id) JOIN timing USING (app_id)",
+    "slow": f"{_DET['f11_slow_host_mean'][2]} UNION ALL {_DET['f12_slow_host_share'][2]}",
+    "tiers": """SELECT *, fires OR copies > 0 AS hit, CASE WHEN copies = 0 THEN 4 WHEN copies >= 20 AND claim * 100 >= duration_ms * 2 THEN 1 WHEN copies >= 10 AND worth THEN 2 ELSE 3 END AS c, CASE WHEN fires AND worth THEN 2 ELSE 3 END AS s FROM (SELECT *, share > 5 OR (share > 2.5 AND worth) AS fires FROM (SELECT app_id, stage_id, speculative_tasks, duration_ms, CAST(stragglers AS DOUBLE) / tasks * 100 AS share, CAST(speculative_tasks AS DOUBLE) / tasks * 100 AS copies,
+ coalesce(high_ms, recovery_ms) AS claim, coalesce(high_ms, recovery_ms) * 100 >= duration_ms * 0.5 AS worth FROM st JOIN strag USING (app_id, stage_id) JOIN a12 USING (app_id, stage_id) JOIN timing USING (app_id) LEFT JOIN (SELECT app_id, stage_id, high_ms FROM est) AS e USING (app_id, stage_id) WHERE tasks >= 10 AND stage_ms * 100 >= duration_ms * 0.5))""",
+    "strags": "SELECT app_id, 'straggler' AS type, CASE WHEN c <= s THEN 'speculation' ELSE 'share' END AS rule, stage_id, CASE WHEN c <= s THEN 'tasks that ended on a copy' ELSE 'straggler share' END AS metric, CASE WHEN c <= s THEN CAST(speculative_tasks AS DOUBLE) ELSE share END AS value, claim AS waste_ms, CASE least(c, s) WHEN 1 THEN 'critical' WHEN 2 THEN 'warning' ELSE 'info' END AS band FROM tiers WHERE hit",
+}
+_MORE["found"] = " UNION ALL ".join(f"({text.replace(_NO_WASTE, '*')})" for name, (_, _, text) in _DET.items() if name != "f19_utilization")
 
-
-@query("f1_skew")
-def _(r: Run) -> DataFrame:
-    return D.skew(r.stages, A.tail_attribution(r.tasks), D.THRESHOLDS["skew"])
-
-
-@query("f14_stage_slowness")
-def _(r: Run) -> DataFrame:
-    slow = D.slow_host_mean(r.tasks, r.stages, D.THRESHOLDS["slowHost"]).unionByName(D.slow_host_share(r.tasks, D.THRESHOLDS["slowHost"]))
-    return D.stage_slowness(r.stages, slow, D.THRESHOLDS["stageSlowness"])
+for _name, (_kind, _f, _text) in _DET.items():
+    query(_name, _text, **_MORE)(lambda r, f=_f, k=_kind: f(r, D.THRESHOLDS.get(k, {})))
 
 
 @query("f20_right_sizing")
@@ -447,48 +451,53 @@ def _(r: Run) -> DataFrame:
     return D.right_sizing(R.smallest_core_count(per, r.cores), R.core_what_if(per, r.cores, r.active), D.THRESHOLDS["rightSizing"])
 
 
-@query("k0_all_findings")
+@query("k0_all_findings", keep=True)
 def _(r: Run) -> DataFrame:
     return K.finding_ids(K.suppress(r.findings))
 
 
+@query("k0_findings", "SELECT * FROM found", True, **_MORE)
+def _(r: Run) -> DataFrame:
+    return r.reported
+
+
 _COST = "SELECT f.*, CASE WHEN f.band = 'info' THEN 0 ELSE coalesce(s.task_ms, 0) END AS rank_cost FROM found AS f LEFT JOIN (SELECT app_id, stage_id, task_ms FROM st) AS s USING (app_id, stage_id)"
 _RANK = "SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY CASE band WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, rank_cost DESC, type, rule, stage_id NULLS LAST) AS rank FROM costed"
 
 
-@query("k1_rank_cost", "SELECT app_id, type, rule, stage_id, band, rank_cost FROM costed", costed=_COST)
+@query("k1_rank_cost", "SELECT app_id, type, rule, stage_id, band, rank_cost FROM costed", True, costed=_COST, **_MORE)
 def _(r: Run) -> DataFrame:
-    return K.rank_cost(r.short_findings, r.stages).select("app_id", "type", "rule", "stage_id", "band", "rank_cost")
+    return K.rank_cost(r.reported, r.stages).select("app_id", "type", "rule", "stage_id", "band", "rank_cost")
 
 
-@query("k3_rank_findings", "SELECT app_id, type, rule, stage_id, band, rank FROM ranked", costed=_COST, ranked=_RANK)
+@query("k3_rank_findings", "SELECT app_id, type, rule, stage_id, band, rank FROM ranked", True, costed=_COST, ranked=_RANK, **_MORE)
 def _(r: Run) -> DataFrame:
-    return K.rank_findings(K.rank_cost(r.short_findings, r.stages)).select("app_id", "type", "rule", "stage_id", "band", F.col("rank").cast("long").alias("rank"))
+    return K.rank_findings(K.rank_cost(r.reported, r.stages)).select("app_id", "type", "rule", "stage_id", "band", F.col("rank").cast("long").alias("rank"))
 
 
-@query("k2_rollup")
+@query("k2_rollup", keep=True)
 def _(r: Run) -> DataFrame:
     return K.rollup(r.reported, r.stages)
 
 
-@query("k4_next_steps")
+@query("k4_next_steps", keep=True)
 def _(r: Run) -> DataFrame:
     return K.next_steps(K.rank_findings(K.rank_cost(r.reported, r.stages)))
 
 
-@query("k5_cost_lane", "SELECT app_id, rank, type, stage_id, waste_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY waste_ms DESC, type, stage_id) AS rank FROM found WHERE waste_ms IS NOT NULL AND stage_id IS NOT NULL) WHERE rank <= 3")
+@query("k5_cost_lane", "SELECT app_id, rank, type, stage_id, waste_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY waste_ms DESC, type, stage_id) AS rank FROM found WHERE waste_ms IS NOT NULL AND stage_id IS NOT NULL) WHERE rank <= 3", True, **_MORE)
 def _(r: Run) -> DataFrame:
-    return K.cost_lane(r.short_findings)
+    return K.cost_lane(r.reported)
 
 
-@query("k6_filter_findings", "SELECT f.app_id, f.type, f.stage_id, f.band, h.hidden_n FROM found AS f JOIN (SELECT app_id, count(*) FILTER (band = 'info') AS hidden_n FROM found GROUP BY app_id) AS h USING (app_id) WHERE f.band IN ('critical', 'warning')")
+@query("k6_filter_findings", "SELECT f.app_id, f.type, f.stage_id, f.band, h.hidden_n FROM found AS f JOIN (SELECT app_id, count(*) FILTER (band = 'info') AS hidden_n FROM found GROUP BY app_id) AS h USING (app_id) WHERE f.band IN ('critical', 'warning')", True, **_MORE)
 def _(r: Run) -> DataFrame:
-    return K.filter_findings(r.short_findings).select("app_id", "type", "stage_id", "band", "hidden_n")
+    return K.filter_findings(r.reported).select("app_id", "type", "stage_id", "band", "hidden_n")
 
 
-@query("r23_stage_type_counts", "SELECT app_id, stage_id, count(DISTINCT type) AS n FROM found WHERE stage_id IS NOT NULL GROUP BY app_id, stage_id")
+@query("r23_stage_type_counts", "SELECT app_id, stage_id, count(DISTINCT type) AS n FROM found WHERE stage_id IS NOT NULL GROUP BY app_id, stage_id", True, **_MORE)
 def _(r: Run) -> DataFrame:
-    return K.stage_type_counts(r.short_findings)
+    return K.stage_type_counts(r.reported)
 
 
 def _budget_sql(name: str, value: str, over: str, source: str) -> str:
@@ -555,7 +564,7 @@ def _(r: Run) -> DataFrame:
     return X.stage_skew_deltas(X.match_stages(r.identity, r.pairs), r.stages)
 
 
-@query("x10_findings_delta")
+@query("x10_findings_delta", keep=True)
 def _(r: Run) -> DataFrame:
     return X.findings_delta(r.reported, X.match_stages(r.identity, r.pairs), r.pairs)
 
@@ -589,25 +598,31 @@ def _ledger(r: Run) -> DataFrame:
     return P.evidence(r.apps, tasks=r.tasks, executors=r.executors, jobs=r.jobs)
 
 
-@query("r19_evidence", " UNION ALL ".join(f"SELECT app_id, '{t}' AS key, count(*) AS n, 'present' AS state FROM {t} GROUP BY app_id" for t in ("tasks", "executors", "jobs")))
+_LEDGER = " UNION ALL ".join(f"SELECT app_id, '{t}' AS key, count(*) AS n, 'present' AS state FROM {t} GROUP BY app_id" for t in ("tasks", "executors", "jobs"))
+
+
+@query("r19_evidence", _LEDGER)
 def _(r: Run) -> DataFrame:
     return _ledger(r)
 
 
-@query("r20_check_coverage")
+_CHECKS = ", ".join(f"('{k}', '{P.NEEDS.get(k, 'tasks')}', {k in Run.RAN})" for k in P.SCOPES)
+
+
+@query("r20_check_coverage", f"SELECT app_id, c.type, CASE WHEN ran THEN 'clean' ELSE 'notRun' END AS state, CASE WHEN NOT ran THEN 'no detector' END AS reason FROM ledger JOIN (VALUES {_CHECKS}) AS c(type, key, ran) USING (key) WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.app_id = ledger.app_id AND found.type = c.type)", True, ledger=_LEDGER, **_MORE)
 def _(r: Run) -> DataFrame:
     return P.check_coverage(P.detector_catalog(r.spark), r.reported, _ledger(r), r.RAN)
 
 
-@query("k8_run_verdict")
+@query("k8_run_verdict", keep=True)
 def _(r: Run) -> DataFrame:
     steps = K.next_steps(K.rank_findings(K.rank_cost(r.reported, r.stages)))
     return P.run_verdict(P.run_summary(r.apps, r.timing, r.windows, r.jobs), steps, P.check_coverage(P.detector_catalog(r.spark), r.reported, _ledger(r), r.RAN))
 
 
-@query("i14_confidence", "SELECT f.app_id, f.type, f.stage_id, CASE WHEN f.stage_id IS NULL OR s.tasks >= 100 THEN 'high' WHEN s.tasks >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM found AS f LEFT JOIN st AS s USING (app_id, stage_id)")
+@query("i14_confidence", "SELECT f.app_id, f.type, f.stage_id, CASE WHEN f.stage_id IS NULL OR s.tasks >= 100 THEN 'high' WHEN s.tasks >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM found AS f LEFT JOIN st AS s USING (app_id, stage_id)", True, **_MORE)
 def _(r: Run) -> DataFrame:
-    return P.confidence(r.short_findings, r.stages).select("app_id", "type", "stage_id", "confidence")
+    return P.confidence(r.reported, r.stages).select("app_id", "type", "stage_id", "confidence")
 
 
 @query("r11_locality_by_time", """SELECT app_id, bucket, tier, round(sum(greatest(0, least(completed_ms, en) - greatest(submitted_ms, be)) * busy / greatest(1, en - be) * share), 6) AS cores FROM (SELECT *, start_ms + bucket * width AS be, least(start_ms + (bucket + 1) * width, start_ms + duration_ms) AS en FROM

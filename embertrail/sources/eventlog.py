@@ -52,13 +52,23 @@ SCHEMAS = {
 def read_event_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(log, part, seq, raw): the lines of logs, or of rolling directories, in any codec Hadoop reads.
 
-    log is the file, or the directory of a rolling log; part is a rolling file's index; seq rises in file order.
+    log is the file, or the directory of a rolling log; part is a rolling file's index. seq is (part, place), which rises in
+    the order of events whichever way the scan packs the files. Of a rolling log only `rolling_members` are read; a
+    missing file among them is an error.
     """
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths), recursiveFileLookup=True).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
+    at = paths if isinstance(paths, str) else list(paths)
     name = F.element_at(F.split("path", "/"), -1)
     rolling = name.rlike(r"^events_[0-9]+_")
-    lines = lines.filter(~name.startswith("appstatus"))
-    return lines.select(F.when(rolling, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.col("path")).alias("log"), "path", F.when(rolling, F.regexp_extract(name, r"^events_([0-9]+)_", 1).cast("int")).otherwise(0).alias("part"), "seq", "raw")
+    log = F.when(rolling, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.col("path")).alias("log")
+    files = spark.read.format("binaryFile").load(at, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path")).select(log, "path")
+    members = rolling_members(files)
+    lost = members.filter("gap").select("path").limit(5).collect()
+    if lost:
+        raise ValueError("rolling log with a file missing before " + ", ".join(sorted(r.path for r in lost)))
+    lines = spark.read.text(at, recursiveFileLookup=True).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"))
+    lines = lines.filter(~name.startswith("appstatus")).withColumn("part", F.when(rolling, F.regexp_extract(name, r"^events_([0-9]+)_", 1).cast("int")).otherwise(0))
+    lines = lines.filter(~rolling).unionByName(lines.filter(rolling).join(members.select("path"), "path", "left_semi"))
+    return lines.select(log, "path", "part", F.struct("part", "place").alias("seq"), "raw")
 
 
 def rolling_members(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,11 +60,13 @@ UNION ALL SELECT app_id, stage_id, task_id, 2 * task_id + 2, duration_ms + 7, FA
 }
 
 
-def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All derived tables, lazily."""
+def facts(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All derived tables, lazily; `keep` is applied to the tasks, from which the others come."""
     made = {"lineitem": spark.read.parquet(f"{sf_dir}/lineitem.parquet")}
     for name, sql in TABLES.items():
         made[name] = spark.sql(sql, **{k: v for k, v in made.items() if "{" + k + "}" in sql})
+        if keep and name == "tasks":
+            made[name] = keep(made[name])
     return made
 
 

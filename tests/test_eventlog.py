@@ -125,3 +125,25 @@ def test_round_trip_of_derived_tasks(spark, small):
 def test_own_session_log(spark, tmp_path):
     runs = E.list_runs(spark.createDataFrame([("l1", "a", 5), ("l2", "ab", 9), ("l3", "c", 7)], "log string, name string, start_ms long"), most=2).collect()
     assert [(r.log, r.truncated) for r in runs] == [("l2", True), ("l3", True)]
+
+
+def test_rolling_parts_are_read_in_order(spark, tmp_path):
+    d = tmp_path / "eventlog_v2_app-9"
+    d.mkdir()
+
+    def write(name, app, lines):
+        (d / name).write_text("\n".join([line("SparkListenerApplicationStart", **{"App Name": app, "App ID": "app-9", "Timestamp": 1})] + [line("SparkListenerTaskStart")] * lines) + "\n")
+
+    for sizes in ((100, 5000, 1000), (5000, 1000, 100), (100, 1000, 5000)):
+        for i, n in enumerate(sizes, 1):
+            write(f"events_{i}_app-9", f"part {i}", n)
+        (d / "appstatus_app-9").write_text("")
+        events = E.parse_events(E.read_event_lines(spark, str(d)))
+        assert E.applications(events).first().name == "part 3" and events.count() == sum(sizes) + 3
+    write("events_2_app-9.compact", "compacted", 7)
+    events = E.parse_events(E.read_event_lines(spark, str(d)))
+    assert sorted({r.part for r in events.collect()}) == [2, 3] and events.count() == 8 + 5001
+    assert E.applications(events).first().name == "part 3"
+    write("events_5_app-9", "part 5", 1)
+    with pytest.raises(ValueError, match="events_5_app-9"):
+        E.read_event_lines(spark, str(d))

@@ -39,5 +39,11 @@ def test_spill_width_and_casts(spark):
 
 
 def test_merges(spark):
-    n, m = frames(spark, [("0", "number of copied rows", 500_000.0), ("0", "number of updated rows", 10.0)])
-    assert [(r.path, r.metric) for r in D.merge_rewrites(n, m).collect()] == [("0", "rows copied")]
+    for name in ("number of target rows rewritten unmodified", "number of rows copied"):
+        for copied, updated, want in ((500_000.0, 10.0, 1), (99_999.0, 10.0, 0), (100_000.0, 50_000.0, 1), (100_000.0, 50_001.0, 0)):
+            n, m = frames(spark, [("0", name, copied), ("0", "number of updated rows", updated)])
+            assert [(r.path, r.metric, r.band) for r in D.merge_rewrites(n, m).collect()] == [("0", "rows copied", "info")] * want
+    for before, after, partitions, touched, want in ((10.0, 9.0, 10.0, 5.0, 1), (10.0, 8.9, 10.0, 5.0, 0), (7.0, 7.0, 10.0, 5.0, 0), (10.0, 9.0, 10.0, 5.1, 0), (10.0, 9.0, 1.0, 0.0, 0)):
+        rows = [("number of rows copied", 5.0), ("number of target files before skipping", before), ("number of target files after skipping", after), ("number of target partitions after skipping", partitions), ("number of target partitions from which files were removed", 1.0), ("number of target partitions to which files were added", touched)]
+        n, m = frames(spark, [("0", *r) for r in rows])
+        assert [r.metric for r in D.merge_rewrites(n, m).collect()] == ["files kept"] * want
