@@ -61,17 +61,19 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-#: Parts that the neighbours of one node are dealt out to.
-SALTS = 32
+#: Neighbours from which a node is hot: its minimum is sent to all tasks. Of n edges, at most n / HOT_NODE nodes are.
+HOT_NODE = 100_000
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the smallest neighbour of u. The neighbours of a node are dealt out by hash, and the node's minimum
-    goes to each part that has any, so that no task meets all of them."""
-    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    part = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
-    least = part.groupBy("u").agg(F.min("m").alias("m"))
-    return dealt.join(part.select("u", "s").join(least, "u"), ["u", "s"]).select("u", "v", "m")
+    """(u, v, m): m is the smallest neighbour of u. Minima that are few, counted, are broadcast, and of many those of hot nodes,
+    so that no task meets all neighbours of a node; the others join by shuffle."""
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    if least.count() * 24 <= 8 << 20:
+        return edges.join(F.broadcast(least.select("u", "m")), "u").select("u", "v", "m")
+    hot = F.broadcast(least.filter(F.col("n") >= HOT_NODE).select("u", "m"))
+    cold = edges.join(hot.select("u"), "u", "left_anti").join(least.filter(F.col("n") < HOT_NODE).select("u", "m"), "u")
+    return edges.join(hot, "u").select("u", "v", "m").unionByName(cold.select("u", "v", "m"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -116,3 +116,16 @@ def test_query_covers_all_documents(spark, small):
     got = QUERIES["op1_simhash_near_dedup"](spark, small).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     assert {r.doc_id: r.component_id for r in got} == components({i: plain(t) for i, t in docs.items()})
+
+
+def test_components_with_hot_nodes_and_long_paths(spark, monkeypatch):
+    from embertrail.llm import common as C
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(399, 1060), (5000, 5000), (None, 3), (7000, 7001), (7001, 7000)]
+    want = {i: 0 for i in [*range(400), *range(1000, 1061)]} | {7000: 7000, 7001: 7000}
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert {r.node: r.component for r in C.connected_components(df).collect()} == want
+    monkeypatch.setattr(C, "HOT_NODE", 20)
+    real = C.DataFrame.count
+    monkeypatch.setattr(C.DataFrame, "count", lambda self: 1 << 40 if self.columns == ["u", "m", "n"] else real(self))  # too many to broadcast
+    assert {r.node: r.component for r in C.connected_components(df).collect()} == want
