@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import MIB, byte_size
@@ -91,6 +91,21 @@ def redact(df: DataFrame, cols: list[str], hosts: str = r"\b((?:host|ip|node|wor
     return out.drop("_hosts", "_apps")
 
 
+def redact_listing(runs: DataFrame, hidden: tuple[str, ...] = ("name", "source"), prefix: int = 48) -> DataFrame:
+    """Rows of a listing with app-N for each distinct app_id, numbered in the order of ids with numbers read as numbers; `hidden` columns get the same.
+
+    Ids are counted within groups of `prefix` characters of their sort key, and groups by a running sum, so that no task
+    sorts every id. A null id stays null.
+    """
+    padded = F.transform(F.regexp_extract_all("app_id", F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p))
+    ids = runs.filter("app_id IS NOT NULL").select("app_id").distinct().withColumn("_key", F.array_join(padded, "")).withColumn("_group", F.substring("_key", 1, prefix))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = ids.groupBy("_group").agg(F.count("*").alias("_n")).select("_group", before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_group").orderBy("_key", "app_id"))
+    named = ids.withColumn("_at", at).join(groups, ["_group"]).select("app_id", F.concat(F.lit("app-"), (F.col("_before") + F.col("_at")).cast("string")).alias("_as"))
+    return runs.join(named, ["app_id"], "left").select(*[F.col("_as").alias(c) if c == "app_id" or c in hidden else F.col(c) for c in runs.columns])
+
+
 def _longest_first(known: Column, kind: str) -> Column:
     def named(s: Column, i: Column) -> Column:
         return F.struct(F.length(s).alias("n"), s.alias("s"), F.concat(F.lit(f"[{kind}-#"), (i + 1).cast("string"), F.lit("]")).alias("to"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.units import GIB, MIB
+from ..functions.units import GIB, MIB, half_up
 from .stages import STAGE, host_stats, median
 
 #: Default thresholds by detector.
@@ -28,6 +28,7 @@ THRESHOLDS: dict[str, dict[str, float]] = {
     "rightSizing": {"tolerance": 0.1, "share": 0.75, "cores": 8, "error_pct": 20},
     "coreLocality": {"tasks": 50, "ratio": 0.15, "critical": 0.35, "fetch_ms": 20, "cost_pct": 0.5, "cost_critical_pct": 2},
     "autoscalingChurn": {"removed": 5, "life_ms": 120_000, "warn": 0.3, "critical": 0.6},
+    "memoryUtilization": {"idle": 0.5, "heap": 0.7, "unused_over_used": 1.5},
     "jobFailureRate": {"warn": 0.1, "high": 0.3, "critical": 0.5},
 }
 
@@ -220,6 +221,28 @@ def autoscaling_churn(executors: DataFrame, t: dict) -> DataFrame:
     return _found(x, "autoscalingChurn", "shortLived", "short-lived share", F.col("share"), None, F.when(F.col("share") > t["critical"], "critical").otherwise("warning"), stage=False)
 
 
+def memory_utilization(model: DataFrame, alloc: DataFrame, resources: DataFrame, heap: DataFrame, work: DataFrame, t: dict) -> DataFrame:
+    """Runs whose cores idle, whose fullest executor leaves much of its heap, whose heap was not measured, or that hold far more memory-time than tasks used.
+
+    resources: (app_id, heap bytes, cores of an executor); heap: (app_id, executor_id, peak bytes); work: (app_id, run_ms).
+    What is unknown of a run fires no rule that needs it.
+    """
+    peak = heap.groupBy("app_id").agg(F.max("peak").alias("peak"))
+    x = model.select("app_id", "idle_share").join(alloc.select("app_id", "executor_seconds"), ["app_id"], "left").join(resources.select("app_id", F.col("heap").alias("held"), "cores"), ["app_id"], "left")
+    x = x.join(peak, ["app_id"], "left").join(work.select("app_id", "run_ms"), ["app_id"], "left")
+    held, used = F.col("held") / MIB * F.col("executor_seconds"), F.when(F.col("cores") > 0, F.col("held") / MIB * (F.col("run_ms") / 1000 / F.col("cores")))
+    full = F.when(F.col("held") > 0, F.col("peak") / F.col("held"))
+    row = lambda rule, metric, value, band: F.struct(F.lit(rule).alias("rule"), F.lit(metric).alias("metric"), value.cast("double").alias("value"), F.lit(band).alias("band"))
+    rules = F.array_compact(F.array(
+        F.when(F.col("idle_share") > t["idle"], row("idleCores", "idle share, percent", half_up(F.col("idle_share") * 100), "warning")),
+        F.when(F.col("peak").isNull(), row("heapUnknown", "heap share, percent", F.lit(None), "info")),
+        F.when(full < t["heap"], row("heapOverProvisioned", "heap share, percent", half_up(full * 100), "info")),
+        F.when((F.col("executor_seconds") > 0) & (held - used > t["unused_over_used"] * used), row("wasteModel", "unused MB-seconds", half_up(held - used), "info")),
+    ))
+    x = x.select("app_id", F.explode(rules).alias("r")).select("app_id", "r.*")
+    return x.select("app_id", F.lit("memoryUtilization").alias("type"), "rule", F.lit(None).cast("long").alias("stage_id"), "metric", "value", F.lit(None).cast("double").alias("waste_ms"), "band")
+
+
 def job_failure_rate(outcome: DataFrame, t: dict) -> DataFrame:
     share = F.col("failed") / F.col("total")
     band = F.when(share >= t["critical"], "critical").when(share >= t["high"], "warning").otherwise("info")

@@ -14,15 +14,21 @@ def task_winners(attempts: DataFrame) -> DataFrame:
     return numbered.filter("_i = 1").drop("_i").unionByName(attempts.filter("task_index IS NULL"))
 
 
+def _losers(attempts: DataFrame) -> DataFrame:
+    """Records of a task behind the one that counts; _retry: it failed, or lost to a copy that was no speculation."""
+    order = Window.partitionBy(TASK).orderBy("failed", "seq")
+    x = attempts.filter("task_index IS NOT NULL").withColumn("_i", F.row_number().over(order)).withColumn("_by_copy", F.first("speculative").over(order)).filter("_i > 1")
+    return x.withColumn("_retry", ~F.col("speculative") & (F.col("failed") | ~F.col("_by_copy")))
+
+
 def wasted_attempts(attempts: DataFrame) -> DataFrame:
     """(app, stage, retry_ms, retry_n, spec_ms, spec_n) of records that lost.
 
     A speculative loser is speculation waste. Another loser is retry waste if it failed, or lost to a copy that was no
     speculation; one that a speculative copy overtook is neither.
     """
-    order = Window.partitionBy(TASK).orderBy("failed", "seq")
-    x = attempts.filter("task_index IS NOT NULL").withColumn("_i", F.row_number().over(order)).withColumn("_by_copy", F.first("speculative").over(order)).filter("_i > 1")
-    retry, spec = ~F.col("speculative") & (F.col("failed") | ~F.col("_by_copy")), F.col("speculative")
+    x = _losers(attempts)
+    retry, spec = F.col("_retry"), F.col("speculative")
     zero = F.lit(0).cast("long")
     return x.groupBy("app_id", "stage_id").agg(
         F.coalesce(F.sum(F.when(retry, F.col("duration_ms"))), zero).alias("retry_ms"), F.count_if(retry).alias("retry_n"),
@@ -30,6 +36,12 @@ def wasted_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
+def retry_chains(attempts: DataFrame) -> DataFrame:
+    """(app, stage, chain, retry_n, retry_ms): most retries that one task of a stage wasted, and all of the stage's. Stages without any have no row."""
+    per = _losers(attempts).filter("_retry").groupBy(TASK).agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+    return per.groupBy("app_id", "stage_id").agg(F.max("n").alias("chain"), F.sum("n").alias("retry_n"), F.sum("ms").alias("retry_ms"))
+
+
 def late_work(tasks: DataFrame, stages: DataFrame) -> DataFrame:
     """(log, stage_id, kind, n, task_ms) of task ends that came after their stage was complete: speculation, or late work of failed or older attempts.
 

@@ -245,3 +245,19 @@ def spill_operators(nodes: DataFrame, metrics: DataFrame, top: int = 5) -> DataF
     above = x.select(NODE).join(joins, EXEC).filter(F.col("path").startswith(F.concat("_j", F.lit(".")))).groupBy(NODE).agg(F.max_by("_j", F.length("_j")).alias("feeds"))
     rank = F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("spill_size"), "path"))
     return x.withColumn("rank", rank).filter(F.col("rank") <= top).join(above, NODE, "left").select(*EXEC, "rank", "path", "name", F.col("spill_size").alias("bytes"), "feeds")
+
+
+#: Plan nodes that hand rows to Python workers, behind an optional code generation mark; names and call sites of such stages.
+PYTHON_NODE = r"^(?:\*\([0-9]+\)\s*)?(?:PythonRDD|BatchEvalPython|ArrowEvalPython|ArrowAggregatePython|ArrowWindowPython|\w+InPandas|\w+InArrow)\w*\b"
+PYTHON_NAME, PYTHON_SITE = "PythonRDD", r"org\.apache\.spark\.api\.python\."
+
+
+def python_stages(stages: DataFrame, stage_nodes: DataFrame) -> DataFrame:
+    """(app_id, stage_id, is_python) for stages (app_id, stage_id, name, details): whether Python workers ran in it, by one of its plan nodes, its name or its call site.
+
+    stage_nodes: (app_id, stage_id, name).
+    """
+    by_node = stage_nodes.groupBy("app_id", "stage_id").agg(F.bool_or(F.col("name").rlike(PYTHON_NODE)).alias("_node"))
+    no = F.lit(False)
+    own = F.coalesce(F.col("name").rlike(PYTHON_NAME), no) | F.coalesce(F.col("details").rlike(PYTHON_SITE), no)
+    return stages.join(by_node, ["app_id", "stage_id"], "left").select("app_id", "stage_id", (own | F.coalesce("_node", no)).alias("is_python"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import budgets as B
+from .operators import config as C
 from .operators import compare as X
 from .operators import detectors as D
 from .operators import facts as T
@@ -17,7 +18,10 @@ from .operators import ranking as K
 from .operators import runs as R
 from .operators import report as P
 from .operators import stages as A
+from .operators import waste as W
 from .functions.lineage import cut
+from .functions.units import MIB
+from .plans import nodes as N
 from .sources import eventlog as E
 from .sources.testdata import facts, with_tables
 
@@ -637,6 +641,79 @@ def _(r: Run) -> DataFrame:
     return D.slow_host_multidim(A.executor_stats(r.tasks), D.THRESHOLDS["slowHost"])
 
 
+_ACTIVE = "SELECT app_id, stage_id, CAST(sum(nx - ts) AS BIGINT) AS active_ms FROM stage_seg WHERE busy > 0 GROUP BY app_id, stage_id"
+_CHAINS = """SELECT app_id, stage_id, max(n) AS chain, CAST(sum(n) AS BIGINT) AS retry_n, CAST(sum(ms) AS BIGINT) AS retry_ms FROM (SELECT app_id, stage_id, task_index, count(*) AS n, sum(duration_ms) AS ms FROM
+ (SELECT *, row_number() OVER w AS i, first_value(speculative) OVER w AS by_copy FROM attempts WINDOW w AS (PARTITION BY app_id, stage_id, task_index ORDER BY failed, seq)) WHERE i > 1 AND NOT speculative AND (failed OR NOT by_copy) GROUP BY app_id, stage_id, task_index) GROUP BY app_id, stage_id"""
+_FIGURES = """SELECT st.*, excess_ms, longest_after_ms, peak_tasks, active_ms, executors, total_cores, chain, retry_n, retry_ms, input_bytes + shuffle_read AS rd FROM st JOIN strag USING (app_id, stage_id) JOIN a12 USING (app_id, stage_id) JOIN cores USING (app_id)
+ JOIN (SELECT app_id, stage_id, count(DISTINCT executor_id) AS executors FROM tasks GROUP BY app_id, stage_id) AS e USING (app_id, stage_id) LEFT JOIN peak USING (app_id, stage_id) LEFT JOIN actv USING (app_id, stage_id) LEFT JOIN chains USING (app_id, stage_id)"""
+_CLAIM0 = """SELECT f.app_id, f.type, f.rule, f.stage_id, f.value, x.* EXCLUDE (app_id, stage_id), run_tasks, gone, CASE WHEN run_ms > 0 AND stage_ms > 0 THEN run_ms / CAST(stage_ms AS DOUBLE) END AS at_once, CASE WHEN rd > 0 AND disk_spilled > 0 THEN least(0.6::DOUBLE, disk_spilled / CAST(rd AS DOUBLE) * 0.5) END AS passes,
+ greatest(0, CASE WHEN f.type = 'straggler' THEN longest - longest_after_ms WHEN tasks >= 20 THEN p95 - p50 ELSE longest - p50 END) AS delta, greatest(0, tasks - round(tasks / 10.0)) AS fewer, CASE WHEN stage_ms > 0 AND task_ms > run_ms THEN (task_ms - run_ms) / CAST(tasks AS DOUBLE) END AS overhead
+ FROM found AS f LEFT JOIN figures AS x ON x.app_id = f.app_id AND x.stage_id = f.stage_id LEFT JOIN (SELECT app_id, CAST(count(*) AS BIGINT) AS run_tasks FROM tasks GROUP BY app_id) AS n ON n.app_id = f.app_id LEFT JOIN (SELECT app_id, count(*) AS gone FROM executors WHERE removed_ms IS NOT NULL GROUP BY app_id) AS g ON g.app_id = f.app_id"""
+_CLAIM1 = """SELECT *, CASE WHEN type IN ('skew', 'straggler') THEN CASE WHEN excess_ms > 0 AND peak_tasks > 0 THEN greatest(delta, excess_ms / peak_tasks) ELSE delta END WHEN type = 'gc' THEN gc_ms / at_once WHEN type = 'retryWaste' THEN least(retry_ms, greatest(chain * retry_ms / CAST(retry_n AS DOUBLE), retry_ms / CAST(greatest(1, peak_tasks) AS DOUBLE)))
+ WHEN type = 'spill' THEN disk_spilled / (200000000.0::DOUBLE * greatest(1, executors)) * 1000 + stage_ms * coalesce(passes, 0) WHEN type = 'shuffle' THEN least(shuffle_read / (125000000.0::DOUBLE * greatest(1, executors)) * 1000, fetch_wait_ms / at_once)
+ WHEN type = 'tinyTask' THEN coalesce(fewer * overhead / greatest(1.0::DOUBLE, task_ms / CAST(stage_ms AS DOUBLE)), fewer * 50) WHEN type = 'stageSlowness' THEN CASE WHEN rd <= 0 AND cpu_ns > 0 AND cpu_ns / 1e6 / run_ms < 0.01 THEN 0 ELSE active_ms * greatest(0, 1 - tasks / CAST(total_cores AS DOUBLE)) END WHEN type = 'coldStart' THEN value END AS claim FROM claim0"""
+_CLAIM = """SELECT *, CASE WHEN type IN ('skew', 'straggler', 'tinyTask', 'stageSlowness') THEN claim WHEN type = 'gc' THEN gc_ms WHEN type = 'retryWaste' THEN retry_ms WHEN type = 'speculationWaste' THEN value WHEN type = 'spill' THEN disk_spilled WHEN type = 'shuffle' THEN shuffle_read WHEN type = 'coreLocality' THEN value * run_tasks * 20 WHEN type = 'autoscalingChurn' THEN value * gone * 15000 / 3.6e6 END AS raw,
+ CASE WHEN type IN ('gc', 'coreLocality') THEN 'coreMs' WHEN type IN ('retryWaste', 'speculationWaste', 'skew', 'straggler', 'tinyTask', 'stageSlowness') THEN 'ms' WHEN type IN ('spill', 'shuffle') THEN 'bytes' WHEN type = 'autoscalingChurn' THEN 'coreHours' END AS unit,
+ CASE WHEN type IN ('skew', 'straggler', 'speculationWaste', 'coldStart') OR type = 'retryWaste' AND claim = retry_ms OR type = 'tinyTask' AND overhead IS NOT NULL OR type = 'shuffle' AND fetch_wait_ms / at_once < shuffle_read / (125000000.0::DOUBLE * greatest(1, executors)) * 1000 THEN 'measured'
+ WHEN type IN ('gc', 'spill', 'stageSlowness', 'coreLocality', 'autoscalingChurn', 'retryWaste', 'shuffle', 'tinyTask') THEN 'modeled' ELSE 'none' END AS method,
+ CASE WHEN type IN ('skew', 'straggler') THEN greatest(delta, excess_ms) WHEN type = 'spill' THEN run_ms * passes WHEN type = 'gc' THEN gc_ms WHEN type = 'retryWaste' THEN retry_ms WHEN type = 'speculationWaste' THEN value END AS core FROM claim1"""
+_CLAIMS = {"actv": _ACTIVE, "chains": _CHAINS, "figures": _FIGURES, "claim0": _CLAIM0, "claim1": _CLAIM1, "claimed": _CLAIM, **_MORE}
+
+
+def _claimed(r: Run) -> DataFrame:
+    return W.waste_claims(r.reported, r.stages, W.stage_extras(r.tasks, r.attempts), r.executors)
+
+
+def _near(*cols: str) -> list[Column]:
+    return [F.round(F.col(c) + 1e-6, 3).alias(c) for c in cols]
+
+
+@query("i6_waste_claims", "SELECT app_id, type, rule, stage_id, round(CAST(claim AS DOUBLE) + 1e-6, 3) AS claim_ms, round(CAST(raw AS DOUBLE) + 1e-6, 3) AS raw, CASE WHEN raw IS NOT NULL THEN unit END AS unit, method FROM claimed", True, **_CLAIMS)
+def _(r: Run) -> DataFrame:
+    return _claimed(r).select("app_id", "type", "rule", "stage_id", *_near("claim_ms", "raw"), "unit", "method")
+
+
+@query("i7_core_time", """SELECT app_id, type, rule, stage_id, round(c + 1e-6, 3) AS core_low_ms, round(c + 1e-6, 3) AS core_high_ms, task_ms AS stage_task_ms FROM (SELECT *, CAST(CASE WHEN type <> 'straggler' OR NOT EXISTS (SELECT 1 FROM found AS s WHERE s.type = 'skew' AND s.app_id = claimed.app_id AND s.stage_id = claimed.stage_id) THEN core END AS DOUBLE) AS c FROM claimed)""", True, **_CLAIMS)
+def _(r: Run) -> DataFrame:
+    return W.core_time(_claimed(r), r.stages).select("app_id", "type", "rule", "stage_id", *_near("core_low_ms", "core_high_ms"), "stage_task_ms")
+
+
+_MEMORY = """SELECT r7.app_id, idle_share AS i, es, (1 + CAST(substr(r7.app_id, 5) AS BIGINT)) * 128.0::DOUBLE AS mb, pk, rm FROM r7 JOIN (SELECT app_id, CAST(sum(end_ms - start_ms) AS DOUBLE) / 1000 AS es FROM alive GROUP BY app_id) AS e USING (app_id)
+ LEFT JOIN (SELECT app_id, max(peak_mem) AS pk FROM tasks WHERE app_id <> 'app-2' GROUP BY app_id) AS p USING (app_id) JOIN (SELECT app_id, CAST(sum(run_ms) AS DOUBLE) AS rm FROM tasks GROUP BY app_id) AS w USING (app_id)"""
+
+
+def _memory(rule: str, metric: str, value: str, where: str, band: str = "info") -> str:
+    return _sql("memoryUtilization", rule, metric, value, f"mem WHERE {where}", stage="CAST(NULL AS BIGINT)", band=f"'{band}'")
+
+
+@query("f21_memory_utilization", " UNION ALL ".join((
+    _memory("idleCores", "idle share, percent", "floor(i * 100 + 0.5)", "i > 0.5", "warning"), _memory("heapUnknown", "heap share, percent", "NULL", "pk IS NULL"), _memory("heapOverProvisioned", "heap share, percent", "floor(pk / (mb * 1048576) * 100 + 0.5)", "pk / (mb * 1048576) < 0.7"),
+    _memory("wasteModel", "unused MB-seconds", "floor(mb * es - mb * (rm / 1000 / 4) + 0.5)", "es > 0 AND mb * es - mb * (rm / 1000 / 4) > 1.5 * (mb * (rm / 1000 / 4))"))), r7=_R7, mem=_MEMORY)
+def _(r: Run) -> DataFrame:
+    """Runs hold 128 MiB more heap an executor, one after the other; of one, no heap was measured."""
+    held = (F.regexp_extract("app_id", r"([0-9]+)$", 1).cast("long") + 1) * 128 * MIB
+    peaks = r.tasks.filter("app_id <> 'app-2'").groupBy("app_id", "executor_id").agg(F.max("peak_mem").alias("peak"))
+    work = r.tasks.groupBy("app_id").agg(F.sum("run_ms").alias("run_ms"))
+    return D.memory_utilization(r.model, R.allocation(r.alive), r.apps.select("app_id", held.alias("heap"), F.lit(4).alias("cores")), peaks, work, D.THRESHOLDS["memoryUtilization"])
+
+
+@query("s9_redact_listing", "SELECT 'app-' || CAST(n AS VARCHAR) AS app_id, 'app-' || CAST(n AS VARCHAR) AS name, 'app-' || CAST(n AS VARCHAR) AS source, submitted_ms FROM (SELECT submitted_ms, dense_rank() OVER (ORDER BY CAST(substr(app_id, 5) AS BIGINT), stage_id) AS n FROM windows)")
+def _(r: Run) -> DataFrame:
+    """A listing with a run for each stage."""
+    run = F.concat_ws("-", "app_id", "stage_id")
+    return C.redact_listing(r.windows.select(run.alias("app_id"), F.concat(F.lit("job of "), run).alias("name"), F.concat(F.lit("/logs/"), run).alias("source"), "submitted_ms"))
+
+
+@query("r22_python_stages", "SELECT app_id, stage_id, stage_id % 7 = 0 OR stage_id % 11 = 0 OR stage_id % 5 < 3 AS is_python FROM windows")
+def _(r: Run) -> DataFrame:
+    """Stages with names, call sites and plan nodes by their number."""
+    i = F.col("stage_id")
+    named = r.windows.select("app_id", "stage_id", F.when(i % 7 == 0, "collect at PythonRDD.scala:180").otherwise("count at Main.scala:9").alias("name"), F.when(i % 11 == 0, "org.apache.spark.api.python.PythonRDD.compute").alias("details"))
+    kinds = F.array(*map(F.lit, ("ArrowEvalPython", "*(2) BatchEvalPython", "MapInPandas", "Project", "Scan MapInPandas")))
+    nodes = r.windows.select("app_id", "stage_id", F.explode(F.array(F.lit("Exchange"), kinds[(i % 5).cast("int")])).alias("name"))
+    return N.python_stages(named, nodes)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage skew table: stages by the ratio of their 95th percentile task to the median one."""
     q = A.stage_quantiles(facts(spark, sf_dir)["tasks"], ("duration_ms",))
