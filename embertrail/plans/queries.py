@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import detectors as D
 from . import nodes as N
+from . import write_queries
 
 #: (template, path, name, detail, {metric: value}): values grow with the execution's id.
 TEMPLATES = (
@@ -95,3 +96,6 @@ _add("f32_under_broadcast", lambda n, m: D.under_broadcast(n, m), _finding("unde
 _add("f33_over_broadcast", lambda n, m: D.over_broadcast(n, m), _finding("overBroadcast", "broadcast bytes", f"nodes JOIN {_metric('data size')} USING ({_KEY}) WHERE name = 'BroadcastExchange' AND value > 1073741824"))
 _add("f34_python_udfs", lambda n, m: D.python_udfs(n, m), _finding("pythonUdf", "bytes sent to Python", f"{_metric('data sent to Python workers')} WHERE value >= 67108864"))
 _add("f36_unpruned_scans", lambda n, m: D.unpruned_scans(n, m), _finding("unprunedScan", "bytes read", f"{_metric('size of files read')} WHERE path = '0.0.0.0' AND execution_id % 3 = 0 AND value >= 1073741824"))
+
+QUERIES |= write_queries.QUERIES
+ORACLE_SQL |= write_queries.ORACLE_SQL
