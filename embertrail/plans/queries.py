@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import composites as C
 from . import detectors as D
 from . import nodes as N
 from . import write_queries
@@ -97,5 +98,11 @@ _add("f33_over_broadcast", lambda n, m: D.over_broadcast(n, m), _finding("overBr
 _add("f34_python_udfs", lambda n, m: D.python_udfs(n, m), _finding("pythonUdf", "bytes sent to Python", f"{_metric('data sent to Python workers')} WHERE value >= 67108864"))
 _add("f36_unpruned_scans", lambda n, m: D.unpruned_scans(n, m), _finding("unprunedScan", "bytes read", f"{_metric('size of files read')} WHERE path = '0.0.0.0' AND execution_id % 3 = 0 AND value >= 1073741824"))
 
+_CHOSEN = f"""SELECT app_id, execution_id, path, CASE path WHEN '0' THEN 'union' ELSE 'join' END AS operator, CASE execution_id % 3 WHEN 0 THEN 'csv:items,parquet:sales.orders' WHEN 1 THEN 'parquet:sales.orders' ELSE 'jdbc:public.users' END AS relations, coalesce(b, 0) AS bytes
+ FROM nodes LEFT JOIN (SELECT app_id, execution_id, sum(value) AS b FROM metrics WHERE metric = 'size of files read' GROUP BY app_id, execution_id) USING (app_id, execution_id) WHERE name IN ('Union', 'SortMergeJoin', 'BroadcastNestedLoopJoin')"""
+_add("p9_composites", lambda n, m: C.composites(n, m).selectExpr("app_id", "execution_id", "path", "operator", "array_join(relations, ',') AS relations", "bytes"), _CHOSEN)
+_add("f26_caching_composites", lambda n, m: C.caching_composites(C.composites(n, m))[0].drop("fingerprint"), f"SELECT app_id, operator, relations, count(*) AS executions, sum(bytes) AS bytes FROM ({_CHOSEN}) GROUP BY app_id, operator, relations HAVING count(*) >= 2")
+_add("p18_nested_loop_rows", lambda n, m: C.nested_loop_rows(n, m), f"SELECT {_KEY}, name AS operator, CASE path WHEN '0.0' THEN 'Inner' ELSE 'Cross' END AS type, CAST(NULL AS VARCHAR) AS condition, value AS out, CASE path WHEN '0.0' THEN 1500000::DOUBLE ELSE 1400000::DOUBLE END + execution_id AS left, CAST(NULL AS DOUBLE) AS right FROM nodes JOIN {_metric('number of output rows')} USING ({_KEY}) WHERE name IN ('CartesianProduct', 'BroadcastNestedLoopJoin')".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+
 QUERIES |= write_queries.QUERIES
 ORACLE_SQL |= write_queries.ORACLE_SQL
