@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .licenses import license_scan
 from .lines import line_report
+from .merkle import manifest, manifest_sql
 from .mixing import mix_report
 from .multiset import document_fingerprints
+from .packing import packed
 from .pieces import piece_report
 from .pii import personal_data
 from .quality import quality_scores
 from .simhash import simhash_groups
 from .toxicity import toxicity_scores
 from .vectors import embedding_groups
+from .whitening import whitened_embeddings
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +60,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +85,9 @@ QUERIES = {
         op8_toxicity,
         op9_embedding_near_dedup,
         op10_pii,
+        op11_whitening,
+        op12_merkle_manifest,
+        op13_packing,
     )
 }
 
@@ -81,5 +99,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 
-#: No operator here is one that SQL alone expresses in full; each is tested against a brute-force version instead.
-ORACLE_SQL: dict[str, str] = {}
+#: Of the operators here SQL alone expresses only the manifest in full; the others are tested against brute-force versions instead.
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": manifest_sql()}
