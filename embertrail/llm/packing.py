@@ -24,8 +24,8 @@ from .common import saved, small, text_batches
 
 #: Where the public vocabulary lies by default; a parameter everywhere. The id behind each document.
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.json", 0
-#: Tokens of a sequence, groups of large lengths, and the length up to which a piece is small.
-SEQUENCE, GROUPS, SMALL = 2048, 256, 256
+#: Tokens of a sequence, numbers of groups of large lengths that are tried, and the length up to which a piece is small.
+SEQUENCE, GROUPS, SMALL = 2048, (256, 512, 1024, 2048), 256
 #: Words that a worker remembers, and characters of a word from which the library itself encodes it.
 KNOWN_WORDS, LONG_WORD = 600_000, 500
 
@@ -112,7 +112,7 @@ class Plan:
     from `sequence` on, at `offset`. There are at most some ten rows for each run and length, whatever the counts.
     """
 
-    def __init__(self, counts: dict[int, int], size: int = SEQUENCE, groups: int = GROUPS, small: int = SMALL) -> None:
+    def __init__(self, counts: dict[int, int], size: int = SEQUENCE, groups: int = GROUPS[0], small: int = SMALL) -> None:
         self.size, self.sequences, self.places = size, 0, []
         self.room: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # by tokens left: (first sequence, how many)
         self.open = 0  # bits of the lengths in `room` that aren't empty
@@ -256,7 +256,7 @@ def _place(plan: Plan):
     return task
 
 
-def packed(documents: DataFrame, size: int = SEQUENCE, groups: int = GROUPS, small_length: int = SMALL, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(documents: DataFrame, size: int = SEQUENCE, groups: tuple[int, ...] = GROUPS, small_length: int = SMALL, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     A document is its ids and one END behind them; one of more than `size` ids is cut into pieces of `size`, of which the
@@ -265,13 +265,15 @@ def packed(documents: DataFrame, size: int = SEQUENCE, groups: int = GROUPS, sma
 
     Pieces are saved without texts, with their number among those of their length in their task; one row a task and
     length gives their number in all. So a length that a third of all pieces have needs no task of its own, and nothing
-    is sorted. The driver gets the count of each length, `size` rows at most.
+    is sorted. The driver gets the count of each length, `size` rows at most, and takes the number of groups that
+    needs the fewest sequences.
     """
     docs = text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = saved(docs.mapInArrow(_cut(vocabulary, size), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"))
     each = saved(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = small(saved(each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))))
-    plan = Plan({r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size, groups, small_length)
+    counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    plan = min((Plan(counts, size, g, small_length) for g in groups), key=lambda p: p.sequences)
     numbered = pieces.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("number"))
     return numbered.mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
