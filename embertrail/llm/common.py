@@ -30,6 +30,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of saved frames that nothing reads any more; frames that came out of them and are saved themselves stay readable."""
+    for df in frames:
+        sc, file = df.sparkSession.sparkContext, df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """Mark a saved frame for broadcast if its rows, measured, fit `most_bytes`; a larger one joins by shuffle.
 
@@ -65,10 +74,11 @@ def text_batches(df: DataFrame) -> DataFrame:
 HOT_NODE = 100_000
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the smallest neighbour of u. Minima that are few, counted, are broadcast, and of many those of hot nodes,
+def _with_least(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """(u, v, m): m is the smallest neighbour of u. The minima are saved and added to `used`. Minima that are few, counted, are broadcast, and of many those of hot nodes,
     so that no task meets all neighbours of a node; the others join by shuffle."""
     least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    used.append(least)
     if least.count() * 24 <= 8 << 20:
         return edges.join(F.broadcast(least.select("u", "m")), "u").select("u", "v", "m")
     hot = F.broadcast(least.filter(F.col("n") >= HOT_NODE).select("u", "m"))
@@ -80,7 +90,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u long, v long): component is the smallest node reachable.
 
     Alternates large-star and small-star steps, which halve path lengths, until the edge set stays as it is. Nulls and
-    self-loops are ignored; no edges give no rows.
+    self-loops are ignored; no edges give no rows. Of the rounds only the last one's files stay.
     """
     cur = saved(
         edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -94,9 +104,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = state(cur)
     while now[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        pairs = _with_least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        used = [cur]
+        large = _with_least(both, used).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        pairs = _with_least(large, used).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         cur = saved(pairs.select("e.u", "e.v").filter("u <> v").distinct())
+        forget(*used)
         before, now = now, state(cur)
         if before == now:
             break

@@ -1,4 +1,4 @@
-"""Document fingerprints: a homomorphic multiset hash, wide vectors hashed from a text's paragraphs summed modulo 2**16."""
+"""Document fingerprints: a homomorphic multiset hash, wide vectors hashed from a text's paragraphs summed modulo 2**32."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-#: The vector: LEVELS x BLOCKS cells of LANES 16-bit lanes. Level i receives 2**-(i + 1) of the parts, so some level is sparse.
-LEVELS, BLOCKS, LANES = 12, 32, 8
+#: The vector: LEVELS x BLOCKS cells of LANES 32-bit lanes. Level i receives 2**-(i + 1) of the parts, so some level is sparse.
+LEVELS, BLOCKS, LANES = 12, 32, 4
 #: Words of a part at most, and rows that one range of doc_id holds about, with the most ranges.
 PART_WORDS, RANGE_ROWS, RANGES = 16, 500, 10_000
 
@@ -37,7 +37,7 @@ def parts(text: str) -> Iterator[bytes]:
 
 def vector(text: str | None) -> np.ndarray:
     """The fingerprint as lanes [LEVELS * BLOCKS, LANES]. vector(a + "\\n" + b) is vector(a) + vector(b) for texts that aren't empty."""
-    out = np.zeros((LEVELS * BLOCKS, LANES), np.uint16)
+    out = np.zeros((LEVELS * BLOCKS, LANES), np.uint32)
     cells, lanes = [], []
     for part in parts(text or ""):
         h = xxhash.xxh3_64_intdigest(part, 1)
@@ -45,7 +45,7 @@ def vector(text: str | None) -> np.ndarray:
         cells.append(level * BLOCKS + (h >> 40) % BLOCKS)
         lanes.append(xxhash.xxh3_128_digest(part))
     if cells:
-        np.add.at(out, cells, np.frombuffer(b"".join(lanes), "<u2").reshape(-1, LANES))
+        np.add.at(out, cells, np.frombuffer(b"".join(lanes), "<u4").reshape(-1, LANES))
     return out
 
 
@@ -62,7 +62,7 @@ def without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def digest(v: np.ndarray) -> str:
     """The vector as text: a bitmap of its cells that aren't zero, then these cells, in hex."""
     full = v.any(axis=1)
-    return np.packbits(full).tobytes().hex() + v[full].astype("<u2").tobytes().hex()
+    return np.packbits(full).tobytes().hex() + v[full].astype("<u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

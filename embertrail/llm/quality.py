@@ -132,7 +132,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, feature: Colum
     whose text has the smallest hash is. Text isn't moved: the labels of the sample, bounded, are broadcast.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most"))
-    known = known.filter("y = _most").select("doc_id", "y").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+    known = known.filter("y = _most").select("doc_id", "y", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
+    share = (most + 10 * most**0.5 + 100) / max(1, known.count())  # of all hashes, which holds `most` of them but for one case in 10**20
+    near = known.filter(F.col("_h") < int(share * 2**64) - 2**63) if share < 1 else known  # so that few rows are ordered
+    known = near.orderBy("_h", "doc_id").limit(most).drop("_h")
     rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), feature.alias("x"))
     return saved(rows).groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("x", "h").alias("x"))
 

@@ -25,6 +25,11 @@ def test_order_insertion_and_deletion():
     assert M.digest(M.vector(None)) == M.digest(M.vector("")) == "00" * (M.LEVELS * M.BLOCKS // 8)
 
 
+def test_many_repeats_count():
+    assert M.digest(M.vector("foo\n" + "abc\n" * 65_535 + "abc")) != M.digest(M.vector("foo"))
+    assert M.digest(M.vector("abc\n" * 65_536 + "abc")) != M.digest(M.vector("abc"))
+
+
 @pytest.mark.parametrize("n", [30, 300, 20_000])
 def test_likeness_follows_the_shared_part(n):
     text, other = words(4, n), words(5, n)
@@ -69,5 +74,5 @@ def test_query(spark, small):
 
 
 def test_lanes_wrap():
-    v = np.full((M.LEVELS * M.BLOCKS, M.LANES), 65535, np.uint16)
+    v = np.full((M.LEVELS * M.BLOCKS, M.LANES), 2**32 - 1, np.uint32)
     assert not M.joined(v, np.ones_like(v)).any()
