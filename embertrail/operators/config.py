@@ -12,7 +12,9 @@ DEFAULTS = (
     ("spark.sql.shuffle.partitions", 100, "200"), ("spark.sql.autoBroadcastJoinThreshold", 100, "10MB"), ("spark.sql.adaptive.enabled", 106, "false"), ("spark.sql.adaptive.enabled", 302, "true"),
     ("spark.sql.adaptive.skewJoin.enabled", 300, "true"), ("spark.sql.adaptive.coalescePartitions.enabled", 300, "true"), ("spark.dynamicAllocation.enabled", 102, "false"), ("spark.executor.memory", 105, "1g"),
     ("spark.executor.memoryOverheadFactor", 303, "0.1"), ("spark.executor.minMemoryOverhead", 400, "384m"), ("spark.memory.fraction", 106, "0.6"), ("spark.serializer", 100, "org.apache.spark.serializer.JavaSerializer"),
-    ("spark.speculation", 100, "false"), ("spark.sql.files.maxPartitionBytes", 200, "128MB"),
+    ("spark.speculation", 100, "false"), ("spark.sql.files.maxPartitionBytes", 200, "128MB"), ("spark.locality.wait", 100, "3s"),
+    ("spark.sql.adaptive.skewJoin.skewedPartitionFactor", 300, "5"), ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", 300, "256MB"), ("spark.sql.adaptive.forceOptimizeSkewedJoin", 303, "false"),
+    ("spark.sql.adaptive.advisoryPartitionSizeInBytes", 300, "64MB"), ("spark.sql.adaptive.coalescePartitions.parallelismFirst", 302, "true"),
 )
 #: Names and values that hide a setting, and the credentials part of a URL.
 SECRET_NAMES, URL_CREDENTIALS = r"(?i)secret|password|token|access[._]?key|credential", r"(?i)([a-z][a-z0-9+.-]*://)[^/@\s]+@"
@@ -24,14 +26,38 @@ def default_settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DEFAULTS), "key string, since int, value string")
 
 
+def version_number(version: Column) -> Column:
+    """A version as major * 100 + minor; null if it isn't one."""
+    return F.regexp_extract(version, r"^([0-9]+)\.([0-9]+)", 1).try_cast("int") * 100 + F.regexp_extract(version, r"^([0-9]+)\.([0-9]+)", 2).try_cast("int")
+
+
+def column_of(key: str) -> str:
+    """The column that `execution_settings` makes of a setting."""
+    return key.removeprefix("spark.").replace(".", "_")
+
+
+def execution_settings(apps: DataFrame, effective: DataFrame, executions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(app_id, execution_id, v, a column for each of `keys`): what was in force for each execution and, with a null execution, for the run.
+
+    apps: (app_id, version); effective: from `effective_conf`; executions: (app_id, execution_id).
+    """
+    def wide(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(column_of(k)) for k in keys])
+
+    run = wide(effective.filter("execution_id IS NULL"), "app_id").select(F.col("app_id").alias("_app"), *[F.col(column_of(k)).alias(f"_{column_of(k)}") for k in keys])
+    own = wide(effective.filter("execution_id IS NOT NULL"), "app_id", "execution_id")
+    rows = executions.select("app_id", "execution_id").filter("execution_id IS NOT NULL").distinct().unionByName(apps.select("app_id", F.lit(None).cast("long").alias("execution_id")))
+    x = rows.join(apps.select("app_id", version_number(F.col("version")).alias("v")), ["app_id"]).join(run, F.col("app_id") == F.col("_app"), "left").join(own, ["app_id", "execution_id"], "left")
+    return x.select("app_id", "execution_id", "v", *[F.coalesce(column_of(k), f"_{column_of(k)}").alias(column_of(k)) for k in keys])
+
+
 def effective_conf(apps: DataFrame, conf: DataFrame, overrides: DataFrame, defaults: DataFrame) -> DataFrame:
     """(app_id, execution_id, key, value, source): a query's override, else the run's property, else Spark's default for its version.
 
     apps: (app_id, version); conf: (app_id, key, value); overrides: (app_id, execution_id, key, value). execution_id is
     null for the run itself.
     """
-    v = F.regexp_extract("version", r"^([0-9]+)\.([0-9]+)", 1).try_cast("int") * 100 + F.regexp_extract("version", r"^([0-9]+)\.([0-9]+)", 2).try_cast("int")
-    known = apps.select("app_id", v.alias("v")).join(F.broadcast(defaults), F.col("since") <= F.coalesce(F.col("v"), F.lit(99_999)))  # a fixed handful of defaults
+    known = apps.select("app_id", version_number(F.col("version")).alias("v")).join(F.broadcast(defaults), F.col("since") <= F.coalesce(F.col("v"), F.lit(99_999)))  # a fixed handful of defaults
     known = known.groupBy("app_id", "key").agg(F.max_by("value", "since").alias("default"))
     run = conf.withColumnRenamed("value", "property").join(known, ["app_id", "key"], "full")
     base = run.select("app_id", F.lit(None).cast("long").alias("execution_id"), "key", F.coalesce("property", "default").alias("value"), F.when(F.col("property").isNotNull(), "property").otherwise("default").alias("source"))

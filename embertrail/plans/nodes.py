@@ -58,10 +58,28 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"(^|\.)[0-9]+$", "")
 
 
+def ordinals(path: Column) -> Column:
+    """A path as an array of integers, which sorts in the order in which a plan is printed."""
+    return F.transform(F.split(path, r"\."), lambda i: i.cast("int"))
+
+
+def _prefixes(path: Column, own: bool) -> Column:
+    """Paths of the nodes above a node, nearest last, and its own."""
+    parts = F.split(path, r"\.")
+    most = F.size(parts) - (0 if own else 1)
+    return F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")))
+
+
+def with_ancestors(nodes: DataFrame, above: DataFrame, name: str = "up") -> DataFrame:
+    """Each node with each of the nodes `above` that stand over it, as the struct `name`: equality joins on the prefixes of its path."""
+    up = above.select(*EXEC, F.col("path").alias("_up"), F.struct(*[c for c in above.columns if c not in EXEC]).alias(name))
+    return nodes.withColumn("_up", F.explode(_prefixes(F.col("path"), False))).join(up, [*EXEC, "_up"]).drop("_up")
+
+
 def with_descendants(nodes: DataFrame, name: str = "below") -> DataFrame:
     """Each node with every node of its subtree, itself included, as the struct `name`."""
-    below = nodes.select(*EXEC, F.struct(*[c for c in nodes.columns if c not in EXEC]).alias(name))
-    return nodes.join(below, EXEC).filter((F.col(f"{name}.path") == F.col("path")) | F.col(f"{name}.path").startswith(F.concat("path", F.lit("."))))
+    below = nodes.select(*EXEC, F.explode(_prefixes(F.col("path"), True)).alias("_top"), F.struct(*[c for c in nodes.columns if c not in EXEC]).alias(name))
+    return nodes.join(below.withColumnRenamed("_top", "path"), NODE)
 
 
 def split_exchanges(nodes: DataFrame) -> DataFrame:

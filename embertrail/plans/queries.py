@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import composites as C
 from . import detectors as D
 from . import nodes as N
-from . import write_queries
+from . import skew_queries, write_queries
 
 #: (template, path, name, detail, {metric: value}): values grow with the execution's id.
 TEMPLATES = (
@@ -104,5 +104,5 @@ _add("p9_composites", lambda n, m: C.composites(n, m).selectExpr("app_id", "exec
 _add("f26_caching_composites", lambda n, m: C.caching_composites(C.composites(n, m))[0].drop("fingerprint"), f"SELECT app_id, operator, relations, count(*) AS executions, sum(bytes) AS bytes FROM ({_CHOSEN}) GROUP BY app_id, operator, relations HAVING count(*) >= 2")
 _add("p18_nested_loop_rows", lambda n, m: C.nested_loop_rows(n, m), f"SELECT {_KEY}, name AS operator, CASE path WHEN '0.0' THEN 'Inner' ELSE 'Cross' END AS type, CAST(NULL AS VARCHAR) AS condition, value AS out, CASE path WHEN '0.0' THEN 1500000::DOUBLE ELSE 1400000::DOUBLE END + execution_id AS left, CAST(NULL AS DOUBLE) AS right FROM nodes JOIN {_metric('number of output rows')} USING ({_KEY}) WHERE name IN ('CartesianProduct', 'BroadcastNestedLoopJoin')".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
 
-QUERIES |= write_queries.QUERIES
-ORACLE_SQL |= write_queries.ORACLE_SQL
+QUERIES |= write_queries.QUERIES | skew_queries.QUERIES
+ORACLE_SQL |= write_queries.ORACLE_SQL | skew_queries.ORACLE_SQL
