@@ -18,7 +18,7 @@ THRESHOLDS: dict[str, dict[str, float]] = {
     "stageShape": {"tasks_per_core": 0.5, "growth": 10, "one_task_share": 0.5, "one_task_ratio": 3, "floor_pct": 0.5},
     "failures": {"tasks": 10, "share_pct": 5, "critical_pct": 20},
     "retryWaste": {"attempts": 3, "ms": 30_000},
-    "gc": {"pct": 10, "run_ms": 10_000},
+    "gc": {"pct": 10, "run_ms": 10_000, "low_pct": 5, "floor_pct": 0.5},
     "slowHost": {"hosts": 3, "tasks": 15, "ratio": 2, "host_share": 0.2, "ms": 1000, "time_share": 0.75, "task_share": 0.5},
     "stageSlowness": {"ms": 900_000},
     "speculationWaste": {"attempts": 5, "ms": 60_000},
@@ -119,7 +119,7 @@ def shuffle(stages: DataFrame, t: dict) -> DataFrame:
 
 def partition_sizing(stages: DataFrame, t: dict) -> DataFrame:
     big, p50 = F.col("shuffle_max"), F.col("shuffle_p50")
-    uneven = stages.filter((big > t["bytes"]) & (((p50 > 0) & (big > t["ratio"] * p50)) | ((p50 == 0) & (big >= t["single_key_share"] * F.col("shuffle_read")))))
+    uneven = stages.filter((big > t["bytes"]) & (big > t["ratio"] * p50))
     few = stages.filter((F.col("shuffle_read") >= t["total"]) & (F.col("tasks") <= t["tasks"]))
     huge = stages.filter(big >= t["huge"])
     return _found(uneven, "partitionSizing", "uneven", "largest partition", big).unionByName(_found(few, "partitionSizing", "few", "tasks", F.col("tasks"))).unionByName(_found(huge, "partitionSizing", "huge", "largest partition", big, None, "critical"))
@@ -151,6 +151,13 @@ def gc(stages: DataFrame, t: dict) -> DataFrame:
     return _found(stages.filter((F.col("run_ms") >= t["run_ms"]) & (pct > t["pct"])), "gc", "high", "GC share of run time", pct, F.col("gc_ms").cast("double"))
 
 
+def gc_low(stages: DataFrame, measured: DataFrame, t: dict) -> DataFrame:
+    """Stages that hardly collected garbage, in runs (app_id) without measured heap peaks: their executors may hold too much memory."""
+    pct = F.col("gc_ms") / F.col("run_ms") * 100
+    x = stages.filter((F.col("run_ms") >= t["run_ms"]) & (F.col("failed_tasks") == 0) & (pct < t["low_pct"]) & _long_enough(t["floor_pct"])).join(measured.select("app_id").distinct(), ["app_id"], "left_anti")
+    return _found(x, "gc", "low", "GC share of run time", pct, band="info")
+
+
 def slow_host_mean(tasks: DataFrame, stages: DataFrame, t: dict) -> DataFrame:
     """Hosts whose mean task takes twice the median host's."""
     h = host_stats(tasks).withColumn("mean_ms", F.col("total_ms") / F.col("tasks"))

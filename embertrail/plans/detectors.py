@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.units import GIB, MIB
-from .nodes import EXEC, NODE, duplicate_subtrees, join_side_bytes, scan_filters, scan_relations, subtree_shapes, with_metrics
+from ..functions.units import GIB, MIB, byte_size
+from ..operators.config import column_of
+from .composites import caching_composites, composites, nested_loop_rows, uncovered_relations
+from .nodes import EXEC, NODE, duplicate_subtrees, scan_filters, subtree_shapes, with_ancestors, with_metrics
 
 #: Default thresholds.
 ROWS, GROWTH, FILES, FILE_BYTES, SCAN_BYTES = 1_000_000, 10, 100, 3 * MIB, GIB
@@ -18,20 +20,16 @@ def _found(df: DataFrame, type_: str, metric: str, value: Column, band: Column |
     return df.select(*EXEC, "path", F.lit(type_).alias("type"), F.lit(metric).alias("metric"), value.cast("double").alias("value"), (F.lit(band) if isinstance(band, str) else band).alias("band"))
 
 
-def caching_relations(nodes: DataFrame, times: int = 2) -> DataFrame:
-    """(app, relation, executions): relations that several executions of a run scan."""
-    s = scan_relations(nodes).filter("relation IS NOT NULL")
-    return s.groupBy("app_id", F.concat_ws(":", "format", "relation").alias("relation")).agg(F.count_distinct("execution_id").alias("executions")).filter(F.col("executions") >= times)
+def caching_relations(nodes: DataFrame, metrics: DataFrame, times: int = 2) -> DataFrame:
+    """(app, relation, executions): relations that several executions of a run scan outside the joins and unions worth caching as a whole."""
+    return uncovered_relations(nodes, caching_composites(composites(nodes, metrics), times)[1], times)
 
 
 def nested_loop_joins(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Nested loops and Cartesian products with many rows out: any product, else at least GROWTH times the larger input."""
-    x = with_metrics(nodes, metrics, "number of output rows")
-    joins = x.filter(F.col("name").isin("BroadcastNestedLoopJoin", "CartesianProduct") & (F.col("number_of_output_rows") >= ROWS))
-    below = x.filter("number_of_output_rows IS NOT NULL").select(*EXEC, F.col("path").alias("_p"), F.col("number_of_output_rows").alias("_rows"))
-    most = joins.join(below, EXEC).filter(F.col("_p").startswith(F.concat("path", F.lit(".")))).groupBy(NODE).agg(F.max("_rows").alias("input"))
-    hit = joins.join(most, NODE, "left").filter((F.col("name") == "CartesianProduct") | (F.col("number_of_output_rows") >= GROWTH * F.col("input")))
-    return _found(hit, "nestedLoopJoin", "output rows", F.col("number_of_output_rows"), "info")
+    """Nested loops and Cartesian products with many rows out: any product, else at least GROWTH times the larger side, where both are known."""
+    x = nested_loop_rows(nodes, metrics).filter(F.col("out") >= ROWS)
+    hit = x.filter((F.col("operator") == "CartesianProduct") | (F.col("left").isNotNull() & F.col("right").isNotNull() & (F.col("out") >= GROWTH * F.greatest("left", "right", F.lit(1)))))
+    return _found(hit, "nestedLoopJoin", "output rows", F.col("out"), "info")
 
 
 def duplicate_plan_subtrees(nodes: DataFrame) -> DataFrame:
@@ -51,14 +49,67 @@ def over_broadcast(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     return _found(x, "overBroadcast", "broadcast bytes", F.col("data_size"))
 
 
-def under_broadcast(nodes: DataFrame, metrics: DataFrame, threshold: int = 10 * MIB) -> DataFrame:
-    """Sort-merge joins whose smaller side could be broadcast, given the larger one; `threshold` is what the run broadcasts by itself."""
-    sides = join_side_bytes(nodes.filter(F.col("name").isNotNull()), metrics).groupBy(NODE).agg(F.min("bytes").alias("lesser"), F.max("bytes").alias("greater"), F.count("*").alias("n")).filter("n = 2")
-    x = nodes.filter(F.col("name") == "SortMergeJoin").join(sides, NODE)
+#: Settings that bound a broadcast; with adaptive execution the second one counts where it is set.
+AUTO_BROADCAST, ADAPTIVE_BROADCAST = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+THRESHOLDS = (AUTO_BROADCAST, ADAPTIVE_BROADCAST)
+#: Join types whose left, and right, side can be built from; operators between a join and its shuffle; join types as plans print them.
+BUILD_LEFT, BUILD_RIGHT = ("Inner", "Cross", "RightOuter"), ("Inner", "Cross", "LeftOuter", "LeftSingle", "LeftSemi", "LeftAnti", "ExistenceJoin")
+BETWEEN = ("Sort", "InputAdapter", "ShuffleQueryStage", "AQEShuffleRead", "CustomShuffleReader")
+JOIN_TYPES = (*BUILD_RIGHT, "RightOuter", "FullOuter")
+
+
+def side_shuffles(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(join node, side, exchange, bytes): the shuffle that a side of a sort-merge join reads, if only operators that pass rows on unchanged are between, with its data size."""
+    joins = nodes.filter(F.col("name") == "SortMergeJoin").select(NODE)
+    x = with_ancestors(with_metrics(nodes.select(*NODE, "name"), metrics, "data size"), joins, "top").withColumn("_rest", F.substring(F.col("path"), F.length("top.path") + 2, F.length("path")))
+    x = x.filter(F.col("_rest").rlike(r"^[01](\.0)*$")).withColumn("side", F.substring("_rest", 1, 1).try_cast("int"))
+    shuffle = F.col("name").endswith("Exchange") & (F.col("name") != "ReusedExchange")
+    hit = shuffle & ~F.col("name").startswith("Broadcast") & F.col("data_size").isNotNull()
+    passes = shuffle | F.col("name").isin(*BETWEEN) | F.col("name").startswith("WholeStageCodegen")
+    stop = x.filter(hit | ~passes).groupBy(*EXEC, "top.path", "side").agg(F.min_by(F.struct(hit.alias("hit"), F.col("path").alias("exchange"), F.col("data_size").alias("bytes")), F.length("_rest")).alias("s"))
+    return stop.filter("s.hit").select(*EXEC, "path", "side", "s.exchange", "s.bytes")
+
+
+def missed_broadcasts(nodes: DataFrame, metrics: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """(join node, rule, join_type, build_side, value, larger, setting, exchanges): sort-merge joins that could have been a broadcast.
+
+    The build side is the smaller of those that the join's type allows; it must be MIB to GIB and no larger than the
+    other. rule is notLimiting where the setting admits it already, disabled where it is negative, else limits; the last two count only
+    within BROADCAST_TIERS, below each bound. settings: from `execution_settings` with THRESHOLDS; without it Spark's default holds.
+    """
+    sides = side_shuffles(nodes, metrics).groupBy(NODE).agg(*[F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("bytes", "exchange")]).filter("bytes0 IS NOT NULL AND bytes1 IS NOT NULL")
+    type_ = F.get(F.filter(F.regexp_extract_all("detail", F.lit(r"(\w+)"), F.lit(1)), lambda w: w.isin(*JOIN_TYPES)), F.lit(0))
+    x = nodes.filter(F.col("name") == "SortMergeJoin").select(*NODE, type_.alias("join_type")).join(sides, NODE)
+    left, right = F.coalesce(F.col("join_type").isin(*BUILD_LEFT), F.lit(False)), F.coalesce(F.col("join_type").isin(*BUILD_RIGHT), F.lit(False))
+    x = x.filter(left | right).withColumn("_left", left & (~right | (F.col("bytes0") <= F.col("bytes1"))))
+    x = x.select(*NODE, "join_type", F.when(F.col("_left"), "left").otherwise("right").alias("build_side"), F.when(F.col("_left"), F.col("bytes0")).otherwise(F.col("bytes1")).alias("value"), F.when(F.col("_left"), F.col("bytes1")).otherwise(F.col("bytes0")).alias("larger"), F.array("exchange0", "exchange1").alias("exchanges"))
+    adaptive = with_ancestors(x.select(NODE), nodes.filter(F.col("name") == "AdaptiveSparkPlan").select(NODE)).select(NODE).distinct().withColumn("_aqe", F.lit(True))
+    x = x.join(adaptive, NODE, "left")
+    if settings is None:
+        x = x.withColumn("setting", F.lit(AUTO_BROADCAST)).withColumn("_text", F.lit("10MB"))
+    else:
+        auto, own = (column_of(k) for k in THRESHOLDS)
+        use = F.coalesce("_aqe", F.lit(False)) & F.col(own).isNotNull()
+        x = x.join(settings.select(*EXEC, auto, own), EXEC, "left").withColumn("setting", F.when(use, ADAPTIVE_BROADCAST).otherwise(AUTO_BROADCAST)).withColumn("_text", F.when(use, F.col(own)).otherwise(F.col(auto)))
+    limit = F.when(F.col("_text").rlike("^-[0-9]+$"), -1).otherwise(byte_size(F.col("_text")))
     fits = F.lit(False)
     for most, least in BROADCAST_TIERS:
-        fits = fits | ((F.col("lesser") <= most) & (F.col("greater") >= least))
-    return _found(x.filter((F.col("lesser") >= MIB) & fits & ((F.col("lesser") > threshold) | (F.col("lesser") <= 10 * MIB))), "underBroadcast", "smaller side bytes", F.col("lesser"), "info")
+        fits = fits | ((F.col("value") < most) & (F.col("larger") > least))
+    rule = F.when(limit < 0, "disabled").when(limit >= F.col("value"), "notLimiting").otherwise("limits")
+    x = x.filter((F.col("value") >= MIB) & (F.col("value") <= GIB) & (F.col("value") <= F.col("larger"))).withColumn("rule", rule)
+    return x.filter((F.col("rule") == "notLimiting") | fits).select(*NODE, "rule", "join_type", "build_side", "value", "larger", "setting", "exchanges")
+
+
+def under_broadcast(nodes: DataFrame, metrics: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    return _found(missed_broadcasts(nodes, metrics, settings), "underBroadcast", "smaller side bytes", F.col("value"), "info")
+
+
+def join_readers(missed: DataFrame, links: DataFrame) -> DataFrame:
+    """(join node, stage_id): the one stage that reads both shuffles of a join. An exchange is linked to the stage that wrote it, the least, and those that read it."""
+    ends = missed.select(*NODE, F.explode("exchanges").alias("_x")).join(links.withColumnRenamed("path", "_x"), [*EXEC, "_x"])
+    each = ends.groupBy(*NODE, "_x").agg(F.sort_array(F.collect_set("stage_id")).alias("ids")).filter(F.size("ids") == 2)
+    both = each.groupBy(NODE).agg(F.count("*").alias("n"), F.min(F.col("ids")[1]).alias("stage_id"), F.max(F.col("ids")[1]).alias("last"))
+    return both.filter("n = 2 AND stage_id = last").select(*NODE, "stage_id")
 
 
 def unpruned_scans(nodes: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ TEMPLATES = (
     (0, "0.0.0.0", "Scan parquet sales.orders", "FileScan parquet sales.orders[a#1,b#2L] PartitionFilters: [], DataFilters: [isnotnull(a#1), (b#2L > 5)]", {"number of partitions read": 12, "size of files read": 3_000_000_000, "number of files read": 40}),
     (0, "0.0.1", "Exchange", "Exchange hashpartitioning(c#3, d#4L, 200), ENSURE_REQUIREMENTS, [plan_id=9]", {"data size": 60_000_000}),
     (0, "0.0.1.0", "Scan csv", "FileScan csv [c#3,d#4L] Location: InMemoryFileIndex(1 paths)[file:/data/raw/items], PartitionFilters: [(d#4L = 1)], DataFilters: [(c#3 IN (1,2))]", {"number of files read": 5000, "size of files read": 90_000_000}),
+    (0, "0.1", "Scan orc logs", "FileScan orc logs[x#8]", {}),
     (1, "0", "Union", "Union", {}),
     (1, "0.0", "HashAggregate", "HashAggregate(keys=[k#5], functions=[sum(x#6), count(1), max(coalesce(y#7, 0))])", {}),
     (1, "0.0.0", "Exchange", "Exchange rangepartitioning(k#5 ASC NULLS FIRST, 50), ENSURE_REQUIREMENTS", {"data size": 1000}),
@@ -89,7 +90,7 @@ _add("p8_duplicate_subtrees", lambda n, m: N.duplicate_subtrees(N.subtree_shapes
 _add("p15_join_side_bytes", lambda n, m: N.join_side_bytes(n, m), "SELECT app_id, execution_id, '0.0' AS path, CAST(substr(path, 5, 1) AS INT) AS side, value AS bytes FROM metrics WHERE metric = 'data size' AND execution_id % 3 = 0 UNION ALL SELECT app_id, execution_id, '0.0.0', 1, value FROM metrics WHERE metric = 'data size' AND execution_id % 3 = 2")
 _add("p22_plan_edges", lambda n, m: N.plan_edges(n, m), f"SELECT n.app_id, n.execution_id, regexp_replace(n.path, '\\.[0-9]+$', '') AS parent, n.path AS child, m.value AS shuffle_bytes FROM nodes AS n LEFT JOIN {_metric('data size')} AS m USING (app_id, execution_id, path) WHERE n.path LIKE '%.%'")
 _add("t19_split_exchanges", lambda n, m: N.split_exchanges(n).select("app_id", "execution_id", "path", "name", "half"))
-_add("f25_caching_relations", lambda n, m: D.caching_relations(n), "SELECT app_id, relation, count(DISTINCT execution_id) AS executions FROM (SELECT app_id, execution_id, CASE WHEN name LIKE '%JDBC%' THEN 'jdbc:public.users' WHEN name = 'Scan csv' THEN 'csv:items' ELSE 'parquet:sales.orders' END AS relation FROM nodes WHERE name LIKE 'Scan %') GROUP BY app_id, relation HAVING count(DISTINCT execution_id) >= 2")
+_add("f25_caching_relations", lambda n, m: D.caching_relations(n, m), "SELECT app_id, 'orc:logs' AS relation, count(*) AS executions FROM (SELECT DISTINCT app_id, execution_id FROM nodes WHERE name = 'Scan orc logs') GROUP BY app_id HAVING count(*) >= 2")
 _add("f29_nested_loop_joins", lambda n, m: D.nested_loop_joins(n, m), _finding("nestedLoopJoin", "output rows", f"nodes JOIN {_metric('number of output rows')} USING ({_KEY}) WHERE name = 'CartesianProduct' AND value >= 1000000"))
 _add("f30_duplicate_plan_subtrees", lambda n, m: D.duplicate_plan_subtrees(n).drop("fingerprint"), "SELECT DISTINCT app_id, execution_id, 4 AS size, 2 AS n FROM nodes WHERE execution_id % 3 = 1")
 _add("f31_small_files", lambda n, m: D.small_files(n, m), _finding("smallFiles", "files read", f"{_metric('number of files read')} JOIN (SELECT {_KEY}, value AS b FROM metrics WHERE metric = 'size of files read') USING ({_KEY}) WHERE value > 100 AND b / value < 3145728") + " UNION ALL " + _finding("smallFiles", "files written", f"{_metric('number of written files')} JOIN (SELECT {_KEY}, value AS b FROM metrics WHERE metric = 'written output') USING ({_KEY}) WHERE value > 100 AND b / value < 3145728"))

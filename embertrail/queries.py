@@ -15,6 +15,7 @@ from .operators import detectors as D
 from .operators import facts as T
 from .operators import impact as I
 from .operators import ranking as K
+from .operators import remediation as M
 from .operators import runs as R
 from .operators import report as P
 from .operators import stages as A
@@ -22,6 +23,10 @@ from .operators import waste as W
 from .functions.lineage import cut
 from .functions.units import MIB
 from .plans import nodes as N
+from .plans import plan_texts as L
+from .plans import detectors as PD
+from .plans import skew_joins as S
+from .plans.skew_queries import shaped
 from .sources import eventlog as E
 from .sources.testdata import facts, with_tables
 
@@ -414,7 +419,7 @@ _DET = {
     "f7_failures": ("failures", lambda r, t: D.failures(r.stages, t), _sql("failures", "share", "failed task share", "CAST(failed_tasks AS DOUBLE) / tasks * 100", "st WHERE tasks >= 10 AND CAST(failed_tasks AS DOUBLE) / tasks * 100 > 5", band="CASE WHEN CAST(failed_tasks AS DOUBLE) / tasks * 100 > 20 THEN 'critical' ELSE 'warning' END")),
     "f10_gc": ("gc", lambda r, t: D.gc(r.stages, t), _sql("gc", "high", "GC share of run time", "CAST(gc_ms AS DOUBLE) / run_ms * 100", "st WHERE run_ms >= 10000 AND CAST(gc_ms AS DOUBLE) / run_ms * 100 > 10", "gc_ms")),
     "f27_job_failure_rate": ("jobFailureRate", lambda r, t: D.job_failure_rate(R.job_outcome(r.jobs), t), _sql("jobFailureRate", "share", "failed job share", "CAST(failed AS DOUBLE) / total", "outcome WHERE CAST(failed AS DOUBLE) / total >= 0.1", band="CASE WHEN CAST(failed AS DOUBLE) / total >= 0.5 THEN 'critical' WHEN CAST(failed AS DOUBLE) / total >= 0.3 THEN 'warning' ELSE 'info' END", stage="CAST(NULL AS BIGINT)")),
-    "f5_partition_sizing": ("partitionSizing", lambda r, t: D.partition_sizing(r.stages, t), _sql("partitionSizing", "uneven", "largest partition", "shuffle_max", "st WHERE shuffle_max > 268435456 AND ((shuffle_p50 > 0 AND shuffle_max > 5 * shuffle_p50) OR (shuffle_p50 = 0 AND shuffle_max >= 0.9 * shuffle_read))") + " UNION ALL " + _sql("partitionSizing", "few", "tasks", "tasks", "st WHERE shuffle_read >= 1073741824 AND tasks <= 7") + " UNION ALL " + _sql("partitionSizing", "huge", "largest partition", "shuffle_max", "st WHERE shuffle_max >= 5368709120", band="'critical'")),
+    "f5_partition_sizing": ("partitionSizing", lambda r, t: D.partition_sizing(r.stages, t), _sql("partitionSizing", "uneven", "largest partition", "shuffle_max", "st WHERE shuffle_max > 268435456 AND shuffle_max > 5 * shuffle_p50") + " UNION ALL " + _sql("partitionSizing", "few", "tasks", "tasks", "st WHERE shuffle_read >= 1073741824 AND tasks <= 7") + " UNION ALL " + _sql("partitionSizing", "huge", "largest partition", "shuffle_max", "st WHERE shuffle_max >= 5368709120", band="'critical'")),
     "f6_stage_shape": ("stageShape", lambda r, t: D.stage_shape(r.stages, t), " UNION ALL ".join((
         _sql("stageShape", "lowParallelism", "tasks per core", "CAST(tasks AS DOUBLE) / stage_cores", "shaped WHERE long_enough AND CAST(tasks AS DOUBLE) / stage_cores < 0.5", band="'info'"), _sql("stageShape", "expansion", "output over input", "CAST(output_bytes AS DOUBLE) / input_bytes", "shaped WHERE input_bytes > 0 AND CAST(output_bytes AS DOUBLE) / input_bytes > 10", band="'info'"),
         _sql("stageShape", "longTask", "longest task share", "CAST(longest AS DOUBLE) / stage_ms", "shaped WHERE long_enough AND tasks > 1 AND stage_ms > 0 AND p50 > 0 AND longest > 0.5 * stage_ms AND longest > 3 * p50", band="'info'")))),
@@ -678,6 +683,112 @@ def _(r: Run) -> DataFrame:
     return W.core_time(_claimed(r), r.stages).select("app_id", "type", "rule", "stage_id", *_near("core_low_ms", "core_high_ms"), "stage_task_ms")
 
 
+def _advice(r: Run) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What remedies read beside findings; each stage of a run is an execution of its own, with a plan shaped by its number."""
+    p = L.plan_tables(r.spark.sql(L.STAGES_OF_RUNS_SQL, windows=r.windows), (*M.SETTINGS, *PD.THRESHOLDS))
+    tails = A.tail_attribution(r.tasks)
+    rest = F.col("excess_ms") - F.col("data_ms") - F.col("gc_ms") - F.col("fetch_ms") - F.col("host_ms")
+    most = tails.select("app_id", "stage_id", "data_ratio", (F.col("data_ms") >= rest).alias("data_most"))
+    cause = cut(D.tail_cause(r.stages.select("app_id", "stage_id"), tails, D.THRESHOLDS["skew"]["data_share"]).join(most, ["app_id", "stage_id"], "left"))
+    stages = r.stages.join(cause, ["app_id", "stage_id"]).select("app_id", F.col("stage_id").alias("execution_id"), "stage_id", F.col("shuffle_max").alias("read_max"), F.col("shuffle_p50").alias("read_p50"), "shuffle_read", (F.col("cause") == "data").alias("data_tail"), "tasks")
+    cases = S.skew_join_cases(p["nodes"], p["metrics"], p["links"], stages, p["settings"])
+    levers = S.partition_levers(stages, p["nodes"], p["links"], p["settings"])
+    joined = p["nodes"].filter(S.is_join(F.col("name"))).select("app_id", "execution_id")
+    own = r.windows.select("app_id", "stage_id", F.col("stage_id").alias("execution_id"))
+    return M.advice_context(r.stages, own, cause, A.spill_class(r.tasks), A.locality_stats(r.tasks), joined, levers, cases, p["settings"]), p
+
+
+_KINDS = (("skew", "data"), ("straggler", "share"), ("shuffle", "volume"), ("partitionSizing", "uneven"), ("partitionSizing", "few"), ("gc", "high"), ("stageSlowness", "duration"), ("tinyTask", "duration"), ("gc", "low"))
+
+
+def _advised(r: Run) -> DataFrame:
+    """Findings of single stages and runs, low collection times and idle capacity among them, and for each stage one of _KINDS, so that every kind has some."""
+    low = D.gc_low(r.stages, r.apps.filter("app_id = 'none'"), D.THRESHOLDS["gc"])
+    idle = D.utilization(r.model, D.THRESHOLDS["utilization"])
+    heap = r.apps.select("app_id", F.lit("memoryUtilization").alias("type"), F.lit("heapOverProvisioned").alias("rule"), F.lit(None).cast("long").alias("stage_id"))
+    cols = ["app_id", "type", "rule", "stage_id"]
+    n = (F.col("stage_id") + F.regexp_extract("app_id", r"([0-9]+)$", 1).cast("long")) % len(_KINDS)
+    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(u).alias("rule")) for t, u in _KINDS])
+    every = r.windows.select("app_id", "stage_id", F.get(kinds, n.cast("int")).alias("k")).select("app_id", "k.type", "k.rule", "stage_id")
+    return every.unionByName(r.reported.select(cols)).unionByName(low.select(cols)).unionByName(idle.select(cols)).unionByName(heap)
+
+
+#: The same findings, and what is known of their stages, in SQL.
+_ADVISED = "SELECT w.app_id, k.type, k.rule, w.stage_id FROM windows AS w JOIN (VALUES " + ", ".join(f"({i}, '{t}', '{u}')" for i, (t, u) in enumerate(_KINDS)) + f") AS k(i, type, rule) ON k.i = (w.stage_id + CAST(substr(w.app_id, 5) AS BIGINT)) % {len(_KINDS)}" + """ UNION ALL SELECT app_id, type, rule, stage_id FROM found UNION ALL SELECT app_id, 'gc', 'low', stage_id FROM st JOIN timing USING (app_id) WHERE run_ms >= 10000 AND failed_tasks = 0 AND CAST(gc_ms AS DOUBLE) / run_ms * 100 < 5 AND stage_ms * 100 >= duration_ms * 0.5
+ UNION ALL SELECT app_id, 'utilization', 'busyShare', NULL FROM r7 WHERE utilization < 0.6 UNION ALL SELECT app_id, 'memoryUtilization', 'heapOverProvisioned', NULL FROM apps"""
+_TAIL_ROWS = "SELECT *, ex - data - gc - fw AS lf FROM " + _A9[_A9.index("\n(SELECT *, least(") : -len(" GROUP BY app_id, stage_id")].replace("t.stage_id, t.duration_ms", "t.stage_id, t.host, t.duration_ms")
+_HELD = """SELECT app_id, stage_id, CASE WHEN here >= 3 AND here / CAST(tail AS DOUBLE) >= 0.5 AND here / CAST(tail AS DOUBLE) / (of_host / CAST(n AS DOUBLE)) >= 2 THEN lf ELSE 0.0 END AS host_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id ORDER BY here DESC, host DESC) AS i, sum(here) OVER (PARTITION BY app_id, stage_id) AS tail FROM
+ (SELECT app_id, stage_id, host, count(*) AS here, sum(lf) AS lf FROM tail_rows GROUP BY app_id, stage_id, host)) JOIN (SELECT app_id, stage_id, host, count(*) AS of_host FROM tasks WHERE NOT failed GROUP BY app_id, stage_id, host) USING (app_id, stage_id, host) JOIN (SELECT app_id, stage_id, count(*) AS n FROM tasks WHERE NOT failed GROUP BY app_id, stage_id) USING (app_id, stage_id) WHERE i = 1"""
+_CAUSES = """SELECT app_id, stage_id, CASE WHEN excess_ms IS NULL OR excess_ms <= 0 THEN 'unattributed' WHEN data_ms / excess_ms >= 0.5 THEN 'data' WHEN gc_ms >= greatest(fetch_ms, host_ms, rest) THEN 'gc' WHEN fetch_ms >= greatest(host_ms, rest) THEN 'fetchWait' WHEN host_ms >= rest THEN 'host' WHEN data_ratio IS NULL THEN 'unattributed' ELSE 'unexplained' END AS cause, data_ratio, data_ms >= excess_ms - data_ms - gc_ms - fetch_ms - host_ms AS data_most
+ FROM (SELECT *, greatest(0.0, excess_ms - data_ms - gc_ms - fetch_ms - host_ms) AS rest FROM (SELECT app_id, stage_id FROM st) AS s LEFT JOIN raw_tails USING (app_id, stage_id) LEFT JOIN held USING (app_id, stage_id))"""
+_CONTEXT = """SELECT st.app_id, st.stage_id, CASE WHEN shuffle_read > 0 AND shuffle_read >= input_bytes THEN 'shuffle' WHEN input_bytes > 0 THEN 'input' ELSE 'other' END AS reads, shuffle_p50 = 0 AND shuffle_max >= 0.9 * shuffle_read AS single_key, cause, data_ratio, data_most, spill_class, partitions, lever, key, count, needed, "case" AS c, detail, can, held,
+ jn <> 1 OR up = 4 AS has_join, st.app_id <> 'app-0' AS v3 FROM st JOIN causes USING (app_id, stage_id) JOIN (SELECT app_id, stage_id, CASE WHEN sum(mem_spilled) <= 0 THEN 'unclassified' WHEN avg(CASE WHEN mem_spilled = 0 THEN 1 ELSE 0 END) >= 0.8 THEN 'skew' WHEN avg(CASE WHEN mem_spilled = 0 THEN 1 ELSE 0 END) < 0.2 THEN 'volume' ELSE 'unclassified' END AS spill_class FROM tasks GROUP BY app_id, stage_id) AS sp USING (app_id, stage_id)
+ LEFT JOIN px_levers USING (app_id, stage_id) LEFT JOIN px_cases USING (app_id, stage_id) LEFT JOIN px_shape USING (app_id, stage_id)"""
+
+
+def _conf_sql(key: str, direction: str, value: str = "NULL") -> str:
+    return f"{{'kind': 'conf', 'key': {key if key == 'key' else repr(key)}, 'direction': '{direction}', 'value': CAST({value} AS VARCHAR)}}"
+
+
+def _code_sql(what: str) -> str:
+    return f"{{'kind': 'code', 'key': '{what}', 'direction': CAST(NULL AS VARCHAR), 'value': CAST(NULL AS VARCHAR)}}"
+
+
+_UP, _FORCED, _SPREAD = _conf_sql(M.MEMORY, "increase"), _conf_sql(S.FORCE, "set", "'true'"), _code_sql("spreadKey")
+_BY_CASE = f"""CASE WHEN c IS NULL OR c IN ('planShape', 'notSplit') THEN [{_SPREAD}] WHEN c = 'split' THEN CASE WHEN cause = 'data' THEN [{_SPREAD}] END WHEN c = 'evenReads' THEN NULL WHEN c = 'userRepartition' THEN [{_code_sql("dropRepartition")}] WHEN c = 'joinType' THEN CASE WHEN contains(detail, ' only') AND held AND can THEN [{_code_sql("hotKeyApart")}, {_FORCED}] ELSE [{_code_sql("hotKeyApart")}] END
+ WHEN c = 'belowThreshold' THEN CASE detail WHEN 'both' THEN [{_conf_sql(S.THRESHOLD, "decrease")}, {_conf_sql(S.FACTOR, "decrease")}] WHEN 'threshold' THEN [{_conf_sql(S.THRESHOLD, "decrease")}] ELSE [{_conf_sql(S.FACTOR, "decrease")}] END WHEN can THEN [{_FORCED}] ELSE [{_SPREAD}] END"""
+
+
+def _skew_sql(known: bool) -> str:
+    shuffled = "TRUE" if known else "reads = 'shuffle'"
+    return f"CASE WHEN NOT ({shuffled}) AND reads = 'input' THEN [{_conf_sql(M.FILES, 'decrease')}] WHEN NOT ({shuffled}) OR NOT has_join OR NOT v3 THEN [{_SPREAD}] ELSE {_BY_CASE} END"
+
+
+def _sized_sql(more: str, *also: str) -> str:
+    return f"CASE lever WHEN 'aqeCoalesced' THEN [{', '.join((_conf_sql(S.ADVISORY, 'decrease'), *also))}] WHEN 'ownPartitioning' THEN [{', '.join((_code_sql('ownPartitions'), *also))}] ELSE [{', '.join((more, *also))}] END"
+
+
+_KEY_UP, _SMALLER, _LARGER = _conf_sql("key", "increase"), _conf_sql(S.ADVISORY, "decrease"), _conf_sql(S.ADVISORY, "increase")
+_REMEDIES = f"""SELECT app_id, type, rule, stage_id, r.kind AS kind, r.key AS key, r.direction AS direction, r.value AS value FROM (SELECT f.app_id, f.type, f.rule, f.stage_id, unnest(CASE WHEN f.type = 'skew' THEN {_skew_sql(False)}
+ WHEN f.type = 'straggler' THEN CASE WHEN cause = 'data' OR (cause = 'unexplained' AND data_ratio >= 2 AND data_most) THEN {_skew_sql(False)} WHEN cause = 'gc' THEN [{_UP}] WHEN cause = 'host' THEN [{_conf_sql(M.SPECULATION, "set", "'true'")}] END
+ WHEN f.type = 'spill' THEN CASE WHEN spill_class = 'skew' THEN NULL WHEN reads = 'shuffle' THEN {_sized_sql(_KEY_UP, _UP)} ELSE [{_UP}] END WHEN f.type = 'shuffle' THEN CASE partitions WHEN 'aqeCoalesced' THEN [{_SMALLER}] WHEN 'raise' THEN [{_KEY_UP}] END
+ WHEN f.rule = 'uneven' THEN CASE WHEN single_key THEN [{_code_sql("singleKey")}] ELSE {_skew_sql(True)} END WHEN f.rule = 'few' THEN CASE partitions WHEN 'aqeCoalesced' THEN [{_SMALLER}] WHEN 'ownPartitioning' THEN NULL ELSE [{_conf_sql("key", "increase", "CASE WHEN count IS NOT NULL THEN needed END")}] END
+ WHEN f.type = 'gc' THEN CASE WHEN f.rule = 'low' THEN [{_conf_sql(M.MEMORY, "decrease")}] ELSE [{_UP}] END WHEN f.type = 'stageSlowness' THEN CASE reads WHEN 'shuffle' THEN {_sized_sql(_KEY_UP)} WHEN 'input' THEN [{_conf_sql(M.FILES, "decrease")}] END
+ WHEN f.type = 'tinyTask' THEN CASE WHEN reads = 'shuffle' THEN CASE lever WHEN 'aqeCoalesced' THEN CASE WHEN f.app_id IN ('app-2', 'app-3') THEN [{_conf_sql(M.PARALLEL, "set", "'false'")}, {_LARGER}] ELSE [{_LARGER}] END WHEN 'ownPartitioning' THEN [{_code_sql("ownPartitions")}] ELSE [{_conf_sql("key", "decrease")}] END END
+ WHEN f.type = 'speculationWaste' THEN [{_conf_sql(M.MULTIPLIER, "increase")}, {_conf_sql(M.QUANTILE, "increase")}] WHEN f.type = 'coreLocality' THEN [{_conf_sql(M.LOCALITY, "increase")}] WHEN f.type = 'utilization' THEN [{_conf_sql(M.DYNAMIC, "set", "'true'")}, {_conf_sql(M.INSTANCES, "decrease")}] WHEN f.type = 'memoryUtilization' THEN [{_conf_sql(M.MEMORY, "decrease")}] END) AS r
+ FROM advised AS f LEFT JOIN context AS x ON x.app_id = f.app_id AND x.stage_id = f.stage_id)"""
+_ADVICE = {
+    **_MORE, "raw_tails": _MORE["tails"].replace("round(sum(gc) + 1e-6, 3) AS gc_ms", "sum(gc) AS gc_ms").replace("round(sum(fw) + 1e-6, 3) AS fetch_ms", "sum(fw) AS fetch_ms").replace("round(median(ratio) + 1e-7, 4) AS data_ratio", "median(ratio) AS data_ratio"),
+    "tail_rows": _TAIL_ROWS, "held": _HELD, "advised": _ADVISED, "causes": _CAUSES, "context": _CONTEXT, "remedy": _REMEDIES,
+    **shaped(L.STAGES_OF_RUNS_SQL.format(windows="windows"), "JOIN (SELECT app_id, stage_id, shuffle_max AS read_max, shuffle_p50 AS read_p50, cause = 'data' AS data_tail, tasks, shuffle_read FROM st JOIN causes USING (app_id, stage_id)) AS z ON z.app_id = x.app_id AND z.stage_id = x.stage_id"),
+}
+
+
+@query("i15_remedies", "SELECT * FROM remedy", True, **_ADVICE)
+def _(r: Run) -> DataFrame:
+    return M.remedies(_advised(r), _advice(r)[0])
+
+
+@query("i9_reconciled_memory", f"""SELECT app_id, type, rule, stage_id, CASE WHEN noted THEN 'note' ELSE kind END AS kind, key, CASE WHEN NOT noted THEN direction END AS direction, CASE WHEN noted THEN stages ELSE value END AS value FROM (SELECT r.*, r.stage_id IS NULL AND asked.app_id IS NOT NULL AND key = '{M.MEMORY}' AND direction = 'decrease' AS noted, asked.stages FROM remedy AS r
+ LEFT JOIN (SELECT app_id, string_agg(CAST(stage_id AS VARCHAR), ',' ORDER BY stage_id) AS stages FROM (SELECT DISTINCT app_id, stage_id FROM remedy WHERE key = '{M.MEMORY}' AND direction = 'increase') GROUP BY app_id) AS asked USING (app_id)
+ WHERE NOT (key = '{M.MEMORY}' AND direction = 'decrease' AND r.stage_id IS NOT NULL AND EXISTS (SELECT 1 FROM remedy AS u WHERE u.app_id = r.app_id AND u.stage_id = r.stage_id AND u.key = '{M.MEMORY}' AND u.direction = 'increase')))""", True, **_ADVICE)
+def _(r: Run) -> DataFrame:
+    return M.reconcile_memory(cut(M.remedies(_advised(r), _advice(r)[0])))
+
+
+@query("i10_linked_broadcasts", f"""SELECT m.app_id, m.stage_id, m.stage_id AS execution_id, CASE WHEN up = 5 THEN '0.0.0.0' ELSE '0.0.0' END AS path, CASE WHEN auto_set = '-1' AND NOT (final AND adaptive_set IS NOT NULL) THEN 'enableOrHint' WHEN th2 >= build THEN 'hint' ELSE 'raiseOrHint' END AS how FROM
+ (SELECT *, CASE WHEN bl AND (NOT br OR ld <= rd) THEN ld ELSE rd END AS build, CASE WHEN bl AND (NOT br OR ld <= rd) THEN rd ELSE ld END AS stream, CASE WHEN final AND adaptive_set IS NOT NULL THEN 1073741824 WHEN auto_set = '-1' THEN -1 WHEN auto_set = '100MB' THEN 104857600 ELSE 10485760 END AS th2 FROM (SELECT *, type IN ('Inner', 'Cross', 'RightOuter') AS bl,
+ type IN ('Inner', 'Cross', 'LeftOuter', 'LeftSemi', 'LeftAnti', 'ExistenceJoin') AS br FROM px_s WHERE jn >= 2 AND NOT marked AND li < 7 AND ri < 5 AND k = 1) WHERE bl OR br) AS m
+ WHERE build BETWEEN 1048576 AND 1073741824 AND build <= stream AND ((th2 >= build) OR build < 10485760 OR (build < 104857600 AND stream > 10737418240) OR (build < 1073741824 AND stream > 322122547200))""", True, **_ADVICE)
+def _(r: Run) -> DataFrame:
+    """Stages of which one task reads it all and the others nothing, with the plans of `_advice`."""
+    p = _advice(r)[1]
+    single = r.windows.select("app_id", "stage_id", F.lit(0).alias("shuffle_p50"), F.lit(300 * MIB).alias("shuffle_max"), F.lit(300 * MIB).alias("shuffle_read"))
+    found = single.select("app_id", F.lit("partitionSizing").alias("type"), F.lit("uneven").alias("rule"), "stage_id")
+    missed = cut(PD.missed_broadcasts(p["nodes"], p["metrics"], p["settings"]))
+    return M.link_missed_broadcasts(found, single, missed, PD.join_readers(missed, p["links"]))
+
+
 _MEMORY = """SELECT r7.app_id, idle_share AS i, es, (1 + CAST(substr(r7.app_id, 5) AS BIGINT)) * 128.0::DOUBLE AS mb, pk, rm FROM r7 JOIN (SELECT app_id, CAST(sum(end_ms - start_ms) AS DOUBLE) / 1000 AS es FROM alive GROUP BY app_id) AS e USING (app_id)
  LEFT JOIN (SELECT app_id, max(peak_mem) AS pk FROM tasks WHERE app_id <> 'app-2' GROUP BY app_id) AS p USING (app_id) JOIN (SELECT app_id, CAST(sum(run_ms) AS DOUBLE) AS rm FROM tasks GROUP BY app_id) AS w USING (app_id)"""
 
