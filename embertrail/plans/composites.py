@@ -13,19 +13,32 @@ PASSING = ("InputAdapter", "Project", "Sort", "Exchange", "BroadcastExchange", "
 TIMES = 2
 
 
-def normal_detail(detail: Column) -> Column:
-    """A join's or union's text without what numbers one run: expression, plan and code ids, the side that was built; `b = a` as `a = b`."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(detail, "#[0-9]+L?", ""), r",?\s*plan_id=[0-9]+", ""), r"(?i)\[codegen id\s*:\s*[0-9]+\]", "[codegen id]")
-    text = F.regexp_replace(text, r"\bBuild(?:Left|Right)\b", "BuildSide")
-    marked = F.regexp_replace(text, r"(?<![A-Za-z_])([A-Za-z_][\w.]*+)\s*=\s*([A-Za-z_][\w.]*+)", "\u0001$1\u0002$2\u0001")
-    ordered = lambda p: F.when(p.contains("\u0002"), F.array_join(F.array_sort(F.split(p, "\u0002")), " = ")).otherwise(p)
-    return F.array_join(F.transform(F.split(marked, "\u0001"), ordered), "")
+#: Words that number a plan or say which side was built; none of them tells two joins apart.
+RUN_WORDS = ("plan_id", "BuildLeft", "BuildRight")
+
+
+def same_terms(detail: Column) -> Column:
+    """The terms of a join's or union's text that tell what it computes, as one text.
+
+    Terms lie between commas and ANDs. Expression ids, the mark of code generation behind them all, and terms about one run of the plan go; names on both sides of an
+    equality are put in order, brackets around them left where they are.
+    """
+    terms = F.split(F.regexp_replace(F.substring_index(detail, " [codegen", 1), "#[0-9]+L?", ""), r",| AND ")
+    own = F.filter(terms, lambda t: ~F.arrays_overlap(F.split(t, r"\W+"), F.array(*map(F.lit, RUN_WORDS))))
+
+    def in_order(t: Column) -> Column:
+        core = F.btrim(t, F.lit(" ()[]"))
+        sides = F.split(core, " = ")
+        plain = (F.size(sides) == 2) & F.forall(sides, lambda s: s.rlike(r"^[A-Za-z_][\w.]*$"))
+        return F.when(plain, F.replace(t, core, F.array_join(F.array_sort(sides), " = "))).otherwise(F.trim(t))
+
+    return F.array_join(F.transform(own, in_order), ",")
 
 
 def composites(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     """(node, operator, fingerprint, relations, bytes, above): one row a join or union, with the relations scanned below it, the bytes read there, and the fingerprints of composites above it."""
     kind = F.when(F.col("name").rlike("(?i)join"), "join").when(F.col("name") == "Union", "union")
-    own = nodes.withColumn("operator", kind).filter("operator IS NOT NULL").select(*NODE, "operator", F.coalesce(normal_detail(F.col("detail")), F.lit("")).alias("_own"))
+    own = nodes.withColumn("operator", kind).filter("operator IS NOT NULL").select(*NODE, "operator", F.coalesce(same_terms(F.col("detail")), F.lit("")).alias("_own"))
     labels = metrics.groupBy(NODE).agg(F.array_join(F.sort_array(F.collect_set("metric")), ",").alias("_m"))
     named = nodes.select(*NODE, "name").join(labels, NODE, "left").select(*NODE, F.concat_ws("/", "name", "_m").alias("name"))
     x = own.join(subtree_shapes(named), NODE).select(*NODE, "operator", F.sha2(F.concat_ws("|", "fingerprint", "_own"), 256).alias("fingerprint"))

@@ -44,8 +44,8 @@ _TARGETS = f"""SELECT app_id, execution_id, {_COMMANDS} AS command, CASE WHEN k
  CASE WHEN k = 0 AND s = 'P' THEN NULL WHEN k = 0 THEN 's3://lake/' || s || '/c' || c WHEN k = 1 THEN 'db.t' || c WHEN k = 2 THEN 's' || s || '.t' || c WHEN k = 3 AND execution_id % 16 < 8 THEN 'db.m' || c WHEN k = 3 AND {_SCANNED} THEN 'file:///lake/m' || CAST(block AS VARCHAR) WHEN k = 7 AND s = 'F' THEN 'main.ns.t' || c WHEN k = 7 THEN 'ns.t' || c END AS target FROM e WHERE k IN (0, 1, 2, 3, 7)"""
 
 _add("p19_write_targets", lambda t: W.write_targets(t["nodes"], t["executions"], t["parts"]).select("app_id", "execution_id", "command", "kind", "target"), _TARGETS)
-_add("p20_api_merges", lambda t: W.api_merges(t["executions"], t["nodes"]).select("app_id", "execution_id", "kind", "target", "raw"), """SELECT app_id, execution_id, CASE WHEN why IS NULL THEN 'path' END AS kind, CASE WHEN why IS NULL THEN 'file:///lake/m' || CAST(block AS VARCHAR) END AS target, 'Delta MERGE operation, executions ' || CAST(execution_id AS VARCHAR) || CASE WHEN n > 1 THEN '-' || CAST(execution_id + n - 1 AS VARCHAR) ELSE '' END || CASE WHEN why IS NULL THEN '' ELSE ' (' || why || ')' END AS raw
- FROM (SELECT app_id, block, min(execution_id) AS execution_id, count(*) AS n, CASE WHEN count(start_ms) < count(*) THEN 'start time missing' WHEN NOT bool_or(description LIKE '%writing%') THEN 'no write phase' END AS why FROM e WHERE k IN (5, 6) GROUP BY app_id, block)""")
+_add("p20_api_merges", lambda t: W.api_merges(t["executions"], t["nodes"]).select("app_id", "execution_id", "kind", "target", "raw"), """SELECT app_id, execution_id, CASE WHEN why IS NULL THEN 'path' END AS kind, CASE WHEN why IS NULL THEN 'file:///lake/m' || CAST(block AS VARCHAR) END AS target, 'merge through the API in ' || CAST(execution_id AS VARCHAR) || CASE WHEN n > 1 THEN ' to ' || CAST(execution_id + n - 1 AS VARCHAR) ELSE '' END || CASE WHEN why IS NULL THEN '' ELSE ': ' || why END AS raw
+ FROM (SELECT app_id, block, min(execution_id) AS execution_id, count(*) AS n, CASE WHEN count(start_ms) < count(*) THEN 'no start time' WHEN NOT bool_or(description LIKE '%writing%') THEN 'nothing written' END AS why FROM e WHERE k IN (5, 6) GROUP BY app_id, block)""")
 _add("p21_write_figures", lambda t: W.write_figures(W.write_targets(t["nodes"], t["executions"], t["parts"]), t["metrics"], t["stages"], t["executions"]).select("app_id", "execution_id", "output_rows", "rows_source", "output_bytes", "inserted", "copied"), """SELECT app_id, execution_id, CASE WHEN k = 3 AND s <> 'O' THEN b + 15.0 WHEN k = 3 THEN NULL WHEN k = 1 THEN b WHEN s <> 'F' THEN execution_id % 100 END::DOUBLE AS output_rows,
  CASE WHEN k = 3 THEN CASE WHEN s <> 'O' THEN 'commandMetric' END WHEN k = 1 THEN 'nodeMetric' WHEN s <> 'F' THEN 'stageSum' END AS rows_source, CASE WHEN k <> 3 AND s <> 'F' THEN b END::DOUBLE AS output_bytes, CASE WHEN k = 3 THEN b END::DOUBLE AS inserted, CASE WHEN k = 3 AND s <> 'O' THEN 5 END::DOUBLE AS copied FROM e WHERE k IN (0, 1, 2, 3, 7)""")
 _add("t25_plan_description_parts", lambda t: W.plan_description_parts(t["texts"]).selectExpr("app_id", "execution_id", "command", "args", "array_join(transform(map_entries(exchange_columns), x -> x.key || ':' || x.value), ',') AS columns"), "SELECT app_id, execution_id, CASE WHEN k = 3 THEN 'MergeIntoCommand' END AS command, CASE WHEN k = 3 THEN '`spark_catalog`.`db`.`m' || c || '`, x' END AS args, CASE WHEN k = 1 THEN CAST(block AS VARCHAR) || ':' || c ELSE '' END AS columns FROM e")
