@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import sweep, union_ms
+from ..functions.quantiles import quantiles
 from ..functions.units import MIB
 
 STAGE = ["app_id", "stage_id"]
@@ -41,7 +42,7 @@ def stage_sums(tasks: DataFrame) -> DataFrame:
 def stage_quantiles(tasks: DataFrame, cols: Sequence[str] = ("duration_ms", "shuffle_read", "mem_spilled", "disk_spilled")) -> DataFrame:
     """(stage, metric, p50, p95, max): the textbook median, the nearest rank and the largest value of each column."""
     values = tasks.select(*STAGE, F.explode(F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("bigint"))])).alias("metric", "x"))
-    return values.groupBy(*STAGE, "metric").agg(median("x").alias("p50"), nearest_rank("x", 0.95).alias("p95"), F.max("x").alias("max"))
+    return quantiles(values, [*STAGE, "metric"], "x").drop("n")
 
 
 def host_stats(tasks: DataFrame) -> DataFrame:
@@ -80,17 +81,18 @@ def spill_class(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy(STAGE).agg(named.alias("spill_class"))
 
 
-def with_medians(tasks: DataFrame) -> DataFrame:
+def with_medians(tasks: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """Tasks with their stage's median duration as p50: a join with one row a stage, which adaptive execution can split."""
-    return tasks.join(tasks.groupBy(STAGE).agg(median("duration_ms").alias("p50")), STAGE)
+    p50 = quantiles(tasks, STAGE, "duration_ms") if medians is None else medians
+    return tasks.join(p50.select(*STAGE, "p50"), STAGE)
 
 
-def stragglers(tasks: DataFrame, factor: int = STRAGGLER_FACTOR) -> DataFrame:
+def stragglers(tasks: DataFrame, factor: int = STRAGGLER_FACTOR, medians: DataFrame | None = None) -> DataFrame:
     """Tasks over `factor` medians: count, their time over the median, and the longest task that isn't one. Zeros with a median of 0."""
     slow = (F.col("p50") > 0) & (F.col("duration_ms") > factor * F.col("p50"))
     fine = (F.col("p50") > 0) & ~slow
     zero = F.lit(0.0)
-    return with_medians(tasks).groupBy(STAGE).agg(
+    return with_medians(tasks, medians).groupBy(STAGE).agg(
         F.count_if(slow).alias("stragglers"), F.coalesce(F.sum(F.when(slow, F.col("duration_ms") - F.col("p50"))), zero).alias("excess_ms"),
         F.coalesce(F.max(F.when(fine, F.col("duration_ms"))), F.lit(0)).alias("longest_ok_ms"),
     )
@@ -142,17 +144,22 @@ def peak_concurrency(tasks: DataFrame) -> DataFrame:
     return sweep(tasks.filter("launch_ms > 0"), STAGE, "launch_ms", "finish_ms").groupBy(STAGE).agg(F.max("busy").alias("peak_tasks"))
 
 
+def _recovery() -> list[Column]:
+    """recovery_ms, removed_ms and longest_after_ms from longest, p50, peak_tasks and the columns of `stragglers`."""
+    single = F.greatest(F.lit(0.0), F.col("longest") - F.col("p50"))
+    spread = F.when((F.col("excess_ms") > 0) & (F.col("peak_tasks") > 0), F.greatest(single, F.col("excess_ms") / F.col("peak_tasks"))).otherwise(single)
+    after = F.when(F.col("stragglers") > 0, F.greatest(F.col("p50"), F.col("longest_ok_ms"))).otherwise(F.col("p50"))
+    return [spread.alias("recovery_ms"), F.greatest(single, "excess_ms").alias("removed_ms"), after.alias("longest_after_ms")]
+
+
 def tail_recovery(tasks: DataFrame) -> DataFrame:
     """What removing the tail gives: wall clock, task time, and the longest task left.
 
     The closed form: the longest task's excess, or all straggler excess spread over the slots the stage had.
     """
-    peaks = tasks.groupBy(STAGE).agg(F.max("duration_ms").alias("longest"), median("duration_ms").alias("p50"))
-    x = peaks.join(stragglers(tasks), STAGE).join(peak_concurrency(tasks), STAGE, "left")
-    single = F.greatest(F.lit(0.0), F.col("longest") - F.col("p50"))
-    spread = F.when((F.col("excess_ms") > 0) & (F.col("peak_tasks") > 0), F.greatest(single, F.col("excess_ms") / F.col("peak_tasks"))).otherwise(single)
-    after = F.when(F.col("stragglers") > 0, F.greatest(F.col("p50"), F.col("longest_ok_ms"))).otherwise(F.col("p50"))
-    return x.select(*STAGE, spread.alias("recovery_ms"), F.greatest(single, "excess_ms").alias("removed_ms"), after.alias("longest_after_ms"))
+    peaks = quantiles(tasks, STAGE, "duration_ms").select(*STAGE, F.col("max").alias("longest"), "p50")
+    x = peaks.join(stragglers(tasks, medians=peaks), STAGE).join(peak_concurrency(tasks), STAGE, "left")
+    return x.select(*STAGE, *_recovery())
 
 
 def stage_ratios(tasks: DataFrame) -> DataFrame:
@@ -173,13 +180,27 @@ def stage_cores(tasks: DataFrame, executors: DataFrame) -> DataFrame:
     return tasks.select(*STAGE, "executor_id").distinct().join(own, ["app_id", "executor_id"]).groupBy(STAGE).agg(F.sum("cores").alias("stage_cores"))
 
 
-def stage_table(tasks: DataFrame, windows: DataFrame) -> DataFrame:
-    """One wide row a stage: what the detectors and estimates read. One pass over the tasks for the sums and quantiles, one for the stragglers, one for the sweep."""
-    one = tasks.groupBy(STAGE).agg(
+def stage_spans(tasks: DataFrame) -> DataFrame:
+    """Sums of a stage, as of `stage_sums`, with its task time and the time from its first launch to its last end, in one pass."""
+    return tasks.groupBy(STAGE).agg(
         F.count("*").alias("tasks"), F.count_if("failed").alias("failed_tasks"), F.count_if("speculative").alias("speculative_tasks"),
         *[F.sum(c).alias(c) for c in SUMS], F.sum("output_records").alias("output_records"), F.sum("duration_ms").alias("task_ms"),
-        median("duration_ms").alias("p50"), nearest_rank("duration_ms", 0.95).alias("p95"), F.max("duration_ms").alias("longest"),
-        median("shuffle_read").alias("shuffle_p50"), F.max("shuffle_read").alias("shuffle_max"), F.max("mem_spilled").alias("spill_max"),
-        median("mem_spilled").alias("spill_p50"), F.max("disk_spilled").alias("disk_max"), median("disk_spilled").alias("disk_p50"),
+        F.min("launch_ms").alias("submitted_ms"), F.max("finish_ms").alias("completed_ms"),
     )
-    return one.join(stragglers(tasks), STAGE).join(tail_recovery(tasks), STAGE).join(windows, STAGE).withColumn("stage_ms", F.col("completed_ms") - F.col("submitted_ms"))
+
+
+#: Columns of the stage table that are quantiles: metric, then (quantile, name).
+_QUANTILES = {"duration_ms": (("p50", "p50"), ("p95", "p95"), ("max", "longest")), "shuffle_read": (("p50", "shuffle_p50"), ("max", "shuffle_max")), "mem_spilled": (("p50", "spill_p50"), ("max", "spill_max")), "disk_spilled": (("p50", "disk_p50"), ("max", "disk_max"))}
+
+
+def stage_table(tasks: DataFrame, windows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """One wide row a stage: what the detectors and estimates read.
+
+    One pass over the tasks for the sums, one for the quantiles, one for the stragglers, one for the sweep. `keep` is
+    applied to sums and quantiles, which the stragglers read too.
+    """
+    q = stage_quantiles(tasks)
+    wide = q.groupBy(STAGE).agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(name) for m, names in _QUANTILES.items() for c, name in names])
+    one = keep(stage_spans(tasks).drop("submitted_ms", "completed_ms").join(wide, STAGE))
+    x = one.join(stragglers(tasks, medians=one), STAGE).join(peak_concurrency(tasks), STAGE, "left")
+    return x.select(*one.columns, "stragglers", "excess_ms", "longest_ok_ms", *_recovery()).join(windows, STAGE).withColumn("stage_ms", F.col("completed_ms") - F.col("submitted_ms"))

@@ -90,7 +90,9 @@ _add("p8_duplicate_subtrees", lambda n, m: N.duplicate_subtrees(N.subtree_shapes
 _add("p15_join_side_bytes", lambda n, m: N.join_side_bytes(n, m), "SELECT app_id, execution_id, '0.0' AS path, CAST(substr(path, 5, 1) AS INT) AS side, value AS bytes FROM metrics WHERE metric = 'data size' AND execution_id % 3 = 0 UNION ALL SELECT app_id, execution_id, '0.0.0', 1, value FROM metrics WHERE metric = 'data size' AND execution_id % 3 = 2")
 _add("p22_plan_edges", lambda n, m: N.plan_edges(n, m), f"SELECT n.app_id, n.execution_id, regexp_replace(n.path, '\\.[0-9]+$', '') AS parent, n.path AS child, m.value AS shuffle_bytes FROM nodes AS n LEFT JOIN {_metric('data size')} AS m USING (app_id, execution_id, path) WHERE n.path LIKE '%.%'")
 _add("t19_split_exchanges", lambda n, m: N.split_exchanges(n).select("app_id", "execution_id", "path", "name", "half"))
-_add("f25_caching_relations", lambda n, m: D.caching_relations(n, m), "SELECT app_id, 'orc:logs' AS relation, count(*) AS executions FROM (SELECT DISTINCT app_id, execution_id FROM nodes WHERE name = 'Scan orc logs') GROUP BY app_id HAVING count(*) >= 2")
+#: Scans outside a join or union count; inside one they do where it is in one execution only, as orders then are in one of each kind.
+_add("f25_caching_relations", lambda n, m: D.caching_relations(n, m), """SELECT app_id, unnest(CASE WHEN j >= 2 THEN ['orc:logs'] WHEN j = 1 AND u = 1 THEN ['parquet:sales.orders'] END) AS relation, CASE WHEN j >= 2 THEN j ELSE 2 END AS executions
+ FROM (SELECT app_id, count(*) FILTER (execution_id % 3 = 0) AS j, count(*) FILTER (execution_id % 3 = 1) AS u FROM (SELECT DISTINCT app_id, execution_id FROM nodes) GROUP BY app_id)""")
 _add("f29_nested_loop_joins", lambda n, m: D.nested_loop_joins(n, m), _finding("nestedLoopJoin", "output rows", f"nodes JOIN {_metric('number of output rows')} USING ({_KEY}) WHERE name = 'CartesianProduct' AND value >= 1000000"))
 _add("f30_duplicate_plan_subtrees", lambda n, m: D.duplicate_plan_subtrees(n).drop("fingerprint"), "SELECT DISTINCT app_id, execution_id, 4 AS size, 2 AS n FROM nodes WHERE execution_id % 3 = 1")
 _add("f31_small_files", lambda n, m: D.small_files(n, m), _finding("smallFiles", "files read", f"{_metric('number of files read')} JOIN (SELECT {_KEY}, value AS b FROM metrics WHERE metric = 'size of files read') USING ({_KEY}) WHERE value > 100 AND b / value < 3145728") + " UNION ALL " + _finding("smallFiles", "files written", f"{_metric('number of written files')} JOIN (SELECT {_KEY}, value AS b FROM metrics WHERE metric = 'written output') USING ({_KEY}) WHERE value > 100 AND b / value < 3145728"))

@@ -28,7 +28,7 @@ from .plans import detectors as PD
 from .plans import skew_joins as S
 from .plans.skew_queries import shaped
 from .sources import eventlog as E
-from .sources.testdata import facts, with_tables
+from .sources.testdata import Facts, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,20 +38,26 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Run:
-    """The derived tables of one folder, and what most operators read, as lazy frames; the stage table is computed once.
+    """The derived tables of one folder, and what most operators read, as lazy frames; stage windows, executors and the stage table are computed once.
 
     `keep` also writes the task rows once, for what reads them many times.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
-        self.spark, self.t = spark, facts(spark, sf_dir, cut if keep else None)
-        self.tasks, self.windows, self.apps, self.executors, self.jobs, self.attempts = (self.t[k] for k in ("tasks", "windows", "apps", "executors", "jobs", "attempts"))
+        self.spark, self.t = spark, Facts(spark, sf_dir, {"windows": cut, "executors": cut} | ({"tasks": cut} if keep else {}))
+
+    tasks, windows, apps, executors, jobs, attempts = (property(lambda self, name=name: self.t[name]) for name in ("tasks", "windows", "apps", "executors", "jobs", "attempts"))
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """Sums and windows of stages, without quantiles and tails."""
+        return cut(A.stage_spans(self.tasks))
 
     @cached_property
     def stages(self) -> DataFrame:
         """Stage table with the run's duration and cores on each row, and the cores of the stage's own executors."""
         run = self.timing.select("app_id", "duration_ms").join(self.executors.groupBy("app_id").agg(F.sum("cores").alias("total_cores")), ["app_id"])
-        return cut(A.stage_table(self.tasks, self.windows).join(run, ["app_id"]).join(A.stage_cores(self.tasks, self.executors), A.STAGE, "left"))
+        return cut(A.stage_table(self.tasks, self.windows, cut).join(run, ["app_id"]).join(A.stage_cores(self.tasks, self.executors), A.STAGE, "left"))
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -343,7 +349,7 @@ def _(r: Run) -> DataFrame:
 
 @query("r15_run_metrics", "SELECT app_id, duration_ms, stages, " + ", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in X.DIRECTIONS if m not in ("duration_ms", "stages")) + " FROM rm JOIN timing USING (app_id)")
 def _(r: Run) -> DataFrame:
-    return X.run_metrics(r.stages, r.timing)
+    return X.run_metrics(r.spans, r.timing)
 
 
 @query("r16_job_outcome", "SELECT * FROM outcome")
@@ -368,12 +374,12 @@ def _(r: Run) -> DataFrame:
 
 @query("i1_occupancy", "SELECT app_id, stage_id, round(occupancy_ms, 2) AS occupancy_ms FROM occ")
 def _(r: Run) -> DataFrame:
-    return I.occupancy(r.stages).withColumn("occupancy_ms", F.round("occupancy_ms", 2))
+    return I.occupancy(r.spans).withColumn("occupancy_ms", F.round("occupancy_ms", 2))
 
 
 @query("i2_gate", "SELECT app_id, stage_id, round(least(1.0, occupancy_ms / stage_ms), 6) AS gate FROM occ JOIN st USING (app_id, stage_id)")
 def _(r: Run) -> DataFrame:
-    return I.gate(r.stages).withColumn("gate", F.round("gate", 6))
+    return I.gate(r.spans).withColumn("gate", F.round("gate", 6))
 
 
 @query("i3_ceiling", "SELECT app_id, stage_id, greatest(CAST(longest AS DOUBLE), CAST(run_ms AS DOUBLE) / total_cores) AS ceiling, CAST(run_ms AS DOUBLE) / total_cores AS core_floor FROM st JOIN cores USING (app_id)")
@@ -520,7 +526,7 @@ def _(r: Run) -> DataFrame:
 
 @query("b2_max_spill", _budget_sql("max-spill", "CAST(max(disk_spilled) AS DOUBLE) / 1073741824", "v > 0.5", "st GROUP BY app_id"))
 def _(r: Run) -> DataFrame:
-    return B.max_spill(r.stages, 0.5)
+    return B.max_spill(r.spans, 0.5)
 
 
 @query("b3_max_skew", _budget_sql("max-skew", "max(CASE WHEN p50 > 0 THEN CASE WHEN tasks >= 20 THEN p95 ELSE longest END / p50 END)", "v > 10", "st GROUP BY app_id"))
@@ -530,7 +536,7 @@ def _(r: Run) -> DataFrame:
 
 @query("b4_max_failed_task_rate", _budget_sql("max-failed-task-rate", "CAST(sum(failed_tasks) AS DOUBLE) / CAST(sum(tasks) AS DOUBLE) * 100", "v > 3", "st GROUP BY app_id"))
 def _(r: Run) -> DataFrame:
-    return B.max_failed_task_rate(r.stages, 3)
+    return B.max_failed_task_rate(r.spans, 3)
 
 
 @query("b5_no_failed_jobs", _budget_sql("no-failed-jobs", "failed", "v > 0", "outcome"))
@@ -545,12 +551,12 @@ def _(r: Run) -> DataFrame:
 
 @query("x3_metric_deltas", "SELECT * FROM md")
 def _(r: Run) -> DataFrame:
-    return X.metric_deltas(X.run_metrics(r.stages, r.timing), r.pairs)
+    return X.metric_deltas(cut(X.run_metrics(r.spans, r.timing)), r.pairs)
 
 
 @query("b7_max_regression", "SELECT cand_app AS app_id, 'max-regression:task_ms' AS name, CASE WHEN relative IS NULL THEN 'inconclusive' WHEN relative * 100 > 0.5 THEN 'violation' ELSE 'pass' END AS status, relative * 100 AS detail FROM md WHERE metric = 'task_ms'")
 def _(r: Run) -> DataFrame:
-    return B.max_regression(X.metric_deltas(X.run_metrics(r.stages, r.timing), r.pairs), {"task_ms": 0.5})
+    return B.max_regression(X.metric_deltas(cut(X.run_metrics(r.spans, r.timing)), r.pairs), {"task_ms": 0.5})
 
 
 @query("x2_match_stages", "SELECT * FROM matched")
@@ -580,7 +586,7 @@ def _(r: Run) -> DataFrame:
 
 @query("x13_volume_diff", "SELECT base_app, cand_app, metric AS figure, relative, abs(relative) <= 0.1 AS equal FROM md WHERE metric IN ('input_bytes', 'output_bytes')")
 def _(r: Run) -> DataFrame:
-    return X.volume_diff(X.metric_deltas(X.run_metrics(r.stages, r.timing), r.pairs))
+    return X.volume_diff(X.metric_deltas(cut(X.run_metrics(r.spans, r.timing)), r.pairs))
 
 
 _RECORD = ("stage_id", "task_id", "host", "executor_id", "locality", "launch_ms", "finish_ms", "duration_ms", "failed", "speculative", "shuffle_read", "shuffle_write", "input_bytes", "records_read", "output_bytes", "output_records", "mem_spilled", "disk_spilled", "gc_ms", "run_ms", "cpu_ns", "fetch_wait_ms", "peak_mem")
@@ -827,5 +833,5 @@ def _(r: Run) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage skew table: stages by the ratio of their 95th percentile task to the median one."""
-    q = A.stage_quantiles(facts(spark, sf_dir)["tasks"], ("duration_ms",))
+    q = A.stage_quantiles(Facts(spark, sf_dir)["tasks"], ("duration_ms",))
     return q.withColumn("ratio", F.when(F.col("p50") > 0, F.col("p95") / F.col("p50"))).filter("ratio > 3")

@@ -60,14 +60,24 @@ UNION ALL SELECT app_id, stage_id, task_id, 2 * task_id + 2, duration_ms + 7, FA
 }
 
 
-def facts(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """All derived tables, lazily; `keep` is applied to the tasks, from which the others come."""
-    made = {"lineitem": spark.read.parquet(f"{sf_dir}/lineitem.parquet")}
-    for name, sql in TABLES.items():
-        made[name] = spark.sql(sql, **{k: v for k, v in made.items() if "{" + k + "}" in sql})
-        if keep and name == "tasks":
-            made[name] = keep(made[name])
-    return made
+class Facts:
+    """The derived tables by name, made when first asked for; `keep` is applied to a table's rows the first time, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
+        self.spark, self.keep = spark, keep or {}
+        self.made = {"lineitem": spark.read.parquet(f"{sf_dir}/lineitem.parquet")}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            sql = TABLES[name]
+            df = self.spark.sql(sql, **{k: self[k] for k in ("lineitem", *TABLES) if "{" + k + "}" in sql})
+            self.made[name] = self.keep.get(name, lambda x: x)(df)
+        return self.made[name]
+
+
+def facts(spark: SparkSession, sf_dir: str) -> Facts:
+    """All derived tables, lazily."""
+    return Facts(spark, sf_dir)
 
 
 def with_tables(body: str, *more: tuple[str, str]) -> str:
