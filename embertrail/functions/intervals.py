@@ -11,14 +11,29 @@ from pyspark.sql import functions as F
 SLICE_MS = 600_000
 
 
-def islands(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """Unions of touching or overlapping [start, end) intervals: keys, start, end of each. Null ends are left out."""
-    rows = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, start, end)
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Unions of touching or overlapping [start, end) intervals: keys, start, end of each. Null ends, and ends before the start, are left out.
+
+    Intervals are united within the time slices in which they start, so that a key with very many is many tasks. What is left, at
+    most a chain of pieces for each slice, is joined by the latest end of all slices before; pieces that do not touch
+    what came before are numbered by slice, so that no task sees all of them.
+    """
+    rows = df.filter(F.col(end) >= F.col(start)).select(*keys, start, end).withColumn("_slice", F.floor(F.col(start) / slice_ms))
+    per = Window.partitionBy(*keys).orderBy("_slice")
+    slices = rows.groupBy(*keys, "_slice").agg(F.max(end).alias("_end"))
+    slices = slices.select(*keys, "_slice", F.max("_end").over(per.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"))
+    within = Window.partitionBy(*keys, "_slice").orderBy(start, end)
+    rows = rows.join(slices, [*keys, "_slice"])
+    before = F.greatest(F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
     rows = rows.withColumn("_new", (before.isNull() | (F.col(start) > before)).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    rows = rows.withColumn("_at", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = rows.groupBy(*keys, "_slice", "_at").agg(F.min(start).alias(start), F.max(end).alias(end))
+    # A piece numbered 0 goes on from an earlier slice: it belongs to the last one that began before.
+    began = slices.select(*keys, "_slice").join(pieces.groupBy(*keys, "_slice").agg(F.max("_at").alias("_began")), [*keys, "_slice"])
+    last = F.last(F.when(F.col("_began") > 0, F.struct("_slice", F.col("_began").alias("_at"))), ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, -1))
+    began = began.select(*keys, "_slice", last.alias("_last"))
+    owned = pieces.join(began, [*keys, "_slice"]).withColumn("_own", F.when(F.col("_at") > 0, F.struct("_slice", "_at")).otherwise(F.col("_last")))
+    return owned.groupBy(*keys, "_own").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_own")
 
 
 def union_ms(df: DataFrame, keys: Sequence[str], start: str, end: str, name: str) -> DataFrame:

@@ -136,13 +136,29 @@ def core_what_if(aggregates: DataFrame, cores: DataFrame, active: DataFrame) ->
 
 
 def smallest_core_count(aggregates: DataFrame, cores: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """(app, total_cores, cores): the fewest cores at which the modelled time is within `tolerance` of that at all cores."""
+    """(app, total_cores, cores): the fewest cores at which the modelled time is within `tolerance` of that at all cores.
+
+    With c cores a stage of n tasks takes its task time over min(c, n). So the time is fixed + shared / c from one task
+    count to the next, with fixed the sum of task_ms / n over stages of up to that many tasks and shared the task time of
+    the larger ones: a row for each task count of a run, in place of one for each core count and stage, has the answer.
+    """
     base = cores.filter("total_cores > 0").select("app_id", "total_cores")
-    grid = base.select("app_id", "total_cores", F.explode(F.sequence(F.lit(1).cast("long"), "total_cores")).alias("cores"))
-    stages = aggregates.select("app_id", "task_ms", "tasks")
-    model = _estimate(stages, grid.select("app_id", "cores")).join(base, APP)
-    full = model.filter("cores = total_cores").select("app_id", F.col("model_ms").alias("full_ms"))
-    return model.join(full, APP).filter(F.col("model_ms") <= F.col("full_ms") * (1 + tolerance)).groupBy("app_id", "total_cores").agg(F.min("cores").alias("cores"))
+    work = aggregates.join(base, APP).select("app_id", "total_cores", F.least("tasks", "total_cores").alias("n"), "task_ms")
+    steps = work.groupBy("app_id", "total_cores", "n").agg(F.sum("task_ms").cast("double").alias("ms"))
+    upto, own = Window.partitionBy("app_id").orderBy("n"), Window.partitionBy("app_id")
+    fixed = F.sum(F.col("ms") / F.col("n")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    shared = F.sum("ms").over(own) - F.sum("ms").over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    x = steps.select("app_id", "total_cores", "n", fixed.alias("fixed"), shared.alias("shared"), F.lead("n").over(upto).alias("_next"), F.sum(F.col("ms") / F.col("n")).over(own).alias("full_ms"))
+    zero = x.groupBy("app_id", "total_cores").agg(F.min("n").alias("_next"), F.max("full_ms").alias("full_ms"))
+    first = zero.join(steps.groupBy("app_id").agg(F.sum("ms").alias("shared")), APP).select("app_id", "total_cores", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("fixed"), "shared", "_next", "full_ms").filter("_next > 1")
+    x = x.unionByName(first)
+    allowed = F.col("full_ms") * (1 + tolerance)
+    # Within a step the least c with fixed + shared / c <= allowed.
+    least = F.when(F.col("shared") <= 0, F.when(F.col("fixed") <= allowed, F.col("n"))).when(allowed > F.col("fixed"), F.greatest(F.col("n"), F.ceil(F.col("shared") / (allowed - F.col("fixed")))))
+    near = F.explode(F.array(F.greatest(F.col("n"), F.col("least") - 1), F.col("least"), F.col("least") + 1))  # rounding may be off by one
+    x = x.withColumn("least", least).filter("least IS NOT NULL").withColumn("cores", near)
+    good = (F.col("cores") <= F.coalesce("_next", "total_cores")) & (F.col("fixed") + F.col("shared") / F.col("cores") <= allowed)
+    return x.filter(good & (F.col("cores") <= F.col("total_cores"))).groupBy("app_id", "total_cores").agg(F.min("cores").alias("cores"))
 
 
 def non_local_ratio(locality: DataFrame, top: int = 5, least_tasks: int = 10) -> DataFrame:

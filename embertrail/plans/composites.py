@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nodes import EXEC, NODE, depth, parent, scan_relations, subtree_shapes, with_descendants, with_metrics
+from .nodes import EXEC, NODE, depth, parent, scan_relations, subtree_shapes, with_ancestors, with_descendants, with_metrics
 
 #: Operators that pass on every row of their one child.
 PASSING = ("InputAdapter", "Project", "Sort", "Exchange", "BroadcastExchange", "ShuffleQueryStage", "BroadcastQueryStage", "AQEShuffleRead", "CustomShuffleReader", "ColumnarToRow", "AdaptiveSparkPlan")
@@ -100,7 +100,7 @@ def nested_loop_rows(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     children = nodes.select(*EXEC, parent(F.col("path")).alias("path")).filter("path <> ''").groupBy(NODE).agg(F.count("*").alias("_children"))
     passes = (F.col("name").isin(*PASSING) | F.col("name").startswith("WholeStageCodegen")) & (F.coalesce("_children", F.lit(0)) == 1)
     below = counted.join(children, NODE, "left").select(*EXEC, F.col("path").alias("_p"), "rows", passes.alias("_passes"))
-    x = joins.select(NODE).join(below, EXEC).filter(F.col("_p").startswith(F.concat("path", F.lit("."))))
+    x = with_ancestors(below.withColumn("path", F.col("_p")), joins.select(NODE)).select(*EXEC, "up.path", "_p", "rows", "_passes")
     rest = F.substring(F.col("_p"), F.length("path") + 2, F.length("_p"))
     x = x.withColumn("side", F.regexp_extract(rest, r"^([0-9]+)", 1).try_cast("int")).filter("side < 2").withColumn("_d", depth(F.col("_p")))
     # The nearest node that counts or stops: all nodes above it pass on, so it is the only one at its depth.

@@ -149,5 +149,5 @@ def join_key_casts(nodes: DataFrame) -> DataFrame:
     """Shuffled joins on a cast key whose plain column a later exchange, added by Spark, hashes again."""
     joins = nodes.filter(F.col("name").isin("SortMergeJoin", "ShuffledHashJoin")).withColumn("cast", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("detail", r"#[0-9]+L?", ""), F.lit(r"cast\((\w+) as"), F.lit(1)))))
     later = nodes.filter((F.col("name") == "Exchange") & F.col("detail").contains("ENSURE_REQUIREMENTS")).select(*EXEC, F.col("path").alias("_p"), F.split(F.regexp_replace(F.regexp_extract("detail", r"hashpartitioning\((.*), [0-9]+\)", 1), r"#[0-9]+L?", ""), ", ").alias("_keys"))
-    hit = joins.join(later, EXEC).filter(F.col("path").startswith(F.concat("_p", F.lit("."))) & F.array_contains("_keys", F.col("cast")))
+    hit = with_ancestors(joins, later.withColumnRenamed("_p", "path")).filter(F.expr("array_contains(up._keys, cast)"))
     return _found(hit.groupBy(NODE).agg(F.count_distinct("cast").alias("n")), "joinKeyCast", "cast keys hashed again", F.col("n"))

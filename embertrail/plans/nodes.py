@@ -1,16 +1,12 @@
 """Plan analytics: SQL plans as one row a node, and what node texts and metrics say.
 
 Nodes are (app_id, execution_id, path, name, detail): path lists child ordinals from the root, joined by dots ("0.1.0").
-Metrics are (app_id, execution_id, path, metric, value). An execution's nodes number hundreds at most, so joins of nodes
-with their ancestors are equality joins on the execution with a test of the path.
+Metrics are (app_id, execution_id, path, metric, value). Nodes meet those above them by equality joins on the prefixes of
+their paths; as text "0.10" sorts before "0.2", so what goes by the order of a plan sorts by `ordinals`.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,27 +17,44 @@ NODE = [*EXEC, "path"]
 DUPLICATE_SIZE, DUPLICATE_TIMES, FUNCTIONS, LONG_FILTER = 3, 2, 8, 1000
 
 
+#: Types of a node's metrics in plan JSON, and of a level of the walk.
+_METRICS, _VARIANTS = "array<struct<name:string,accumulatorId:bigint,metricType:string>>", "array<variant>"
+
+
+def _nesting(text: Column) -> Column:
+    """How deep the objects of a JSON text lie in each other: brackets outside strings, counted."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}]+", "")
+    state = lambda now, most: F.struct(now.alias("now"), most.alias("most"))
+    step = lambda s, c: state(s["now"] + F.when(c == "{", 1).otherwise(-1), F.greatest(s["most"], s["now"] + 1))
+    return F.aggregate(F.filter(F.split(braces, ""), lambda c: c != ""), state(F.lit(0), F.lit(0)), step)["most"]
+
+
 def plan_nodes(executions: DataFrame) -> DataFrame:
-    """(log, execution_id, path, name, detail, metrics) from the plan JSON of each execution; a text that isn't a plan has no nodes."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for log, execution, text in zip(b["log"], b["execution_id"], b["plan"]):
-                try:
-                    todo = [("0", json.loads(text))]
-                except (TypeError, ValueError):
-                    continue
-                while todo:
-                    path, node = todo.pop()
-                    if isinstance(node, dict):
-                        metrics = [{"name": str(m.get("name")), "id": m.get("accumulatorId"), "type": str(m.get("metricType"))} for m in node.get("metrics") or []]
-                        rows.append((log, execution, path, node.get("nodeName"), node.get("simpleString"), metrics))
-                        todo += [(f"{path}.{i}", c) for i, c in enumerate(node.get("children") or [])]
-            yield pd.DataFrame(rows, columns=["log", "execution_id", "path", "name", "detail", "metrics"])
-
-    schema = "log string, execution_id long, path string, name string, detail string, metrics array<struct<name:string,id:long,type:string>>"
-    return executions.select("log", "execution_id", "plan").mapInPandas(walk, schema)
+    """(log, execution_id, path, name, detail, metrics) from the plan JSON of each execution; a text that isn't a plan has no nodes.
+
+    A plan is walked level by level within one expression over its variant, as many levels as its objects nest; what is
+    no object has no node, nor has what stands below it.
+    """
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    place = lambda at, v: F.struct(at.alias("at"), v.alias("v"))
+
+    def children(x: Column) -> Column:
+        inside = F.coalesce(F.try_variant_get(x["v"], "$.children", _VARIANTS), F.expr(f"CAST(array() AS {_VARIANTS})"))
+        return F.filter(F.transform(inside, lambda c, i: place(F.array_append(x["at"], i), c)), lambda y: is_object(y["v"]))
+
+    def told(x: Column) -> Column:
+        metrics = F.transform(F.coalesce(F.try_variant_get(x["v"], "$.metrics", _METRICS), F.expr(f"CAST(array() AS {_METRICS})")), lambda m: F.struct(m["name"].alias("name"), m["accumulatorId"].alias("id"), m["metricType"].alias("type")))
+        return F.struct(x["at"].alias("at"), F.try_variant_get(x["v"], "$.nodeName", "string").alias("name"), F.try_variant_get(x["v"], "$.simpleString", "string").alias("detail"), metrics.alias("metrics"))
+
+    def deeper(state: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(state["level"], children))
+        return F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(level.alias("level"), F.concat(state["nodes"], F.transform(level, told)).alias("nodes")))
+
+    x = executions.select("log", "execution_id", F.try_parse_json("plan").alias("_v"), _nesting(F.col("plan")).alias("_depth")).filter(is_object(F.col("_v")))
+    x = x.withColumn("_root", F.array(place(F.array(F.lit(0)), F.col("_v"))))
+    start = F.struct(F.col("_root").alias("level"), F.transform("_root", told).alias("nodes"))
+    nodes = F.aggregate(F.sequence(F.lit(1), F.col("_depth")), start, deeper)["nodes"]
+    return x.select("log", "execution_id", F.explode(nodes).alias("n")).select("log", "execution_id", F.array_join("n.at", ".").alias("path"), "n.name", "n.detail", "n.metrics")
 
 
 def plan_metrics(nodes: DataFrame, accumulators: DataFrame) -> DataFrame:
@@ -85,13 +98,14 @@ def with_descendants(nodes: DataFrame, name: str = "below") -> DataFrame:
 def split_exchanges(nodes: DataFrame) -> DataFrame:
     """Each exchange as a read half over a write half, one level deeper, with all below moved along; gains half (read, write or null)."""
     swap = F.col("name").isin("Exchange", "BroadcastExchange")
-    above = nodes.filter(swap).select(*EXEC, F.col("path").alias("_x"))
-    inside = nodes.join(above, EXEC, "left").filter(F.col("_x").isNull() | F.col("path").startswith(F.concat("_x", F.lit("."))) | (F.col("path") == F.col("_x")))
-    own = nodes.join(inside.filter(F.col("path") != F.col("_x")).groupBy(NODE).agg(F.sort_array(F.collect_set("_x")).alias("_xs")), NODE, "left")
-    moved = F.aggregate(F.reverse(F.coalesce("_xs", F.array().cast("array<string>"))), F.col("path"), lambda p, x: F.concat(x, F.lit(".0"), F.substring(p, F.length(x) + 1, F.length(p))))
+    above = with_ancestors(nodes.select(NODE), nodes.filter(swap).select(NODE)).groupBy(NODE).agg(F.collect_set(F.size(ordinals(F.col("up.path")))).alias("_above"))
+    own = nodes.join(above, NODE, "left")
+    parts = F.split("path", r"\.")
+    # Behind each of the ordinals that leads to an exchange comes one more, of its write half.
+    moved = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.when(F.array_contains("_above", i + 1), F.array(p, F.lit("0"))).otherwise(F.array(p)))), ".")
     halves = F.explode(F.when(swap, F.array(F.lit("read"), F.lit("write"))).otherwise(F.array(F.lit(None).cast("string"))))
-    out = own.withColumn("_at", moved).withColumn("half", halves)
-    return out.withColumn("path", F.when(F.col("half") == "write", F.concat("_at", F.lit(".0"))).otherwise(F.col("_at"))).drop("_xs", "_at")
+    out = own.withColumn("_at", F.when(F.col("_above").isNull(), F.col("path")).otherwise(moved)).withColumn("half", halves)
+    return out.withColumn("path", F.when(F.col("half") == "write", F.concat("_at", F.lit(".0"))).otherwise(F.col("_at"))).drop("_above", "_at")
 
 
 def scan_relations(nodes: DataFrame) -> DataFrame:
@@ -171,16 +185,15 @@ def duplicate_subtrees(shapes: DataFrame, size: int = DUPLICATE_SIZE, times: int
     """(app, execution, fingerprint, size, n): shapes that occur several times in a plan, those inside a larger such shape left out."""
     many = Window.partitionBy(*EXEC, "fingerprint")
     twin = shapes.filter(F.col("size") >= size).withColumn("n", F.count("*").over(many)).filter(F.col("n") >= times)
-    above = twin.select(*EXEC, F.col("path").alias("_above"))
-    inner = twin.join(above, EXEC).filter(F.col("path").startswith(F.concat("_above", F.lit(".")))).select(NODE).distinct()
+    inner = with_ancestors(twin.select(NODE), twin.select(NODE)).select(NODE).distinct()
     return twin.join(inner, NODE, "left_anti").groupBy(*EXEC, "fingerprint", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= times)
 
 
 def join_side_bytes(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     """(join node, side, bytes): the data size of the nearest exchange below each side, through operators that pass rows on."""
     passing = ("Sort", "Project", "Filter", "InputAdapter", "AQEShuffleRead", "ShuffleQueryStage", "WholeStageCodegen", "Exchange", "BroadcastExchange", "BroadcastQueryStage")
-    joins = nodes.filter(F.col("name").rlike("Join$")).select(*NODE)
-    x = joins.join(nodes.select(*EXEC, F.col("path").alias("_p"), F.col("name").alias("_n")), EXEC).filter(F.col("_p").startswith(F.concat("path", F.lit("."))))
+    below = nodes.select(*NODE, F.col("path").alias("_p"), F.col("name").alias("_n"))
+    x = with_ancestors(below, nodes.filter(F.col("name").rlike("Join$")).select(NODE)).select(*EXEC, "up.path", "_p", "_n")
     side = F.regexp_extract(F.substring(F.col("_p"), F.length("path") + 2, F.length("_p")), r"^([0-9]+)", 1).try_cast("int")
     x = x.withColumn("side", side).withColumn("_d", depth(F.col("_p")))
     blocked = x.filter(~F.col("_n").isin(*passing)).groupBy(*NODE, "side").agg(F.min("_d").alias("_stop"))
@@ -216,11 +229,10 @@ def segments(split: DataFrame) -> DataFrame:
 
     split: nodes with halves, from `split_exchanges`.
     """
-    tops = split.filter("half = 'write'").select(*EXEC, F.col("path").alias("_top"))
-    x = split.select(NODE).join(tops, EXEC, "left")
-    under = (F.col("path") == F.col("_top")) | F.col("path").startswith(F.concat("_top", F.lit(".")))
-    found = x.groupBy(NODE).agg(F.max_by(F.when(under, F.col("_top")), F.when(under, F.length("_top"))).alias("s"), F.count_if(under).alias("depth"))
-    named = found.select(*NODE, F.coalesce("s", F.lit("0")).alias("segment"), "depth")
+    tops = split.filter("half = 'write'").select(NODE)
+    over = with_ancestors(split.select(NODE), tops).select(*NODE, F.col("up.path").alias("_top")).unionByName(tops.withColumn("_top", F.col("path")))
+    found = over.groupBy(NODE).agg(F.max_by("_top", F.length("_top")).alias("s"), F.count("*").alias("depth"))
+    named = split.select(NODE).join(found, NODE, "left").select(*NODE, F.coalesce("s", F.lit("0")).alias("segment"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
     above = named.select(*EXEC, F.col("path").alias("_p"), F.col("segment").alias("parent"))
     top = named.withColumn("_p", F.when(F.col("depth") > 0, parent(F.col("segment"))))
     return top.join(above, [*EXEC, "_p"], "left").select(*NODE, "segment", "depth", "parent")
@@ -229,39 +241,56 @@ def segments(split: DataFrame) -> DataFrame:
 def segment_stages(parts: DataFrame, stages: DataFrame) -> DataFrame:
     """(app, execution, segment, stage_id, inherited): segments, deepest first, with the execution's stages in order of submission.
 
-    Segments beyond the stages take the last stage. stages: (app_id, execution_id, stage_id, submitted_ms).
+    A segment beyond the stages inherits that of the nearest segment which has one: the fewest steps over segments between
+    them, up to the nearest they share and down; of several the deepest, then the first by place. stages: (app_id, execution_id, stage_id, submitted_ms).
     """
-    s = parts.select(*EXEC, "segment", "depth").distinct().withColumn("i", F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("depth"), "segment")))
+    seg = parts.select(*EXEC, "segment", "depth", "parent").distinct()
+    s = seg.withColumn("i", F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("depth"), ordinals(F.col("segment")))))
     t = stages.withColumn("i", F.row_number().over(Window.partitionBy(*EXEC).orderBy("submitted_ms", "stage_id"))).select(*EXEC, "i", "stage_id")
-    last = t.groupBy(EXEC).agg(F.max_by("stage_id", "i").alias("_last"))
-    return s.join(t, [*EXEC, "i"], "left").join(last, EXEC, "left").select(*EXEC, "segment", F.coalesce("stage_id", "_last").alias("stage_id"), F.col("stage_id").isNull().alias("inherited"))
-
-
-def node_durations(parts: DataFrame, times: DataFrame, links: DataFrame, stages: DataFrame) -> DataFrame:
+    own = s.join(t, [*EXEC, "i"], "left")
+    # Segments over each one, itself first, by its distance: a segment's name is the path of its write half, so those over it are the write halves over that, and the root.
+    tops = seg.select(*EXEC, F.col("segment").alias("path"))
+    over = with_ancestors(tops, tops).select(*EXEC, F.col("path").alias("segment"), F.col("up.path").alias("_up")).unionByName(seg.select(*EXEC, "segment", F.col("segment").alias("_up")))
+    over = over.join(seg.select(*EXEC, F.col("segment").alias("_up"), F.col("depth").alias("_up_depth")), [*EXEC, "_up"]).join(own.select(*EXEC, "segment", "depth", "stage_id"), [*EXEC, "segment"])
+    near = F.struct(F.col("depth").alias("depth"), ordinals(F.col("segment")).alias("at"))
+    best = over.filter("stage_id IS NOT NULL").groupBy(*EXEC, "_up").agg(F.min(F.struct(near.alias("near"), F.col("stage_id").alias("stage_id"))).alias("b"))
+    need = over.filter("stage_id IS NULL").join(best, [*EXEC, "_up"])
+    steps = F.col("depth") - 2 * F.col("_up_depth") + F.col("b.near.depth")
+    found = need.groupBy(*EXEC, "segment").agg(F.min_by("b.stage_id", F.struct(steps, -F.col("b.near.depth"), F.col("b.near.at"))).alias("_near"))
+    return own.join(found, [*EXEC, "segment"], "left").select(*EXEC, "segment", F.coalesce("stage_id", "_near").alias("stage_id"), F.col("stage_id").isNull().alias("inherited"))
+
+
+def node_durations(parts: DataFrame, times: DataFrame, links: DataFrame, stages: DataFrame, inclusive: bool = False) -> DataFrame:
     """(node, ms): a segment's stage time split by the nodes' own timing metrics, evenly where none has any.
 
-    times: (node, own_ms); links: from `segment_stages`; stages: (app_id, stage_id, stage_ms).
+    Segments that only inherit a stage get nothing, so that no stage's time counts twice. inclusive: each node with all
+    below it in its segment. times: (node, own_ms); links: from `segment_stages`; stages: (app_id, stage_id, stage_ms).
     """
-    x = parts.join(times, NODE, "left").join(links.select(*EXEC, "segment", "stage_id"), [*EXEC, "segment"]).join(stages.select("app_id", "stage_id", "stage_ms"), ["app_id", "stage_id"])
+    paired = links.filter("NOT inherited").select(*EXEC, "segment", "stage_id")
+    x = parts.join(times, NODE, "left").join(paired, [*EXEC, "segment"]).join(stages.select("app_id", "stage_id", "stage_ms"), ["app_id", "stage_id"])
     own = Window.partitionBy(*EXEC, "segment")
     all_, n = F.sum(F.coalesce("own_ms", F.lit(0))).over(own), F.count("*").over(own)
-    return x.select(*NODE, F.when(all_ > 0, F.col("stage_ms") * F.coalesce("own_ms", F.lit(0)) / all_).otherwise(F.col("stage_ms") / n).alias("ms"))
+    x = x.select(*NODE, "segment", F.when(all_ > 0, F.col("stage_ms") * F.coalesce("own_ms", F.lit(0)) / all_).otherwise(F.col("stage_ms") / n).alias("ms"))
+    if not inclusive:
+        return x.select(*NODE, "ms")
+    below = with_ancestors(x, x.select(*NODE, F.col("segment").alias("of"))).filter("up.of = segment").select(*EXEC, "up.path", "ms")
+    return below.unionByName(x.select(*NODE, "ms")).groupBy(NODE).agg(F.sum("ms").alias("ms"))
 
 
 def exchange_width(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     """(exchange node, columns, bytes_per_row): columns of the nearest node below that lists any, and data size over records written."""
     x = with_metrics(nodes.filter(F.col("name") == "Exchange"), metrics, "data size", "shuffle records written").select(*NODE, "data_size", "shuffle_records_written")
-    listing = nodes.withColumn("cols", F.regexp_extract("detail", r"^[A-Za-z]+ (?:\w+ )?(?:[\w.]+)?\[([^\]]*)\]", 1)).filter("cols <> ''").select(*EXEC, F.col("path").alias("_p"), F.size(F.split("cols", ",")).alias("columns"))
-    near = x.select(NODE).join(listing, EXEC).filter(F.col("_p").startswith(F.concat("path", F.lit(".")))).groupBy(NODE).agg(F.min_by("columns", F.struct(depth(F.col("_p")), F.col("_p"))).alias("columns"))
+    listing = nodes.withColumn("cols", F.regexp_extract("detail", r"^[A-Za-z]+ (?:\w+ )?(?:[\w.]+)?\[([^\]]*)\]", 1)).filter("cols <> ''").select(*NODE, F.size(F.split("cols", ",")).alias("columns"))
+    near = with_ancestors(listing, x.select(NODE)).groupBy(*EXEC, "up.path").agg(F.min_by("columns", F.struct(depth(F.col("path")), ordinals(F.col("path")))).alias("columns"))
     return x.join(near, NODE, "left").select(*NODE, "columns", F.when(F.col("shuffle_records_written") > 0, F.col("data_size") / F.col("shuffle_records_written")).alias("bytes_per_row"))
 
 
 def spill_operators(nodes: DataFrame, metrics: DataFrame, top: int = 5) -> DataFrame:
     """(app, execution, rank, path, name, bytes, feeds): the `top` sorts, aggregates and windows by spill, with the nearest join above each."""
     x = with_metrics(nodes.filter(F.col("name").isin("Sort", "HashAggregate", "ObjectHashAggregate", "Window")), metrics, "spill size").filter("spill_size > 0")
-    joins = nodes.filter(F.col("name").rlike("Join$")).select(*EXEC, F.col("path").alias("_j"))
-    above = x.select(NODE).join(joins, EXEC).filter(F.col("path").startswith(F.concat("_j", F.lit(".")))).groupBy(NODE).agg(F.max_by("_j", F.length("_j")).alias("feeds"))
-    rank = F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("spill_size"), "path"))
+    joins = nodes.filter(F.col("name").rlike("Join$")).select(NODE)
+    above = with_ancestors(x.select(NODE), joins).groupBy(NODE).agg(F.max_by("up.path", F.length("up.path")).alias("feeds"))
+    rank = F.row_number().over(Window.partitionBy(*EXEC).orderBy(F.desc("spill_size"), ordinals(F.col("path"))))
     return x.withColumn("rank", rank).filter(F.col("rank") <= top).join(above, NODE, "left").select(*EXEC, "rank", "path", "name", F.col("spill_size").alias("bytes"), "feeds")
 
 

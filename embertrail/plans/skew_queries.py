@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import detectors as D
+from . import nodes as N
 from . import plan_texts as T
 from . import skew_joins as S
 
@@ -29,6 +31,20 @@ def _f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.missed_broadcasts(t["nodes"], t["metrics"], t["settings"]).select(*S.EXEC, "path", "rule", "join_type", "build_side", "value", "larger", "setting")
 
 
+def _t16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = spark.sql(T.SHAPES_SQL, source=spark.sql(T.ORDERS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")))
+    nodes = N.plan_nodes(spark.sql(T.PLANS_SQL, shapes=shapes))
+    return nodes.select("log", "execution_id", "path", "name", F.size("metrics").alias("n_metrics"))
+
+
+def _p11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.order_plans(spark, sf_dir, S.SETTINGS[:1])
+    parts = N.segments(N.split_exchanges(t["nodes"]))
+    two = t["shapes"].select("app_id", "execution_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("stage_id"), (F.col("execution_id") * 0).alias("zero")).withColumn("submitted_ms", F.col("stage_id") + F.col("zero"))
+    return N.segment_stages(parts, two)
+
+
+QUERIES |= {"t16_plan_nodes": _t16, "p11_segment_stages": _p11}
 QUERIES |= {"p16_skew_join_cases": _p16, "p17_partition_levers": _p17, "f32_missed_broadcasts": _f32}
 
 _TYPE = f"CASE jt {' '.join(f'WHEN {i} THEN {chr(39)}{t}{chr(39)}' for i, t in enumerate(T.JOIN_TYPES) if t)} END"
@@ -68,3 +84,15 @@ ORACLE_SQL["f32_missed_broadcasts"] = _WITH + f""", e AS (SELECT *, CASE WHEN fi
 , o AS (SELECT *, CASE WHEN bl AND (NOT br OR ld <= rd) THEN 'left' ELSE 'right' END AS side FROM e WHERE bl OR br), w AS (SELECT *, CASE side WHEN 'left' THEN ld ELSE rd END AS build, CASE side WHEN 'left' THEN rd ELSE ld END AS stream FROM o)
 SELECT app_id, execution_id, CASE WHEN up = 5 THEN '0.0.0.0' ELSE '0.0.0' END AS path, CASE WHEN th2 < 0 THEN 'disabled' WHEN th2 >= build THEN 'notLimiting' ELSE 'limits' END AS rule, type AS join_type, side AS build_side, CAST(build AS DOUBLE) AS value, CAST(stream AS DOUBLE) AS larger, CASE WHEN final AND adaptive_set IS NOT NULL THEN '{D.ADAPTIVE_BROADCAST}' ELSE '{D.AUTO_BROADCAST}' END AS setting
  FROM w WHERE build BETWEEN 1048576 AND 1073741824 AND build <= stream AND ((th2 >= build) OR build < 10485760 OR (build < 104857600 AND stream > 10737418240) OR (build < 1073741824 AND stream > 322122547200))"""
+#: Paths in the shapes: of the join, of what its sides read, of the exchanges there.
+_PATHS = """, y AS (SELECT *, CASE WHEN up = 5 THEN '0.0.0.0' ELSE '0.0.0' END AS j FROM px_s), z AS (SELECT *, j || '.0.0' || CASE WHEN resized THEN '.0' ELSE '' END AS l, j || '.1.0.0' || CASE WHEN skewed AND ri < 5 THEN '.0' ELSE '' END AS r FROM y), q AS (SELECT *, l || CASE WHEN li = 7 THEN '.0' ELSE '' END AS lq FROM z) """
+_NODE_SQL = (
+    ("'0'", "CASE WHEN final THEN 'AdaptiveSparkPlan' ELSE 'Project' END", 0, "TRUE"), ("'0.0'", "CASE up WHEN 1 THEN 'HashAggregate' WHEN 2 THEN 'HashAggregate' WHEN 3 THEN 'Window' WHEN 4 THEN 'SortMergeJoin' WHEN 5 THEN 'HashAggregate' ELSE 'Project' END", 0, "TRUE"),
+    ("'0.0.0'", "'Exchange'", 0, "up = 5"), ("'0.0.1'", "'Scan parquet z'", 0, "up = 4"), ("j", "CASE jn WHEN 0 THEN 'ShuffledHashJoin' WHEN 1 THEN 'BroadcastHashJoin' ELSE 'SortMergeJoin' END || CASE WHEN marked AND jn <> 1 THEN '(skew=true)' ELSE '' END", 0, "TRUE"),
+    ("j || '.0'", "'Sort'", 0, "TRUE"), ("j || '.1'", "'WholeStageCodegen (3)'", 0, "TRUE"), ("j || '.1.0'", "'Sort'", 0, "TRUE"), ("j || '.0.0'", "'AQEShuffleRead'", 0, "resized"), ("l", "'HashAggregate'", 0, "li = 7"), ("lq", "'ShuffleQueryStage'", 0, "TRUE"), ("lq || '.0'", "'Exchange'", 2, "TRUE"), ("lq || '.0.0'", "'Scan parquet t'", 0, "TRUE"),
+    ("j || '.1.0.0'", "'AQEShuffleRead'", 2, "skewed AND ri < 5"), ("r", "'Scan parquet u'", 0, "ri = 5"), ("r", "'ShuffleQueryStage'", 0, "ri < 5"), ("r || '.0'", "'Exchange'", 2, "ri < 5"), ("r || '.0.0'", "'Scan parquet t'", 0, "ri < 5"),
+)
+ORACLE_SQL["t16_plan_nodes"] = _WITH + _PATHS + " UNION ALL ".join(f"SELECT app_id AS log, execution_id, {p} AS path, {n} AS name, {m} AS n_metrics FROM q WHERE {w}" for p, n, m, w in _NODE_SQL)
+#: Two stages: the deepest segments by place get them, the others that of the nearest one with a stage. Each exchange above adds an ordinal for its own write half.
+ORACLE_SQL["p11_segment_stages"] = _WITH + _PATHS + """, jj AS (SELECT *, CASE WHEN up = 5 THEN '0.0.0.0' ELSE '' END AS x, CASE WHEN up = 5 THEN '0.0.0.0' || substr(lq, 6) ELSE lq END AS a, CASE WHEN up = 5 THEN '0.0.0.0' || substr(r, 6) ELSE r END AS b FROM q), seg AS (SELECT app_id, execution_id, '0' AS segment, 0 AS d, up = 5 AND ri = 5 AS lone FROM jj UNION ALL SELECT app_id, execution_id, x, 1, FALSE FROM jj WHERE up = 5 UNION ALL SELECT app_id, execution_id, a || '.0.0', CASE WHEN up = 5 THEN 2 ELSE 1 END, FALSE FROM jj UNION ALL SELECT app_id, execution_id, b || '.0.0', CASE WHEN up = 5 THEN 2 ELSE 1 END, FALSE FROM jj WHERE ri < 5)
+SELECT app_id, execution_id, segment, CASE WHEN i <= 2 THEN i WHEN lone THEN 2 ELSE 1 END AS stage_id, i > 2 AS inherited FROM (SELECT *, row_number() OVER (PARTITION BY app_id, execution_id ORDER BY d DESC, segment) AS i FROM seg)"""

@@ -27,6 +27,19 @@ def test_exchanges_split_and_cut_segments(spark):
     times = spark.createDataFrame([("a", 1, "0.0.0", 3.0), ("a", 1, "0.0.0.0", 1.0)], "app_id string, execution_id long, path string, own_ms double")
     ms = {r.path: r.ms for r in N.node_durations(N.segments(split), times, link, stages).collect()}
     assert ms["0.0.0"] == 67.5 and ms["0.0.0.0"] == 22.5 and ms["0.0.0.0.0.0.0"] == 25.0
+    assert "0" not in ms and sum(ms.values()) == 140.0  # what only inherits a stage gets no time of it
+    whole = {r.path: r.ms for r in N.node_durations(N.segments(split), times, link, stages, inclusive=True).collect()}
+    assert whole["0.0"] == 90.0 and whole["0.0.0.0"] == 22.5 and whole["0.0.0.0.0.0"] == 50.0
+
+
+def test_segments_beyond_the_stages_inherit_from_the_nearest(spark):
+    # A root over two joins; the left one has two shuffles below it, the right one has one, of which one has a shuffle below.
+    rows = [("0", 0, None), ("0.0", 1, "0"), ("0.1", 1, "0"), ("0.0.0", 2, "0.0"), ("0.0.1", 2, "0.0"), ("0.1.0", 2, "0.1"), ("0.1.0.0", 3, "0.1.0")]
+    parts = spark.createDataFrame([("a", 1, p, p, d, up) for p, d, up in rows], "app_id string, execution_id long, path string, segment string, depth long, parent string")
+    stages = spark.createDataFrame([("a", 1, i, 100 * i) for i in (1, 2, 3, 4)], "app_id string, execution_id long, stage_id long, submitted_ms long")
+    got = {r.segment: (r.stage_id, r.inherited) for r in N.segment_stages(parts, stages).collect()}
+    assert got == {"0.1.0.0": (1, False), "0.0.0": (2, False), "0.0.1": (3, False), "0.1.0": (4, False), "0.0": (2, True), "0.1": (4, True), "0": (2, True)}
+    assert {r.stage_id for r in N.segment_stages(parts, stages.filter("false")).collect()} == {None}
 
 
 def test_spill_width_and_casts(spark):
