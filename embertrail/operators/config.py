@@ -80,14 +80,18 @@ def app_resources(conf: DataFrame) -> DataFrame:
     return x.select("app_id", heap.alias("heap"), F.coalesce(byte_size(F.col("o"), "m"), F.greatest(F.lit(OVERHEAD_LEAST), F.floor(heap * OVERHEAD_FACTOR))).alias("overhead"), F.coalesce(byte_size(F.col("h")), F.lit(0)).alias("off_heap"), F.col("c").try_cast("int").alias("cores"), F.col("n").try_cast("int").alias("instances"), (F.lower("d") == "true").alias("dynamic"))
 
 
-def config_audit(conf: DataFrame) -> DataFrame:
-    """(app_id, rule, value): unbounded autoscaling, Java serialisation, and less overhead than Spark would take."""
+def config_audit(conf: DataFrame, outside_sql: DataFrame | None = None) -> DataFrame:
+    """(app_id, rule, value): unbounded autoscaling, Java serialisation, and less overhead than Spark would take.
+
+    outside_sql: (app_id) of runs with a stage outside SQL, the only ones that a serialiser matters to; without it that rule claims nothing.
+    """
     get = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
     x = conf.groupBy("app_id").agg(get("spark.dynamicAllocation.enabled").alias("d"), get("spark.dynamicAllocation.maxExecutors").alias("most"), get("spark.serializer").alias("ser"), get("spark.executor.memory").alias("m"), get("spark.executor.memoryOverhead").alias("o"))
+    x = x.withColumn("_rdd", F.lit(False)) if outside_sql is None else x.join(outside_sql.select("app_id").distinct().withColumn("_rdd", F.lit(True)), ["app_id"], "left")
     heap, over = byte_size(F.col("m"), "m"), byte_size(F.col("o"), "m")
     rules = F.array_compact(F.array(
         F.when((F.lower("d") == "true") & F.col("most").isNull(), F.struct(F.lit("unboundedAutoscaling").alias("rule"), F.lit("no maximum").alias("value"))),
-        F.when(F.coalesce(~F.col("ser").contains("Kryo"), F.lit(True)), F.struct(F.lit("javaSerializer").alias("rule"), F.coalesce("ser", F.lit("default")).alias("value"))),
+        F.when(F.coalesce("_rdd", F.lit(False)) & ~F.coalesce(F.lower("ser").contains("kryo"), F.lit(False)), F.struct(F.lit("javaSerializer").alias("rule"), F.coalesce("ser", F.lit("default")).alias("value"))),
         F.when(over < F.greatest(F.lit(OVERHEAD_LEAST), F.floor(heap * OVERHEAD_FACTOR)), F.struct(F.lit("lowOverhead").alias("rule"), F.col("o").alias("value"))),
     ))
     return x.select("app_id", F.explode(rules).alias("r")).select("app_id", "r.rule", "r.value")

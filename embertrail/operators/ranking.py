@@ -53,10 +53,11 @@ def next_steps(ranked: DataFrame, limit: int = 3) -> DataFrame:
     return place.filter(F.col("step") <= limit).select("app_id", "step", "stage_id", "lead", "related")
 
 
-def cost_lane(findings: DataFrame, limit: int = 3) -> DataFrame:
-    """The `limit` stage findings of a run with the most removable task time."""
-    order = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc("waste_ms"), "type", "stage_id"))
-    return findings.filter("waste_ms IS NOT NULL AND stage_id IS NOT NULL").withColumn("rank", order).filter(F.col("rank") <= limit).select("app_id", "rank", "type", "stage_id", "waste_ms")
+def cost_lane(claims: DataFrame, limit: int = 3) -> DataFrame:
+    """The `limit` findings of a run whose fixes free the most task time, by `waste.core_time`; ties by band, type, rule and stage. Findings without such a figure aren't ranked."""
+    band = F.array_position(F.array(*map(F.lit, BANDS)), F.col("band"))
+    order = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc("core_high_ms"), band, "type", "rule", F.col("stage_id").asc_nulls_last()))
+    return claims.filter("core_high_ms > 0").withColumn("rank", order).filter(F.col("rank") <= limit).select("app_id", "rank", "type", "rule", "stage_id", "core_high_ms")
 
 
 def filter_findings(findings: DataFrame, bands: Sequence[str] = ("critical", "warning"), types: Sequence[str] | None = None, stage_ids: Sequence[int] | None = None) -> DataFrame:

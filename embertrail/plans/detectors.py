@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.units import GIB, MIB, byte_size
 from ..operators.config import column_of
 from .composites import caching_composites, composites, nested_loop_rows, uncovered_relations
-from .nodes import EXEC, NODE, duplicate_subtrees, scan_filters, subtree_shapes, with_ancestors, with_metrics
+from .nodes import EXEC, NODE, duplicate_subtrees, ordinals, scan_filters, scan_relations, subtree_shapes, with_ancestors, with_metrics
 
 #: Default thresholds.
 ROWS, GROWTH, FILES, FILE_BYTES, SCAN_BYTES = 1_000_000, 10, 100, 3 * MIB, GIB
@@ -113,15 +113,28 @@ def join_readers(missed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unpruned_scans(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Large scans of partitioned tables that filter data but no partition."""
-    x = with_metrics(nodes, metrics, "number of partitions read", "size of files read").join(scan_filters(nodes), NODE)
+    """Large scans of partitioned tables that filter data but no partition: one finding a table, at its first scan, with the bytes of all such scans. A table is its relation and location."""
+    x = with_metrics(nodes, metrics, "number of partitions read", "size of files read").join(scan_filters(nodes), NODE).join(scan_relations(nodes).filter("relation IS NOT NULL"), NODE)
     hit = x.filter((F.col("number_of_partitions_read") >= 2) & (F.col("size_of_files_read") >= SCAN_BYTES) & (F.col("data_filters") != "") & (F.col("partition_filters") == ""))
-    return _found(hit, "unprunedScan", "bytes read", F.col("size_of_files_read"), "info")
+    place = F.regexp_extract("detail", r"Location: ([^\]]*\])", 1)
+    table = hit.groupBy(*EXEC, "format", "relation", place.alias("place")).agg(F.min_by("path", ordinals(F.col("path"))).alias("path"), F.sum("size_of_files_read").alias("bytes"))
+    return _found(table, "unprunedScan", "bytes read", F.col("bytes"), "info")
 
 
-def python_udfs(nodes: DataFrame, metrics: DataFrame, least: int = 64 * MIB) -> DataFrame:
-    x = with_metrics(nodes.filter(F.col("name") == "BatchEvalPython"), metrics, "data sent to Python workers").filter(F.col("data_sent_to_Python_workers") >= least)
-    return _found(x, "pythonUdf", "bytes sent to Python", F.col("data_sent_to_Python_workers"), "info")
+def python_udfs(nodes: DataFrame, metrics: DataFrame, links: DataFrame | None = None, stages: DataFrame | None = None, least: int = 64 * MIB, least_ms: int = 30_000) -> DataFrame:
+    """Executions whose row-at-a-time Python functions were sent much data over much stage time: one finding, at the first such node.
+
+    Nodes without a stage don't count, and the time is that of all stages that ran one of the others. links: (app_id, execution_id,
+    path, stage_id); stages: (app_id, stage_id, stage_ms). Without them every node counts, whatever its time.
+    """
+    x = with_metrics(nodes.filter(F.col("name") == "BatchEvalPython"), metrics, "data sent to Python workers").filter("data_sent_to_Python_workers IS NOT NULL")
+    if links is None or stages is None:
+        sums = x.groupBy(EXEC).agg(F.min_by("path", ordinals(F.col("path"))).alias("path"), F.sum("data_sent_to_Python_workers").alias("sent"))
+    else:
+        ran = x.join(links.select(NODE).distinct(), NODE, "left_semi")
+        spent = ran.select(NODE).join(links, NODE).select(*EXEC, "stage_id").distinct().join(stages.select("app_id", "stage_id", "stage_ms"), ["app_id", "stage_id"]).groupBy(EXEC).agg(F.sum(F.greatest(F.lit(0), "stage_ms")).alias("spent_ms"))
+        sums = ran.groupBy(EXEC).agg(F.min_by("path", ordinals(F.col("path"))).alias("path"), F.sum("data_sent_to_Python_workers").alias("sent")).join(spent.filter(F.col("spent_ms") >= least_ms), EXEC)
+    return _found(sums.filter(F.col("sent") >= least), "pythonUdf", "bytes sent to Python", F.col("sent"), "info")
 
 
 #: Counters of a Delta merge as logs name them; of several names in a row, one release or another has one.

@@ -99,6 +99,19 @@ _add("f31_small_files", lambda n, m: D.small_files(n, m), _finding("smallFiles",
 _add("f32_under_broadcast", lambda n, m: D.under_broadcast(n, m), _finding("underBroadcast", "smaller side bytes", "(SELECT app_id, execution_id, '0.0' AS path, value FROM metrics WHERE metric = 'data size' AND path = '0.0.1' AND execution_id % 3 = 0)"))
 _add("f33_over_broadcast", lambda n, m: D.over_broadcast(n, m), _finding("overBroadcast", "broadcast bytes", f"nodes JOIN {_metric('data size')} USING ({_KEY}) WHERE name = 'BroadcastExchange' AND value > 1073741824"))
 _add("f34_python_udfs", lambda n, m: D.python_udfs(n, m), _finding("pythonUdf", "bytes sent to Python", f"{_metric('data sent to Python workers')} WHERE value >= 67108864"))
+_STAGE_MS = "SELECT 'app-' || CAST(l_orderkey % 4 AS STRING) AS app_id, CAST(floor(l_orderkey / 4.0) AS BIGINT) % 50 AS stage_id, CAST(max(floor(l_extendedprice)) AS BIGINT) AS stage_ms FROM {lineitem} GROUP BY l_orderkey % 4, CAST(floor(l_orderkey / 4.0) AS BIGINT) % 50"
+
+
+def _f34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each execution with such a node ran it in the stage of its number modulo 50, and in the next one; the first of each run in none."""
+    nodes, metrics = tables(spark, sf_dir)
+    links = nodes.filter("name = 'BatchEvalPython' AND execution_id >= 4").selectExpr("app_id", "execution_id", "path", "explode(array(execution_id % 50, (execution_id + 1) % 50)) AS stage_id")
+    stages = spark.sql(_STAGE_MS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return D.python_udfs(nodes, metrics, links, stages, least_ms=185_000)
+
+
+QUERIES["f34_python_udf_stages"] = _f34
+ORACLE_SQL["f34_python_udf_stages"] = _WITH + _finding("pythonUdf", "bytes sent to Python", f"{_metric('data sent to Python workers')} AS p WHERE value >= 67108864 AND execution_id >= 4 AND (SELECT sum(stage_ms) FROM ({_STAGE_MS.format(lineitem='lineitem')}) AS s WHERE s.app_id = p.app_id AND s.stage_id IN (p.execution_id % 50, (p.execution_id + 1) % 50)) >= 185000")
 _add("f36_unpruned_scans", lambda n, m: D.unpruned_scans(n, m), _finding("unprunedScan", "bytes read", f"{_metric('size of files read')} WHERE path = '0.0.0.0' AND execution_id % 3 = 0 AND value >= 1073741824"))
 
 _CHOSEN = f"""SELECT app_id, execution_id, path, CASE path WHEN '0' THEN 'union' ELSE 'join' END AS operator, CASE execution_id % 3 WHEN 0 THEN 'csv:items,parquet:sales.orders' WHEN 1 THEN 'parquet:sales.orders' ELSE 'jdbc:public.users' END AS relations, coalesce(b, 0) AS bytes

@@ -500,11 +500,6 @@ def _(r: Run) -> DataFrame:
     return K.next_steps(K.rank_findings(K.rank_cost(r.reported, r.stages)))
 
 
-@query("k5_cost_lane", "SELECT app_id, rank, type, stage_id, waste_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY waste_ms DESC, type, stage_id) AS rank FROM found WHERE waste_ms IS NOT NULL AND stage_id IS NOT NULL) WHERE rank <= 3", True, **_MORE)
-def _(r: Run) -> DataFrame:
-    return K.cost_lane(r.reported)
-
-
 @query("k6_filter_findings", "SELECT f.app_id, f.type, f.stage_id, f.band, h.hidden_n FROM found AS f JOIN (SELECT app_id, count(*) FILTER (band = 'info') AS hidden_n FROM found GROUP BY app_id) AS h USING (app_id) WHERE f.band IN ('critical', 'warning')", True, **_MORE)
 def _(r: Run) -> DataFrame:
     return K.filter_findings(r.reported).select("app_id", "type", "stage_id", "band", "hidden_n")
@@ -657,7 +652,7 @@ _CHAINS = """SELECT app_id, stage_id, max(n) AS chain, CAST(sum(n) AS BIGINT) AS
  (SELECT *, row_number() OVER w AS i, first_value(speculative) OVER w AS by_copy FROM attempts WINDOW w AS (PARTITION BY app_id, stage_id, task_index ORDER BY failed, seq)) WHERE i > 1 AND NOT speculative AND (failed OR NOT by_copy) GROUP BY app_id, stage_id, task_index) GROUP BY app_id, stage_id"""
 _FIGURES = """SELECT st.*, excess_ms, longest_after_ms, peak_tasks, active_ms, executors, total_cores, chain, retry_n, retry_ms, input_bytes + shuffle_read AS rd FROM st JOIN strag USING (app_id, stage_id) JOIN a12 USING (app_id, stage_id) JOIN cores USING (app_id)
  JOIN (SELECT app_id, stage_id, count(DISTINCT executor_id) AS executors FROM tasks GROUP BY app_id, stage_id) AS e USING (app_id, stage_id) LEFT JOIN peak USING (app_id, stage_id) LEFT JOIN actv USING (app_id, stage_id) LEFT JOIN chains USING (app_id, stage_id)"""
-_CLAIM0 = """SELECT f.app_id, f.type, f.rule, f.stage_id, f.value, x.* EXCLUDE (app_id, stage_id), run_tasks, gone, CASE WHEN run_ms > 0 AND stage_ms > 0 THEN run_ms / CAST(stage_ms AS DOUBLE) END AS at_once, CASE WHEN rd > 0 AND disk_spilled > 0 THEN least(0.6::DOUBLE, disk_spilled / CAST(rd AS DOUBLE) * 0.5) END AS passes,
+_CLAIM0 = """SELECT f.app_id, f.type, f.rule, f.stage_id, f.value, f.band, x.* EXCLUDE (app_id, stage_id), run_tasks, gone, CASE WHEN run_ms > 0 AND stage_ms > 0 THEN run_ms / CAST(stage_ms AS DOUBLE) END AS at_once, CASE WHEN rd > 0 AND disk_spilled > 0 THEN least(0.6::DOUBLE, disk_spilled / CAST(rd AS DOUBLE) * 0.5) END AS passes,
  greatest(0, CASE WHEN f.type = 'straggler' THEN longest - longest_after_ms WHEN tasks >= 20 THEN p95 - p50 ELSE longest - p50 END) AS delta, greatest(0, tasks - round(tasks / 10.0)) AS fewer, CASE WHEN stage_ms > 0 AND task_ms > run_ms THEN (task_ms - run_ms) / CAST(tasks AS DOUBLE) END AS overhead
  FROM found AS f LEFT JOIN figures AS x ON x.app_id = f.app_id AND x.stage_id = f.stage_id LEFT JOIN (SELECT app_id, CAST(count(*) AS BIGINT) AS run_tasks FROM tasks GROUP BY app_id) AS n ON n.app_id = f.app_id LEFT JOIN (SELECT app_id, count(*) AS gone FROM executors WHERE removed_ms IS NOT NULL GROUP BY app_id) AS g ON g.app_id = f.app_id"""
 _CLAIM1 = """SELECT *, CASE WHEN type IN ('skew', 'straggler') THEN CASE WHEN excess_ms > 0 AND peak_tasks > 0 THEN greatest(delta, excess_ms / peak_tasks) ELSE delta END WHEN type = 'gc' THEN gc_ms / at_once WHEN type = 'retryWaste' THEN least(retry_ms, greatest(chain * retry_ms / CAST(retry_n AS DOUBLE), retry_ms / CAST(greatest(1, peak_tasks) AS DOUBLE)))
@@ -684,7 +679,15 @@ def _(r: Run) -> DataFrame:
     return _claimed(r).select("app_id", "type", "rule", "stage_id", *_near("claim_ms", "raw"), "unit", "method")
 
 
-@query("i7_core_time", """SELECT app_id, type, rule, stage_id, round(c + 1e-6, 3) AS core_low_ms, round(c + 1e-6, 3) AS core_high_ms, task_ms AS stage_task_ms FROM (SELECT *, CAST(CASE WHEN type <> 'straggler' OR NOT EXISTS (SELECT 1 FROM found AS s WHERE s.type = 'skew' AND s.app_id = claimed.app_id AND s.stage_id = claimed.stage_id) THEN core END AS DOUBLE) AS c FROM claimed)""", True, **_CLAIMS)
+_CLAIMS["cored"] = """SELECT *, CAST(CASE WHEN type <> 'straggler' OR NOT EXISTS (SELECT 1 FROM found AS s WHERE s.type = 'skew' AND s.app_id = claimed.app_id AND s.stage_id = claimed.stage_id) THEN core END AS DOUBLE) AS c FROM claimed"""
+
+
+@query("k5_cost_lane", """SELECT app_id, rank, type, rule, stage_id, round(c + 1e-6, 3) AS core_high_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY c DESC, CASE band WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, type, rule, stage_id NULLS LAST) AS rank FROM cored WHERE c > 0) WHERE rank <= 3""", True, **_CLAIMS)
+def _(r: Run) -> DataFrame:
+    return K.cost_lane(W.core_time(_claimed(r), r.stages)).select("app_id", F.col("rank").cast("long").alias("rank"), "type", "rule", "stage_id", *_near("core_high_ms"))
+
+
+@query("i7_core_time", "SELECT app_id, type, rule, stage_id, round(c + 1e-6, 3) AS core_low_ms, round(c + 1e-6, 3) AS core_high_ms, task_ms AS stage_task_ms FROM cored", True, **_CLAIMS)
 def _(r: Run) -> DataFrame:
     return W.core_time(_claimed(r), r.stages).select("app_id", "type", "rule", "stage_id", *_near("core_low_ms", "core_high_ms"), "stage_task_ms")
 

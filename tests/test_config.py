@@ -33,7 +33,9 @@ def test_masks(spark):
 
 def test_audit_and_resources(spark):
     c = conf(spark, [("a", "spark.dynamicAllocation.enabled", "true"), ("a", "spark.executor.memory", "8g"), ("a", "spark.executor.memoryOverhead", "500"), ("b", "spark.serializer", "org.KryoSerializer"), ("b", "spark.executor.memory", "2g")])
-    assert {(r.app_id, r.rule) for r in C.config_audit(c).collect()} == {("a", "unboundedAutoscaling"), ("a", "javaSerializer"), ("a", "lowOverhead")}
+    rdd = spark.createDataFrame([("a",), ("b",)], "app_id string")
+    assert {(r.app_id, r.rule) for r in C.config_audit(c, rdd).collect()} == {("a", "unboundedAutoscaling"), ("a", "javaSerializer"), ("a", "lowOverhead")}
+    assert {(r.app_id, r.rule) for r in C.config_audit(c, rdd.filter("app_id = 'b'")).collect()} == {("a", "unboundedAutoscaling"), ("a", "lowOverhead")}  # SQL alone doesn't use the serialiser
     got = {r.app_id: r for r in C.app_resources(c).collect()}
     assert got["a"].overhead == 500 * MIB and got["b"].overhead == 384 * MIB and got["b"].heap == 2048 * MIB
 
