@@ -80,10 +80,12 @@ class Pieces:
         self.worst = min(self.score, default=0.0) - 10  # of a character without a piece
         self.longest = max(map(len, self.ids), default=1)
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that some piece holds
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)  # then no piece crosses the start of a word
         self.commits = 0  # times that a window's paths have converged
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.known_words = KNOWN_WORDS
 
     def _add(self, piece: dict) -> None:
@@ -185,11 +187,28 @@ class Pieces:
                 out.append(self.unknown)
         return struct.pack(f"<{len(out)}I", *out)
 
+    def _stretches(self, part: str) -> bytes:
+        """Ids of a part, searched between neighbours that no piece holds together: all paths converge there, and what a stretch gives is remembered."""
+        inside, stems, out, start = self.inside, self.stems, [], 0
+        for end in range(1, len(part) + 1):
+            if end == len(part) or part[end - 1 : end + 1] not in inside:
+                stretch = part[start:end]
+                if (code := stems.get(stretch)) is None:
+                    code = self._coded(stretch)
+                    if end - start <= 64:
+                        if len(stems) >= self.known_words:
+                            stems.clear()
+                        stems[stretch] = code
+                out.append(code)
+                start = end
+        return b"".join(out)
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; none for a null or empty one.
 
-        Where no piece crosses the start of a word, all paths converge there, so the window commits at each such boundary;
-        what the search gave for the stretch between two of them is remembered. Other models take `paths` from end to end.
+        Where no piece crosses the start of a word, all paths converge there, so the window commits at each such boundary,
+        and within a word at each pair of characters that no piece holds; what the search gave for the stretch between two
+        of them is remembered. Other models take `paths` from end to end.
         """
         if not text:
             return np.zeros(0, np.uint32)
@@ -200,7 +219,7 @@ class Pieces:
         for part in _PARTS.findall(s):
             code = words.get(part)
             if code is None:
-                code = self._coded(part)
+                code = self._stretches(part)
                 if len(part) <= 64:
                     if len(words) >= self.known_words:
                         words.clear()
