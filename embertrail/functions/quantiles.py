@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices that values share from one power of two to the next.
-SLICES = 16
+from .lineage import cut
+
+#: Slices that values share from one power of two to the next, and rows that are broadcast at most.
+SLICES, MOST_SENT = 16, 50_000
 
 
 def _slice(x: Column) -> Column:
@@ -20,12 +22,12 @@ def _slice(x: Column) -> Column:
 def quantiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, n, p50, p95, max) of whole numbers: the textbook median, the nearest rank and the largest value. Nulls don't count.
 
-    Equal values of a key are counted before the shuffle; counts by slice, at most some hundreds a key, tell in which
-    slices the ranks lie, and only their values are numbered.
+    A first pass counts values by slice, at most some hundreds a key and summed before the shuffle; these counts tell in which
+    slices the ranks lie. A second pass counts and numbers the values of those slices alone. The slices are broadcast
+    where they are few, counted; else the passes meet by shuffle.
     """
-    values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_x"))
-    values = values.groupBy(*keys, "_x").agg(F.count("*").alias("_n")).withColumn("_slice", _slice(F.col("_x")))
-    slices = values.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_c"), F.max("_x").alias("_top"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_x")).withColumn("_slice", _slice(F.col("_x")))
+    slices = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"), F.max("_x").alias("_top"))
     own = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_c").over(own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = slices.select(*keys, "_slice", "_c", before.alias("_before"), F.sum("_c").over(own).alias("_all"), F.max("_top").over(own).alias("_max"))
@@ -34,8 +36,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     hit = F.lit(False)
     for r in ranks:
         hit = hit | ((F.col(r) > F.col("_before")) & (F.col(r) <= F.col("_before") + F.col("_c")))
-    rows = values.join(slices.filter(hit), [*keys, "_slice"])
+    hits = cut(slices.filter(hit))
+    near = F.broadcast(hits) if hits.count() <= MOST_SENT else hits
+    values = rows.join(near.select(*keys, "_slice"), [*keys, "_slice"]).groupBy(*keys, "_slice", "_x").agg(F.count("*").alias("_n"))
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_upto", upto)
+    values = values.join(near, [*keys, "_slice"]).withColumn("_upto", upto)
     at = lambda r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("_x")))
-    return rows.groupBy(*keys).agg(F.first("_all").alias("n"), ((at("_low") + at("_high")) / 2).alias("p50"), at("_p95").alias("p95"), F.first("_max").alias("max"))
+    return values.groupBy(*keys).agg(F.first("_all").alias("n"), ((at("_low") + at("_high")) / 2).alias("p50"), at("_p95").alias("p95"), F.first("_max").alias("max"))

@@ -57,8 +57,8 @@ def max_stage_regression(deltas: DataFrame, metric: str, pct: float) -> DataFram
 
 
 def fail_on_introduced(delta: DataFrame, runs: DataFrame, bands: tuple[str, ...] = ("critical",)) -> DataFrame:
-    """Findings of these bands that only the candidate has."""
-    new = delta.filter((F.col("status") == "introduced") & F.col("band").isin(*bands)).groupBy(F.col("cand_app").alias("app_id")).agg(F.count("*").alias("v"))
+    """Findings of these bands that only the candidate has, or that had another band in the base."""
+    new = delta.filter((F.col("status") == "introduced") | ((F.col("status") == "changed") & ~F.col("from_band").isin(*bands))).filter(F.col("band").isin(*bands)).groupBy(F.col("cand_app").alias("app_id")).agg(F.count("*").alias("v"))
     return _budget(runs.select("app_id").join(new, ["app_id"], "left").na.fill(0, ["v"]), "fail-on-introduced", F.col("v"), 0)
 
 

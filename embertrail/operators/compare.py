@@ -78,7 +78,7 @@ def stage_skew_deltas(matches: DataFrame, stages: DataFrame) -> DataFrame:
 
 
 def findings_delta(findings: DataFrame, matches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(base_app, cand_app, status, type, rule, stage_id, band): introduced, resolved, or changed in band.
+    """(base_app, cand_app, status, type, rule, stage_id, band, from_band): introduced, resolved, or changed in band.
 
     A base finding stands at its stage's partner; findings of one type, rule and place pair in order of band.
     """
@@ -92,7 +92,7 @@ def findings_delta(findings: DataFrame, matches: DataFrame, pairs: DataFrame) ->
     c = cand.withColumn("i", number).select(*key, "i", F.col("band").alias("cand_band"), F.col("stage_id").alias("cand_stage"))
     x = b.join(c, [*key, "i"], "full")
     status = F.when(F.col("base_band").isNull(), "introduced").when(F.col("cand_band").isNull(), "resolved").when(F.col("base_band") != F.col("cand_band"), "changed")
-    return x.withColumn("status", status).filter("status IS NOT NULL").select("base_app", "cand_app", "status", "type", "rule", F.coalesce("cand_stage", "base_stage").alias("stage_id"), F.coalesce("cand_band", "base_band").alias("band"))
+    return x.withColumn("status", status).filter("status IS NOT NULL").select("base_app", "cand_app", "status", "type", "rule", F.coalesce("cand_stage", "base_stage").alias("stage_id"), F.coalesce("cand_band", "base_band").alias("band"), F.col("base_band").alias("from_band"))
 
 
 def conf_diff(conf: DataFrame, pairs: DataFrame, ignore: str | None = None) -> DataFrame:

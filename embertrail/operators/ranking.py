@@ -89,7 +89,21 @@ def finding_ids(findings: DataFrame) -> DataFrame:
 
 
 def pages(rows: DataFrame, page_chars: int = 20_000) -> DataFrame:
-    """Rows (app, section, rank, ...) gain page: consecutive rows of a section, cut by the length of their JSON."""
-    size = F.length(F.to_json(F.struct(*rows.columns)))
-    upto = F.sum(size).over(Window.partitionBy("app_id", "section").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("page", F.floor(F.coalesce(upto, F.lit(0)) / page_chars))
+    """Rows (app, section, rank, ...) gain page, from 0, by the length of their JSON, total (rows of their section) and cursor, which names the next page and is null on the last.
+
+    A cursor holds a fingerprint of all of the run's rows, so that one from another result is told apart.
+    """
+    own, run, text = Window.partitionBy("app_id", "section"), Window.partitionBy("app_id"), F.to_json(F.struct(*rows.columns))
+    upto = F.sum(F.length(text)).over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    x = rows.withColumn("page", F.floor(F.coalesce(upto, F.lit(0)) / page_chars)).withColumn("_h", F.xxhash64(text))
+    mark = F.hex(F.bit_xor("_h").over(run).bitwiseXOR(F.count("*").over(run)))
+    after = F.min("page").over(own.orderBy("page").rangeBetween(1, Window.unboundedFollowing))
+    return x.select(*rows.columns, "page", F.count("*").over(own).alias("total"), F.when(after.isNotNull(), F.concat_ws(":", mark, "section", after.cast("string"))).alias("cursor"))
+
+
+def page_at(paged: DataFrame, app_id: str, cursor: str) -> DataFrame:
+    """Rows of the page that a cursor of `pages` names. None of another result: a cursor whose fingerprint no row of the run has given."""
+    mark, section, page = cursor.split(":")
+    mine = paged.filter(F.col("app_id") == app_id)
+    known = mine.filter(F.substring_index("cursor", ":", 1) == mark).select("app_id").distinct()
+    return mine.filter((F.col("section") == section) & (F.col("page") == int(page))).join(known, ["app_id"], "left_semi")

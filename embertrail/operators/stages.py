@@ -41,8 +41,9 @@ def stage_sums(tasks: DataFrame) -> DataFrame:
 
 def stage_quantiles(tasks: DataFrame, cols: Sequence[str] = ("duration_ms", "shuffle_read", "mem_spilled", "disk_spilled")) -> DataFrame:
     """(stage, metric, p50, p95, max): the textbook median, the nearest rank and the largest value of each column."""
-    values = tasks.select(*STAGE, F.explode(F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("bigint"))])).alias("metric", "x"))
-    return quantiles(values, [*STAGE, "metric"], "x").drop("n")
+    values = tasks.select(*STAGE, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("bigint").alias("x")) for i, c in enumerate(cols)])).alias("v")).select(*STAGE, "v.m", "v.x")
+    names = F.array(*map(F.lit, cols))
+    return quantiles(values, [*STAGE, "m"], "x").select(*STAGE, F.get(names, F.col("m")).alias("metric"), "p50", "p95", "max")
 
 
 def host_stats(tasks: DataFrame) -> DataFrame:
