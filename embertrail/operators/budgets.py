@@ -36,6 +36,13 @@ def max_failed_task_rate(stages: DataFrame, pct: float) -> DataFrame:
     return _budget(stages.groupBy("app_id").agg(rate.alias("v")), "max-failed-task-rate", F.col("v"), pct)
 
 
+def max_failed_attempt_rate(totals: DataFrame, pct: float) -> DataFrame:
+    """Failed records of tasks over all of them, every attempt of a stage included; `totals` is `attempts.stage_totals`. A record that was tried again counts as failed."""
+    tries = F.sum("tasks") + F.sum("retried_tasks")
+    rate = F.when(tries > 0, (F.sum("failed_tasks") + F.sum("retried_tasks")) / tries * 100)
+    return _budget(totals.groupBy("app_id").agg(rate.alias("v")), "max-failed-task-rate", F.col("v"), pct)
+
+
 def no_failed_jobs(outcome: DataFrame) -> DataFrame:
     return _budget(outcome, "no-failed-jobs", F.col("failed"), 0)
 

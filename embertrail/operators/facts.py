@@ -15,17 +15,17 @@ def task_winners(attempts: DataFrame) -> DataFrame:
 
 
 def _losers(attempts: DataFrame) -> DataFrame:
-    """Records of a task behind the one that counts; _retry: it failed, or lost to a copy that was no speculation."""
+    """Records of a task behind the one that counts; _retry: one that came before it, or that no speculative copy beat."""
     order = Window.partitionBy(TASK).orderBy("failed", "seq")
-    x = attempts.filter("task_index IS NOT NULL").withColumn("_i", F.row_number().over(order)).withColumn("_by_copy", F.first("speculative").over(order)).filter("_i > 1")
-    return x.withColumn("_retry", ~F.col("speculative") & (F.col("failed") | ~F.col("_by_copy")))
+    x = attempts.filter("task_index IS NOT NULL").withColumn("_i", F.row_number().over(order)).withColumn("_w", F.struct(*[F.first(c).over(order).alias(c) for c in ("seq", "failed", "speculative")])).filter("_i > 1")
+    return x.withColumn("_retry", ~F.col("speculative") & ((F.col("seq") < F.col("_w.seq")) | F.col("_w.failed") | ~F.col("_w.speculative"))).drop("_w")
 
 
 def wasted_attempts(attempts: DataFrame) -> DataFrame:
     """(app, stage, retry_ms, retry_n, spec_ms, spec_n) of records that lost.
 
-    A speculative loser is speculation waste. Another loser is retry waste if it failed, or lost to a copy that was no
-    speculation; one that a speculative copy overtook is neither.
+    A speculative loser is speculation waste. Another loser is retry waste, unless a speculative copy that succeeded came
+    before it: that one overtook it, and the loser, killed or not, is neither.
     """
     x = _losers(attempts)
     retry, spec = F.col("_retry"), F.col("speculative")

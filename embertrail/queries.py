@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import attempts as V
 from .operators import budgets as B
 from .operators import config as C
 from .operators import compare as X
@@ -834,6 +835,65 @@ def _(r: Run) -> DataFrame:
     return N.python_stages(named, nodes)
 
 
+#: All attempts: task ends meet the submission before them in order of events; `part` says which of them counts a record.
+_PARTS = (
+    ("subs", "SELECT *, CASE WHEN completed_seq > submitted_seq AND (nx IS NULL OR completed_seq < nx) THEN completed_seq END AS closed FROM (SELECT *, lead(submitted_seq) OVER (PARTITION BY app_id, stage_id ORDER BY submitted_seq) AS nx FROM stage_attempts)"),
+    ("ends", """SELECT t.*, s.attempt AS att, s.submitted_seq AS sub, s.nx, s.closed, s.failure, s.closed IS NOT NULL AND t.seq > s.closed AS late, coalesce('i' || CAST(t.task_index AS VARCHAR), 's' || CAST(t.seq AS VARCHAR)) AS task
+ FROM attempt_tasks AS t ASOF JOIN subs AS s ON t.app_id = s.app_id AND t.stage_id = s.stage_id AND t.seq > s.submitted_seq"""),
+    ("winners", "SELECT app_id, stage_id, sub, attempt, task, coalesce(min(seq) FILTER (NOT failed), min(seq)) AS ws, arg_min(speculative, CASE WHEN failed THEN seq + 10000000000000 ELSE seq END) AS wspec, bool_and(failed) AS wfail FROM ends WHERE NOT late GROUP BY app_id, stage_id, sub, attempt, task"),
+    ("parted", """SELECT *, NOT late AND seq <> ws AND NOT speculative AND (seq < ws OR NOT wspec OR wfail) AND (nx IS NULL OR closed IS NOT NULL) AS retried, CASE WHEN NOT late AND seq = ws THEN CASE WHEN nx IS NULL THEN 'own' WHEN closed IS NOT NULL THEN 'earlier' END WHEN NOT late THEN 'discarded'
+ WHEN task_index IS NOT NULL AND (speculative OR (coalesce(wspec, FALSE) AND NOT wfail)) THEN 'discarded' WHEN failure IS NOT NULL OR attempt <> att THEN 'late' END AS part FROM ends LEFT JOIN winners USING (app_id, stage_id, sub, attempt, task)"""),
+    ("awork", "SELECT app_id, stage_id, part, count(*) FILTER (part <> 'discarded') AS tasks, count(*) FILTER (part <> 'discarded' AND failed) AS failed_tasks, count(*) FILTER (retried) AS retried_tasks, "
+     + _long(*V.SUMS) + ", CAST(sum(output_records) AS BIGINT) AS output_records, max(peak_mem) AS peak_mem FROM parted WHERE part IS NOT NULL GROUP BY app_id, stage_id, part"),
+    ("skews", "SELECT app_id, stage_id, CASE WHEN median(duration_ms) > 0 THEN CASE WHEN count(*) >= 20 THEN quantile_disc(duration_ms, 0.95) ELSE max(duration_ms) END / median(duration_ms) END AS skew FROM parted WHERE part = 'own' GROUP BY app_id, stage_id"),
+    ("totals", "SELECT *, stage_id % 7 = 0 AS is_python, CAST(stage_id % 25 AS VARCHAR) AS identity FROM (SELECT app_id, stage_id, count(*) AS attempts, count(failure) AS failed_attempts, sum(completed_ms - submitted_ms) FILTER ((nx IS NULL OR closed IS NOT NULL) AND completed_ms >= submitted_ms) AS duration_ms FROM subs GROUP BY app_id, stage_id) LEFT JOIN (SELECT app_id, stage_id, "
+     + ", ".join(f"sum({c}) AS {c}" for c in (*V.COUNTS, *V.SUMS, "output_records")) + ", max(peak_mem) AS peak_mem FROM awork GROUP BY app_id, stage_id) USING (app_id, stage_id) LEFT JOIN skews USING (app_id, stage_id)"),
+    ("pairfig", " UNION ALL ".join(f"SELECT app_id, stage_id, '{m}' AS metric, CAST({'CASE WHEN cpu_ns > 0 THEN cpu_ns / 1e6 END' if m == 'cpu_ms' else f'coalesce({m}, 0)'} AS DOUBLE) AS v FROM totals" for m in V.PAIR_METRICS)),
+)
+_BLOCK = ", ".join(f"CAST(CASE WHEN sum(tasks) > 0 THEN sum({c}) END AS BIGINT) AS {c}" for c in (*V.COUNTS, *(c for c in V.SUMS if c != "cpu_ns"), "output_records")) + (
+    ", CASE WHEN sum(cpu_ns) > 0 THEN CAST(sum(cpu_ns) AS DOUBLE) / 1e6 END AS cpu_ms, CASE WHEN max(peak_mem) > 0 THEN max(peak_mem) END AS peak_mem, CAST(sum(duration_ms) AS BIGINT) AS stage_ms, max(skew) AS skew")
+
+
+class _Attempts:
+    """What the queries over all attempts read; the rows of tasks are written once, with their part."""
+
+    def __init__(self, r: Run) -> None:
+        self.tries = r.t["stage_attempts"]
+        self.parts = cut(V.task_parts(r.t["attempt_tasks"], self.tries))
+        self.work = V.attempt_work(self.parts)
+        self.totals = V.stage_totals(self.work, self.tries)
+
+    @property
+    def described(self) -> DataFrame:
+        return self.totals.join(V.skew_ratios(self.parts), A.STAGE, "left").withColumn("is_python", F.col("stage_id") % 7 == 0)
+
+
+@query("t11_attempt_work", "SELECT * FROM awork", **dict(_PARTS))
+def _(r: Run) -> DataFrame:
+    return V.attempt_work(V.task_parts(r.t["attempt_tasks"], r.t["stage_attempts"]))
+
+
+@query("r15_run_totals", f"""SELECT t.app_id, t.complete, t.duration_ms AS wall_ms, b.* EXCLUDE (app_id) FROM timing AS t LEFT JOIN (SELECT app_id, {_BLOCK}, count(*) AS stages, CAST(sum(failed_attempts) AS BIGINT) AS failed_stage_attempts, count(*) FILTER (attempts > 1) AS retried_stages,
+ CASE WHEN sum(run_ms) > 0 THEN CAST(sum(CASE WHEN is_python THEN run_ms ELSE 0 END) AS DOUBLE) / CAST(sum(run_ms) AS DOUBLE) END AS python_share FROM totals GROUP BY app_id) AS b USING (app_id)""", **dict(_PARTS))
+def _(r: Run) -> DataFrame:
+    return V.run_totals(_Attempts(r).described, r.timing)
+
+
+@query("r15_fingerprint_rows", f"SELECT app_id, identity, {_BLOCK}, string_agg(CAST(stage_id AS VARCHAR), ',' ORDER BY stage_id) AS stage_ids, bool_or(failed_attempts > 0) AS failed, bool_or(attempts > 1) AS retried, bool_or(is_python) AS python FROM totals GROUP BY app_id, identity", **dict(_PARTS))
+def _(r: Run) -> DataFrame:
+    return V.fingerprint_rows(_Attempts(r).described, r.identity).withColumn("stage_ids", F.array_join("stage_ids", ","))
+
+
+@query("x9_attempt_deltas", "SELECT m.*, b.metric, b.v AS base, c.v AS cand, c.v - b.v AS delta FROM matched AS m JOIN pairfig AS b ON b.app_id = m.base_app AND b.stage_id = m.base_stage JOIN pairfig AS c ON c.app_id = m.cand_app AND c.stage_id = m.cand_stage AND c.metric = b.metric", **dict(_PARTS))
+def _(r: Run) -> DataFrame:
+    return V.attempt_deltas(X.match_stages(r.identity, r.pairs), cut(_Attempts(r).totals))
+
+
+@query("b4_failed_attempt_rate", _budget_sql("max-failed-task-rate", "CASE WHEN sum(tasks) + sum(retried_tasks) > 0 THEN CAST(sum(failed_tasks) + sum(retried_tasks) AS DOUBLE) / CAST(sum(tasks) + sum(retried_tasks) AS DOUBLE) * 100 END", "v > 3", "totals GROUP BY app_id"), **dict(_PARTS))
+def _(r: Run) -> DataFrame:
+    return B.max_failed_attempt_rate(_Attempts(r).totals, 3)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage skew table: stages by the ratio of their 95th percentile task to the median one."""
     q = A.stage_quantiles(Facts(spark, sf_dir)["tasks"], ("duration_ms",))

@@ -57,6 +57,23 @@ FROM {windows} GROUP BY app_id, CAST(floor(stage_id / 5.0) AS BIGINT), CAST(floo
 SELECT app_id, stage_id, task_id AS task_index, 2 * task_id AS seq, duration_ms, failed, FALSE AS speculative FROM {tasks}
 UNION ALL SELECT app_id, stage_id, task_id, 2 * task_id + 1, duration_ms, FALSE, FALSE FROM {tasks} WHERE failed
 UNION ALL SELECT app_id, stage_id, task_id, 2 * task_id + 2, duration_ms + 7, FALSE, TRUE FROM {tasks} WHERE task_id % 40 = 0""",
+    "stage_attempts": """
+SELECT app_id, stage_id, attempt, submitted_ms + 5000 * attempt AS submitted_ms,
+       CASE WHEN attempt = 0 AND stage_id % 7 = 3 THEN submitted_ms + 4000 WHEN stage_id = 49 OR (attempt = 0 AND stage_id % 7 = 5) THEN NULL ELSE completed_ms + 9000 END AS completed_ms,
+       attempt * 1000000000000 AS submitted_seq,
+       CASE WHEN stage_id = 49 OR (attempt = 0 AND stage_id % 7 = 5) THEN NULL ELSE attempt * 1000000000000 + 500000000000 END AS completed_seq,
+       CASE WHEN (attempt = 0 AND stage_id % 7 = 3) OR stage_id % 7 = 6 THEN 'an executor was lost' END AS failure
+FROM {windows} JOIN (SELECT CAST(0 AS BIGINT) AS attempt UNION ALL SELECT CAST(1 AS BIGINT)) AS n ON attempt = 0 OR stage_id % 7 IN (3, 5)""",
+    "attempt_tasks": """
+SELECT app_id, stage_id, attempt, CASE WHEN task_id % 41 <> 0 THEN task_id END AS task_index, record * 1000000000000 + late * 600000000000 + 10 * task_id + 5 + shift AS seq, failed, speculative,
+       duration_ms, run_ms, cpu_ns, gc_ms, mem_spilled, disk_spilled, shuffle_read, shuffle_write, input_bytes, output_bytes, output_records, peak_mem
+FROM (SELECT t.*, CAST(CASE WHEN stage_id % 7 IN (3, 5) AND task_id % 3 > 0 THEN 1 ELSE 0 END AS BIGINT) AS attempt, CAST(CASE WHEN stage_id % 7 IN (3, 5) AND task_id % 6 > 0 THEN 1 ELSE 0 END AS BIGINT) AS record
+      FROM (SELECT app_id, stage_id, task_id, duration_ms, run_ms, cpu_ns, gc_ms, mem_spilled, disk_spilled, shuffle_read, shuffle_write, input_bytes, output_bytes, output_records, peak_mem,
+                   failed, FALSE AS speculative, 0 AS shift, CASE WHEN task_id % 6 = 4 OR task_id % 20 = 5 THEN 1 ELSE 0 END AS late FROM {tasks}
+            UNION ALL SELECT app_id, stage_id, task_id, duration_ms, run_ms, cpu_ns, gc_ms, mem_spilled, disk_spilled, shuffle_read, shuffle_write, input_bytes, output_bytes, output_records, peak_mem,
+                   FALSE, FALSE, 1, 0 FROM {tasks} WHERE failed
+            UNION ALL SELECT app_id, stage_id, task_id, duration_ms, run_ms, cpu_ns, gc_ms, mem_spilled, disk_spilled, shuffle_read, shuffle_write, input_bytes, output_bytes, output_records, peak_mem,
+                   task_id % 15 = 0, TRUE, CASE WHEN task_id % 10 = 0 THEN -3 ELSE 2 END, CASE WHEN task_id % 25 = 10 THEN 1 ELSE 0 END FROM {tasks} WHERE task_id % 5 = 0) AS t) AS x""",
 }
 
 
