@@ -65,14 +65,15 @@ def _ratio(tasks_for_p95: float) -> Column:
 
 
 def tail_cause(stages: DataFrame, tails: DataFrame, data_share: float) -> DataFrame:
-    """Stages with the cause of their tail: data from `data_share` of its excess on, else the largest of the others."""
+    """Stages with the cause of their tail: data from `data_share` of its excess on, else the largest of the others; cause_pct is its share of the excess, null where nothing tells the cause."""
     t = tails.select(*STAGE, F.col("excess_ms").alias("_excess"), "data_ms", F.col("gc_ms").alias("_gc"), "fetch_ms", "host_ms", "data_ratio")
     x = stages.join(t, STAGE, "left")
     rest = F.greatest(F.lit(0.0), F.col("_excess") - F.col("data_ms") - F.col("_gc") - F.col("fetch_ms") - F.col("host_ms"))
     other = F.when(F.col("data_ratio").isNull(), "unattributed").otherwise("unexplained")
     most = F.greatest("_gc", "fetch_ms", "host_ms", rest)
     cause = F.when(F.col("_excess").isNull() | (F.col("_excess") <= 0), "unattributed").when(F.col("data_ms") / F.col("_excess") >= data_share, "data").when(F.col("_gc") == most, "gc").when(F.col("fetch_ms") == most, "fetchWait").when(F.col("host_ms") == most, "host").otherwise(other)
-    return x.withColumn("cause", cause).drop("_excess", "data_ms", "_gc", "fetch_ms", "host_ms", "data_ratio")
+    own = F.when(cause == "data", F.col("data_ms")).when(cause == "gc", F.col("_gc")).when(cause == "fetchWait", F.col("fetch_ms")).when(cause == "host", F.col("host_ms")).when(cause == "unexplained", rest)
+    return x.withColumn("cause_pct", own / F.col("_excess") * 100).withColumn("cause", cause).drop("_excess", "data_ms", "_gc", "fetch_ms", "host_ms", "data_ratio")
 
 
 def skew(stages: DataFrame, tails: DataFrame, t: dict) -> DataFrame:
@@ -99,6 +100,34 @@ def straggler(stages: DataFrame, claims: DataFrame, t: dict) -> DataFrame:
     return some.unionByName(_found(x.filter(~told), "straggler", "share", "straggler share", share, F.col("claim"), band))
 
 
+def skew_claims(stages: DataFrame, peaks: DataFrame, t: dict) -> DataFrame:
+    """Stages over the skew ratio with what their tail costs, as `estimate_stage` reads it: the 95th percentile's (of few tasks the longest's) time over the median, or all stragglers' spread over the tasks at once."""
+    x = stages.join(peaks.select(*STAGE, "peak_tasks"), STAGE, "left").withColumn("ratio", _ratio(t["tasks_for_p95"])).filter(F.col("ratio") > t["ratio"])
+    over = F.greatest(F.lit(0.0), F.when(F.col("tasks") >= t["tasks_for_p95"], F.col("p95")).otherwise(F.col("longest")) - F.col("p50"))
+    cost = F.when((F.col("excess_ms") > 0) & (F.col("peak_tasks") > 0), F.greatest(over, F.col("excess_ms") / F.col("peak_tasks"))).otherwise(over)
+    return x.select(*STAGE, "ratio", cost.alias("waste_ms"), F.lit(True).alias("tail"), F.greatest(over, "excess_ms").alias("removed_ms"), "longest_after_ms")
+
+
+def straggler_tails(stages: DataFrame, claims: DataFrame, skewed: DataFrame, tails: DataFrame, t: dict, skew_t: dict) -> DataFrame:
+    """Straggler findings with the cause of their tail: those of `straggler`, and tails that skew's gate admits though data doesn't explain them (rule ratio); tails that skew reports are left out.
+
+    skewed: `skew_claims` with high_ms (null: the raw claim counts). Added columns: cause, cause_pct (null where nothing
+    tells the cause), host and host_tasks (where the cause is one), cpu_pct of the tail's run time (null without CPU time).
+    """
+    run = stages.select(*STAGE, "duration_ms", "recovery_ms")
+    cost = F.coalesce("high_ms", "waste_ms")
+    worth = F.col("duration_ms").isNull() | (cost * 100 >= F.col("duration_ms") * skew_t["floor_pct"])
+    admitted = skewed.join(run, STAGE).filter(worth).select(*STAGE, F.col("ratio").alias("_ratio"))
+    why = tail_cause(stages.select(*STAGE), tails, skew_t["data_share"]).join(tails.select(*STAGE, "host", "host_tasks", "cpu_pct"), STAGE, "left").join(admitted, STAGE, "left")
+    why = why.filter((F.col("cause") != "data") | F.col("_ratio").isNull())
+    own = straggler(stages, claims, t)
+    claim = stages.join(claims.select(*STAGE, F.col("high_ms").alias("_high")), STAGE, "left").select(*STAGE, F.coalesce("_high", "recovery_ms").alias("claim"))
+    rest = why.filter("_ratio IS NOT NULL").join(own, STAGE, "left_anti").join(claim, STAGE)
+    found = own.unionByName(_found(rest, "straggler", "ratio", "duration ratio", F.col("_ratio"), F.col("claim"), "info"))
+    at_host = lambda c: F.when(F.col("cause") == "host", F.col(c)).alias(c)
+    return found.join(why, STAGE).select(*COLUMNS, "cause", half_up(F.col("cause_pct")).alias("cause_pct"), at_host("host"), at_host("host_tasks"), half_up(F.col("cpu_pct")).alias("cpu_pct"))
+
+
 def spill(stages: DataFrame, t: dict) -> DataFrame:
     """Stages that spill; the rule tells how much the largest task does: severe (a lone task), high, medium, else some."""
     disk, mem = F.col("disk_max"), F.col("spill_max")

@@ -132,7 +132,7 @@ def tail_attribution(tasks: DataFrame, factor: int = TAIL_FACTOR) -> DataFrame:
     share = F.col("top.tail_here") / F.col("tail_tasks")
     held = (F.col("top.tail_here") >= HOST_TASKS) & (share >= HOST_SHARE) & (share / (F.col("top.all_here") / F.col("n")) >= HOST_MULTIPLE)
     out = sums.join(top, STAGE, "left").withColumn("held", F.coalesce(held, F.lit(False)))
-    return out.select(*STAGE, "tail_tasks", "excess_ms", "data_ms", "gc_ms", "fetch_ms", F.when(F.col("held"), F.col("top.left_here")).otherwise(0.0).alias("host_ms"), F.when(F.col("held"), F.col("top.host")).alias("host"), "data_ratio", "cpu_pct")
+    return out.select(*STAGE, "tail_tasks", "excess_ms", "data_ms", "gc_ms", "fetch_ms", F.when(F.col("held"), F.col("top.left_here")).otherwise(0.0).alias("host_ms"), F.when(F.col("held"), F.col("top.host")).alias("host"), F.when(F.col("held"), F.col("top.tail_here")).alias("host_tasks"), "data_ratio", "cpu_pct")
 
 
 def active_ms(tasks: DataFrame) -> DataFrame:

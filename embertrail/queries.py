@@ -835,6 +835,29 @@ def _(r: Run) -> DataFrame:
     return N.python_stages(named, nodes)
 
 
+#: Tails by cause: what skew's gate admits, with its claim held against what the run can save, and what is known of the tail.
+_F2 = _ADVICE | {
+    "skc": """SELECT s.app_id, s.stage_id, ratio, CASE WHEN excess_ms > 0 AND peak_tasks > 0 THEN greatest(over, excess_ms / peak_tasks) ELSE over END AS waste_ms, greatest(over, excess_ms) AS removed_ms, CASE WHEN stragglers > 0 THEN greatest(p50, longest_ok_ms) ELSE p50 END AS after_ms, longest, run_ms, stage_ms, least(1.0, o.occupancy_ms / stage_ms) AS gate, CAST(run_ms AS DOUBLE) / total_cores AS fl
+ FROM (SELECT *, CASE WHEN tasks >= 20 THEN p95 ELSE longest END / p50 AS ratio, greatest(0.0, CASE WHEN tasks >= 20 THEN p95 ELSE longest END - p50) AS over FROM st WHERE p50 > 0) AS s JOIN strag USING (app_id, stage_id) JOIN peak USING (app_id, stage_id) JOIN cores USING (app_id) LEFT JOIN occ AS o ON o.app_id = s.app_id AND o.stage_id = s.stage_id WHERE ratio > 3""",
+    "skest": _EST.replace("tailc", "skc"),
+    "admitted": "SELECT k.app_id, k.stage_id, k.ratio FROM skc AS k LEFT JOIN (SELECT app_id, stage_id, high_ms FROM skest) AS e USING (app_id, stage_id) JOIN timing USING (app_id) WHERE coalesce(high_ms, k.waste_ms) * 100 >= duration_ms * 0.5",
+    "tail_host": "SELECT app_id, stage_id, host, here FROM (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id ORDER BY here DESC, host DESC) AS i FROM (SELECT app_id, stage_id, host, count(*) AS here FROM tail_rows GROUP BY app_id, stage_id, host)) WHERE i = 1",
+    "tail_cpu": "SELECT app_id, stage_id, CASE WHEN sum(t.run_ms) > 0 THEN CAST(sum(t.cpu_ns) AS DOUBLE) / 1e6 / CAST(sum(t.run_ms) AS DOUBLE) * 100 END AS cpu_pct FROM tasks AS t JOIN (SELECT app_id, stage_id, p50 FROM st) AS s USING (app_id, stage_id) WHERE NOT failed AND p50 > 0 AND duration_ms > 3 * p50 GROUP BY app_id, stage_id",
+    "why": """SELECT c.app_id, c.stage_id, cause, CASE cause WHEN 'data' THEN data_ms WHEN 'gc' THEN gc_ms WHEN 'fetchWait' THEN fetch_ms WHEN 'host' THEN host_ms WHEN 'unexplained' THEN greatest(0.0, excess_ms - data_ms - gc_ms - fetch_ms - host_ms) END / excess_ms * 100 AS cause_pct, CASE WHEN cause = 'host' THEN host END AS host, CASE WHEN cause = 'host' THEN here END AS host_tasks, cpu_pct, ratio AS admitted_ratio
+ FROM causes AS c LEFT JOIN (SELECT app_id, stage_id, excess_ms, data_ms, gc_ms, fetch_ms FROM raw_tails) AS r USING (app_id, stage_id) LEFT JOIN held USING (app_id, stage_id) LEFT JOIN tail_host USING (app_id, stage_id) LEFT JOIN tail_cpu USING (app_id, stage_id) LEFT JOIN admitted USING (app_id, stage_id) WHERE cause <> 'data' OR ratio IS NULL""",
+}
+_F2_SQL = """SELECT f.*, cause, floor(cause_pct + 0.5) AS cause_pct, host, host_tasks, floor(cpu_pct + 0.5) AS cpu_pct FROM (SELECT app_id, type, rule, stage_id, metric, value, band FROM strags UNION ALL
+ SELECT w.app_id, 'straggler', 'ratio', w.stage_id, 'duration ratio', w.admitted_ratio, 'info' FROM why AS w WHERE admitted_ratio IS NOT NULL AND NOT EXISTS (SELECT 1 FROM strags AS g WHERE g.app_id = w.app_id AND g.stage_id = w.stage_id)) AS f JOIN why AS y ON y.app_id = f.app_id AND y.stage_id = f.stage_id"""
+
+
+@query("f2_straggler_causes", _F2_SQL, True, **_F2)
+def _(r: Run) -> DataFrame:
+    s, t = r.stages, D.THRESHOLDS
+    over = cut(D.skew_claims(s, A.peak_concurrency(r.tasks), t["skew"]))
+    high = I.estimate_stage(over, s, I.gate(s), I.ceiling(s.drop("total_cores"), r.cores)).select("app_id", "stage_id", "high_ms")
+    return D.straggler_tails(s, r.claims, over.join(high, A.STAGE, "left"), cut(A.tail_attribution(r.tasks)), t["straggler"], t["skew"]).drop("waste_ms")
+
+
 #: All attempts: task ends meet the submission before them in order of events; `part` says which of them counts a record.
 _PARTS = (
     ("subs", "SELECT *, CASE WHEN completed_seq > submitted_seq AND (nx IS NULL OR completed_seq < nx) THEN completed_seq END AS closed FROM (SELECT *, lead(submitted_seq) OVER (PARTITION BY app_id, stage_id ORDER BY submitted_seq) AS nx FROM stage_attempts)"),
