@@ -29,7 +29,7 @@ from .plans import detectors as PD
 from .plans import skew_joins as S
 from .plans.skew_queries import shaped
 from .sources import eventlog as E
-from .sources.testdata import Facts, with_tables
+from .sources.testdata import SHAPED, TABLES, Facts, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,8 +44,8 @@ class Run:
     `keep` also writes the task rows once, for what reads them many times.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
-        self.spark, self.t = spark, Facts(spark, sf_dir, {"windows": cut, "executors": cut} | ({"tasks": cut} if keep else {}))
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False, tables: dict[str, str] = TABLES) -> None:
+        self.spark, self.t = spark, Facts(spark, sf_dir, {"windows": cut, "executors": cut} | ({"tasks": cut} if keep else {}), tables)
 
     tasks, windows, apps, executors, jobs, attempts = (property(lambda self, name=name: self.t[name]) for name in ("tasks", "windows", "apps", "executors", "jobs", "attempts"))
 
@@ -120,13 +120,13 @@ class Run:
         return cut(K.finding_ids(K.suppress(self.findings)).drop("id"))
 
 
-def query(name: str, sql: str | None = None, keep: bool = False, **more: str) -> Callable:
-    """Register a function of a Run; `sql` may use the derived tables, ST, and `more` (name=SQL). keep: the run's task rows are written once."""
+def query(name: str, sql: str | None = None, keep: bool = False, tables: dict[str, str] = TABLES, **more: str) -> Callable:
+    """Register a function of a Run over `tables`; `sql` may use these, ST, and `more` (name=SQL). keep: the run's task rows are written once."""
 
     def register(f: Callable[[Run], DataFrame]) -> Callable[[Run], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Run(spark, sf_dir, keep))
+        QUERIES[name] = lambda spark, sf_dir: f(Run(spark, sf_dir, keep, tables))
         if sql is not None:
-            ORACLE_SQL[name] = with_tables(sql, *SHARED, *more.items())
+            ORACLE_SQL[name] = with_tables(sql, *SHARED, *more.items(), tables=tables)
         return f
 
     return register
@@ -851,13 +851,20 @@ _F2_SQL = """SELECT f.*, cause, floor(cause_pct + 0.5) AS cause_pct, host, host_
 
 
 @query("f2_straggler_causes", _F2_SQL, True, **_F2)
-def _(r: Run) -> DataFrame:
+def _straggler_causes(r: Run) -> DataFrame:
     s, t = r.stages, D.THRESHOLDS
     over = cut(D.skew_claims(s, A.peak_concurrency(r.tasks), t["skew"]))
     high = I.estimate_stage(over, s, I.gate(s), I.ceiling(s.drop("total_cores"), r.cores)).select("app_id", "stage_id", "high_ms")
     return D.straggler_tails(s, r.claims, over.join(high, A.STAGE, "left"), cut(A.tail_attribution(r.tasks)), t["straggler"], t["skew"]).drop("waste_ms")
 
 
+#: Detectors that the derived tables give hardly anything, over the shaped ones.
+for _name in ("f1_skew", "f2_straggler", "f5_partition_sizing", "f10_gc", "f11_slow_host_mean", "f12_slow_host_share", "f14_stage_slowness", "f16_tiny_task", "f18_cold_start", "f19_utilization", "f24_autoscaling_churn"):
+    _kind, _f, _text = _DET[_name]
+    query(f"{_name}_shaped", _text, tables=SHAPED, **_MORE)(lambda r, f=_f, k=_kind: f(r, D.THRESHOLDS[k]))
+query("f2_straggler_causes_shaped", _F2_SQL, True, SHAPED, **_F2)(_straggler_causes)
+
+
 #: All attempts: task ends meet the submission before them in order of events; `part` says which of them counts a record.
 _PARTS = (
     ("subs", "SELECT *, CASE WHEN completed_seq > submitted_seq AND (nx IS NULL OR completed_seq < nx) THEN completed_seq END AS closed FROM (SELECT *, lead(submitted_seq) OVER (PARTITION BY app_id, stage_id ORDER BY submitted_seq) AS nx FROM stage_attempts)"),

@@ -76,18 +76,41 @@ FROM (SELECT t.*, CAST(CASE WHEN stage_id % 7 IN (3, 5) AND task_id % 3 > 0 THEN
                    task_id % 15 = 0, TRUE, CASE WHEN task_id % 10 = 0 THEN -3 ELSE 2 END, CASE WHEN task_id % 25 = 10 THEN 1 ELSE 0 END FROM {tasks} WHERE task_id % 5 = 0) AS t) AS x""",
 }
 
+#: The same tables with stages and executors shaped by their number, so that detectors have cases on both sides of their thresholds.
+SHAPED = TABLES | {
+    "plain_tasks": TABLES["tasks"],
+    "plain_executors": TABLES["executors"].replace("{tasks}", "{plain_tasks}"),
+    "tasks": """
+SELECT app_id, stage_id, task_id, host, executor_id, locality, launch_ms, duration_ms, failed, speculative, shuffle_read, input_bytes, shuffle_write, records_read, output_bytes, output_records, mem_spilled, disk_spilled,
+       CASE WHEN k = 1 THEN CAST(floor(duration_ms * 0.9 * CASE WHEN stage_id % 20 = 1 THEN 0.12 ELSE 0.05 END) AS BIGINT) ELSE gc_ms END AS gc_ms, fetch_wait_ms, peak_mem,
+       launch_ms + duration_ms AS finish_ms, CAST(floor(duration_ms * 0.9) AS BIGINT) AS run_ms, CAST(floor(duration_ms * 0.7) AS BIGINT) * 1000000 AS cpu_ns
+FROM (SELECT app_id, stage_id, task_id, executor_id, locality, failed, speculative, shuffle_write, output_bytes, output_records, mem_spilled, disk_spilled, gc_ms, fetch_wait_ms, peak_mem, k,
+       CASE WHEN k = 2 THEN CASE task_id % 3 WHEN 0 THEN 'host-0' WHEN 1 THEN 'host-1' ELSE 'host-2' END WHEN k = 3 AND task_id % 4 > CASE WHEN stage_id % 20 = 13 THEN 1 ELSE 0 END THEN 'host-0' ELSE host END AS host,
+       launch_ms + CASE WHEN k = 4 AND task_id = 0 THEN 900000 ELSE 0 END AS launch_ms,
+       CASE k WHEN 2 THEN 3000 + task_id % 7 + CASE WHEN task_id % 3 = 0 THEN stage_id * 200 ELSE 0 END WHEN 3 THEN 4000 + task_id % 7 WHEN 5 THEN 50 + task_id % 400 + CASE WHEN stage_id % 20 = 15 THEN 400 ELSE 0 END
+            WHEN 7 THEN 2000 + task_id % 7 + CASE WHEN task_id % 12 = 0 THEN 18000 ELSE 0 END ELSE duration_ms END AS duration_ms,
+       CASE WHEN stage_id = 46 THEN 167772160 WHEN k = 6 AND task_id = 0 THEN CASE WHEN stage_id % 20 = 6 THEN 6442450944 ELSE 268435456 END WHEN k = 6 THEN 1048576 WHEN k = 7 THEN 0 ELSE shuffle_read END AS shuffle_read,
+       CASE WHEN k = 7 THEN 4194304 * CASE WHEN task_id % 12 = 0 AND stage_id % 20 = 7 THEN 10 ELSE 1 END ELSE input_bytes END AS input_bytes,
+       CASE WHEN k = 7 THEN 0 ELSE records_read END AS records_read
+      FROM (SELECT *, stage_id % 10 AS k FROM {plain_tasks} WHERE stage_id <> 46 OR task_id < 7) AS t) AS x""",
+    "executors": """
+SELECT app_id, executor_id, host, CASE WHEN app_id = 'app-1' THEN first_ms + 31000 ELSE added_ms END AS added_ms,
+       CASE WHEN app_id = 'app-1' THEN NULL WHEN app_id = 'app-2' AND CAST(executor_id AS INT) % 2 = 0 THEN added_ms + 60000 ELSE removed_ms END AS removed_ms, CASE WHEN app_id = 'app-3' THEN cores * 1000 ELSE cores END AS cores
+FROM {plain_executors} JOIN (SELECT app_id, min(submitted_ms) AS first_ms FROM {windows} GROUP BY app_id) AS f USING (app_id)""",
+}
+
 
 class Facts:
     """The derived tables by name, made when first asked for; `keep` is applied to a table's rows the first time, by name."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, keep: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
-        self.spark, self.keep = spark, keep or {}
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: dict[str, Callable[[DataFrame], DataFrame]] | None = None, tables: dict[str, str] = TABLES) -> None:
+        self.spark, self.keep, self.tables = spark, keep or {}, tables
         self.made = {"lineitem": spark.read.parquet(f"{sf_dir}/lineitem.parquet")}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            sql = TABLES[name]
-            df = self.spark.sql(sql, **{k: self[k] for k in ("lineitem", *TABLES) if "{" + k + "}" in sql})
+            sql = self.tables[name]
+            df = self.spark.sql(sql, **{k: self[k] for k in ("lineitem", *self.tables) if "{" + k + "}" in sql})
             self.made[name] = self.keep.get(name, lambda x: x)(df)
         return self.made[name]
 
@@ -97,9 +120,9 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
     return Facts(spark, sf_dir)
 
 
-def with_tables(body: str, *more: tuple[str, str]) -> str:
+def with_tables(body: str, *more: tuple[str, str], tables: dict[str, str] = TABLES) -> str:
     """`body` behind WITH clauses for the derived tables, and for `more` (name, SQL), that it uses."""
-    parts = {k: v.format(**{n: n for n in ("lineitem", *TABLES)}) for k, v in TABLES.items()} | dict(more)
+    parts = {k: v.format(**{n: n for n in ("lineitem", *tables)}) for k, v in tables.items()} | dict(more)
     used: dict[str, None] = {}
 
     def need(text: str) -> None:
