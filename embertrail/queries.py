@@ -675,8 +675,11 @@ def _near(*cols: str) -> list[Column]:
     return [F.round(F.col(c) + 1e-6, 3).alias(c) for c in cols]
 
 
-@query("i6_waste_claims", "SELECT app_id, type, rule, stage_id, round(CAST(claim AS DOUBLE) + 1e-6, 3) AS claim_ms, round(CAST(raw AS DOUBLE) + 1e-6, 3) AS raw, CASE WHEN raw IS NOT NULL THEN unit END AS unit, method FROM claimed", True, **_CLAIMS)
-def _(r: Run) -> DataFrame:
+_I6 = "SELECT app_id, type, rule, stage_id, round(CAST(claim AS DOUBLE) + 1e-6, 3) AS claim_ms, round(CAST(raw AS DOUBLE) + 1e-6, 3) AS raw, CASE WHEN raw IS NOT NULL THEN unit END AS unit, method FROM claimed"
+
+
+@query("i6_waste_claims", _I6, True, **_CLAIMS)
+def _waste_claims(r: Run) -> DataFrame:
     return _claimed(r).select("app_id", "type", "rule", "stage_id", *_near("claim_ms", "raw"), "unit", "method")
 
 
@@ -688,8 +691,11 @@ def _(r: Run) -> DataFrame:
     return K.cost_lane(W.core_time(_claimed(r), r.stages)).select("app_id", F.col("rank").cast("long").alias("rank"), "type", "rule", "stage_id", *_near("core_high_ms"))
 
 
-@query("i7_core_time", "SELECT app_id, type, rule, stage_id, round(c + 1e-6, 3) AS core_low_ms, round(c + 1e-6, 3) AS core_high_ms, task_ms AS stage_task_ms FROM cored", True, **_CLAIMS)
-def _(r: Run) -> DataFrame:
+_I7 = "SELECT app_id, type, rule, stage_id, round(c + 1e-6, 3) AS core_low_ms, round(c + 1e-6, 3) AS core_high_ms, task_ms AS stage_task_ms FROM cored"
+
+
+@query("i7_core_time", _I7, True, **_CLAIMS)
+def _core_time(r: Run) -> DataFrame:
     return W.core_time(_claimed(r), r.stages).select("app_id", "type", "rule", "stage_id", *_near("core_low_ms", "core_high_ms"), "stage_task_ms")
 
 
@@ -863,6 +869,9 @@ for _name in ("f1_skew", "f2_straggler", "f5_partition_sizing", "f10_gc", "f11_s
     _kind, _f, _text = _DET[_name]
     query(f"{_name}_shaped", _text, tables=SHAPED, **_MORE)(lambda r, f=_f, k=_kind: f(r, D.THRESHOLDS[k]))
 query("f2_straggler_causes_shaped", _F2_SQL, True, SHAPED, **_F2)(_straggler_causes)
+query("k0_findings_shaped", "SELECT * FROM found", True, SHAPED, **_MORE)(lambda r: r.reported)
+query("i6_waste_claims_shaped", _I6, True, SHAPED, **_CLAIMS)(_waste_claims)
+query("i7_core_time_shaped", _I7, True, SHAPED, **_CLAIMS)(_core_time)
 
 
 #: All attempts: task ends meet the submission before them in order of events; `part` says which of them counts a record.
