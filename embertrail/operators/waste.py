@@ -33,17 +33,21 @@ def _case(kind: Column, cases: dict[str, Column]) -> Column:
     return out
 
 
-def waste_claims(findings: DataFrame, stages: DataFrame, extras: DataFrame, executors: DataFrame) -> DataFrame:
+def waste_claims(findings: DataFrame, stages: DataFrame, extras: DataFrame, executors: DataFrame, hosts: DataFrame | None = None, python: DataFrame | None = None) -> DataFrame:
     """Findings gain claim_ms (wall clock), raw and unit (what was wasted), method, core_ms (task time the fix frees), tail,
     removed_ms and longest_after_ms, as `estimate_stage` reads them.
 
     A type without a model has method none and nulls; a stage without run time or duration has no wall clock claim where
-    the model converts by concurrency, and a stage that isn't in the stage table claims nothing. Idle tasks are told by CPU time alone, so a stage of Python workers may look idle.
+    the model converts by concurrency, and a stage that isn't in the stage table claims nothing. hosts: `slow_host_times`; without
+    it a slow host claims nothing, with it the host's mean task over the median one. python: (stage, is_python); its stages never
+    count as idle, as their workers' CPU time isn't in the log; without it idle tasks are told by CPU time alone.
     """
     own = stages.join(extras, STAGE).select(*STAGE, F.struct("*").alias("s"))
     run = stages.groupBy("app_id").agg(F.sum("tasks").alias("_run_tasks"))
     gone = executors.filter("removed_ms IS NOT NULL").groupBy("app_id").agg(F.count("*").alias("_gone"))
     x = findings.join(own, STAGE, "left").join(run, ["app_id"], "left").join(gone, ["app_id"], "left")
+    x = x.withColumn("_host_ms", F.lit(None).cast("double")) if hosts is None else x.join(hosts.select(*STAGE, "rule", F.lit("slowHost").alias("type"), F.col("host_ms").alias("_host_ms")), [*STAGE, "type", "rule"], "left")
+    x = x.withColumn("_python", F.lit(False)) if python is None else x.join(python.select(*STAGE, F.col("is_python").alias("_python")), STAGE, "left")
     c, kind, zero = lambda name: F.col(f"s.{name}"), F.col("type"), F.lit(0.0)
 
     devices = F.greatest(F.lit(1), c("executors"))
@@ -53,7 +57,7 @@ def waste_claims(findings: DataFrame, stages: DataFrame, extras: DataFrame, exec
     link, wait = c("shuffle_read") / (LINK_BPS * devices) * 1000, c("fetch_wait_ms") / at_once
     fewer = F.greatest(F.lit(0), c("tasks") - F.round(c("tasks") / 10))
     overhead = F.when((c("tasks") > 0) & (c("stage_ms") > 0) & (c("task_ms") > c("run_ms")), (c("task_ms") - c("run_ms")) / c("tasks"))
-    idle = (read <= 0) & (c("run_ms") > 0) & (c("cpu_ns") > 0) & (c("cpu_ns") / 1e6 / c("run_ms") < IDLE_CPU)
+    idle = ~F.coalesce("_python", F.lit(False)) & (read <= 0) & (c("run_ms") > 0) & (c("cpu_ns") > 0) & (c("cpu_ns") / 1e6 / c("run_ms") < IDLE_CPU)
     unused = F.when(c("total_cores") > 0, F.when(idle, zero).otherwise(c("active_ms") * F.greatest(zero, 1 - c("tasks") / c("total_cores"))))
     retries = F.least(c("retry_ms"), F.greatest(c("chain") * c("retry_ms") / c("retry_n"), c("retry_ms") / F.greatest(F.lit(1), c("peak_tasks"))))
 
@@ -65,17 +69,18 @@ def waste_claims(findings: DataFrame, stages: DataFrame, extras: DataFrame, exec
     claim = _case(kind, {
         "skew": tail, "straggler": tail, "gc": c("gc_ms") / at_once, "retryWaste": retries, "spill": disk / (DISK_BPS * devices) * 1000 + c("stage_ms") * F.coalesce(passes, zero),
         "shuffle": F.least(link, wait), "tinyTask": F.coalesce(fewer * overhead / F.greatest(F.lit(1.0), F.try_divide(c("task_ms"), c("stage_ms"))), fewer * TASK_MS), "stageSlowness": unused, "coldStart": F.col("value"),
+        "slowHost": F.when(c("p50").isNotNull() & F.col("_host_ms").isNotNull(), F.greatest(zero, F.col("_host_ms") - c("p50"))),
     }).cast("double")
     x = x.withColumn("claim_ms", claim)
     raw = _case(kind, {
         "gc": c("gc_ms"), "retryWaste": c("retry_ms"), "speculationWaste": F.col("value"), "spill": disk, "shuffle": c("shuffle_read"), "coreLocality": F.col("value") * F.col("_run_tasks") * FETCH_MS,
-        "autoscalingChurn": F.col("value") * F.col("_gone") * STARTUP_MS / 3.6e6, **{k: F.col("claim_ms") for k in (*TAILS, "tinyTask", "stageSlowness")},
+        "autoscalingChurn": F.col("value") * F.col("_gone") * STARTUP_MS / 3.6e6, **{k: F.col("claim_ms") for k in (*TAILS, "tinyTask", "stageSlowness", "slowHost")},
     }).cast("double")
-    unit = _case(kind, {k: F.lit(u) for u, kinds in {"coreMs": ("gc", "coreLocality"), "ms": ("retryWaste", "speculationWaste", *TAILS, "tinyTask", "stageSlowness"), "bytes": ("spill", "shuffle"), "coreHours": ("autoscalingChurn",)}.items() for k in kinds})
+    unit = _case(kind, {k: F.lit(u) for u, kinds in {"coreMs": ("gc", "coreLocality"), "ms": ("retryWaste", "speculationWaste", *TAILS, "tinyTask", "stageSlowness", "slowHost"), "bytes": ("spill", "shuffle"), "coreHours": ("autoscalingChurn",)}.items() for k in kinds})
     found = lambda test: F.when(test, "measured").otherwise("modeled")
     method = _case(kind, {
         **{k: F.lit("measured") for k in (*TAILS, "speculationWaste", "coldStart")}, **{k: F.lit("modeled") for k in ("gc", "spill", "stageSlowness", "coreLocality", "autoscalingChurn")},
-        "retryWaste": found(F.col("claim_ms") == c("retry_ms")), "shuffle": found(wait < link), "tinyTask": found(overhead.isNotNull()),
+        "slowHost": F.when(F.col("_host_ms").isNotNull(), "measured"), "retryWaste": found(F.col("claim_ms") == c("retry_ms")), "shuffle": found(wait < link), "tinyTask": found(overhead.isNotNull()),
     })
     core = F.when(kind.isin(*TAILS), removed).when(kind == "spill", c("run_ms") * passes).when(kind.isin(*MEASURED), raw).cast("double")
     at_tail = kind.isin(*TAILS)

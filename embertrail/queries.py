@@ -869,6 +869,19 @@ for _name in ("f1_skew", "f2_straggler", "f5_partition_sizing", "f10_gc", "f11_s
     _kind, _f, _text = _DET[_name]
     query(f"{_name}_shaped", _text, tables=SHAPED, **_MORE)(lambda r, f=_f, k=_kind: f(r, D.THRESHOLDS[k]))
 query("f2_straggler_causes_shaped", _F2_SQL, True, SHAPED, **_F2)(_straggler_causes)
+_HOSTS = """SELECT app_id, stage_id, rule, host, host_ms FROM (SELECT app_id, stage_id, 'mean' AS rule, host, mean AS host_ms, row_number() OVER (PARTITION BY app_id, stage_id ORDER BY mean / mid DESC, host DESC) AS i FROM (SELECT *, median(mean) OVER w AS mid, count(*) OVER w AS hs, sum(n) OVER w AS an FROM perhost WINDOW w AS (PARTITION BY app_id, stage_id))
+ WHERE hs >= 3 AND an >= 15 AND mid > 0 AND mean >= 2 * mid AND n >= 0.2 * an AND mean >= 1000) WHERE i = 1 UNION ALL SELECT app_id, stage_id, 'durationShare', host, mean FROM (SELECT *, sum(n) OVER w AS an, sum(m) OVER w AS am, count(*) OVER w AS hs FROM perhost WINDOW w AS (PARTITION BY app_id, stage_id)) WHERE hs > 1 AND m >= 0.75 * am AND n >= 0.5 * an"""
+_PER_HOST = "SELECT app_id, stage_id, host, count(*) AS n, sum(duration_ms) AS m, CAST(sum(duration_ms) AS DOUBLE) / count(*) AS mean FROM tasks WHERE host <> '' GROUP BY app_id, stage_id, host"
+
+
+@query("i6_slow_host_claims_shaped", "SELECT s.app_id, s.rule, s.stage_id, h.host, round(greatest(0.0, host_ms - p50) + 1e-6, 3) AS claim_ms, 'ms' AS unit, 'measured' AS method FROM slow AS s JOIN slowest AS h ON h.app_id = s.app_id AND h.stage_id = s.stage_id AND h.rule = s.rule JOIN st ON st.app_id = s.app_id AND st.stage_id = s.stage_id", True, SHAPED, perhost=_PER_HOST, slowest=_HOSTS, **_MORE)
+def _(r: Run) -> DataFrame:
+    times = cut(D.slow_host_times(r.tasks, D.THRESHOLDS["slowHost"]))
+    found = r.reported.filter("type = 'slowHost'")
+    claims = W.waste_claims(found, r.stages, W.stage_extras(r.tasks, r.attempts), r.executors, times)
+    return claims.join(times.select(*A.STAGE, "rule", "host"), [*A.STAGE, "rule"]).select("app_id", "rule", "stage_id", "host", *_near("claim_ms"), "unit", "method")
+
+
 query("k0_findings_shaped", "SELECT * FROM found", True, SHAPED, **_MORE)(lambda r: r.reported)
 query("i6_waste_claims_shaped", _I6, True, SHAPED, **_CLAIMS)(_waste_claims)
 query("i7_core_time_shaped", _I7, True, SHAPED, **_CLAIMS)(_core_time)

@@ -80,3 +80,17 @@ def test_python_stages(spark):
     stages = spark.createDataFrame([("a", 1, "x", None), ("a", 2, "x at PythonRDD.scala", None), ("a", 3, None, "at org.apache.spark.api.python.P"), ("a", 4, None, None)], "app_id string, stage_id long, name string, details string")
     nodes = spark.createDataFrame([("a", 1, "Project"), ("a", 1, "*(3) ArrowEvalPython"), ("a", 4, "Project"), ("a", 4, None), ("a", 4, "Scan PythonRDD x")], "app_id string, stage_id long, name string")
     assert {r.stage_id: r.is_python for r in N.python_stages(stages, nodes).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_slow_hosts_and_python_stages(spark):
+    findings = spark.createDataFrame([("a", "slowHost", "mean", 1, 2.0), ("a", "slowHost", "durationShare", 1, 0.8), ("a", "slowHost", "multiDim", 1, 2.0), ("a", "slowHost", "mean", 9, 2.0), ("a", "stageSlowness", "duration", 1, 1.0), ("a", "stageSlowness", "duration", 2, 1.0)], "app_id string, type string, rule string, stage_id long, value double")
+    stages = spark.createDataFrame([("a", i, *[600.0 if n == "p50" else 0.0 if n in ("excess_ms", "longest_after_ms") else {"tasks": 5, "run_ms": 1000, "stage_ms": 1000, "cpu_ns": 10**6, "total_cores": 20}.get(n, 0) for n in FIGURES]) for i in (1, 2)], "app_id string, stage_id long, " + ", ".join(f"{n} {'double' if n in ('p50', 'excess_ms', 'longest_after_ms') else 'long'}" for n in FIGURES))
+    extras = spark.createDataFrame([("a", i, 1, 1, 900, None, None, None) for i in (1, 2)], "app_id string, stage_id long, " + ", ".join(f"{n} long" for n in EXTRAS))
+    gone = spark.createDataFrame([], "app_id string, executor_id string, removed_ms long")
+    hosts = spark.createDataFrame([("a", 1, "mean", "h", 1600.0), ("a", 1, "durationShare", "h", 500.0), ("a", 9, "mean", "h", 5000.0)], "app_id string, stage_id long, rule string, host string, host_ms double")
+    python = spark.createDataFrame([("a", 1, True), ("a", 2, False)], "app_id string, stage_id long, is_python boolean")
+    got = {(r.rule, r.stage_id): (r.claim_ms, r.raw, r.unit, r.method) for r in W.waste_claims(findings, stages, extras, gone, hosts, python).collect()}
+    assert got["mean", 1] == (1000.0, 1000.0, "ms", "measured") and got["durationShare", 1] == (0.0, 0.0, "ms", "measured")
+    assert got["multiDim", 1] == (None, None, None, "none") and got["mean", 9][0] is None  # no host's figure, no stage
+    assert got["duration", 1][0] == 675.0 and got["duration", 2][0] == 0.0  # Python's CPU time isn't in the log, so it isn't idle
+    assert {r.claim_ms for r in W.waste_claims(findings, stages, extras, gone).filter("type = 'slowHost'").collect()} == {None}
