@@ -63,7 +63,7 @@ SELECT app_id, stage_id, attempt, submitted_ms + 5000 * attempt AS submitted_ms,
        attempt * 1000000000000 AS submitted_seq,
        CASE WHEN stage_id = 49 OR (attempt = 0 AND stage_id % 7 = 5) THEN NULL ELSE attempt * 1000000000000 + 500000000000 END AS completed_seq,
        CASE WHEN (attempt = 0 AND stage_id % 7 = 3) OR stage_id % 7 = 6 THEN 'an executor was lost' END AS failure
-FROM {windows} JOIN (SELECT CAST(0 AS BIGINT) AS attempt UNION ALL SELECT CAST(1 AS BIGINT)) AS n ON attempt = 0 OR stage_id % 7 IN (3, 5)""",
+FROM (SELECT *, CAST(0 AS BIGINT) AS attempt FROM {windows} UNION ALL SELECT *, CAST(1 AS BIGINT) AS attempt FROM {windows} WHERE stage_id % 7 IN (3, 5)) AS w""",
     "attempt_tasks": """
 SELECT app_id, stage_id, attempt, CASE WHEN task_id % 41 <> 0 THEN task_id END AS task_index, record * 1000000000000 + late * 600000000000 + 10 * task_id + 5 + shift AS seq, failed, speculative,
        duration_ms, run_ms, cpu_ns, gc_ms, mem_spilled, disk_spilled, shuffle_read, shuffle_write, input_bytes, output_bytes, output_records, peak_mem
