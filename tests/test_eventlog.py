@@ -147,3 +147,13 @@ def test_rolling_parts_are_read_in_order(spark, tmp_path):
     write("events_5_app-9", "part 5", 1)
     with pytest.raises(ValueError, match="events_5_app-9"):
         E.read_event_lines(spark, str(d))
+
+
+def test_lines_are_written_and_parsed_once(spark, small):
+    tasks = spark.range(3).selectExpr("'a' AS app_id", "1L AS stage_id", "id AS task_id", "id AS launch_ms", "id + 5 AS finish_ms", "'e' AS executor_id", "'h' AS host", "'ANY' AS locality", "FALSE AS speculative", "id = 1 AS failed",
+        *[f"7L AS {c}" for c in ("run_ms", "cpu_ns", "gc_ms", "peak_mem", "mem_spilled", "disk_spilled", "input_bytes", "records_read", "output_bytes", "output_records", "shuffle_read", "fetch_wait_ms", "shuffle_write")])
+    x = E.task_records(E.parse_events(E.as_lines(tasks)))
+    plan = x._jdf.queryExecution().optimizedPlan()
+    tests = [at for at in plan.toString().split("\n") if "Filter " in at]
+    assert tests and all("raw#" in at and "json" not in at.lower() for at in tests)
+    assert sorted((r.task_id, r.failed, r.duration_ms, r.shuffle_read) for r in x.collect()) == [(0, False, 5, 7), (1, True, 5, 7), (2, False, 5, 7)]
