@@ -6,7 +6,7 @@ from embertrail.functions.intervals import sweep
 from embertrail.functions.lineage import written
 from embertrail.operators import stages as A
 from embertrail.queries import Run
-from embertrail.sources.testdata import TABLES, Facts
+from embertrail.sources.testdata import SHAPED, TABLES, Facts
 
 
 def plan(df):
@@ -47,3 +47,24 @@ def test_medians_of_counted_values_are_those_of_all_rows(spark):
     df = spark.createDataFrame(rows, "app_id string, stage_id long, x long, y long")
     want = df.groupBy(A.STAGE).agg(F.count("*").alias("n"), A.median("x").alias("m_x"), A.median("y").alias("m_y"))
     assert sorted(map(tuple, A._medians(df, ("x", "y")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tasks_are_worked_out_without_decimals_as_the_sql_has_them(spark, tmp_path):
+    lines = spark.sql(
+        "SELECT id - 37 AS l_orderkey, id * 7 AS l_partkey, id % 23 AS l_suppkey, CAST(id % 7 + 1 AS INT) AS l_linenumber, CAST(id % 50 AS DOUBLE) AS l_quantity, CASE WHEN id % 19 <> 0 THEN id * 377.77D - 9000 END AS l_extendedprice,"
+        " (id % 11) / 100D AS l_discount, CASE WHEN id % 3 = 0 THEN 'R' ELSE 'A' END AS l_returnflag, TIMESTAMP '2020-01-01' AS l_shipdate FROM range(400) UNION ALL SELECT NULL, 1, 1, 1, 1D, 995D, 0.1D, 'R', NULL"
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    same, now = spark.sql(TABLES["tasks"], lineitem=lines), Facts(spark, str(tmp_path))["tasks"]
+    text = plan(now)
+    assert "decimal" not in text.lower() and "decimal" in plan(same).lower()
+    assert now.schema == same.schema and now.exceptAll(same).isEmpty() and now.count() == same.count() == 401
+
+
+def test_kept_tasks_leave_out_what_follows_from_other_columns(spark, small):
+    for tables in (TABLES, SHAPED):
+        kept, plain = Run(spark, small, True, tables).tasks, Facts(spark, small, tables=tables)["tasks"]
+        text = plan(kept.select("launch_ms", "finish_ms", "run_ms", "cpu_ns"))
+        read = text[text.index("ReadSchema") :].splitlines()[0]
+        assert "launch_ms" in read and "duration_ms" in read and not any(c in read for c in ("finish_ms", "run_ms", "cpu_ns"))
+        assert kept.dtypes == plain.dtypes and kept.exceptAll(plain).isEmpty() and kept.count() == plain.count()
