@@ -52,3 +52,29 @@ def test_plans_are_read_where_workers_have_no_package():
     code = "import sys; from pyspark import cloudpickle; f = cloudpickle.loads(sys.stdin.buffer.read()); assert 'embertrail' not in sys.modules; print(f.__name__)"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(N._plan_reader()), capture_output=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr
+
+
+def shuffles(spark, small, name):
+    plan = Q.QUERIES[name](spark, small)._jdf.queryExecution()
+    return plan.executedPlan().toString().count("Exchange hashpartitioning("), plan.optimizedPlan().toString()
+
+
+def test_joins_meet_what_their_execution_has_once(spark, small):
+    # Joins, accumulators and their nodes, values, links, stages and settings; before, each step over nodes and those above them had its own.
+    many, _ = shuffles(spark, small, "p16_skew_join_cases")
+    assert many <= 18
+    few, text = shuffles(spark, small, "f32_missed_broadcasts")
+    assert few <= 12
+    assert text.count("replace(substring(") == 2  # once a side: no filter works it out again
+
+
+def test_cases_and_broadcasts_of_plans_are_those_of_their_nodes(spark, small):
+    from embertrail.plans import detectors as D
+    from embertrail.plans import plan_texts as T
+    from embertrail.plans import skew_joins as S
+
+    t = T.plan_tables(T.order_executions(spark, small).filter("execution_id < 400"), (*S.SETTINGS, *D.THRESHOLDS))
+    rows = t["nodes"].select("app_id", "execution_id", "path", "name", "detail")
+    for of in (lambda n: S.skew_join_cases(n, t["metrics"], t["links"], t["stages"], t["settings"]), lambda n: D.missed_broadcasts(n, t["metrics"], t["settings"])):
+        whole = sorted(map(str, of(t["plans"]).collect()))
+        assert whole and whole == sorted(map(str, of(rows).collect()))
